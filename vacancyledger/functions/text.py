@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import html
 import sys
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Unicode white space plus the four information separators.
 WHITESPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -31,6 +33,11 @@ _MARKUP = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_ws(col: Column) -> Column:
     """Remove leading and trailing Unicode white space (``trim`` strips only spaces)."""
     return F.regexp_replace(col, rf"^{WHITESPACE}+|{WHITESPACE}+$", "")
@@ -40,7 +47,7 @@ def blank_to_null(col: Column) -> Column:
     return F.when(F.length(col) > 0, col)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: html.unescape(v) if v is not None else None)
 
@@ -76,6 +83,17 @@ def cap(col: Column, limit: int) -> Column:
     return F.substring(col, 1, limit)
 
 
+# Letters of Western texts that fold to something else; replaced directly.
+_COMMON_FOLDS = {"ß": "ss", "ſ": "s", "µ": "μ", "ŉ": "ʼn"}
+
+
+def _fold_common(col: Column) -> Column:
+    out = F.lower(col)
+    for char, folded in _COMMON_FOLDS.items():
+        out = F.replace(out, F.lit(char), F.lit(folded))
+    return out
+
+
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
     """Where full case folding differs from lower-casing, derived from the running Unicode data."""
@@ -83,33 +101,47 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     for point in range(sys.maxunicode + 1):
         char = chr(point)
         lowered, folded = char.lower(), char.casefold()
-        if lowered != char or lowered == folded:
+        if lowered != char or lowered == folded or char in _COMMON_FOLDS:
             continue
         if len(folded) == 1:
             single_from.append(char)
             single_to.append(folded)
-        elif char != "ß":
+        else:
             multi[char] = folded
     return "".join(single_from), "".join(single_to), multi
 
 
+def _char_class(chars: list[str]) -> str:
+    """Regular-expression class of characters, neighbours joined to ranges."""
+    points = sorted(ord(c) for c in chars)
+    ranges: list[list[int]] = []
+    for p in points:
+        if ranges and p == ranges[-1][1] + 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def fold(col: Column) -> Column:
-    """Case folding: ``lower`` plus the characters whose folded form differs from it."""
+    """Case folding: ``lower`` plus the characters whose folded form differs from it. Texts
+    within Latin letters skip the second part after one cheap test."""
     single_from, single_to, multi = _fold_tables()
-    lowered = F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
-    rare = "[" + single_from + "".join(multi) + "]"
+    lowered = _fold_common(col)
+    special = [*single_from, *multi]
+    first = f"[\\x{{{min(map(ord, special)):x}}}-\\x{{10ffff}}]"
+    rare = lowered.rlike(first) & lowered.rlike(_char_class(special))
     mapping = F.create_map(*[F.lit(x) for pair in multi.items() for x in pair])
     expanded = F.array_join(
         F.transform(F.split(lowered, ""), lambda c: F.coalesce(F.try_element_at(mapping, c), c)), ""
     )
-    return F.when(lowered.rlike(rare), F.translate(expanded, single_from, single_to)).otherwise(
-        lowered
-    )
+    return F.when(rare, F.translate(expanded, single_from, single_to)).otherwise(lowered)
 
 
 def fold_simple(col: Column) -> Column:
     """``fold`` restricted to what can change an ASCII token: lower-casing and sharp s."""
-    return F.translate(F.replace(F.lower(col), F.lit("ß"), F.lit("ss")), "ſ", "s")
+    sharp = F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
+    return F.replace(sharp, F.lit("ſ"), F.lit("s"))
 
 
 def tokens(col: Column) -> Column:
@@ -156,7 +188,7 @@ def missing_terms(required: Column, found: Column) -> Column:
     return F.filter(required, lambda t: ~F.array_contains(found, t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii_fold(values: pd.Series) -> pd.Series:
     normalised = values.str.normalize("NFKD")
     return normalised.str.encode("ascii", "ignore").str.decode("ascii")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Query parameters that only track where a visitor came from.
 TRACKING_PARAMS = (
     "ref", "referrer", "source", "src",
@@ -84,88 +86,124 @@ def query_param(url: Column, name: str) -> Column:
     return F.try_element_at(hits, F.lit(1))["v"]
 
 
-def normalise_path(path: Column) -> Column:
-    """Collapse '//', '.' and '..'; a trailing slash is not kept here. Empty becomes '/'."""
+def _fold_path(path: Column) -> Column:
     rooted = path.startswith("/")
 
     def push(stack: Column, segment: Column) -> Column:
         poppable = (F.size(stack) > 0) & (F.try_element_at(stack, F.lit(-1)) != "..")
+        shorter = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
         return (
             F.when(segment.isin("", "."), stack)
-            .when((segment == "..") & poppable, F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0))))
+            .when((segment == "..") & poppable, shorter)
             .when((segment == "..") & rooted, stack)
             .otherwise(F.concat(stack, F.array(segment)))
         )
 
     folded = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), push)
     lead = F.when(path.rlike("^//(?!/)"), "//").when(rooted, "/").otherwise("")
-    needs_work = path.rlike(r"//|(^|/)\.\.?(/|$)")
-    plain = F.when(path.rlike("^/+$"), F.lit("/")).otherwise(F.regexp_replace(path, "/$", ""))
-    return F.when(path == "", F.lit("/")).when(
-        needs_work, F.concat(lead, F.array_join(folded, "/"))
-    ).otherwise(plain)
+    return F.concat(lead, F.array_join(folded, "/"))
 
 
-def _resolved(url: Column, base: Column | None) -> tuple[Column, Column, Column, Column]:
-    """(scheme, authority, path, query) of ``url`` resolved against ``base``."""
-    scheme, authority = url_scheme(url), url_authority(url)
-    path, query = url_path(url), url_query(url)
-    if base is None:
-        return scheme, authority, path, query
-    foreign = (scheme != "") & (scheme != url_scheme(base))
-    own = foreign | url.rlike(_AUTHORITY)
-    base_path = url_path(base)
+def normalise_path(path: Column) -> Column:
+    """Collapse '//', '.' and '..'; a trailing slash is not kept here. Empty becomes '/'."""
+    return (
+        F.when(path.isin("", "/"), F.lit("/"))
+        .when(path.rlike(r"//|(^|/)\.\.?(/|$)"), _fold_path(path))
+        .otherwise(F.regexp_replace(path, "/$", ""))
+    )
+
+
+def _parts(url: Column) -> Column:
+    return F.struct(
+        url_scheme(url).alias("scheme"),
+        url.rlike(_AUTHORITY).alias("absolute"),
+        url_authority(url).alias("authority"),
+        url_path(url).alias("path"),
+        url.contains("?").alias("asks"),
+        url_query(url).alias("query"),
+    )
+
+
+def _resolve(ref: Column, base: Column) -> Column:
+    """Parts of a reference completed from the parts of its base."""
+    own = ref["absolute"] | ((ref["scheme"] != "") & (ref["scheme"] != base["scheme"]))
     joined = (
-        F.when(path == "", base_path)
-        .when(path.startswith("/"), path)
-        .otherwise(F.concat(F.regexp_replace(base_path, "[^/]*$", ""), path))
+        F.when(ref["path"] == "", base["path"])
+        .when(ref["path"].startswith("/"), ref["path"])
+        .otherwise(F.concat(F.regexp_replace(base["path"], "[^/]*$", ""), ref["path"]))
     )
-    inherit_query = (path == "") & (query == "") & ~url.contains("?")
-    rooted = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
-    return (
-        F.when(scheme == "", url_scheme(base)).otherwise(scheme),
-        F.when(own, authority).otherwise(url_authority(base)),
-        F.when(own, path).otherwise(rooted),
-        F.when(own | ~inherit_query, query).otherwise(url_query(base)),
+    # The base path of a bare origin is empty; a relative path below it starts at the root.
+    rooted = F.when(joined.startswith("/") | (joined == ""), joined).otherwise(
+        F.concat(F.lit("/"), joined)
+    )
+    inherits = (ref["path"] == "") & ~ref["asks"]
+    return F.struct(
+        F.when(ref["scheme"] == "", base["scheme"]).otherwise(ref["scheme"]).alias("scheme"),
+        F.when(own, ref["authority"]).otherwise(base["authority"]).alias("authority"),
+        F.when(own, ref["path"]).otherwise(rooted).alias("path"),
+        F.when(own | ~inherits, ref["query"]).otherwise(base["query"]).alias("query"),
     )
 
 
-def canonicalize_url(url: Column, base: Column | None = None, keep_query: bool = False) -> Column:
-    """Normal form of a URL: lower-case scheme and host, no user info, default https port,
-    fragment or tracking parameters; path normalised with its trailing slash kept; query
-    dropped, or sorted when ``keep_query``."""
-    scheme, authority, path, query = _resolved(url, base)
+def _netloc(scheme: Column, authority: Column) -> Column:
     host = F.lower(F.regexp_extract(authority, _HOST, 1))
     port = F.regexp_extract(authority, _PORT, 1)
-    default_port = port.rlike("^0*$") | ((scheme == "https") & port.rlike("^0*443$"))
-    netloc = F.when(default_port, host).otherwise(
+    hidden = port.rlike("^0*$") | ((scheme == "https") & port.rlike("^0*443$"))
+    return F.when(hidden, host).otherwise(
         F.concat(host, F.lit(":"), F.regexp_replace(port, "^0+", ""))
     )
-    clean = normalise_path(path)
-    # A path that ends in '/' or in a dot segment below another directory.
-    slash = F.when(path.endswith("/") & ~clean.isin("/", "//"), F.lit("/")).otherwise("")
-    head = F.when(
-        scheme != "", F.concat(scheme, F.when(authority != "", F.lit("://")).otherwise(":"), netloc)
-    ).otherwise(F.when(authority != "", F.concat(F.lit("//"), netloc)).otherwise(netloc))
-    out = F.concat(head, clean, slash)
-    if not keep_query:
-        return out
+
+
+def _kept_query(query: Column) -> Column:
     pairs = F.array_sort(
         F.filter(query_pairs(query), lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS))
     )
-    rendered = F.when(query != "", render_query(pairs)).otherwise("")
-    return F.concat(out, F.when(rendered != "", F.concat(F.lit("?"), rendered)).otherwise(""))
+    rendered = render_query(pairs)
+    return F.when(query == "", F.lit("")).otherwise(
+        let(rendered, lambda r: F.when(r == "", r).otherwise(F.concat(F.lit("?"), r)))
+    )
+
+
+def _render(parts: Column, keep_query: bool) -> Column:
+    scheme, authority, path = parts["scheme"], parts["authority"], parts["path"]
+    head = (
+        F.when((scheme != "") & (authority != ""), F.concat(scheme, F.lit("://"), _netloc(scheme, authority)))
+        .when(scheme != "", F.concat(scheme, F.lit(":")))
+        .when(authority != "", F.concat(F.lit("//"), _netloc(scheme, authority)))
+        .otherwise("")
+    )
+    placed = let(
+        normalise_path(path),
+        lambda p: F.when(path.endswith("/") & ~p.isin("/", "//"), F.concat(p, F.lit("/"))).otherwise(p),
+    )
+    tail = [_kept_query(parts["query"])] if keep_query else []
+    return F.concat(head, placed, *tail)
+
+
+def canonicalize_url(url: Column, base: Column | None = None, keep_query: bool = False) -> Column:
+    """Normal form of a URL: lower-case scheme and host, no user info, default https port,
+    fragment or tracking parameters; path normalised with its trailing slash kept; query
+    dropped, or sorted when ``keep_query``."""
+    if base is None:
+        return let(_parts(url), lambda p: _render(p, keep_query))
+    resolved = let(
+        F.struct(_parts(url).alias("ref"), _parts(base).alias("base")),
+        lambda both: _resolve(both["ref"], both["base"]),
+    )
+    return let(resolved, lambda p: _render(p, keep_query))
 
 
 def in_scope(url: Column, source_url: Column, prefixes: Column) -> Column:
     """http(s), same host as the source, path equal to or below an allowed prefix."""
-    path = normalise_path(url_path(url))
     bare = F.transform(prefixes, lambda p: F.regexp_replace(p, "/+$", ""))
-    below = F.exists(
-        bare, lambda p: (path == p) | F.startswith(path, F.concat(p, F.lit("/")))
-    )
+
+    def below(path: Column) -> Column:
+        return F.exists(bare, lambda p: (path == p) | F.startswith(path, F.concat(p, F.lit("/"))))
+
     return (
-        url_scheme(url).isin("http", "https") & (url_host(url) == url_host(source_url)) & below
+        url_scheme(url).isin("http", "https")
+        & (url_host(url) == url_host(source_url))
+        & let(normalise_path(url_path(url)), below)
     )
 
 

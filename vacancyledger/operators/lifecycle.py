@@ -195,7 +195,11 @@ def _as_of(df: DataFrame, as_of) -> DataFrame:
 
 
 def lifecycle_history(
-    observations: DataFrame, scans: DataFrame, as_of=None, keys: tuple[str, ...] = ("identity_key",)
+    observations: DataFrame,
+    scans: DataFrame,
+    as_of=None,
+    keys: tuple[str, ...] = ("identity_key",),
+    order: tuple[str, ...] = ("scan_seq", "seq"),
 ) -> DataFrame:
     """State of every job after the scans up to ``as_of`` (a ``scan_seq``), in any input order.
 
@@ -212,7 +216,7 @@ def lifecycle_history(
     spans = _as_of(observations, as_of).groupBy("source_id", *keys).agg(
         F.min("scan_seq").alias("first_seq"),
         F.max("scan_seq").alias("last_seq"),
-        F.max_by("content_fingerprint", "scan_seq").alias("content_fingerprint"),
+        F.max_by("content_fingerprint", F.struct(*order)).alias("content_fingerprint"),
         F.count(F.lit(1)).alias("observations"),
     )
     after = [

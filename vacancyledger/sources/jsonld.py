@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import parse_iso_date
 from ..functions.locations import (
@@ -21,7 +22,7 @@ _LD_SCRIPT = (
 )
 
 
-@F.pandas_udf("struct<posting:string,malformed:int>")
+@F.pandas_udf(T.StructType().add("posting", T.StringType()).add("malformed", T.IntegerType()))
 def _first_posting(scripts: pd.Series) -> pd.DataFrame:
     """First JobPosting node, in document order, of the first block that holds one."""
 
