@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import scan_queries, text_queries
+from . import match_queries, scan_queries, source_queries, text_queries
 
-_GROUPS = (text_queries, scan_queries)
+_GROUPS = (text_queries, scan_queries, match_queries, source_queries)
 
 
 def _with_settings(plan: Callable) -> Callable[[SparkSession, str], DataFrame]:

@@ -22,9 +22,6 @@ _I_PAGE = """count int, totalCount int,
     jobs array<struct<data:struct<req_id:string,id:string,title:string,description:string,
         full_location:string,employment_type:string,posted_date:string,update_date:string,
         category:string,meta_data:struct<canonical_url:string>>>>"""
-_O_LISTING = """items array<struct<TotalJobsCount:int,
-    requisitionList:array<struct<Id:string,id:string,Title:string,title:string,PostedDate:string,
-        PrimaryLocation:string,JobSchedule:string>>>>"""
 
 _KEYS = ("source_id", "scan_run_id", "seq")
 
@@ -181,33 +178,40 @@ def i_jobs(captures: DataFrame) -> DataFrame:
 
 
 def _o_parsed(captures: DataFrame) -> DataFrame:
-    box = F.try_element_at(F.from_json("body", _O_LISTING)["items"], F.lit(1))
-    return captures.withColumn("_box", box)
+    # Ids and titles come in two spellings that differ only in case, so a variant, not a struct.
+    box = F.try_variant_get(F.try_parse_json("body"), "$.items[0]", "variant")
+    return captures.withColumns(
+        {
+            "_total": F.try_variant_get(box, "$.TotalJobsCount", "int"),
+            "_jobs": F.try_variant_get(box, "$.requisitionList", "array<variant>"),
+        }
+    )
 
 
-def _o_id(job: Column) -> Column:
-    return F.coalesce(blank_to_null(job["Id"]), blank_to_null(job["id"]))
+def _o_text(job: Column, *names: str) -> Column:
+    return F.coalesce(
+        *[blank_to_null(F.try_variant_get(job, f"$.{n}", "string")) for n in names]
+    )
 
 
 def o_pages(captures: DataFrame) -> DataFrame:
-    parsed = _o_parsed(captures)
-    items = F.col("_box.requisitionList")
-    advertised = F.col("_box.TotalJobsCount")
+    items, advertised = F.col("_jobs"), F.col("_total")
     total = F.coalesce(F.when(advertised != 0, advertised), F.size(items))
-    return _page_counts(parsed, items, total, F.transform(items, _o_id))
+    ids = F.transform(items, lambda j: _o_text(j, "Id", "id"))
+    return _page_counts(_o_parsed(captures), items, total, ids)
 
 
 def o_listing(captures: DataFrame) -> DataFrame:
     """Entries of listing pages that carry an id and a title."""
     listed = _o_parsed(captures).select(
-        *_KEYS, "source_url", F.posexplode("_box.requisitionList").alias("position", "_j")
+        *_KEYS, "source_url", F.posexplode("_jobs").alias("position", "_j")
     )
-    title = F.coalesce(blank_to_null(F.col("_j")["Title"]), blank_to_null(F.col("_j")["title"]))
+    job = F.col("_j")
     return listed.select(
-        *_KEYS, "source_url", "position", _o_id(F.col("_j")).alias("external_id"),
-        title.alias("title"),
-        F.col("_j.PostedDate").alias("posted"), F.col("_j.PrimaryLocation").alias("location"),
-        F.col("_j.JobSchedule").alias("employment_type"),
+        *_KEYS, "source_url", "position", _o_text(job, "Id", "id").alias("external_id"),
+        _o_text(job, "Title", "title").alias("title"), _o_text(job, "PostedDate").alias("posted"),
+        _o_text(job, "PrimaryLocation").alias("location"),
+        _o_text(job, "JobSchedule").alias("employment_type"),
     ).where(F.col("external_id").isNotNull() & F.col("title").isNotNull()).withColumn(
         "url", o_detail_url(F.col("source_url"), F.col("external_id"))
     )
