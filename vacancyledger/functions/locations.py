@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import TAG_IN_TEXT, blank_to_null, strip_ws, unescape
+from .text import TAG_IN_TEXT, blank_to_null, let, settle, strip_ws, with_unescaped
 
 # Address parts in display order.
 LD_ADDRESS_FIELDS = (
@@ -26,7 +26,7 @@ def _text(variant: Column, path: str) -> Column:
 def variant_field(variant: Column, name: str) -> Column:
     """A member of an object, null for a JSON null."""
     value = F.try_variant_get(variant, f"$.{name}", "variant")
-    return F.when(~F.is_variant_null(value), value)
+    return let(value, lambda v: F.when(~F.is_variant_null(v), v))
 
 
 def variant_kind(variant: Column) -> Column:
@@ -98,22 +98,24 @@ def escape_html(col: Column) -> Column:
     return out
 
 
-def _not_blank(col: Column) -> Column:
-    return F.when(F.length(strip_ws(col)) > 0, col)
-
-
-def description_html(col: Column) -> Column:
-    """The value, unescaped only when that brings tags to light; blank becomes null."""
-    decoded = unescape(col)
-    return _not_blank(F.when(decoded.rlike(TAG_IN_TEXT), decoded).otherwise(col))
+def with_description_html(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a description, unescaped only when that brings tags to light; blank becomes null."""
+    raw = settle(df.withColumn("_raw", value))
+    staged = with_unescaped(raw, {"_decoded": F.col("_raw")})
+    shown = F.when(F.col("_decoded").rlike(TAG_IN_TEXT), F.col("_decoded")).otherwise(F.col("_raw"))
+    return staged.withColumn(
+        name, F.when(F.length(strip_ws(F.col("_raw"))) > 0, shown)
+    ).drop("_raw", "_decoded")
 
 
 def paragraph_html(col: Column) -> Column:
     """The value if it holds tags, else one escaped paragraph; blank becomes null."""
-    plain = F.concat(F.lit("<p>"), escape_html(col), F.lit("</p>"))
-    return F.when(
-        _not_blank(col).isNotNull(), F.when(col.rlike(TAG_IN_TEXT), col).otherwise(plain)
-    )
+
+    def shown(v: Column) -> Column:
+        plain = F.concat(F.lit("<p>"), escape_html(v), F.lit("</p>"))
+        return F.when(F.length(strip_ws(v)) > 0, F.when(v.rlike(TAG_IN_TEXT), v).otherwise(plain))
+
+    return let(col, shown)
 
 
 def sections_html(sections: Iterable[tuple[str | None, Column]]) -> Column:
@@ -129,16 +131,24 @@ def sections_html(sections: Iterable[tuple[str | None, Column]]) -> Column:
 
 def coerce_identifier(value: Column) -> Column:
     """Identifier given as a scalar, or as an object with a value or a name."""
-    inner = F.coalesce(_text(value, "$.value"), _text(value, "$.name"))
-    return F.when(variant_kind(value) == "OBJECT", inner).otherwise(_text(value, "$"))
+
+    def read(v: Column) -> Column:
+        inner = F.coalesce(_text(v, "$.value"), _text(v, "$.name"))
+        return F.when(variant_kind(v) == "OBJECT", inner).otherwise(_text(v, "$"))
+
+    return let(value, read)
 
 
 def coerce_employment(value: Column) -> Column:
     """Employment type given as text or as a list of texts."""
-    listed = F.try_variant_get(value, "$", "array<string>")
-    return F.when(variant_kind(value) == "ARRAY", F.array_join(listed, ", ")).otherwise(
-        F.try_variant_get(value, "$", "string")
-    )
+
+    def read(v: Column) -> Column:
+        listed = F.try_variant_get(v, "$", "array<string>")
+        return F.when(variant_kind(v) == "ARRAY", F.array_join(listed, ", ")).otherwise(
+            F.try_variant_get(v, "$", "string")
+        )
+
+    return let(value, read)
 
 
 def identity_key(external_id: Column, url: Column) -> Column:

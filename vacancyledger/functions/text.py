@@ -8,7 +8,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,13 +38,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settle(df: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Compute the columns of ``df`` here, once, and drop rows that fail ``keep``.
+
+    Spark moves a filter below the projection that feeds it and then evaluates the filtered
+    expressions twice, Python steps included. A generator of zero or one row is not moved. It
+    also stops column pruning, so select what is needed first.
+    """
+    row = F.array(F.struct(*[F.col(c) for c in df.columns]))
+    return df.select(F.inline(row if keep is None else F.when(keep, row)))
+
+
 def strip_ws(col: Column) -> Column:
     """Remove leading and trailing Unicode white space (``trim`` strips only spaces)."""
     return F.regexp_replace(col, rf"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.when(F.length(col) > 0, col)
+    return let(col, lambda v: F.when(F.length(v) > 0, v))
 
 
 @F.pandas_udf(T.StringType())
@@ -52,15 +63,32 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: html.unescape(v) if v is not None else None)
 
 
-def unescape(col: Column) -> Column:
-    """Resolve character references; only values holding an ampersand reach Python."""
-    has_reference = col.contains("&")
-    return F.coalesce(_unescape(F.when(has_reference, col)), col)
+@F.pandas_udf(T.StringType())
+def _unescape_twice(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: html.unescape(html.unescape(v)) if v is not None else None)
+
+
+def unescape(col: Column, twice: bool = False) -> Column:
+    """Resolve character references; only values holding an ampersand reach Python. The value is
+    read more than once, so hand in a plain column (see ``with_unescaped``)."""
+    resolve = _unescape_twice if twice else _unescape
+    return F.coalesce(resolve(F.when(col.contains("&"), col)), col)
+
+
+def with_unescaped(
+    df: DataFrame, values: dict[str, Column], twice: tuple[str, ...] = ()
+) -> DataFrame:
+    """Add computed columns with their character references resolved, all in one Python step.
+    The values are computed in a projection of their own, so each is computed once."""
+    staged = df.withColumns(values)
+    return staged.withColumns({n: unescape(F.col(n), n in twice) for n in values})
 
 
 def collapse_ws(col: Column) -> Column:
     """Runs of white space become one space; empty becomes null. No entity handling."""
-    return blank_to_null(F.trim(F.regexp_replace(col, rf"{WHITESPACE}+", " ")))
+    # Single spaces, by far the most common run, are left in place rather than replaced.
+    run = rf" {WHITESPACE}+|[\s\x1c-\x1f\x85\p{{Z}}&&[^ ]]{WHITESPACE}*"
+    return blank_to_null(F.trim(F.regexp_replace(col, run, " ")))
 
 
 def clean_text(col: Column) -> Column:
@@ -70,12 +98,16 @@ def clean_text(col: Column) -> Column:
 
 def strip_markup(col: Column) -> Column:
     """Replace comments, scripts, styles and tags by a space."""
-    return F.regexp_replace(col, _MARKUP, " ")
+    return F.when(col.contains("<"), F.regexp_replace(col, _MARKUP, " ")).otherwise(col)
 
 
-def html_to_text(col: Column) -> Column:
-    """Visible text of an HTML fragment, entities resolved in the text and once more after."""
-    return clean_text(unescape(strip_markup(col)))
+def with_html_text(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Add the visible text of HTML columns: markup out, entities resolved in the text and once
+    more after, white space collapsed."""
+    staged = with_unescaped(
+        df, {n: strip_markup(v) for n, v in values.items()}, twice=tuple(values)
+    )
+    return staged.withColumns({n: collapse_ws(F.col(n)) for n in values})
 
 
 def cap(col: Column, limit: int) -> Column:
@@ -162,15 +194,17 @@ def phrase_present(phrase: Column, text: Column) -> Column:
 def clean_list(values: Column) -> Column:
     """Strip items, drop blanks, drop case-insensitive repeats; the first spelling stays."""
     stripped = F.filter(F.transform(values, strip_ws), lambda v: F.length(v) > 0)
-    keys = F.transform(stripped, fold)
+
     # Array positions are 1-based, lambda indexes 0-based.
-    return F.transform(
-        F.filter(
-            F.arrays_zip(stripped.alias("item"), keys.alias("key")),
-            lambda pair, i: F.array_position(keys, pair["key"]) == i + 1,
-        ),
-        lambda pair: pair["item"],
-    )
+    def first_spellings(items: Column) -> Column:
+        return let(
+            F.transform(items, fold),
+            lambda keys: F.filter(
+                items, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1
+            ),
+        )
+
+    return let(stripped, first_spellings)
 
 
 def split_list(col: Column) -> Column:

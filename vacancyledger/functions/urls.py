@@ -16,37 +16,55 @@ TRACKING_PARAMS = (
     "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term",
 )
 
-_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
-_AFTER_SCHEME = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?"
-_AUTHORITY = _AFTER_SCHEME + r"//([^/?#]*)"
-_PATH = _AFTER_SCHEME + r"(?://[^/?#]*)?([^?#]*)"
-_QUERY = r"^[^?#]*\?([^#]*)"
-_HOST = r"^(?:.*@)?\[?([^\]@]*?)\]?(?::[0-9]*)?$"
-_PORT = r"^(?:.*@)?.*?:([0-9]+)$"
+# scheme, authority with its slashes, path, query with its mark
+_RFC3986 = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(?:#.*)?$"
+_HOST_PORT = r"(?s)^//(?:.*@)?\[?([^\]@]*?)\]?(?::0*([0-9]*))?$"
+_SEP = "\x1f"
+
+
+def _pieces(url: Column) -> Column:
+    return F.split(F.regexp_replace(url, _RFC3986, f"$1{_SEP}$2{_SEP}$3{_SEP}$4"), _SEP)
+
+
+def url_parts(url: Column) -> Column:
+    """Struct of scheme (lower case), authority (with slashes), path and query (with mark)."""
+    return let(
+        _pieces(url),
+        lambda a: F.struct(
+            F.lower(F.get(a, F.lit(0))).alias("scheme"),
+            F.get(a, F.lit(1)).alias("authority"),
+            F.get(a, F.lit(2)).alias("path"),
+            F.get(a, F.lit(3)).alias("query"),
+        ),
+    )
+
+
+def _host_of(authority: Column) -> Column:
+    return F.regexp_replace(F.lower(authority), _HOST_PORT, "$1")
 
 
 def url_scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, _SCHEME, 1))
+    return F.lower(F.get(_pieces(url), F.lit(0)))
 
 
 def url_authority(url: Column) -> Column:
-    return F.regexp_extract(url, _AUTHORITY, 1)
+    return F.substring(F.get(_pieces(url), F.lit(1)), 3, 2_000_000)
 
 
 def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url_authority(url), _HOST, 1))
+    return _host_of(F.get(_pieces(url), F.lit(1)))
 
 
 def url_path(url: Column) -> Column:
-    return F.regexp_extract(url, _PATH, 1)
+    return F.get(_pieces(url), F.lit(2))
 
 
 def url_query(url: Column) -> Column:
-    return F.regexp_extract(url, _QUERY, 1)
+    return F.substring(F.get(_pieces(url), F.lit(3)), 2, 2_000_000)
 
 
 def url_origin(url: Column) -> Column:
-    return F.concat(url_scheme(url), F.lit("://"), url_authority(url))
+    return let(url_parts(url), lambda p: F.concat(p["scheme"], F.lit(":"), p["authority"]))
 
 
 def _decode(part: Column) -> Column:
@@ -104,39 +122,43 @@ def _fold_path(path: Column) -> Column:
     return F.concat(lead, F.array_join(folded, "/"))
 
 
+def _needs_folding(path: Column) -> Column:
+    return path.contains("//") | path.contains("/.") | path.startswith(".")
+
+
 def normalise_path(path: Column) -> Column:
     """Collapse '//', '.' and '..'; a trailing slash is not kept here. Empty becomes '/'."""
     return (
         F.when(path.isin("", "/"), F.lit("/"))
-        .when(path.rlike(r"//|(^|/)\.\.?(/|$)"), _fold_path(path))
-        .otherwise(F.regexp_replace(path, "/$", ""))
+        .when(_needs_folding(path), _fold_path(path))
+        .when(path.endswith("/"), F.substring(path, F.lit(1), F.length(path) - 1))
+        .otherwise(path)
     )
 
 
-def _parts(url: Column) -> Column:
-    return F.struct(
-        url_scheme(url).alias("scheme"),
-        url.rlike(_AUTHORITY).alias("absolute"),
-        url_authority(url).alias("authority"),
-        url_path(url).alias("path"),
-        url.contains("?").alias("asks"),
-        url_query(url).alias("query"),
+def _canonical_path(path: Column) -> Column:
+    """Normalised path that keeps a trailing slash; most paths are already in that form."""
+    folded = let(
+        _fold_path(path),
+        lambda p: F.when(path.endswith("/") & ~p.isin("/", "//"), F.concat(p, F.lit("/"))).otherwise(p),
     )
+    return F.when(path == "", F.lit("/")).when(_needs_folding(path), folded).otherwise(path)
 
 
 def _resolve(ref: Column, base: Column) -> Column:
     """Parts of a reference completed from the parts of its base."""
-    own = ref["absolute"] | ((ref["scheme"] != "") & (ref["scheme"] != base["scheme"]))
+    own = (ref["authority"] != "") | ((ref["scheme"] != "") & (ref["scheme"] != base["scheme"]))
     joined = (
         F.when(ref["path"] == "", base["path"])
         .when(ref["path"].startswith("/"), ref["path"])
         .otherwise(F.concat(F.regexp_replace(base["path"], "[^/]*$", ""), ref["path"]))
     )
     # The base path of a bare origin is empty; a relative path below it starts at the root.
-    rooted = F.when(joined.startswith("/") | (joined == ""), joined).otherwise(
-        F.concat(F.lit("/"), joined)
+    rooted = let(
+        joined,
+        lambda p: F.when(p.startswith("/") | (p == ""), p).otherwise(F.concat(F.lit("/"), p)),
     )
-    inherits = (ref["path"] == "") & ~ref["asks"]
+    inherits = (ref["path"] == "") & (ref["query"] == "")
     return F.struct(
         F.when(ref["scheme"] == "", base["scheme"]).otherwise(ref["scheme"]).alias("scheme"),
         F.when(own, ref["authority"]).otherwise(base["authority"]).alias("authority"),
@@ -146,38 +168,44 @@ def _resolve(ref: Column, base: Column) -> Column:
 
 
 def _netloc(scheme: Column, authority: Column) -> Column:
-    host = F.lower(F.regexp_extract(authority, _HOST, 1))
-    port = F.regexp_extract(authority, _PORT, 1)
-    hidden = port.rlike("^0*$") | ((scheme == "https") & port.rlike("^0*443$"))
-    return F.when(hidden, host).otherwise(
-        F.concat(host, F.lit(":"), F.regexp_replace(port, "^0+", ""))
-    )
+    """Lower-case host, with its port unless that is absent, zero or the https one."""
+    with_port = F.regexp_replace(F.lower(authority), _HOST_PORT, "$1:$2")
+
+    def drop_default(v: Column) -> Column:
+        def cut(n: int) -> Column:
+            return F.substring(v, F.lit(1), F.length(v) - n)
+
+        return (
+            F.when(v.endswith(":"), cut(1))
+            .when((scheme == "https") & v.endswith(":443"), cut(4))
+            .otherwise(v)
+        )
+
+    return let(with_port, drop_default)
 
 
 def _kept_query(query: Column) -> Column:
+    bare = F.substring(query, 2, 2_000_000)
     pairs = F.array_sort(
-        F.filter(query_pairs(query), lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS))
+        F.filter(query_pairs(bare), lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS))
     )
-    rendered = render_query(pairs)
-    return F.when(query == "", F.lit("")).otherwise(
-        let(rendered, lambda r: F.when(r == "", r).otherwise(F.concat(F.lit("?"), r)))
+    rendered = let(
+        render_query(pairs), lambda r: F.when(r == "", r).otherwise(F.concat(F.lit("?"), r))
     )
+    return F.when(query == "", F.lit("")).otherwise(rendered)
 
 
 def _render(parts: Column, keep_query: bool) -> Column:
-    scheme, authority, path = parts["scheme"], parts["authority"], parts["path"]
+    scheme, authority = parts["scheme"], parts["authority"]
+    netloc = _netloc(scheme, authority)
     head = (
-        F.when((scheme != "") & (authority != ""), F.concat(scheme, F.lit("://"), _netloc(scheme, authority)))
+        F.when((scheme != "") & (authority != ""), F.concat(scheme, F.lit("://"), netloc))
         .when(scheme != "", F.concat(scheme, F.lit(":")))
-        .when(authority != "", F.concat(F.lit("//"), _netloc(scheme, authority)))
+        .when(authority != "", F.concat(F.lit("//"), netloc))
         .otherwise("")
     )
-    placed = let(
-        normalise_path(path),
-        lambda p: F.when(path.endswith("/") & ~p.isin("/", "//"), F.concat(p, F.lit("/"))).otherwise(p),
-    )
     tail = [_kept_query(parts["query"])] if keep_query else []
-    return F.concat(head, placed, *tail)
+    return F.concat(head, _canonical_path(parts["path"]), *tail)
 
 
 def canonicalize_url(url: Column, base: Column | None = None, keep_query: bool = False) -> Column:
@@ -185,9 +213,9 @@ def canonicalize_url(url: Column, base: Column | None = None, keep_query: bool =
     fragment or tracking parameters; path normalised with its trailing slash kept; query
     dropped, or sorted when ``keep_query``."""
     if base is None:
-        return let(_parts(url), lambda p: _render(p, keep_query))
+        return let(url_parts(url), lambda p: _render(p, keep_query))
     resolved = let(
-        F.struct(_parts(url).alias("ref"), _parts(base).alias("base")),
+        F.struct(url_parts(url).alias("ref"), url_parts(base).alias("base")),
         lambda both: _resolve(both["ref"], both["base"]),
     )
     return let(resolved, lambda p: _render(p, keep_query))
@@ -195,16 +223,24 @@ def canonicalize_url(url: Column, base: Column | None = None, keep_query: bool =
 
 def in_scope(url: Column, source_url: Column, prefixes: Column) -> Column:
     """http(s), same host as the source, path equal to or below an allowed prefix."""
-    bare = F.transform(prefixes, lambda p: F.regexp_replace(p, "/+$", ""))
 
     def below(path: Column) -> Column:
-        return F.exists(bare, lambda p: (path == p) | F.startswith(path, F.concat(p, F.lit("/"))))
+        return F.exists(
+            prefixes,
+            lambda p: let(
+                F.rtrim(p, F.lit("/")),
+                lambda q: (path == q) | F.startswith(path, F.concat(q, F.lit("/"))),
+            ),
+        )
 
-    return (
-        url_scheme(url).isin("http", "https")
-        & (url_host(url) == url_host(source_url))
-        & let(normalise_path(url_path(url)), below)
-    )
+    def test(p: Column) -> Column:
+        return (
+            p["scheme"].isin("http", "https")
+            & (_host_of(p["authority"]) == url_host(source_url))
+            & let(normalise_path(p["path"]), below)
+        )
+
+    return let(url_parts(url), test)
 
 
 def replace_query(url: Column, values: Column) -> Column:

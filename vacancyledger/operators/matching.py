@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    cap, fold, missing_terms, phrase_present, strip_ws, text_lines, tokens,
+    cap, fold, let, missing_terms, settle, strip_ws, text_lines, tokens,
 )
 
 # Versions, thresholds and length rules of the matcher.
@@ -101,11 +101,14 @@ def job_text(title: Column, locations: Column, description: Column) -> Column:
 
 def term_hits(terms: Column, text: Column) -> Column:
     """Terms contained in the text, ignoring case; plain substrings, not words."""
-    return F.filter(terms, lambda t: phrase_present(t, text))
+    return _hits_in_folded(terms, fold(text))
 
 
 def _hits_in_folded(terms: Column, folded_text: Column) -> Column:
-    return F.filter(terms, lambda t: F.contains(folded_text, strip_ws(fold(t))))
+    # Bound outside the lambda: an expression inside it would run once per term.
+    return let(
+        folded_text, lambda text: F.filter(terms, lambda t: F.contains(text, strip_ws(fold(t))))
+    )
 
 
 def hard_reasons(text: Column, excluded: Column, preference: Column) -> Column:
@@ -136,15 +139,20 @@ def overlap(left: Column, right: Column) -> Column:
 def role_score(title: Column, roles: Column) -> Column:
     """95 when a role and the title contain one another, else 85 times the best share of a
     role's tokens found in the title."""
-    folded, title_tokens = fold(title), tokens(title)
-    contained = F.exists(
-        roles, lambda r: F.contains(folded, r["phrase"]) | F.contains(r["phrase"], folded)
-    )
-    shares = F.transform(
-        F.filter(roles, lambda r: F.size(r["tokens"]) > 0),
-        lambda r: overlap(title_tokens, r["tokens"]).cast("double") / F.size(r["tokens"]),
+    contained = let(
+        fold(title),
+        lambda t: F.exists(
+            roles, lambda r: F.contains(t, r["phrase"]) | F.contains(r["phrase"], t)
+        ),
     )
-    best = F.coalesce(F.array_max(shares), F.lit(0.0))
+
+    def shares(title_tokens: Column) -> Column:
+        return F.transform(
+            F.filter(roles, lambda r: F.size(r["tokens"]) > 0),
+            lambda r: overlap(title_tokens, r["tokens"]).cast("double") / F.size(r["tokens"]),
+        )
+
+    best = F.coalesce(F.array_max(let(tokens(title), shares)), F.lit(0.0))
     return F.when(contained, F.lit(95)).otherwise(F.rint(best * F.lit(85.0)).cast("int"))
 
 
@@ -155,8 +163,8 @@ def resume_score(shared: Column, job_tokens: Column) -> Column:
 
 def preference_score(found: Column, locations: Column, preferred_folded: Column) -> Column:
     place = fold(F.array_join(_strings(locations), " "))
-    near = (F.size(_strings(locations)) > 0) & F.exists(
-        preferred_folded, lambda l: F.contains(place, l)
+    near = (F.size(_strings(locations)) > 0) & let(
+        place, lambda text: F.exists(preferred_folded, lambda l: F.contains(text, l))
     )
     terms = F.least(F.lit(30), F.size(found) * 10)
     return F.least(F.lit(100), F.lit(50) + terms + F.when(near, 20).otherwise(0))
@@ -322,28 +330,24 @@ def resume_evidence(jobs: DataFrame, profiles: DataFrame, keep: tuple[str, ...]
     staged = attach_profile(jobs, profiles).select(
         *keep, "p",
         F.array_union(
-            tokens(F.concat_ws(" ", "title", F.coalesce("description_text", F.lit("")))),
+            tokens(F.concat_ws(" ", F.col("title"), F.coalesce("description_text", F.lit("")))),
             F.col("p.target_tokens"),
         ).alias("_terms"),
     )
+
+    def rank(hits: Column) -> Column:
+        scored = F.transform(
+            F.col("p.lines"),
+            lambda l: F.struct(
+                (-overlap(l["tokens"], hits)).alias("rank"),
+                l["index"].alias("index"),
+                l["line"].alias("line"),
+            ),
+        )
+        return F.array_sort(F.filter(scored, lambda l: l["rank"] < 0))
+
     # Only résumé tokens can hit, so each line is compared with that small set.
-    hits = staged.withColumn("_hits", F.array_intersect("p.resume_tokens", "_terms"))
-    ranked = hits.withColumn(
-        "_ranked",
-        F.array_sort(
-            F.filter(
-                F.transform(
-                    "p.lines",
-                    lambda l: F.struct(
-                        (-overlap(l["tokens"], F.col("_hits"))).alias("rank"),
-                        l["index"].alias("index"),
-                        l["line"].alias("line"),
-                    ),
-                ),
-                lambda l: l["rank"] < 0,
-            )
-        ),
-    )
+    ranked = staged.withColumn("_ranked", let(F.array_intersect("p.resume_tokens", "_terms"), rank))
     chosen = F.array_sort(
         F.transform(
             F.slice("_ranked", 1, EVIDENCE_LINES),
@@ -364,12 +368,12 @@ def resume_evidence(jobs: DataFrame, profiles: DataFrame, keep: tuple[str, ...]
 def evaluation_requests(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     """One JSON request per job for an external scorer; jobs that a hard constraint rules out
     are not sent."""
-    text = fold(job_text(F.col("title"), F.col("locations"), F.col("description_text")))
-    allowed = attach_profile(jobs, profiles).where(
-        F.size(hard_reasons(text, F.col("p.excluded_terms"), F.col("p.remote_preference"))) == 0
-    ).select(*jobs.columns)
     kept = ("job_id", "content_fingerprint", "title", "locations", "employment_type", "description_text")
-    evidence = resume_evidence(allowed, profiles, kept)
+    text = fold(job_text(F.col("title"), F.col("locations"), F.col("description_text")))
+    evidence = resume_evidence(jobs, profiles, kept)
+    reasons = let(
+        text, lambda t: hard_reasons(t, F.col("p.excluded_terms"), F.col("p.remote_preference"))
+    )
     profile_slice = F.struct(
         *[
             F.col(f"p.{c}").alias(c)
@@ -388,12 +392,14 @@ def evaluation_requests(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
         F.struct(profile_slice.alias("profile"), job_slice.alias("job")),
         {"ignoreNullFields": "false"},
     )
-    return evidence.select(
+    requests = evidence.select(
         "job_id", "content_fingerprint",
         F.col("p.profile_id").alias("profile_id"),
         F.col("p.profile_version").alias("profile_version"),
         payload.alias("payload"),
+        (F.size(reasons) == 0).alias("_allowed"),
     )
+    return settle(requests, F.col("_allowed")).drop("_allowed")
 
 
 # The only keys a response may have.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.locations import identity_key
-from ..functions.text import clean_text, collapse_ws, html_to_text, unescape
+from ..functions.text import collapse_ws, strip_markup, with_unescaped
 from ..functions.urls import canonicalize_url, in_scope, url_host
 from .windows import dedupe_last
 
@@ -33,15 +33,6 @@ def fingerprint(
     return F.sha2(F.concat_ws(_FIELD, *[F.coalesce(p, F.lit(_NULL)) for p in parts]), 256)
 
 
-def _clean_items(values: Column) -> Column:
-    """Cleaned, distinct, sorted items of a list. The list crosses the entity step as one
-    delimited string, because Python functions cannot run inside a lambda."""
-    safe = F.transform(values, lambda v: F.replace(v, F.lit(_ITEM), F.lit(" ")))
-    resolved = F.split(unescape(F.array_join(safe, _ITEM)), _ITEM)
-    cleaned = F.array_compact(F.transform(resolved, collapse_ws))
-    return F.array_sort(F.array_distinct(cleaned))
-
-
 def normalize(raw: DataFrame) -> DataFrame:
     """Canonical posting columns from raw ones (``external_id, url, title, locations,
     employment_type, posted_date, description_html, metadata``); other columns pass through.
@@ -51,27 +42,44 @@ def normalize(raw: DataFrame) -> DataFrame:
         "description_html", "metadata",
     }
     carried = [c for c in raw.columns if c not in produced]
-    shaped = raw.select(
+    # A list crosses the entity step as one delimited string: Python cannot run in a lambda.
+    safe = F.transform("locations", lambda v: F.replace(v, F.lit(_ITEM), F.lit(" ")))
+    resolved = with_unescaped(
+        raw,
+        {
+            "external_id": F.col("external_id"),
+            "title": F.col("title"),
+            "employment_type": F.col("employment_type"),
+            "_places": F.array_join(safe, _ITEM),
+            "description_text": strip_markup(F.col("description_html")),
+        },
+        twice=("description_text",),
+    )
+    places = F.filter(
+        F.transform(F.split("_places", _ITEM), collapse_ws), lambda v: v.isNotNull()
+    )
+    no_places = F.array().cast("array<string>")
+    shaped = resolved.select(
         *carried,
-        clean_text(F.col("external_id")).alias("external_id"),
+        collapse_ws(F.col("external_id")).alias("external_id"),
         canonicalize_url(F.col("url"), keep_query=True).alias("canonical_url"),
-        F.coalesce(clean_text(F.col("title")), F.lit("Untitled role")).alias("title"),
-        _clean_items(F.coalesce(F.col("locations"), F.array().cast("array<string>"))).alias(
-            "locations"
-        ),
-        clean_text(F.col("employment_type")).alias("employment_type"),
+        F.coalesce(collapse_ws(F.col("title")), F.lit("Untitled role")).alias("title"),
+        F.coalesce(F.array_sort(F.array_distinct(places)), no_places).alias("locations"),
+        collapse_ws(F.col("employment_type")).alias("employment_type"),
         "posted_date",
         "description_html",
-        html_to_text(F.col("description_html")).alias("description_text"),
+        collapse_ws(F.col("description_text")).alias("description_text"),
         F.map_filter("metadata", lambda k, _: k.isin(*METADATA_KEYS)).alias("raw_metadata"),
     )
-    return shaped.withColumn(
-        "content_fingerprint",
-        fingerprint(
-            F.col("title"), F.col("locations"), F.col("employment_type"),
-            F.col("posted_date"), F.col("description_text"),
-        ),
-    ).withColumn("identity_key", identity_key(F.col("external_id"), F.col("canonical_url")))
+    return shaped.withColumns(
+        {
+            "content_fingerprint": fingerprint(
+                F.col("title"), F.col("locations"), F.col("employment_type"),
+                F.col("posted_date"), F.col("description_text"),
+            ),
+            "identity_key": identity_key(F.col("external_id"), F.col("canonical_url")),
+        }
+    )
 
 
 def union_listings(anchors: DataFrame, embedded: DataFrame) -> DataFrame:

@@ -251,8 +251,8 @@ EVIDENCE_SQL = sql(
 
 def evaluation_requests(spark, sf_dir):
     out = matching.evaluation_requests(active_jobs(spark, sf_dir), derived.profiles(spark, sf_dir))
-    job = F.try_parse_json("payload")
-    return out.select(
+    job = F.col("parsed")
+    return out.withColumn("parsed", F.try_parse_json("payload")).select(
         "job_id", "profile_id", "profile_version",
         F.try_variant_get(job, "$.job.title", "string").alias("title"),
         F.md5(F.try_variant_get(job, "$.job.description", "string")).alias("description_md5"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_iso_date
-from ..functions.text import clean_list, html_to_text, slug, split_list
+from ..functions.text import clean_list, collapse_ws, fold, slug, split_list, with_html_text
 from ..functions.urls import canonicalize_url, in_scope, replace_query
 from ..operators import coverage, normalize
 from ..operators.windows import dedupe_last
@@ -65,7 +65,7 @@ NORMALIZE_SQL = sql(
 
 def page_text(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", html_to_text(F.col("html")).alias("t")).select(
+    return with_html_text(p.select("page_id", "html"), {"t": F.col("html")}).select(
         "page_id", F.length("t").alias("chars"), F.md5("t").alias("text_md5")
     )
 
@@ -264,8 +264,6 @@ CLEAN_LISTS_SQL = """SELECT p_partkey, 7 AS items,
 
 def dedupe_last_wins(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    from ..functions.text import collapse_ws, fold
-
     keyed = d.select(
         "doc_id", "source", "lang", F.md5(fold(collapse_ws(F.col("text")))).alias("text_key")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, clean_text, strip_markup, unescape
+from ..functions.text import blank_to_null, collapse_ws, settle, strip_markup, with_unescaped
 from ..functions.urls import canonicalize_url, in_scope, query_param, url_path, url_query
 from ..operators.access import client_link_allowed, same_https_host, safe_api, safe_embed
 
@@ -18,10 +18,8 @@ _INNER = r"(?is)^<a\s[^>]*>(.*)$"
 def attribute(tag: Column, name: str) -> Column:
     """Raw value of an attribute in the inside of a start tag; null when it is absent."""
     pattern = rf"""(?is)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    value = F.regexp_extract(tag, pattern, 1)
-    return F.when(
-        tag.rlike(pattern), F.regexp_replace(value, r"""^(["'])(.*)\1$""", "$2")
-    )
+    found = F.regexp_extract_all(tag, F.lit(pattern), 1)
+    return F.regexp_replace(F.get(found, F.lit(0)), r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
 def start_tag(html: Column, tag: str) -> Column:
@@ -37,18 +35,24 @@ def anchors(captures: DataFrame) -> DataFrame:
         "source_id", "scan_run_id", "seq", F.col("url").alias("page_url"),
         F.posexplode(F.regexp_extract_all(visible, F.lit(_ANCHOR), 0)).alias("position", "_a"),
     )
-    inside = F.regexp_extract("_a", _OPEN, 1)
-    parsed = listed.select(
-        "source_id", "scan_run_id", "seq", "page_url", "position",
-        unescape(attribute(inside, "href")).alias("href"),
-        clean_text(strip_markup(F.regexp_extract("_a", _INNER, 1))).alias("text"),
+    parsed = with_unescaped(
+        listed.withColumn("_in", F.regexp_extract("_a", _OPEN, 1)),
+        {
+            "href": attribute(F.col("_in"), "href"),
+            "text": strip_markup(F.regexp_extract("_a", _INNER, 1)),
+        },
+        twice=("text",),
+    )
+    inside = F.col("_in")
+    found = parsed.select(
+        "source_id", "scan_run_id", "seq", "page_url", "position", "href",
+        collapse_ws(F.col("text")).alias("text"),
         F.lower(attribute(inside, "rel")).alias("rel"),
         F.lower(attribute(inside, "aria-label")).alias("aria_label"),
         attribute(inside, "class").alias("class"),
-    ).where(F.length("href") > 0)
-    return parsed.withColumn(
-        "url", canonicalize_url(F.col("href"), F.col("page_url"), keep_query=True)
+        canonicalize_url(F.col("href"), F.col("page_url"), keep_query=True).alias("url"),
     )
+    return settle(found, F.length("href") > 0)
 
 
 def _without_query(url: Column) -> Column:
@@ -63,8 +67,11 @@ def extract_links(
     A job link's path matches ``detail_regex``; ``id_group`` names the group that holds the
     external id (0: none).
     """
-    url = _without_query(F.col("url"))
-    hits = links.withColumn("url", url).where(url_path(F.col("url")).rlike(detail_regex))
+    plain = _without_query(F.col("url"))
+    hits = settle(
+        links.select(*[plain.alias(c) if c == "url" else F.col(c) for c in links.columns]),
+        url_path(F.col("url")).rlike(detail_regex),
+    )
     marked = hits.withColumn("_ok", in_scope(F.col("url"), source_url, allowed_paths))
     external = (
         blank_to_null(F.regexp_extract(url_path(F.col("url")), detail_regex, id_group))
@@ -170,18 +177,19 @@ def discover_coordinates(captures: DataFrame) -> DataFrame:
         start_tag(F.col("body"), "iframe"),
         lambda t: t.rlike(r"""(?is)(?:^|\s)src\s*=\s*["']?[^"'\s]*hirebridge\.com"""),
     )
-    staged = captures.withColumns(
+    found = captures.withColumns(
         {
-            "_base": F.try_element_at(bases, F.lit(1)),
-            "_frame": F.try_element_at(frames, F.lit(1)),
-        }
-    ).withColumns(
-        {
-            "_api": unescape(attribute(F.col("_base"), "data-apibaseurl")),
-            "_site": F.trim(attribute(F.col("_base"), "data-sitenumber")),
-            "_src": unescape(attribute(F.col("_frame"), "src")),
+            "_base": F.get(bases, F.lit(0)),
+            "_frame": F.get(frames, F.lit(0)),
         }
     )
+    staged = with_unescaped(
+        found,
+        {
+            "_api": attribute(F.col("_base"), "data-apibaseurl"),
+            "_src": attribute(F.col("_frame"), "src"),
+        },
+    ).withColumn("_site", F.trim(attribute(F.col("_base"), "data-sitenumber")))
     api = F.regexp_replace(canonicalize_url(F.col("_api")), "/+$", "")
     embed = canonicalize_url(F.col("_src"), F.col("url"), keep_query=True)
     named = staged.withColumns({"_api": api, "_embed": embed})

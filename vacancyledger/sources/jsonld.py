@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from ..functions.dates import parse_iso_date
 from ..functions.locations import (
-    coerce_employment, coerce_identifier, description_html, render_ld_locations, variant_field,
-    variant_kind,
+    coerce_employment, coerce_identifier, render_ld_locations, variant_field, variant_kind,
+    with_description_html,
 )
-from ..functions.text import blank_to_null, slug, strip_ws
+from ..functions.text import blank_to_null, settle, slug, strip_ws
 from ..functions.urls import canonicalize_url, in_scope, template_url
 
 _LD_SCRIPT = (
@@ -79,10 +79,12 @@ def extract_jobposting(captures: DataFrame) -> DataFrame:
     )
     posting = F.when(F.col("_is"), F.col("_direct")).otherwise(F.try_parse_json("_walk.posting"))
     code = F.when(
-        posting.isNull(),
+        F.col("posting").isNull(),
         F.when(F.col("_walk.malformed") > 0, "malformed_jsonld").otherwise("missing_jsonld"),
     )
-    return rest.select(*captures.columns, posting.alias("posting"), code.alias("error_code"))
+    kept = [c for c in captures.columns if c != "body"]
+    named = rest.select(*kept, posting.alias("posting"), "_walk")
+    return settle(named.select(*kept, "posting", code.alias("error_code")))
 
 
 def posting_fields(extracted: DataFrame, platform: str) -> DataFrame:
@@ -95,7 +97,11 @@ def posting_fields(extracted: DataFrame, platform: str) -> DataFrame:
     identifier = coerce_identifier(variant_field(p, "identifier"))
     description = variant_field(p, "description")
     is_text = variant_kind(description) == "STRING"
-    return extracted.where(p.isNotNull()).select(
+    found = with_description_html(
+        extracted.where(p.isNotNull()), "description_html",
+        F.when(is_text, F.try_variant_get(p, "$.description", "string")),
+    )
+    return found.select(
         "source_id", "scan_run_id", "seq", F.col("url").alias("capture_url"),
         identifier.alias("external_id"),
         text("url").alias("url"),
@@ -103,9 +109,7 @@ def posting_fields(extracted: DataFrame, platform: str) -> DataFrame:
         render_ld_locations(variant_field(p, "jobLocation")).alias("locations"),
         coerce_employment(variant_field(p, "employmentType")).alias("employment_type"),
         parse_iso_date(text("datePosted")).alias("posted_date"),
-        description_html(F.when(is_text, F.try_variant_get(description, "$", "string"))).alias(
-            "description_html"
-        ),
+        "description_html",
         F.create_map(
             F.lit("source"), F.lit(platform), F.lit("identifier"), identifier,
             F.lit("date_modified"), text("dateModified"),
