@@ -154,10 +154,16 @@ def _resolve(ref: Column, base: Column) -> Column:
         .otherwise(F.concat(F.regexp_replace(base["path"], "[^/]*$", ""), ref["path"]))
     )
     # The base path of a bare origin is empty; a relative path below it starts at the root.
-    rooted = let(
-        joined,
-        lambda p: F.when(p.startswith("/") | (p == ""), p).otherwise(F.concat(F.lit("/"), p)),
-    )
+
+    def finish(p: Column) -> Column:
+        # A reference that ends in a dot segment names a directory.
+        folder = (ref["path"] != "") & (ref["path"].isin(".", "..") | p.endswith("/.") | p.endswith("/.."))
+        return F.concat(
+            F.when(p.startswith("/") | (p == ""), "").otherwise("/"), p,
+            F.when(folder, "/").otherwise(""),
+        )
+
+    rooted = let(joined, finish)
     inherits = (ref["path"] == "") & (ref["query"] == "")
     return F.struct(
         F.when(ref["scheme"] == "", base["scheme"]).otherwise(ref["scheme"]).alias("scheme"),

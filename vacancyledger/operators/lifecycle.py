@@ -52,8 +52,9 @@ def resolve_identity(observations: DataFrame, jobs: DataFrame) -> DataFrame:
         .otherwise("new")
     )
     fresh = new_job_id(F.col("source_id"), F.col("scan_run_id"), F.col("identity_key"))
+    kept = [c for c in observations.columns if c not in {"job_id", "match_kind"}]
     return second.select(
-        *observations.columns,
+        *kept,
         F.coalesce("identity_job", "url_job", fresh).alias("job_id"),
         kind.alias("match_kind"),
     )

@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import canonicalize_url, query_param
 from ..operators.normalize import merge_listing_detail, normalize, union_listings
+from ..operators.windows import latest_by
 from . import ats_json, html_fields, html_pages, jsonld
 
 RAW_COLUMNS = (
@@ -112,11 +114,34 @@ def ats_a(captures: DataFrame) -> DataFrame:
     return html_fields.with_listing(details, listing).select(*RAW_COLUMNS)
 
 
+def ats_h(captures: DataFrame) -> DataFrame:
+    """The board is embedded: ``source_url`` of its captures is the embed URL with the client."""
+    sites = captures.select("source_id", "source_url").distinct()
+    entries = html_fields.html_entries(_of_kind(captures, "listing"), html_fields.ATS_H_FIELDS)
+    placed = entries.withColumn(
+        "url", canonicalize_url(F.col("href"), F.col("page_url"), keep_query=True)
+    ).join(sites, "source_id")
+    client = query_param(F.col("source_url"), "cid")
+    jobs = html_pages.ats_h_listing(placed, client).where(F.col("kind") == "job")
+    known = placed.select("scan_run_id", "seq", "position", "location", "employment_type")
+    listed = jobs.join(known, ["scan_run_id", "seq", "position"])
+    # A job listed on several pages keeps its last entry.
+    listing = latest_by(
+        listed.select(
+            "scan_run_id", "url", "seq", "position", "external_id", "location", "employment_type"
+        ),
+        ["scan_run_id", "url"], ["seq", "position"],
+    )
+    details = html_fields.ats_h_detail(_of_kind(captures, "detail"))
+    return html_fields.with_listing(details, listing).select(*RAW_COLUMNS)
+
+
 EXTRACTORS: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {
     ("workday_cxs", "workday"): ats_w,
     ("icims_jibe_api", "icims_jibe"): ats_i,
     ("oracle_ce_rest", "oracle_ce"): ats_o,
     ("avature_html", "avature"): ats_a,
+    ("hirebridge_html", "hirebridge"): ats_h,
     **{
         ("paginated_html_jsonld", name): (lambda c, r=rules: html_jsonld(c, r))
         for name, rules in SITE_RULES.items()

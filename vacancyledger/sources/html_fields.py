@@ -146,6 +146,71 @@ class _Fields(HTMLParser):
                     element["text"].append(piece)
 
 
+CONTAINERS = ("article", "li", "tr", "div")
+
+
+class _Entries(_Fields):
+    """Links with the fields of the nearest list item, row, article or block around them."""
+
+    def __init__(self, source: str, fields: dict[str, tuple[Selector, ...]]) -> None:
+        self.containers: list[tuple[str, dict]] = []
+        self.links: list[tuple[dict, dict | None]] = []
+        super().__init__(source, {**fields, "link": (Selector("a", attr="href"),)})
+
+    def handle_starttag(self, tag, attrs):
+        counts = {name: len(hits) for name, hits in self.found.items()}
+        super().handle_starttag(tag, attrs)
+        for name, hits in self.found.items():
+            if len(hits) == counts[name]:
+                continue
+            if name == "link":
+                self.links.append((hits[-1], self.containers[-1][1] if self.containers else None))
+            for _, held in self.containers:
+                held.setdefault(name, hits[-1])
+        if tag in CONTAINERS:
+            self.containers.append((tag, {}))
+
+    def _pop(self, end: int) -> str:
+        tag = super()._pop(end)
+        if tag in CONTAINERS and self.containers:
+            self.containers.pop()
+        return tag
+
+
+_ENTRY_SCHEMA = """source_id string, scan_run_id string, seq bigint, page_url string,
+    position int, href string, text string, rel string, aria_label string, location string,
+    employment_type string"""
+
+
+def html_entries(captures: DataFrame, fields: dict[str, tuple[Selector, ...]]) -> DataFrame:
+    """Links of listing pages with location and type from the block around each link."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in _ENTRY_SCHEMA.split(",")]
+
+        def text(element: dict | None) -> str | None:
+            return " ".join(element["text"]) if element else None
+
+        for batch in batches:
+            rows = []
+            for page in batch.itertuples(index=False):
+                parsed = _Entries(page.body or "", fields)
+                for position, (link, block) in enumerate(parsed.links):
+                    attrs, around = link["attrs"], block or {}
+                    rows.append(
+                        (
+                            page.source_id, page.scan_run_id, page.seq, page.url, position,
+                            attrs["href"], text(link) or None, attrs.get("rel", "").lower() or None,
+                            attrs.get("aria-label", "").lower() or None,
+                            text(around.get("location")), text(around.get("employment_type")),
+                        )
+                    )
+            yield pd.DataFrame(rows, columns=columns)
+
+    wanted = captures.select("source_id", "scan_run_id", "seq", "url", "body")
+    return wanted.mapInPandas(read, _ENTRY_SCHEMA)
+
+
 _SCHEMA = """source_id string, scan_run_id string, seq bigint, url string, title string,
     description string, locations array<string>, employment_type string, posted string"""
 

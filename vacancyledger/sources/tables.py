@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _POSTING = """
     external_id string, canonical_url string, title string, locations array<string>,
@@ -73,9 +74,7 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 def read_capture_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Landed response bodies kept one per file below ``source_id=…/scan_run_id=…`` folders; the
     file name takes the place of the URL."""
-    from pyspark.sql import functions as F
-
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         F.col("source_id").cast("string").alias("source_id"),
         F.col("scan_run_id").cast("string").alias("scan_run_id"),
