@@ -92,10 +92,18 @@ def reconcile(
     """Apply at most one scan per source to the job snapshot; returns (jobs, metrics).
 
     ``scans``: source_id, scan_run_id, complete, observed_at, prior_success. ``zero_guard``
-    (optional): scan_run_id of complete scans whose absences must not be applied.
+    (optional): scan_run_id of complete scans whose absences must not be applied. An
+    observation's ``seq`` is its unique place in its scan: copies are removed and jobs found on
+    keys alone, so the texts are shuffled only to meet their result and then their job.
     """
-    unique = dedupe_scan(observations.join(scans.select("scan_run_id"), "scan_run_id", "left_semi"))
-    resolved = resolve_identity(unique, jobs)
+    place = ["source_id", "scan_run_id", "seq"]
+    in_scope = observations.join(scans.select("scan_run_id"), "scan_run_id", "left_semi")
+    claims = resolve_identity(
+        dedupe_scan(in_scope.select(*place, "identity_key", "canonical_url")), jobs
+    )
+    resolved = in_scope.select(*place, "identity_key", *POSTING_FIELDS).join(
+        claims.select(*place, "job_id", "match_kind"), place
+    )
     scan_cols = scans.select(
         "source_id", F.col("scan_run_id").alias("_scan"), F.col("complete").alias("_complete"),
         F.col("observed_at").alias("_at"), F.col("prior_success").alias("_prior"),
@@ -166,7 +174,7 @@ def reconcile(
         .alias("jobs_reopened"),
         tally(F.col("_missing")).alias("jobs_missing"),
     )
-    found = resolved.groupBy("scan_run_id").agg(
+    found = claims.groupBy("scan_run_id").agg(
         F.sum("found").alias("jobs_found"),
         F.sum(F.col("url_copies") - 1).alias("duplicate_urls"),
     )

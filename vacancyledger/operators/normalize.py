@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.locations import identity_key
 from ..functions.text import collapse_ws, strip_markup, with_unescaped
 from ..functions.urls import canonicalize_url, in_scope, url_host
-from .windows import dedupe_last
+from .windows import latest_by
 
 # Metadata that survives normalisation.
 METADATA_KEYS = ("source", "identifier", "department", "workplace_type", "date_modified")
@@ -82,12 +82,13 @@ def normalize(raw: DataFrame) -> DataFrame:
     )
 
 
-def union_listings(anchors: DataFrame, embedded: DataFrame) -> DataFrame:
-    """Anchor links and embedded entries of a page; per URL the later entry wins and embedded
-    entries come after anchors."""
-    both = anchors.withColumn("part", F.lit(0)).unionByName(embedded.withColumn("part", F.lit(1)))
-    picked = dedupe_last(both, ["scan_run_id", "url"], ["part", "seq", "position"], "part")
-    return picked.drop("part", "first_position", "copies")
+def union_listings(anchors: DataFrame, embedded: DataFrame | None = None) -> DataFrame:
+    """Anchor links and embedded entries of the pages of a scan. Per URL the later page wins, on
+    a page the later entry, and embedded entries come after anchors."""
+    both = anchors.withColumn("part", F.lit(0))
+    if embedded is not None:
+        both = both.unionByName(embedded.withColumn("part", F.lit(1)))
+    return latest_by(both, ["scan_run_id", "url"], ["seq", "part", "position"]).drop("part")
 
 
 def merge_listing_detail(

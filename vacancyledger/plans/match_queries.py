@@ -365,9 +365,10 @@ def sources_with_contacts(spark, sf_dir):
         F.col("c_name").alias("name"),
         F.concat(F.lit("https://people.example/"), derived.text_id("c_custkey")).alias("contact_url"),
     )
-    return feed.sources_with_contacts(srcs, contacts).join(
-        feed.contact_counts(contacts), "source_id", "left"
-    ).select("source_id", "company", "contact_id", "name", "contact_url", "contacts")
+    counted = srcs.join(feed.contact_counts(contacts), "source_id", "left")
+    return feed.sources_with_contacts(counted, contacts).select(
+        "source_id", "company", "contact_id", "name", "contact_url", "contacts"
+    )
 
 
 CONTACTS_SQL = """WITH c AS (SELECT * FROM customer WHERE c_nationkey <> 7)

@@ -62,19 +62,18 @@ def html_jsonld(captures: DataFrame, rules: SiteRules) -> DataFrame:
     """``captures`` carry ``source_url``; kinds are listing and detail."""
     pages = _of_kind(captures, "listing")
     prefixes = F.array(*[F.lit(p) for p in rules.allowed_paths])
-    sites = captures.select("source_id", "source_url").distinct()
-    links = html_pages.anchors(pages).join(sites, "source_id")
-    listing, _ = html_pages.extract_links(
-        links, rules.detail_regex, F.col("source_url"), prefixes, rules.id_group
+    site = ("source_url",)
+    links, _ = html_pages.extract_links(
+        html_pages.anchors(pages, site), rules.detail_regex, F.col("source_url"), prefixes,
+        rules.id_group, site,
     )
+    embedded = None
     if rules.embedded_marker:
         embedded = jsonld.extract_embedded_jobs(
             pages, rules.embedded_marker, list(rules.embedded_path), rules.detail_template,
-            F.col("url"), prefixes,
+            F.col("source_url"), prefixes, keep=site,
         )
-    else:
-        embedded = listing.limit(0)
-    entries = union_listings(listing, embedded).join(sites, "source_id")
+    entries = union_listings(links, embedded)
     details = jsonld.posting_fields(
         jsonld.extract_jobposting(_of_kind(captures, "detail")), rules.platform
     )
@@ -101,8 +100,7 @@ def ats_o(captures: DataFrame) -> DataFrame:
 
 
 def ats_a(captures: DataFrame) -> DataFrame:
-    sites = captures.select("source_id", "source_url").distinct()
-    links = html_pages.anchors(_of_kind(captures, "listing")).join(sites, "source_id")
+    links = html_pages.anchors(_of_kind(captures, "listing"), ("source_url",))
     listing = (
         html_pages.ats_a_listing(links, F.col("source_url"))
         .where(F.col("kind") == "job")
@@ -116,11 +114,10 @@ def ats_a(captures: DataFrame) -> DataFrame:
 
 def ats_h(captures: DataFrame) -> DataFrame:
     """The board is embedded: ``source_url`` of its captures is the embed URL with the client."""
-    sites = captures.select("source_id", "source_url").distinct()
     entries = html_fields.html_entries(_of_kind(captures, "listing"), html_fields.ATS_H_FIELDS)
     placed = entries.withColumn(
         "url", canonicalize_url(F.col("href"), F.col("page_url"), keep_query=True)
-    ).join(sites, "source_id")
+    )
     client = query_param(F.col("source_url"), "cid")
     jobs = html_pages.ats_h_listing(placed, client).where(F.col("kind") == "job")
     known = placed.select("scan_run_id", "seq", "position", "location", "employment_type")

@@ -178,7 +178,7 @@ class _Entries(_Fields):
 
 
 _ENTRY_SCHEMA = """source_id string, scan_run_id string, seq bigint, page_url string,
-    position int, href string, text string, rel string, aria_label string, location string,
+    source_url string, position int, href string, text string, rel string, aria_label string, location string,
     employment_type string"""
 
 
@@ -199,7 +199,8 @@ def html_entries(captures: DataFrame, fields: dict[str, tuple[Selector, ...]]) -
                     attrs, around = link["attrs"], block or {}
                     rows.append(
                         (
-                            page.source_id, page.scan_run_id, page.seq, page.url, position,
+                            page.source_id, page.scan_run_id, page.seq, page.url, page.source_url,
+                            position,
                             attrs["href"], text(link) or None, attrs.get("rel", "").lower() or None,
                             attrs.get("aria-label", "").lower() or None,
                             text(around.get("location")), text(around.get("employment_type")),
@@ -207,7 +208,7 @@ def html_entries(captures: DataFrame, fields: dict[str, tuple[Selector, ...]]) -
                     )
             yield pd.DataFrame(rows, columns=columns)
 
-    wanted = captures.select("source_id", "scan_run_id", "seq", "url", "body")
+    wanted = captures.select("source_id", "scan_run_id", "seq", "url", "source_url", "body")
     return wanted.mapInPandas(read, _ENTRY_SCHEMA)
 
 

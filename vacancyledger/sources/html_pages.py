@@ -28,11 +28,12 @@ def start_tag(html: Column, tag: str) -> Column:
     return F.regexp_extract_all(visible, F.lit(rf"(?is)<{tag}\s([^>]*)>"), 1)
 
 
-def anchors(captures: DataFrame) -> DataFrame:
-    """Every link of a page: resolved URL (query kept), text, rel, aria-label, class, position."""
+def anchors(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every link of a page: resolved URL (query kept), text, rel, aria-label, class, position.
+    Columns named in ``keep`` go along."""
     visible = F.regexp_replace("body", _HIDDEN, " ")
     listed = captures.select(
-        "source_id", "scan_run_id", "seq", F.col("url").alias("page_url"),
+        "source_id", "scan_run_id", "seq", *keep, F.col("url").alias("page_url"),
         F.posexplode(F.regexp_extract_all(visible, F.lit(_ANCHOR), 0)).alias("position", "_a"),
     )
     parsed = with_unescaped(
@@ -45,7 +46,7 @@ def anchors(captures: DataFrame) -> DataFrame:
     )
     inside = F.col("_in")
     found = parsed.select(
-        "source_id", "scan_run_id", "seq", "page_url", "position", "href",
+        "source_id", "scan_run_id", "seq", *keep, "page_url", "position", "href",
         collapse_ws(F.col("text")).alias("text"),
         F.lower(attribute(inside, "rel")).alias("rel"),
         F.lower(attribute(inside, "aria-label")).alias("aria_label"),
@@ -60,7 +61,12 @@ def _without_query(url: Column) -> Column:
 
 
 def extract_links(
-    links: DataFrame, detail_regex: str, source_url: Column, allowed_paths: Column, id_group: int = 0
+    links: DataFrame,
+    detail_regex: str,
+    source_url: Column,
+    allowed_paths: Column,
+    id_group: int = 0,
+    keep: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Job links among a page's anchors, and off-host counts per page.
 
@@ -79,7 +85,7 @@ def extract_links(
         else F.lit(None).cast("string")
     )
     jobs = marked.where("_ok").select(
-        "source_id", "scan_run_id", "seq", "position", external.alias("external_id"), "url",
+        "source_id", "scan_run_id", "seq", *keep, "position", external.alias("external_id"), "url",
         F.col("text").alias("title"),
     )
     rejected = (

@@ -151,10 +151,11 @@ def extract_embedded_jobs(
     route_field: str = "jobSeqNo",
     id_field: str = "reqId",
     title_field: str = "title",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Listing entries held by an object in the page script, in listed order."""
     listed = captures.select(
-        "source_id", "scan_run_id", "seq", F.col("url").alias("page_url"),
+        "source_id", "scan_run_id", "seq", *keep, F.col("url").alias("page_url"),
         F.posexplode(
             F.try_variant_get(
                 nested(embedded_object(F.col("body"), marker), jobs_path), "$", "array<variant>"
@@ -166,12 +167,12 @@ def extract_embedded_jobs(
         return blank_to_null(F.try_variant_get("_job", f"$.{name}", "string"))
 
     entries = listed.select(
-        "source_id", "scan_run_id", "seq", "page_url", "position",
+        "source_id", "scan_run_id", "seq", *keep, "page_url", "position",
         text(route_field).alias("_route"), text(id_field).alias("external_id"),
         text(title_field).alias("title"),
     ).where(F.col("_route").isNotNull() & F.col("title").isNotNull())
     path = template_url(F.lit(detail_template), F.col("_route"), slug(F.col("title")))
     placed = entries.withColumn("url", canonicalize_url(path, F.col("page_url")))
     return placed.where(in_scope(F.col("url"), source_url, allowed_paths)).select(
-        "source_id", "scan_run_id", "seq", "position", "external_id", "url", "title"
+        "source_id", "scan_run_id", "seq", *keep, "position", "external_id", "url", "title"
     )
