@@ -22,11 +22,10 @@ def page_signatures(items: DataFrame) -> DataFrame:
     )
 
 
-def page_loops(items: DataFrame) -> DataFrame:
-    """Pages that repeat an earlier page of their scan item by item."""
-    signed = page_signatures(items)
-    shape = ["scan_run_id", "items", "sig_a", "sig_b"]
-    firsts = signed.groupBy(*shape).agg(
+def repeated_pages(signed: DataFrame, signature: list[str]) -> DataFrame:
+    """Non-empty pages whose signature an earlier page of the scan already had."""
+    shape = ["scan_run_id", "items", *signature]
+    firsts = signed.where(F.col("items") > 0).groupBy(*shape).agg(
         F.min("page").alias("first_page"), F.count(F.lit(1)).alias("times")
     )
     repeated = firsts.where(F.col("times") > 1)
@@ -37,6 +36,11 @@ def page_loops(items: DataFrame) -> DataFrame:
     )
 
 
+def page_loops(items: DataFrame) -> DataFrame:
+    """Pages that repeat an earlier page of their scan item by item."""
+    return repeated_pages(page_signatures(items), ["sig_a", "sig_b"])
+
+
 def listing_signature(ids: Column) -> Column:
     """Signature of one captured page whose item ids are already in the row."""
     return F.sha2(F.array_join(F.transform(ids, lambda i: F.coalesce(i, F.lit("\x1e"))), "\x1f"), 256)

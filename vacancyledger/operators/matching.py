@@ -8,6 +8,8 @@ computed once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -472,3 +474,24 @@ def merge_evaluations(local: DataFrame, responses: DataFrame) -> DataFrame:
         F.when(use, "success").otherwise(F.col("provider_status")).alias("provider_status"),
         F.when(use, F.lit(None)).otherwise(error).alias("error"),
     )
+
+
+Evaluator = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def run_matching(
+    jobs: DataFrame,
+    profiles: DataFrame,
+    stored: DataFrame,
+    observed: DataFrame | None = None,
+    evaluator: Evaluator = local_scores,
+    responses: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """One matching run: active (and, if given, observed) jobs without a stored result are
+    scored, external answers are taken in. Returns the new results and the run's counts."""
+    candidates = matchable_jobs(jobs, observed)
+    results = evaluator(match_cache_misses(candidates, profiles, stored), profiles)
+    if responses is not None:
+        results = merge_evaluations(results, responses)
+    ready = attach_profile(candidates.select("job_id"), profiles).select("job_id")
+    return results, match_summary(ready, results)

@@ -211,13 +211,11 @@ MERGE_SQL = sql(
 
 def match_summary(spark, sf_dir):
     """Counts of a run that scores what is not stored yet, with external answers."""
-    candidates = active_jobs(spark, sf_dir)
-    prof = derived.profiles(spark, sf_dir)
-    misses = matching.match_cache_misses(candidates, prof, derived.matches(spark, sf_dir))
-    results = matching.merge_evaluations(
-        matching.local_scores(misses, prof), responses(spark, sf_dir)
+    _, summary = matching.run_matching(
+        derived.jobs(spark, sf_dir), derived.profiles(spark, sf_dir),
+        derived.matches(spark, sf_dir), responses=responses(spark, sf_dir),
     )
-    return matching.match_summary(candidates.select("job_id"), results)
+    return summary
 
 
 SUMMARY_SQL = sql(

@@ -178,6 +178,41 @@ STATUS_SQL = sql(
 )
 
 
+def missing_jobs(spark, sf_dir):
+    """Open jobs after day 20 that a complete scan of day 21 did not list."""
+    listing = derived.scan_listing(spark, sf_dir)
+    scans = derived.scan_history(spark, sf_dir)
+    jobs = lifecycle.lifecycle_history(listing, scans, as_of=20).withColumn(
+        "job_id", F.col("identity_key")
+    )
+    today = F.col("scan_seq") == 21
+    seen = listing.where(today).withColumn("job_id", F.col("identity_key"))
+    out = lifecycle.missing_jobs(jobs, seen, scans.where(today))
+    return out.select("source_id", "job_id", "absences")
+
+
+MISSING_SQL = sql(
+    """, j AS (SELECT source_id, identity_key, max(scan_seq) AS last_seq FROM obs WHERE scan_seq <= 20 GROUP BY ALL),
+    a AS (SELECT j.*, (SELECT count(*) FROM scans s WHERE s.source_id = j.source_id AND s.complete AND s.scan_seq > j.last_seq AND s.scan_seq <= 20) AS n FROM j)
+    SELECT a.source_id, a.identity_key AS job_id, CAST(n AS INTEGER) AS absences FROM a JOIN scans s ON s.source_id = a.source_id AND s.scan_seq = 21 AND s.complete
+    WHERE n < 2 AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.source_id = a.source_id AND o.scan_seq = 21 AND o.identity_key = a.identity_key)""",
+    "obs", "scans",
+)
+
+
+def observed_span(spark, sf_dir):
+    return lifecycle.observed_span(
+        derived.scan_listing(spark, sf_dir), ("source_id", "identity_key")
+    )
+
+
+SPAN_SQL = sql(
+    """SELECT source_id, identity_key, min(observed_at) AS first_discovered_at, max(observed_at) AS last_observed_at
+    FROM listing GROUP BY ALL""",
+    "listing",
+)
+
+
 # --- identity and reconcile -------------------------------------------------------------
 
 
@@ -437,6 +472,8 @@ QUERIES = {
     "initial_import": (initial_import, INITIAL_SQL),
     "scan_metrics": (scan_metrics, METRICS_SQL),
     "scan_status": (scan_status, STATUS_SQL),
+    "missing_jobs": (missing_jobs, MISSING_SQL),
+    "observed_span": (observed_span, SPAN_SQL),
     "identity_resolution": (identity_resolution, IDENTITY_SQL),
     "reconcile": (reconcile, RECONCILE_SQL),
     "reconcile_metrics": (reconcile_metrics, RECONCILE_METRICS_SQL),

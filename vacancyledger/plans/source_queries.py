@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.locations import escape_html
 from ..functions.text import slug
-from ..operators import access, coverage, matching, profiles, quality
-from ..sources import extractors, html_fields, html_pages, jsonld
+from ..operators import access, coverage, matching, normalize, profiles, quality
+from ..sources import ats_json, extractors, html_fields, html_pages, jsonld
 from . import derived
 from .derived import sql, table
 
@@ -290,6 +290,89 @@ ATS_HTML_SQL = _result_sql(
 )
 
 
+def ats_a_roundtrip(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    home = F.lit("https://acme.avature.net/careers/SearchJobs")
+    path = F.concat(F.lit("/careers/JobDetail/"), "lang", F.lit("-x/"), doc_id())
+    listing_body = F.concat(
+        F.lit("<article><a href='"), path, F.lit("?utm_source=x'>E</a></article><a rel=next href='/careers/SearchJobs?page=2'>n</a>")
+    )
+    detail_body = F.concat(
+        F.lit("<main><div class=job-title>"), "title", F.lit("</div><p>intro</p><span class='a my-location'>"), "source",
+        F.lit("</span><div data-field='location'>"), "lang", F.lit("</div><time datetime='"),
+        F.date_format("day", "yyyy-MM-dd"), F.lit("'></time><div data-field='description'>"), escape_html(F.col("text")), F.lit("</div></main>"),
+    )
+    url = F.concat(F.lit("https://acme.avature.net"), path)
+    listing = _captures(d, "listing", home, listing_body, home)
+    return _result(extractors.ats_a(listing.unionByName(_captures(d, "detail", url, detail_body, home))))
+
+
+ATS_A_SQL = _result_sql(
+    "'https://acme.avature.net/careers/JobDetail/' || lang || '-x/' || doc_id", "source || '|' || lang",
+    "CAST(NULL AS VARCHAR)", "'<div data-field=''description''>' || " + _escape_sql("text") + " || '</div>'",
+)
+
+
+def repeated_listing_pages(spark, sf_dir):
+    """Listing captures, one per document, whose entries repeat those of an earlier page."""
+    d = _documents(spark, sf_dir)
+    entry = F.struct(F.concat(F.lit("/job/"), "lang", (F.col("doc_id") % 9).cast("string")).alias("externalPath"))
+    body = F.when(
+        F.col("doc_id") % 6 == 0, F.lit('{"jobPostings":[],"total":3}')
+    ).otherwise(F.to_json(F.struct(F.array(entry, entry).alias("jobPostings"))))
+    pages = ats_json.w_pages(_captures(d, "listing", F.lit("https://x"), body))
+    return coverage.repeated_pages(pages.withColumn("page", F.col("seq")), ["signature"])
+
+
+REPEATED_SQL = """WITH p AS (SELECT 'scan-' || source AS scan_run_id, doc_id AS page, lang || (doc_id % 9) AS sig FROM documents WHERE doc_id % 6 <> 0),
+    f AS (SELECT *, min(page) OVER (PARTITION BY scan_run_id, sig) AS first_page FROM p)
+    SELECT scan_run_id, page, first_page, 2 AS items FROM f WHERE page > first_page"""
+
+
+def generated_next_pages(spark, sf_dir):
+    """Next pages by arithmetic: pages that state their total, and pages that are full."""
+    p = table(spark, sf_dir, "pages")
+    root = F.concat(F.lit("https://h.example/us/en?s=0&x=%20&utm_term=a"))
+    offset = F.col("page_id") % 40 * 10
+    counted = p.select(
+        F.lit("s").alias("source_id"), F.col("page_id").cast("string").alias("scan_run_id"),
+        F.when(F.col("page_id") % 40 == 0, root).otherwise(F.concat(root, F.lit("&from="), offset.cast("string"))).alias("page_url"),
+        F.lit(10).alias("page_size"), F.lit(300).alias("total"),
+    )
+    full = p.select(
+        F.lit("s").alias("source_id"), F.col("page_id").cast("string").alias("scan_run_id"),
+        F.concat(F.lit("https://e.example/careers?start="), F.when(F.col("page_id") % 9 == 4, "x").otherwise(offset.cast("string"))).alias("page_url"),
+        (F.col("page_id") % 11).alias("items"),
+    )
+    nexts = html_pages.counted_next_pages(counted, "from", {"s": "1"}).unionByName(
+        html_pages.full_next_pages(full, 10)
+    )
+    return nexts.select("scan_run_id", "next_url")
+
+
+NEXT_SQL = """SELECT CAST(page_id AS VARCHAR) AS scan_run_id, 'https://h.example/us/en?from=' || (page_id % 40 * 10 + 10) || '&s=1&x=+' AS next_url
+    FROM pages WHERE page_id % 40 * 10 + 10 < 300
+    UNION ALL SELECT CAST(page_id AS VARCHAR), 'https://e.example/careers?start=' || (page_id % 40 * 10 + 10) FROM pages WHERE page_id % 11 = 10 AND page_id % 9 <> 4"""
+
+
+def valid_items(spark, sf_dir):
+    """Listing entries without an id or title or off the host, counted per source."""
+    d = _documents(spark, sf_dir)
+    items = d.select(
+        "source_id", F.when(F.col("doc_id") % 5 != 0, doc_id()).alias("external_id"),
+        F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("title")).alias("title"),
+        F.when(F.col("doc_id") % 3 == 0, "https://evil.example/1").otherwise("https://JOBS.example/1").alias("url"),
+        F.lit("https://jobs.example/").alias("source_url"),
+    )
+    good, rejects = normalize.valid_items(items, ["source_id"])
+    kept = good.groupBy("source_id").agg(F.count(F.lit(1)).alias("items")).withColumn("reason", F.lit("kept"))
+    return rejects.unionByName(kept)
+
+
+VALID_SQL = """SELECT source AS source_id, CASE WHEN doc_id % 5 = 0 THEN 'missing_id' WHEN doc_id % 7 = 0 THEN 'missing_title'
+    WHEN doc_id % 3 = 0 THEN 'off_host' ELSE 'kept' END AS reason, count(*) AS items FROM documents GROUP BY ALL"""
+
+
 # --- access -----------------------------------------------------------------------------
 
 
@@ -613,6 +696,10 @@ QUERIES = {
     "ats_i_roundtrip": (ats_i_roundtrip, ATS_I_SQL),
     "ats_o_roundtrip": (ats_o_roundtrip, ATS_O_SQL),
     "ats_html_roundtrip": (ats_html_roundtrip, ATS_HTML_SQL),
+    "ats_a_roundtrip": (ats_a_roundtrip, ATS_A_SQL),
+    "repeated_listing_pages": (repeated_listing_pages, REPEATED_SQL),
+    "generated_next_pages": (generated_next_pages, NEXT_SQL),
+    "valid_items": (valid_items, VALID_SQL),
     "response_outcome": (response_outcome, OUTCOME_SQL),
     "robots_eligibility": (robots_eligibility, ROBOTS_SQL),
     "detect_platform": (detect_platform, PLATFORM_SQL),

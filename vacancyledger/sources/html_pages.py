@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, collapse_ws, settle, strip_markup, with_unescaped
-from ..functions.urls import canonicalize_url, in_scope, query_param, url_path, url_query
+from ..functions.urls import (
+    canonicalize_url, in_scope, query_param, replace_query, url_path, url_query,
+)
 from ..operators.access import client_link_allowed, same_https_host, safe_api, safe_embed
 
 _HIDDEN = r"(?s)<!--.*?-->|(?i)<(script|style|template)\b[^>]*>.*?</\1\s*>"
@@ -123,6 +125,41 @@ def extract_next_links(
     return allowed, rejected
 
 
+def _page_number(url: Column, parameter: str) -> Column:
+    """Offset a page URL stands for; null when the parameter is not a number."""
+    return F.coalesce(query_param(url, parameter), F.lit("0")).try_cast("int")
+
+
+def _next_page(pages: DataFrame, offset: Column, due: Column, parameter: str, fixed: dict[str, str]) -> DataFrame:
+    values = F.create_map(
+        F.lit(parameter), F.col("_next").cast("string"),
+        *[F.lit(x) for pair in fixed.items() for x in pair],
+    )
+    found = pages.withColumn("_next", offset).where(due)
+    return found.select(
+        "source_id", "scan_run_id", "page_url",
+        canonicalize_url(replace_query(F.col("page_url"), values), keep_query=True).alias("next_url"),
+        F.lit(None).cast("int").alias("position"),
+    )
+
+
+def counted_next_pages(
+    pages: DataFrame, parameter: str = "from", fixed: dict[str, str] | None = None
+) -> DataFrame:
+    """Next page of listings that state their total and page size (``total``, ``page_size``)."""
+    offset = _page_number(F.col("page_url"), parameter) + F.col("page_size")
+    due = (F.col("page_size") > 0) & (F.col("_next") < F.col("total"))
+    return _next_page(pages, offset, due, parameter, fixed or {})
+
+
+def full_next_pages(pages: DataFrame, page_size: int, parameter: str = "start") -> DataFrame:
+    """Next page of listings without a total: there is one as long as a page is full
+    (``items``)."""
+    offset = _page_number(F.col("page_url"), parameter) + page_size
+    due = (F.col("items") >= page_size) & F.col("_next").isNotNull()
+    return _next_page(pages, offset, due, parameter, {})
+
+
 def union_next_pages(linked: DataFrame, generated: DataFrame) -> DataFrame:
     """Next pages found as links and by arithmetic, each once; a link's place wins."""
     both = linked.unionByName(generated)
