@@ -96,6 +96,16 @@ def test_scan_stream_equals_loop(spark, tmp_path):
     assert sorted(map(str, sinks.read_snapshot(spark, root).collect())) == before
 
 
+def test_scans_of_a_failed_batch_are_applied_again(spark, tmp_path):
+    root = str(tmp_path / "out")
+    record = {"source_id": "s", "scan_run_id": "s1", "scan_seq": 1, "complete": True, "status": "success", "finished_at": T0}
+    scans = spark.createDataFrame([record], tables.SCHEMAS["scans"])
+    # The log of batch 0 was written, then the batch died before the jobs were.
+    sinks.write_snapshot(scans, root, 0, "applied_scans")
+    snapshots.apply_scans(root, lambda s: observations(s, [posting(1, 0, "1", "a")]))(scans, 0)
+    assert sinks.read_snapshot(spark, root).count() == 1
+
+
 def test_user_state_stream(spark, tmp_path):
     rng = random.Random(3)
     rows = [

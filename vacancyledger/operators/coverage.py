@@ -88,7 +88,8 @@ def crawl_coverage(
     the shared folder.
     """
     ensure_checkpoint_dir(starts.sparkSession)
-    edges = links.select("source_id", "url", F.col("next_url")).distinct()
+    # Every level reads the links again, so they are computed once.
+    edges = links.select("source_id", "url", "next_url").distinct().checkpoint()
     frontier = starts.select("source_id", "url", F.lit(0).alias("depth")).checkpoint()
     visited = frontier
     for depth in range(1, max_pages + 1):

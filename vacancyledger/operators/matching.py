@@ -28,6 +28,7 @@ JOB_TEXT_CHARS = 16_000
 LISTED_TERMS = 5
 LISTED_RESPONSES = 8
 ON_SITE_WORDS = ("on-site", "onsite", "on site")
+LOCAL_PROVIDER, EXTERNAL_PROVIDER = "local", "anthropic"
 MEMO_KEY = (
     "job_id", "profile_id", "profile_version", "content_fingerprint", "matcher_version",
 )
@@ -281,7 +282,7 @@ def local_scores(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
         "hard_constraint_pass", "hard_constraint_reasons",
         evidence_messages(F.col("role_score"), F.col("_found")).alias("evidence"),
         gap_messages(F.col("role_score"), F.col("_missing")).alias("gaps"),
-        F.lit("local").alias("provider"),
+        F.lit(LOCAL_PROVIDER).alias("provider"),
         F.when(passed, "fallback").otherwise("hard_constraint").alias("provider_status"),
         F.lit(None).cast("string").alias("error"),
     )
@@ -303,26 +304,20 @@ def match_summary(
 ) -> DataFrame:
     """Counts of one matching run. ``candidates`` are all jobs considered, ``results`` the rows
     that the run produced, ``failed`` the jobs it could not score."""
-    total = candidates.agg(F.count(F.lit(1)).alias("candidates"))
+    def tally(flag: Column) -> Column:
+        return F.coalesce(F.sum(flag.cast("long")), F.lit(0))
+
+    def counted(df: DataFrame | None) -> Column:
+        return F.lit(0).cast("long") if df is None else df.agg(F.count(F.lit(1))).scalar()
+
     done = results.agg(
         F.count(F.lit(1)).alias("evaluated"),
-        F.coalesce(F.sum((F.col("provider") == "anthropic").cast("long")), F.lit(0)).alias(
-            "ai_succeeded"
-        ),
-        F.coalesce(F.sum((F.col("provider") == "local").cast("long")), F.lit(0)).alias(
-            "local_fallbacks"
-        ),
-    )
-    bad = F.lit(0).cast("long") if failed is None else failed.agg(F.count(F.lit(1))).scalar()
-    one = total.select(
-        "candidates",
-        *[done.select(c).scalar().alias(c) for c in ("evaluated", "ai_succeeded", "local_fallbacks")],
-        bad.alias("failed"),
-    )
-    return one.select(
-        "evaluated",
-        (F.col("candidates") - F.col("evaluated") - F.col("failed")).alias("cached"),
-        "ai_succeeded", "local_fallbacks", "failed",
+        tally(F.col("provider") == EXTERNAL_PROVIDER).alias("ai_succeeded"),
+        tally(F.col("provider") == LOCAL_PROVIDER).alias("local_fallbacks"),
+    ).withColumns({"candidates": counted(candidates), "failed": counted(failed)})
+    cached = F.col("candidates") - F.col("evaluated") - F.col("failed")
+    return done.select(
+        "evaluated", cached.alias("cached"), "ai_succeeded", "local_fallbacks", "failed"
     )
 
 
@@ -470,7 +465,7 @@ def merge_evaluations(local: DataFrame, responses: DataFrame) -> DataFrame:
         ),
         pick("score"), pick("role_score"), pick("resume_score"), "preference_score",
         "hard_constraint_pass", "hard_constraint_reasons", pick("evidence"), pick("gaps"),
-        F.when(use, "anthropic").otherwise(F.col("provider")).alias("provider"),
+        F.when(use, EXTERNAL_PROVIDER).otherwise(F.col("provider")).alias("provider"),
         F.when(use, "success").otherwise(F.col("provider_status")).alias("provider_status"),
         F.when(use, F.lit(None)).otherwise(error).alias("error"),
     )

@@ -27,9 +27,10 @@ def _already_written(spark: SparkSession, root: str, name: str, batch_id: int) -
     return version is not None and version >= batch_id
 
 
-def _previous(spark: SparkSession, root: str, name: str, empty: DataFrame) -> DataFrame:
-    stored = sinks.read_snapshot(spark, root, name)
-    return empty if stored is None else stored
+def _previous(
+    spark: SparkSession, root: str, name: str, empty: DataFrame, version: int | None
+) -> DataFrame:
+    return empty if version is None else sinks.read_snapshot(spark, root, name, version)
 
 
 def apply_scans(root: str, observations: Callable[[SparkSession], DataFrame]) -> Handler:
@@ -45,8 +46,11 @@ def apply_scans(root: str, observations: Callable[[SparkSession], DataFrame]) ->
         if _already_written(spark, root, "jobs", batch_id):
             return
         ensure_checkpoint_dir(spark)
+        # The log that belongs to the job version in force; a log written by a batch that then
+        # failed is not looked at.
+        version = sinks.snapshot_version(spark, root, "jobs")
         columns = tables.empty(spark, "scans").columns
-        applied = _previous(spark, root, "applied_scans", tables.empty(spark, "scans"))
+        applied = _previous(spark, root, "applied_scans", tables.empty(spark, "scans"), version)
         usable = batch.select(*columns).where(
             F.col("status").isin("success", "success_with_warnings", "partial")
         )
@@ -64,7 +68,7 @@ def apply_scans(root: str, observations: Callable[[SparkSession], DataFrame]) ->
             (~F.col("initial_import")).alias("prior_success"),
             F.row_number().over(order).alias("_round"),
         ).checkpoint()
-        jobs = _previous(spark, root, "jobs", tables.empty(spark, "jobs"))
+        jobs = _previous(spark, root, "jobs", tables.empty(spark, "jobs"), version)
         last = rounds.agg(F.max("_round")).first()[0] or 0
         for number in range(1, last + 1):
             step = rounds.where(F.col("_round") == number)
@@ -100,7 +104,8 @@ def fold_user_states(root: str) -> Handler:
         spark = batch.sparkSession
         if _already_written(spark, root, "user_states", batch_id):
             return
-        old = _previous(spark, root, "user_states", spark.createDataFrame([], _STATE))
+        version = sinks.snapshot_version(spark, root, "user_states")
+        old = _previous(spark, root, "user_states", spark.createDataFrame([], _STATE), version)
         patches = _as_patches(old).unionByName(
             batch.select("job_id", "ts", "seq", "seen", "dismissed")
         )
@@ -119,7 +124,8 @@ def fold_user_states(root: str) -> Handler:
 
 
 def read_user_states(spark: SparkSession, root: str) -> DataFrame:
-    state = _previous(spark, root, "user_states", spark.createDataFrame([], _STATE))
+    version = sinks.snapshot_version(spark, root, "user_states")
+    state = _previous(spark, root, "user_states", spark.createDataFrame([], _STATE), version)
     return user_state_latest(_as_patches(state))
 
 
