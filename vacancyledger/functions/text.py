@@ -163,7 +163,8 @@ def fold(col: Column) -> Column:
     special = [*single_from, *multi]
     first = f"[\\x{{{min(map(ord, special)):x}}}-\\x{{10ffff}}]"
     rare = lowered.rlike(first) & lowered.rlike(_char_class(special))
-    mapping = F.create_map(*[F.lit(x) for pair in multi.items() for x in pair])
+    pairs = ",".join(f"{char}={folded}" for char, folded in multi.items())
+    mapping = F.str_to_map(F.lit(pairs), F.lit(","), F.lit("="))
     expanded = F.array_join(
         F.transform(F.split(lowered, ""), lambda c: F.coalesce(F.try_element_at(mapping, c), c)), ""
     )
@@ -179,7 +180,7 @@ def fold_simple(col: Column) -> Column:
 def tokens(col: Column) -> Column:
     """Distinct tokens of two or more of ``a-z0-9+#.``, stop words removed."""
     found = F.regexp_extract_all(fold_simple(col), F.lit(TOKEN), 0)
-    return F.array_except(found, F.array(*[F.lit(w) for w in STOPWORDS]))
+    return F.array_except(found, F.split(F.lit(",".join(STOPWORDS)), ","))
 
 
 def drop_stopwords(token_array: Column) -> Column:

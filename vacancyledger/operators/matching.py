@@ -71,6 +71,8 @@ def current_profile(profiles: DataFrame) -> DataFrame:
         ).alias("roles"),
         tokens(F.array_join("target_roles", " ")).alias("target_tokens"),
         F.transform("preferred_locations", fold).alias("locations_folded"),
+        phrases(F.col("required_terms")).alias("required"),
+        phrases(F.col("excluded_terms")).alias("excluded"),
         F.transform(
             text_lines(F.col("resume_text")),
             lambda line, i: F.struct(i.alias("index"), line.alias("line"), tokens(line).alias("tokens")),
@@ -102,21 +104,33 @@ def job_text(title: Column, locations: Column, description: Column) -> Column:
     )
 
 
-def term_hits(terms: Column, text: Column) -> Column:
-    """Terms contained in the text, ignoring case; plain substrings, not words."""
-    return _hits_in_folded(terms, fold(text))
+def phrases(terms: Column) -> Column:
+    """Terms with the folded, stripped form that is looked for."""
+    return F.transform(
+        terms, lambda t: F.struct(t.alias("term"), strip_ws(fold(t)).alias("phrase"))
+    )
 
 
-def _hits_in_folded(terms: Column, folded_text: Column) -> Column:
-    # Bound outside the lambda: an expression inside it would run once per term.
+def _hits(terms: Column, folded_text: Column) -> Column:
+    """Terms (see ``phrases``) whose phrase is part of the text."""
+    # The text is bound outside the lambda: an expression inside it would run once per term.
     return let(
-        folded_text, lambda text: F.filter(terms, lambda t: F.contains(text, strip_ws(fold(t))))
+        folded_text,
+        lambda text: F.transform(
+            F.filter(terms, lambda t: F.contains(text, t["phrase"])), lambda t: t["term"]
+        ),
     )
 
 
+def term_hits(terms: Column, text: Column) -> Column:
+    """Terms contained in the text, ignoring case; plain substrings, not words."""
+    return _hits(phrases(terms), fold(text))
+
+
 def hard_reasons(text: Column, excluded: Column, preference: Column) -> Column:
-    """Reasons a job is ruled out; ``text`` is the folded job text."""
-    hits = _hits_in_folded(excluded, text)
+    """Reasons a job is ruled out; ``text`` is the folded job text, ``excluded`` the excluded
+    terms in the form ``phrases`` gives."""
+    hits = _hits(excluded, text)
     on_site = F.lit(False)
     for word in ON_SITE_WORDS:
         on_site = on_site | text.contains(word)
@@ -229,7 +243,7 @@ def hard_constraints(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     base = attach_profile(jobs, profiles).withColumn(
         "_text", fold(job_text(F.col("title"), F.col("locations"), F.col("description_text")))
     )
-    reasons = hard_reasons(F.col("_text"), F.col("p.excluded_terms"), F.col("p.remote_preference"))
+    reasons = hard_reasons(F.col("_text"), F.col("p.excluded"), F.col("p.remote_preference"))
     return base.select("job_id", reasons.alias("reasons")).withColumn(
         "hard_constraint_pass", F.size("reasons") == 0
     )
@@ -251,14 +265,14 @@ def local_scores(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
         F.col("p.profile_id").alias("profile_id"),
         F.col("p.profile_version").alias("profile_version"),
         F.lit(MATCHER_VERSION).alias("matcher_version"),
-        hard_reasons(F.col("_text"), F.col("p.excluded_terms"), F.col("p.remote_preference")).alias(
+        hard_reasons(F.col("_text"), F.col("p.excluded"), F.col("p.remote_preference")).alias(
             "hard_constraint_reasons"
         ),
         role_score(F.col("title"), F.col("p.roles")).alias("role_score"),
         resume_score(
             overlap(F.col("_tokens"), F.col("p.resume_tokens")), F.size("_tokens")
         ).alias("resume_score"),
-        _hits_in_folded(F.col("p.required_terms"), F.col("_text")).alias("_found"),
+        _hits(F.col("p.required"), F.col("_text")).alias("_found"),
         F.col("p.required_terms").alias("_required"),
         "locations",
         F.col("p.locations_folded").alias("_places"),
@@ -369,7 +383,7 @@ def evaluation_requests(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     text = fold(job_text(F.col("title"), F.col("locations"), F.col("description_text")))
     evidence = resume_evidence(jobs, profiles, kept)
     reasons = let(
-        text, lambda t: hard_reasons(t, F.col("p.excluded_terms"), F.col("p.remote_preference"))
+        text, lambda t: hard_reasons(t, F.col("p.excluded"), F.col("p.remote_preference"))
     )
     profile_slice = F.struct(
         *[
