@@ -114,30 +114,32 @@ def local_scores(spark, sf_dir):
     return matching.local_scores(active_jobs(spark, sf_dir), derived.profiles(spark, sf_dir))
 
 
-def match_scores(spark, sf_dir):
-    """Scores of the jobs one scan just observed (every second one)."""
-    jobs = derived.jobs(spark, sf_dir)
-    observed = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == 0).select(
-        derived.text_id("doc_id").alias("job_id")
-    )
-    out = matching.local_scores(
-        matching.matchable_jobs(jobs, observed), derived.profiles(spark, sf_dir)
-    )
-    return out.select(
+def _shown(scores):
+    return scores.select(
         "job_id", "classification", "score", "role_score", "resume_score", "preference_score",
         "hard_constraint_pass", _flat("evidence"), _flat("gaps"), "provider_status",
     )
 
 
-SCORES_SQL = sql(
-    """SELECT job_id, classification, score, role_score, resume_score, CAST(preference_score AS INTEGER) AS preference_score, pass AS hard_constraint_pass,
+def match_scores(spark, sf_dir):
+    return _shown(local_scores(spark, sf_dir))
+
+
+def observed_scores(spark, sf_dir):
+    """Scores of the active jobs that a scan just observed (those with a label)."""
+    observed = table(spark, sf_dir, "labels").select(derived.text_id("doc_id").alias("job_id"))
+    jobs = matching.matchable_jobs(derived.jobs(spark, sf_dir), observed)
+    return _shown(matching.local_scores(jobs, derived.profiles(spark, sf_dir)))
+
+
+_SCORES = """SELECT job_id, classification, score, role_score, resume_score, CAST(preference_score AS INTEGER) AS preference_score, pass AS hard_constraint_pass,
     array_to_string(list_concat(CASE WHEN role_score >= 60 THEN ['Title is related to a target or adjacent role (' || role_score || '/100)'] ELSE [] END,
       CASE WHEN len(found) > 0 THEN ['Job includes preferred terms: ' || array_to_string(found[1:5], ', ')] ELSE [] END), '|') AS evidence,
     array_to_string(list_concat(list_transform(list_filter(required_terms, lambda t: NOT list_contains(found, t))[1:5], lambda t: 'Preferred term not found: ' || t),
       CASE WHEN role_score < 45 THEN ['Title has weak overlap with the configured target roles'] ELSE [] END), '|') AS gaps,
-    CASE WHEN pass THEN 'fallback' ELSE 'hard_constraint' END AS provider_status FROM scored WHERE doc_id % 2 = 0""",
-    "scored",
-)
+    CASE WHEN pass THEN 'fallback' ELSE 'hard_constraint' END AS provider_status FROM scored"""
+SCORES_SQL = sql(_SCORES, "scored")
+OBSERVED_SQL = sql(_SCORES + " WHERE doc_id IN (SELECT doc_id FROM labels)", "scored")
 
 
 def match_cache_misses(spark, sf_dir):
@@ -357,9 +359,9 @@ def sources_with_contacts(spark, sf_dir):
         derived.text_id("n_nationkey").alias("source_id"), F.col("n_name").alias("company"),
         derived.at_hours(F.col("n_nationkey") % 3).alias("created_at"),
     )
-    c = table(spark, sf_dir, "customer").where(F.col("c_nationkey") != 7)
-    contacts = c.select(
-        derived.text_id("c_nationkey").alias("source_id"), derived.text_id("c_custkey").alias("contact_id"),
+    # The first source has no contacts, and contacts of the last number no source.
+    contacts = table(spark, sf_dir, "customer").select(
+        (F.col("c_nationkey") + 1).cast("string").alias("source_id"), derived.text_id("c_custkey").alias("contact_id"),
         F.col("c_name").alias("name"),
         F.concat(F.lit("https://people.example/"), derived.text_id("c_custkey")).alias("contact_url"),
     )
@@ -369,7 +371,7 @@ def sources_with_contacts(spark, sf_dir):
     )
 
 
-CONTACTS_SQL = """WITH c AS (SELECT * FROM customer WHERE c_nationkey <> 7)
+CONTACTS_SQL = """WITH c AS (SELECT c_nationkey + 1 AS c_nationkey, c_custkey, c_name FROM customer)
     SELECT CAST(n_nationkey AS VARCHAR) AS source_id, n_name AS company, CAST(c_custkey AS VARCHAR) AS contact_id, c_name AS name,
     'https://people.example/' || c_custkey AS contact_url,
     CASE WHEN c_custkey IS NOT NULL THEN count(*) OVER (PARTITION BY n_nationkey) END AS contacts
@@ -447,6 +449,7 @@ QUERIES = {
     "term_hits": (term_hits, TERMS_SQL),
     "hard_constraints": (hard_constraints, HARD_SQL),
     "match_scores": (match_scores, SCORES_SQL),
+    "observed_scores": (observed_scores, OBSERVED_SQL),
     "match_cache_misses": (match_cache_misses, MISSES_SQL),
     "external_eval_merge": (external_eval_merge, MERGE_SQL),
     "match_summary": (match_summary, SUMMARY_SQL),

@@ -179,23 +179,25 @@ STATUS_SQL = sql(
 
 
 def missing_jobs(spark, sf_dir):
-    """Open jobs after day 20 that a complete scan of day 21 did not list."""
+    """Open jobs that the last complete scan of their source did not list."""
     listing = derived.scan_listing(spark, sf_dir)
     scans = derived.scan_history(spark, sf_dir)
-    jobs = lifecycle.lifecycle_history(listing, scans, as_of=20).withColumn(
-        "job_id", F.col("identity_key")
-    )
-    today = F.col("scan_seq") == 21
-    seen = listing.where(today).withColumn("job_id", F.col("identity_key"))
-    out = lifecycle.missing_jobs(jobs, seen, scans.where(today))
+    last = scans.where("complete").groupBy("source_id").agg(F.max("scan_seq").alias("_last"))
+    earlier = F.col("scan_seq") < F.col("_last")
+    jobs = lifecycle.lifecycle_history(
+        listing.join(last, "source_id").where(earlier), scans.join(last, "source_id").where(earlier)
+    ).withColumn("job_id", F.col("identity_key"))
+    step = scans.join(last, "source_id").where(F.col("scan_seq") == F.col("_last"))
+    out = lifecycle.missing_jobs(jobs, listing.withColumn("job_id", F.col("identity_key")), step)
     return out.select("source_id", "job_id", "absences")
 
 
 MISSING_SQL = sql(
-    """, j AS (SELECT source_id, identity_key, max(scan_seq) AS last_seq FROM obs WHERE scan_seq <= 20 GROUP BY ALL),
-    a AS (SELECT j.*, (SELECT count(*) FROM scans s WHERE s.source_id = j.source_id AND s.complete AND s.scan_seq > j.last_seq AND s.scan_seq <= 20) AS n FROM j)
-    SELECT a.source_id, a.identity_key AS job_id, CAST(n AS INTEGER) AS absences FROM a JOIN scans s ON s.source_id = a.source_id AND s.scan_seq = 21 AND s.complete
-    WHERE n < 2 AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.source_id = a.source_id AND o.scan_seq = 21 AND o.identity_key = a.identity_key)""",
+    """, l AS (SELECT source_id, max(scan_seq) AS last_scan FROM scans WHERE complete GROUP BY 1),
+    j AS (SELECT o.source_id, o.identity_key, l.last_scan, max(o.scan_seq) AS last_seq FROM obs o JOIN l ON l.source_id = o.source_id AND o.scan_seq < l.last_scan GROUP BY ALL),
+    a AS (SELECT j.*, (SELECT count(*) FROM scans s WHERE s.source_id = j.source_id AND s.complete AND s.scan_seq > j.last_seq AND s.scan_seq < j.last_scan) AS n FROM j)
+    SELECT a.source_id, a.identity_key AS job_id, CAST(n AS INTEGER) AS absences FROM a
+    WHERE n < 2 AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.source_id = a.source_id AND o.scan_seq = a.last_scan AND o.identity_key = a.identity_key)""",
     "obs", "scans",
 )
 
@@ -217,12 +219,14 @@ SPAN_SQL = sql(
 
 
 def identity_resolution(spark, sf_dir):
-    """Jobs known from the first half of the history, a third of them without an id; one later
-    scan per source resolved against them."""
-    seen = observations(spark, sf_dir)
+    """The last scan of every source against the jobs of all earlier ones, a third of which are
+    known without an id."""
+    last = derived.scan_listing(spark, sf_dir).groupBy("source_id").agg(
+        F.max("scan_seq").alias("_last")
+    )
+    seen = observations(spark, sf_dir).join(last, "source_id")
     number = F.col("external_id").cast("long")
-    before = seen.where(F.col("scan_seq") < 15)
-    known = before.groupBy("source_id", "external_id", "canonical_url").agg(
+    known = seen.where(F.col("scan_seq") < F.col("_last")).groupBy("source_id", "external_id", "canonical_url").agg(
         F.max("observed_at").alias("last_observed_at")
     ).select(
         "source_id", "canonical_url", "last_observed_at",
@@ -231,10 +235,7 @@ def identity_resolution(spark, sf_dir):
         .alias("identity_key"),
         F.concat(F.lit("job-"), "external_id").alias("job_id"),
     )
-    last = seen.where(F.col("scan_seq") >= 15).groupBy("source_id").agg(
-        F.min("scan_seq").alias("scan_seq")
-    )
-    later = seen.join(last, ["source_id", "scan_seq"], "left_semi")
+    later = seen.where(F.col("scan_seq") == F.col("_last"))
     out = lifecycle.resolve_identity(later, known)
     new = F.col("match_kind") == "new"
     return out.select(
@@ -244,8 +245,8 @@ def identity_resolution(spark, sf_dir):
 
 
 IDENTITY_SQL = sql(
-    """, known AS (SELECT DISTINCT source_id, external_id FROM listing WHERE scan_seq < 15),
-    pick AS (SELECT source_id, min(scan_seq) AS scan_seq FROM listing WHERE scan_seq >= 15 GROUP BY 1),
+    """, pick AS (SELECT source_id, max(scan_seq) AS scan_seq FROM listing GROUP BY 1),
+    known AS (SELECT DISTINCT l.source_id, external_id FROM listing l JOIN pick p ON l.source_id = p.source_id AND l.scan_seq < p.scan_seq),
     later AS (SELECT DISTINCT l.source_id, l.external_id, l.identity_key FROM listing l JOIN pick p ON l.source_id = p.source_id AND l.scan_seq = p.scan_seq)
     SELECT l.source_id, l.identity_key,
     CASE WHEN k.external_id IS NULL THEN 'new' WHEN CAST(k.external_id AS BIGINT) % 3 = 0 THEN 'url' ELSE 'identity' END AS match_kind,
@@ -349,7 +350,9 @@ def _now():
 def due_sources(spark, sf_dir):
     srcs, scans = derived.scan_state(spark, sf_dir)
     at = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    due = health.due_sources(srcs, scans.where(F.col("scan_seq") >= 27), at)
+    # Only a source's last scan can still be open.
+    last = scans.groupBy("source_id").agg(F.max("scan_seq").alias("scan_seq"))
+    due = health.due_sources(srcs, scans.join(last, ["source_id", "scan_seq"], "left_semi"), at)
     return due.select("source_id", "trigger", "next_scan_at", "created_at")
 
 
@@ -357,7 +360,8 @@ DUE_SQL = sql(
     """SELECT source_id, CASE WHEN last_successful_scan_at IS NULL THEN 'initial' ELSE 'scheduled' END AS trigger, next_scan_at, created_at
     FROM state_sources s WHERE monitoring_status = 'active' AND connector_type IS NOT NULL AND setup_status <> 'setup_required'
     AND next_scan_at <= TIMESTAMP '2024-02-01 00:00:00'
-    AND NOT EXISTS (SELECT 1 FROM state_scans q WHERE q.source_id = s.source_id AND q.scan_seq >= 27 AND q.status IN ('queued', 'running'))""",
+    AND NOT EXISTS (SELECT 1 FROM state_scans q WHERE q.source_id = s.source_id AND q.status IN ('queued', 'running')
+      AND q.scan_seq = (SELECT max(x.scan_seq) FROM state_scans x WHERE x.source_id = s.source_id))""",
     "state_sources", "state_scans",
 )
 
