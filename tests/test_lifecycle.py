@@ -95,6 +95,17 @@ def test_identity_claim_beats_url(spark):
     assert m.jobs_created == 1
 
 
+def test_unclaimed_job_at_a_shared_url_is_found(spark):
+    jobs = tables.empty(spark, "jobs")
+    rows = [posting(1, 0, "1", "a", url="https://e/x"), posting(1, 1, "2", "a", url="https://e/y")]
+    jobs, before, _ = apply(spark, jobs, rows, scan(1))
+    shared = jobs.withColumn("canonical_url", F.lit("https://e/x"))
+    known = {r.external_id: r.job_id for r in before}
+    later = observations(spark, [posting(2, 0, "1", "a", url="https://e/z"), posting(2, 1, "9", "a", url="https://e/x")])
+    got = {r.external_id: (r.job_id, r.match_kind) for r in lifecycle.resolve_identity(later, shared).collect()}
+    assert got == {"1": (known["1"], "identity"), "9": (known["2"], "url")}
+
+
 def test_reconcile_twice_is_the_same(spark):
     jobs, _, _ = apply(spark, tables.empty(spark, "jobs"), [posting(1, 0, "1", "a")], scan(1))
     once, a, _ = apply(spark, jobs, [posting(2, 0, "1", "a"), posting(2, 1, "2", "a")], scan(2))

@@ -36,15 +36,18 @@ def resolve_identity(observations: DataFrame, jobs: DataFrame) -> DataFrame:
     by_identity = jobs.select(
         "source_id", "identity_key", F.col("job_id").alias("identity_job"),
     )
-    # Several jobs may have ended up at one URL; the most recently seen one answers for it.
-    by_url = jobs.groupBy("source_id", "canonical_url").agg(
-        F.max_by("job_id", F.struct("last_observed_at", "job_id")).alias("url_job")
-    )
     first = observations.join(by_identity, ["source_id", "identity_key"], "left")
     claimed = first.where(F.col("identity_job").isNotNull()).select(
-        F.col("identity_job").alias("url_job")
+        F.col("identity_job").alias("job_id")
+    )
+    # Several jobs may have ended up at one URL; of those no observation claims, the most
+    # recently seen one answers for it.
+    free_urls = (
+        jobs.select("source_id", "canonical_url", "job_id", "last_observed_at")
+        .join(claimed, "job_id", "left_anti")
+        .groupBy("source_id", "canonical_url")
+        .agg(F.max_by("job_id", F.struct("last_observed_at", "job_id")).alias("url_job"))
     )
-    free_urls = by_url.join(claimed, "url_job", "left_anti")
     second = first.join(free_urls, ["source_id", "canonical_url"], "left")
     kind = (
         F.when(F.col("identity_job").isNotNull(), "identity")

@@ -37,7 +37,7 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for lineage cuts: the one the cluster names, else a local test folder."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
