@@ -11,8 +11,7 @@ from vacancyledger.session import configure
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit the quality classifier on the labels and drop the documents it rejects."""
     labels = configure(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    rows = quality.scored(docs, quality.fit(docs, labels))
-    return rows.filter("predicted = 1").drop("score", "predicted")
+    return quality.accepted(docs, quality.fit(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +23,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and e-mail names become pseudonyms of the same format."""
     configure(spark)
-    return pii.pseudonymised(docs).drop("found")
+    return pii.pseudonymised(docs, found=None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

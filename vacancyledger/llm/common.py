@@ -28,11 +28,31 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet to a shared folder and read back: cuts lineage, survives executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
+    path = f"{temporary_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary_folder(spark: SparkSession) -> str:
+    """A shared folder that the file system deletes when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return str(path.toString())
+
+
+def apart(df: DataFrame, *added: str) -> DataFrame:
+    """``df`` with ``_input`` after the names of columns that an operator is about to add."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for c in df.columns:
+        if c.lower() in added:
+            while c.lower() in taken:
+                c += "_input"
+            taken.add(c.lower())
+        names.append(c)
+    return df.toDF(*names)
+
+
 def columns_of(df: DataFrame, **kinds: str) -> DataFrame:
     """Just the named columns, cast, so that nothing else in the table can clash with ours."""
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()])

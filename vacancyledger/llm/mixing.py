@@ -99,7 +99,8 @@ def mixed_documents(
     """The rows of the mix: ``documents``, all columns, repeated as :func:`mixture` says.
 
     A document's partial repetition holds its first ``extra`` words, joined by one space; ``n_chars``,
-    where the table has it, is that of the text written. Documents taken 0 times are left out.
+    where the table has it, is that of the text written. Documents without words, and those taken 0
+    times, are left out.
     """
     sized = documents.select(
         F.struct("*").alias("_doc"),
@@ -112,12 +113,14 @@ def mixed_documents(
     rows = (
         mix_sized(sized, weights, max_epochs, seed)
         .withColumn("_times", F.col("whole") + (F.col("extra") > 0).cast("long"))
-        .filter("_times > 0")
+        .filter("_times > 0 and size > 0")
         .withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
         .withColumn("_part", (F.col("_nth") > F.col("whole")) & (F.col("extra") < F.col("size")))
         .withColumn("_text", F.when(F.col("_part"), some).otherwise(F.col("_doc.text")))
     )
-    made = {"text": F.col("_text"), "n_chars": F.when(F.col("_part"), F.length("_text")).otherwise(F.col("_doc")["n_chars"])} if "n_chars" in documents.columns else {"text": F.col("_text")}
+    made = {"text": F.col("_text")}
+    if "n_chars" in documents.columns:
+        made["n_chars"] = F.when(F.col("_part"), F.length("_text")).otherwise(F.col("_doc.n_chars"))
     return rows.select(
         *[
             made.get(f.name, F.col("_doc").getField(f.name)).cast(f.dataType).alias(f.name)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import apart
+
 #: Rounds of a network; even, so that both halves end where they started.
 ROUNDS = 10
 KEY = "vacancyledger"
@@ -256,7 +258,7 @@ def _bare(pattern: str) -> str:
     return re.sub(r"^\(\?<![^)]*\)|\(\?![^)]*\)$", "", pattern)
 
 
-def pseudonymised(documents: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(documents: DataFrame, key: str = KEY, found: str | None = "found") -> DataFrame:
     """All columns of ``documents`` with ``text`` rewritten, and ``found``: the kinds replaced, in order.
 
     E-mail names, IBANs, card numbers (Luhn), social security numbers, telephone numbers, IPv4
@@ -265,26 +267,29 @@ def pseudonymised(documents: DataFrame, key: str = KEY) -> DataFrame:
     documents, and different values of a format stay different. Candidates that fail their check and
     everything else stay as they are. Null texts stay null with nothing found. ``n_chars``, where the
     table has it, follows the new text of changed rows. Rows never meet, so order, ties and repeated rows
-    do not matter; an empty table gives no rows.
+    do not matter; an empty table gives no rows. A column called like ``found`` is returned with
+    ``_input`` after its name; with ``found=None`` nothing is added.
     """
-    if "found" in documents.columns:
-        raise ValueError("rename the column found first")
-    text = F.col("text").cast("string")
+    if found:
+        documents = apart(documents, found)
+    text = F.col("text")
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = documents.withColumn("_hits", hits)
-    rows = rows.withColumn("_made", F.transform("_hits", lambda m: pseudonym(m, key)))
+    rows = documents.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("hits", hits)
+    rows = rows.withColumn("made", F.transform("hits", lambda m: pseudonym(m, key)))
     parts = F.split(text, ANY, -1)
     filled = F.zip_with(
         F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.zip_with("_hits", "_made", lambda m, p: F.coalesce(p["value"], m)),
+        F.zip_with("hits", "made", lambda m, p: F.coalesce(p["value"], m)),
         lambda gap, value: F.concat(value, gap),
     )
-    changed = F.exists("_made", lambda p: p.isNotNull())
-    new = F.when(changed, F.concat(F.element_at(parts, 1), F.array_join(filled, ""))).otherwise(F.col("text"))
-    found = F.transform(F.filter("_made", lambda p: p.isNotNull()), lambda p: p["kind"])
-    rows = rows.withColumn("_new", new).withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
+    changed = F.exists("made", lambda p: p.isNotNull())
+    new = F.when(changed, F.concat(F.element_at(parts, 1), F.array_join(filled, ""))).otherwise(text)
+    kinds = F.transform(F.filter("made", lambda p: p.isNotNull()), lambda p: p["kind"])
+    rows = rows.select("doc", new.alias("new"), F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"))
     fields = {f.name: f.dataType for f in documents.schema.fields}
-    made = {"text": F.col("_new")}
+    made = {"text": F.col("new")}
     if "n_chars" in fields:
-        made["n_chars"] = F.when(F.size("found") > 0, F.length("_new")).otherwise(F.col("n_chars"))
-    return rows.select(*[made.get(n, F.col(f"`{n}`")).cast(t).alias(n) for n, t in fields.items()], "found")
+        made["n_chars"] = F.when(F.size("kinds") > 0, F.length("new")).otherwise(F.col("doc.n_chars"))
+    out = [made.get(n, F.col("doc").getField(n)).cast(t).alias(n) for n, t in fields.items()]
+    return rows.select(*out, *([F.col("kinds").alias(found)] if found else []))

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .common import columns_of, written
+from .common import apart, columns_of, written
 
 #: The classifier is fitted on at most so many labelled documents (the smallest of a seeded hash).
 FIT_DOCUMENTS = 8192
@@ -209,30 +210,37 @@ def fit(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUME
     return Model(weights, values[-1], values[-2], values[-3])
 
 
-def scored(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``documents`` plus ``score`` and ``predicted``; nothing is shuffled.
-
-    Whole texts are scored one at a time; null and empty ones get the score of no features.
-    """
-    if clash := {"score", "predicted"} & set(documents.columns):
-        raise ValueError(f"rename the columns {sorted(clash)} first")
-    spark = documents.sparkSession
+def _with_score(documents: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """``doc`` (a struct of all columns), score and predicted; nothing is shuffled."""
     # 2^BITS doubles: 2 MB, whatever the input.
-    shared = spark.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
         model = shared.value
         for b in batches:
-            texts = b.column(b.schema.names.index("text"))
-            scores = [model.score(indicators(t.as_py())) for t in texts]
+            scores = [model.score(indicators(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
-                [*b.schema.names, "score", "predicted"],
+                [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
+                ["doc", "score", "predicted"],
             )
 
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
+    rows = documents.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
+    schema = StructType([rows.schema["doc"]]).add("score", DoubleType()).add("predicted", IntegerType())
+    return rows.mapInArrow(run, schema)
+
+
+def scored(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """All columns of ``documents`` plus ``score`` and ``predicted``; nothing is shuffled.
+
+    Whole texts are scored one at a time; null and empty ones get the score of no features. Rows are
+    scored alone, so ties and repeated rows do not matter. A column called like an added one is
+    returned with ``_input`` after its name. An empty table gives no rows.
+    """
+    return _with_score(apart(documents, "score", "predicted"), model, threshold).select("doc.*", "score", "predicted")
+
 
-    schema = StructType([*documents.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType())
-    return documents.mapInArrow(run, schema)
+def accepted(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` that the model does not reject, with their columns as they are."""
+    return _with_score(documents, model, threshold).filter("predicted = 1").select("doc.*")

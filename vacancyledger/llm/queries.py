@@ -81,7 +81,7 @@ FROM placed
 
 def op4_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.records(_table(spark, sf_dir, "pages"))
-    path = f"{common.shared_folder(spark)}/archives"
+    path = f"{common.temporary_folder(spark)}/archives"
     warc.write_archives(records, path)
     rows = warc.read_archives(spark, path)
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import uniform_key, with_positions, written
+from .common import apart, uniform_key, with_positions, written
 
 #: A partition has at least so many rows, and there are at most so many partitions, so the matrix
 #: has at most MOST_PARTITIONS times n_shards numbers, whatever the size of the table.
@@ -64,11 +64,10 @@ def shard_rows(rows: DataFrame, n_shards: int, seed: int = 0, partition_rows: in
     The order is a uniform shuffle that depends on the seed and the rows alone, not on the layout of
     the table, so a lost executor's work is redone alike. Shard sizes differ by at most one row. Rows
     that are equal in every column (nulls included) are counted, not gathered, and each copy is
-    placed on its own. An empty table gives no rows. Columns must be comparable (no maps), and none
-    may be called like the added ones.
+    placed on its own. An empty table gives no rows. Columns must be comparable (no maps); one called
+    like an added one is returned with ``_input`` after its name.
     """
-    if clash := {"shard", "slot"} & set(rows.columns):
-        raise ValueError(f"rename the columns {sorted(clash)} first")
+    rows = apart(rows, "shard", "slot")
     given = rows.columns
     inner = rows.toDF(*[f"c{i}" for i in range(len(given))])
     names = inner.columns

@@ -208,13 +208,14 @@ def deduplicated(documents: DataFrame, words: int = 5, lanes: int = 6, segments:
         F.count("*").alias("_n")
     )
     keep = written(keep.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"), "_n"), "keep")
-    own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_d"))
-    once = documents.join(keep.filter("_n = 1"), own, "left_semi")
+    # All columns in one, so that none can clash with ours.
+    docs = documents.select(
+        F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("d")
+    )
+    own = (F.col("id") == F.col("_id")) & (F.col("d") == F.col("_d"))
+    kept = docs.join(keep.filter("_n = 1"), own, "left_semi").select("doc")
     repeated = keep.filter("_n > 1")
     if not repeated.isEmpty():
-        first = documents.join(repeated, own, "left_semi").groupBy(
-            F.col("doc_id").alias("_k"), F.xxhash64(F.col("text").cast("string")).alias("_t")
-        )
-        again = first.agg(F.first(F.struct("*")).alias("_row")).select("_row.*")
-        once = once.unionByName(again.select(documents.columns))
-    return once.unionByName(documents.filter("doc_id is null"))
+        again = docs.join(repeated, own, "left_semi").groupBy("id", "d").agg(F.first("doc").alias("doc"))
+        kept = kept.unionByName(again.select("doc"))
+    return kept.unionByName(docs.filter("id is null").select("doc")).select("doc.*")
