@@ -2,7 +2,10 @@
 
 import datetime
 import json
+import random
+from urllib.robotparser import RobotFileParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from vacancyledger.operators import access, coverage, normalize
@@ -212,13 +215,92 @@ def test_robots_groups(spark):
     assert access.robots_filter(urls, robots, "other").where("allowed").count() == 2
 
 
+ROBOTS = (
+    "User-agent: *\nDisallow: /search?q=\nDisallow: /~joe\nAllow: /a b\nDisallow: /a\n",
+    "User-agent: one\nUser-agent: Scout\nDisallow: /x # note\n# comment line\nDisallow:\n\nUser-agent: *\nDisallow: /\n",
+    "User-agent: scout\nCrawl-delay: 3\nDisallow: /%7ejoe\nUser-agent: *\nDisallow: /z\n",
+    "Disallow: /ignored\nUser-agent: *\n\nDisallow: /also\nUser-agent: *\nDisallow: /caf\u00e9?\nDisallow: *",
+    "user-agent : *\r\nDISALLOW : /A/\r\nallow: /A/b\r\nSitemap: https://h/s\r\nUser-agent: *\nDisallow: /B",
+    "", "nonsense\n\n:", "User-agent: *\nDisallow: /a+b\nDisallow: /100%\n",
+)
+ROBOT_PATHS = (
+    "", "/", "/search?q=1", "/search%3Fq=1", "/~joe/x", "/%7Ejoe/x", "/a%20b/c", "/abc", "/x", "/y", "/z?x=1", "/ignored", "/also",
+    "/caf%C3%A9", "/caf\u00e9/x", "/A/", "/A/b", "/a/b", "/B", "/a+b", "/100%", "/*x", "/q?",
+)
+
+
+@pytest.mark.parametrize("agent", ["*", "Scout/1.0", "other"])
+def test_robots_equal_the_standard_parser(spark, agent):
+    rows, want = [], {}
+    for i, body in enumerate(ROBOTS):
+        parser = RobotFileParser()
+        parser.parse(body.splitlines())
+        rows.append((f"https://h{i}", body))
+        for path in ROBOT_PATHS:
+            want[f"https://h{i}{path}"] = parser.can_fetch(agent, f"https://h{i}{path}")
+    robots = spark.createDataFrame(rows, "origin string, body string")
+    urls = spark.createDataFrame([(u,) for u in want], "url string")
+    got = {r.url: r.allowed for r in access.robots_filter(urls, robots, agent).collect()}
+    assert got == want
+
+
+def test_attributes_are_read_in_order(spark):
+    tags = [
+        ('title="see href=/wrong" href="/real"', "/real"), ("data-href=/no href=/yes", "/yes"), ("HREF = '/a b' href=/c", "/a b"),
+        ("href", None), ('href=""', ""), ("title='x'", None), ('alt="a>b" href=/q', "/q"),
+    ]
+    df = spark.createDataFrame(tags, "tag string, want string")
+    for r in df.withColumn("got", html_pages.attribute(F.col("tag"), "href")).collect():
+        assert r.got == r.want, r.tag
+
+
+def test_anchors_with_marks_in_quotes(spark):
+    body = '<a title="1 > 0, href=/no" href="/yes">go</a><a href="/open>text</a>'
+    captures = spark.createDataFrame([("s", "r", 1, "https://h/", body)], "source_id string, scan_run_id string, seq long, url string, body string")
+    first = html_pages.anchors(captures).orderBy("position").first()
+    assert (first.url, first.text) == ("https://h/yes", "go")
+
+
+def test_warnings_carry_counts(spark):
+    rows = [("r", "off_host", "u", 3), ("r", "off_host", "u", 2), ("r", "x", "u", None), ("r", "robots_unavailable", "u", 5), ("r", "robots_unavailable", "v", 1)]
+    df = spark.createDataFrame(rows, "scan_run_id string, code string, url string, n long")
+    got = {(r.code, r.url): r.n for r in coverage.warning_counts(df).collect()}
+    assert got == {("off_host", "u"): 5, ("x", "u"): 1, ("robots_unavailable", None): 1}
+
+
+def test_challenge_anywhere_in_the_body(spark):
+    df = spark.createDataFrame([(200, "x" * 5000 + "CAPTCHA")], "status int, body string")
+    assert access.response_outcome(df).first().outcome == "access_blocked"
+    assert access.response_outcome(df, head_chars=2000).first().outcome == "ok"
+
+
+def crawled(edges, start):
+    """Visited pages in queue order and links to pages visited before."""
+    queue, seen, loops = [start], [], 0
+    while queue:
+        page = queue.pop(0)
+        seen.append(page)
+        for target in dict.fromkeys(edges.get(page, [])):
+            if target in seen:
+                loops += 1
+            elif target not in queue:
+                queue.append(target)
+    return seen, loops
+
+
 def test_crawl(spark):
-    links = [("a", i, i + 1) for i in range(5)] + [("a", 3, 0), ("a", 4, 4), ("b", 0, 1)]
-    starts = spark.createDataFrame([("a", 0), ("b", 0)], "source_id string, url int")
-    edges = spark.createDataFrame(links, "source_id string, url int, next_url int")
-    for limit, reach in ((10, 6), (3, 4)):
-        levels, summary = coverage.crawl_coverage(starts, edges, limit)
-        a = summary.where("source_id = 'a'").first()
-        assert (a.reachable, a.visited, a.page_limit_reached) == (reach, min(reach, limit), reach > limit)
-        assert a.loop_links == (2 if limit == 10 else 1)
-    assert levels.where("source_id = 'b'").count() == 2
+    rng = random.Random(5)
+    graphs = {"one": {0: [1, 2], 1: [2]}, "self": {0: [0, 1], 1: [0]}, "long": {i: [i + 1, max(0, i - 3)] for i in range(30)}, "none": {}}
+    for n in range(6):
+        graphs[f"g{n}"] = {i: [rng.randrange(15) for _ in range(rng.randrange(4))] for i in range(15)}
+    starts = spark.createDataFrame([(s, 0) for s in graphs], "source_id string, url int")
+    edges = [(s, u, k, v) for s, g in graphs.items() for u, vs in g.items() for k, v in enumerate(vs)]
+    links = spark.createDataFrame(edges, "source_id string, url int, position int, next_url int")
+    levels, summary = coverage.crawl_coverage(starts, links, 10)
+    order = {}
+    for r in levels.orderBy("depth", "place").collect():
+        order.setdefault(r.source_id, []).append(r.url)
+    for r in summary.collect():
+        seen, loops = crawled(graphs[r.source_id], 0)
+        assert order[r.source_id] == seen
+        assert (r.reachable, r.visited, r.loop_links, r.page_limit_reached) == (len(seen), min(10, len(seen)), loops, len(seen) > 10)

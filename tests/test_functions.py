@@ -183,3 +183,12 @@ def test_identity_and_coercions(spark):
     assert column(spark, ids, lambda c: locations.coerce_identifier(F.parse_json(c))) == ["R1", "n", "x", "5"]
     kinds = ['["A","B"]', '"A"']
     assert column(spark, kinds, lambda c: locations.coerce_employment(F.parse_json(c))) == ["A, B", "A"]
+
+
+def test_tokens_fold_every_character(spark):
+    """Against Python's case folding, for each character between letters and digits."""
+    points = [p for p in range(1, 0x110000) if not 0xD800 <= p <= 0xDFFF and chr(p).casefold() != chr(p)] + [0x130, 0x20, 0xDF]
+    values = [f"ab{chr(p)}9c{chr(p)}x" for p in points] + ["\ufb01nance work\ufb02ow o\ufb03ce", "Stra\u00dfe ma\u017f\u017fe"]
+    got = column(spark, values, text.tokens)
+    want = [[t for t in dict.fromkeys(re.findall(r"[a-z0-9+#.]{2,}", v.casefold())) if t not in text.STOPWORDS] for v in values]
+    assert [sorted(g) for g in got] == [sorted(w) for w in want]

@@ -247,3 +247,16 @@ def test_quality_checks(spark):
     assert quality.bad_enum(df, "k", ("a",)).count() == 2
     broken = quality.out_of_range(df, {"v": F.col("v") <= 2, "k": F.length("k") < 1}).collect()
     assert [r.broken_rules for r in broken] == [["k"], ["k"], ["v"], ["v"]]
+
+
+def test_empty_first_scan_has_metrics(spark):
+    _, rows, m = apply(spark, tables.empty(spark, "jobs"), [], scan(1, prior=False))
+    assert rows == [] and m.scan_run_id == "s1"
+    assert (m.jobs_found, m.jobs_persisted, m.jobs_created, m.jobs_missing, m.duplicate_urls) == (0, 0, 0, 0, 0)
+
+
+def test_two_scans_of_a_source_are_refused(spark):
+    steps = spark.createDataFrame([scan(1), scan(2)], SCAN)
+    out, _ = lifecycle.reconcile(tables.empty(spark, "jobs"), observations(spark, [posting(1, 0, "1", "a")]), steps)
+    with pytest.raises(Exception, match="more than one scan of source s"):
+        out.collect()

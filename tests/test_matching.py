@@ -112,7 +112,10 @@ def test_resume_evidence(spark):
     assert got["5"] == "Built Spark data pipelines in Python"
     many = "\n".join(f"python line{i}" + (" spark" if i % 2 else "") for i in range(100))
     wide = make_profiles(spark, [{**PROFILE, "resume_text": many}])
-    row = {r.job_id: r for r in matching.resume_evidence(make_jobs(spark), wide).collect()}["6"]
+    everything = {r.job_id: r for r in matching.resume_evidence(make_jobs(spark), wide).collect()}["6"]
+    assert everything.lines == 100 and everything.evidence == many
+    cut = matching.resume_evidence(make_jobs(spark), wide, most_lines=40, most_chars=6_000)
+    row = {r.job_id: r for r in cut.collect()}["6"]
     assert row.lines == 40
     assert row.evidence.splitlines() == [f"python line{i} spark" for i in range(1, 80, 2)]
 
@@ -128,21 +131,47 @@ def test_requests_skip_ruled_out_jobs(spark):
 GOOD = {"overall_score": 91, "role_score": 90, "resume_score": 88, "evidence": [str(i) for i in range(9)], "gaps": []}
 
 
+def answered(spark, local, rows):
+    """Answers (job_id, profile versions back, hour, body) with the memo key of the local rows."""
+    given = spark.createDataFrame(rows, "job_id string, back int, hour int, body string")
+    keyed = given.join(local.select(*matching.MEMO_KEY), "job_id")
+    return keyed.select(
+        "job_id", "profile_id", (F.col("profile_version") - F.col("back")).alias("profile_version"), "content_fingerprint",
+        "matcher_version", F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), "hour", F.lit(0), F.lit(0)).alias("answered_at"), "body",
+    )
+
+
+def test_latest_answer_to_the_current_profile_counts(spark):
+    local = matching.local_scores(make_jobs(spark), make_profiles(spark))
+    bodies = {h: json.dumps({**GOOD, "overall_score": h}) for h in (10, 11, 12)}
+    answers = answered(spark, local, [("1", 0, 10, bodies[10]), ("1", 0, 11, bodies[11]), ("1", 1, 12, bodies[12]), ("4", 1, 3, bodies[10])])
+    rows = matching.merge_evaluations(local, answers).collect()
+    got = {r.job_id: r for r in rows}
+    assert len(rows) == local.count() and got["1"].score == 11
+    assert got["4"].provider == "local" and "missing" in got["4"].error
+
+
+def test_empty_description_counts_the_title(spark):
+    jobs = make_jobs(spark).withColumn("description_text", F.lit(""))
+    got = matching.token_overlap(jobs, make_profiles(spark)).collect()
+    assert all(r.job_tokens > 0 for r in got)
+
+
 @pytest.mark.parametrize(
     "body, accepted",
     [
-        (json.dumps(GOOD), True), (json.dumps({**GOOD, "extra": 1}), False), (json.dumps({**GOOD, "role_score": 101}), False),
+        (json.dumps(GOOD), True), (json.dumps({**GOOD, "role_score": 90.0}), True), (json.dumps({**GOOD, "extra": 1}), False), (json.dumps({**GOOD, "role_score": 101}), False),
         (json.dumps({**GOOD, "role_score": 50.5}), False), (json.dumps({**GOOD, "gaps": "x"}), False),
         (json.dumps({k: v for k, v in GOOD.items() if k != "gaps"}), False), ("not json", False), (None, False),
     ],
 )
 def test_external_answers(spark, body, accepted):
     local = matching.local_scores(make_jobs(spark), make_profiles(spark))
-    answers = spark.createDataFrame([("1", "f1", body), ("2", "f2", json.dumps(GOOD))], "job_id string, content_fingerprint string, body string")
+    answers = answered(spark, local, [("1", 0, 1, body), ("2", 0, 1, json.dumps(GOOD))])
     got = {r.job_id: r for r in matching.merge_evaluations(local, answers).collect()}
     if accepted:
         assert (got["1"].classification, got["1"].score, got["1"].provider) == ("strong", 91, "anthropic")
-        assert len(got["1"].evidence) == 8 and got["1"].error is None
+        assert len(got["1"].evidence) == 9 and got["1"].error is None
     else:
         assert got["1"].provider == "local" and "invalid" in got["1"].error
     assert got["2"].classification == "irrelevant" and got["2"].error is None

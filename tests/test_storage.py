@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_lifecycle import loop, observations, posting, random_history
@@ -45,14 +46,24 @@ def test_observations_append_is_idempotent(spark, tmp_path):
     for df, batch in ((first, "1"), (second, "2"), (second, "2")):
         sinks.write_observations(df, path, batch)
     assert sorted(r.content_fingerprint for r in spark.read.parquet(path).collect()) == ["a", "b"]
+    # The same batch with another date replaces its rows.
+    moved = second.withColumn("observed_at", F.col("observed_at") + F.expr("interval 3 days"))
+    sinks.write_observations(moved, path, "2")
+    assert sorted(r.content_fingerprint for r in spark.read.parquet(path).collect()) == ["a", "b"]
 
 
 def test_matches_are_written_once(spark, tmp_path):
     path = str(tmp_path / "matches")
     scores = matching.local_scores(make_jobs(spark), make_profiles(spark))
-    for batch in ("1", "1", "2"):
-        sinks.write_matches(spark, scores, path, batch)
+    sinks.write_matches(spark, scores.limit(2), path)
+    for _ in range(2):
+        sinks.write_matches(spark, scores, path)
     assert spark.read.parquet(path).count() == len(JOBS)
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_text("not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        sinks.read_or_none(spark, str(tmp_path / "broken"))
+    assert sinks.read_or_none(spark, str(tmp_path / "absent")) is None
 
 
 def test_snapshot_versions(spark, tmp_path):
@@ -92,10 +103,60 @@ def test_scan_stream_equals_loop(spark, tmp_path):
     }
     before = sorted(map(str, got))
     handler(scans, 2)
-    handler(scans, 7)
+    handler(scans, 0)
     assert sorted(map(str, sinks.read_snapshot(spark, root).collect())) == before
 
 
+def history_tables(spark, seed, sources, scans, jobs):
+    scan_rows, obs = random_history(seed, sources=sources, scans=scans, jobs=jobs)
+    listing = [
+        {"source_id": s, "scan_run_id": run, "scan_seq": n, "seq": seq, "identity_key": key, "content_fingerprint": fp,
+         "external_id": key.split(":")[1], "canonical_url": f"https://e/{key}", "title": "t"}
+        for s, run, n, seq, key, fp in obs
+    ]
+    records = [
+        {"source_id": s, "scan_run_id": run, "scan_seq": n, "complete": complete,
+         "status": "failed" if kind == "failed" else "success" if complete else "partial",
+         "finished_at": T0 + datetime.timedelta(days=n)}
+        for s, run, n, complete, kind in scan_rows
+    ]
+    state, _, _ = loop(scan_rows, obs)
+    want = {k: (v["fp"], v["absences"]) for k, v in state.items()}
+    return spark.createDataFrame(records, tables.SCHEMAS["scans"]), observations(spark, listing).cache(), want
+
+
+def states(spark, root):
+    return {(r.source_id, r.identity_key): (r.content_fingerprint, r.consecutive_successful_absences) for r in sinks.read_snapshot(spark, root).collect()}
+
+
+def test_new_checkpoint_loses_and_repeats_nothing(spark, tmp_path):
+    """The stream starts anew twice: batch numbers begin at 0 again, old and new files arrive."""
+    scans, observed, want = history_tables(spark, 4, 2, 6, 4)
+    root = str(tmp_path / "out")
+    handler = snapshots.apply_scans(root, lambda _: observed)
+    for part in range(3):
+        scans.where(F.floor(F.col("scan_seq") / 2) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run_batches(spark, str(tmp_path / "in"), tables.SCHEMAS["scans"], handler, str(tmp_path / f"ck{part}"))
+    assert states(spark, root) == want
+
+
+def test_late_scans_are_applied_in_their_place(spark, tmp_path):
+    scans, observed, want = history_tables(spark, 8, 3, 6, 5)
+    root = str(tmp_path / "out")
+    handler = snapshots.apply_scans(root, lambda _: observed)
+    late = (F.col("source_id") == scans.first().source_id) & F.col("scan_seq").isin(2, 3)
+    handler(scans.where(~late), 0)
+    handler(scans.where(late), 1)
+    assert states(spark, root) == want
+
+
+def test_matches_survive_a_new_checkpoint(spark, tmp_path):
+    root, jobs = str(tmp_path / "out"), make_jobs(spark)
+    for half in ("job_id < '3'", "job_id >= '3'"):
+        snapshots.match_arrivals(root, lambda s: make_profiles(s))(jobs.where(half), 0)
+    assert spark.read.parquet(f"{root}/matches").count() == len(JOBS)
+
+
 def test_scans_of_a_failed_batch_are_applied_again(spark, tmp_path):
     root = str(tmp_path / "out")
     record = {"source_id": "s", "scan_run_id": "s1", "scan_seq": 1, "complete": True, "status": "success", "finished_at": T0}
@@ -166,12 +227,17 @@ def test_interval_and_stale_streams(spark, tmp_path):
     got = {(r.source_id, r.interval_start): (r.scans, r.successes) for r in spark.table("intervals").collect()}
     assert got == {("s", T0): (2, 1), ("s", at(6)): (1, 1)}
 
-    events = [("a", at(0), "started"), ("b", at(0), "started"), ("b", at(0.5), "finished"), ("c", at(9), "started")]
+    events = [("a", at(0), "started"), ("b", at(0), "started"), ("c", at(9), "started")]
     schema = "scan_run_id string, ts timestamp, kind string"
-    spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "events"))
-    stale = stateful.stream_stale_runs(spark.readStream.schema(schema).parquet(str(tmp_path / "events")))
+    # The finish of b arrives after later events; d is far too late and is counted.
+    for part in (events, [("b", at(4), "finished")], [("c", at(9.5), "finished"), ("d", at(1), "started")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    stale = stateful.stream_stale_runs(stream)
     query = stale.writeStream.format("memory").queryName("stale").outputMode("append")
-    drain(query.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start())
+    query = query.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
+    drain(query)
+    assert stateful.dropped_as_late(query) == 1
     assert [(r.scan_run_id, r.stale_at) for r in spark.table("stale").collect()] == [("a", at(1))]
 
 

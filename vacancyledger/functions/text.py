@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Unicode white space plus the four information separators.
+# White space (Unicode's plus the four information separators), line ends, what a
+# token is, and what counts as a tag in a text.
 WHITESPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 TOKEN = r"[a-z0-9+#.]{2,}"
@@ -171,10 +172,30 @@ def fold(col: Column) -> Column:
     return F.when(rare, F.translate(expanded, single_from, single_to)).otherwise(lowered)
 
 
+@lru_cache(maxsize=1)
+def _ascii_folds() -> dict[str, str]:
+    """Characters whose case folding holds a token character that lower-casing does not give:
+    sharp s, long s, ligatures and a few letters with marks, derived from the Unicode data."""
+    plain = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+#.")
+    return {
+        c: c.casefold()
+        for c in map(chr, range(128, sys.maxunicode + 1))
+        if c == c.lower() != c.casefold() and plain & set(c.casefold())
+    }
+
+
 def fold_simple(col: Column) -> Column:
-    """``fold`` restricted to what can change an ASCII token: lower-casing and sharp s."""
-    sharp = F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
-    return F.replace(sharp, F.lit("ſ"), F.lit("s"))
+    """``fold`` restricted to what can change an ASCII token: lower-casing and the characters that
+    fold to ASCII letters. Texts without one of these pay one test."""
+    folds = _ascii_folds()
+
+    def replaced(lowered: Column) -> Column:
+        out = lowered
+        for char, folded in folds.items():
+            out = F.replace(out, F.lit(char), F.lit(folded))
+        return F.when(lowered.rlike(_char_class(list(folds))), out).otherwise(lowered)
+
+    return let(F.lower(col), replaced)
 
 
 def tokens(col: Column) -> Column:

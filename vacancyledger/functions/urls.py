@@ -48,7 +48,7 @@ def url_scheme(url: Column) -> Column:
 
 
 def url_authority(url: Column) -> Column:
-    return F.substring(F.get(_pieces(url), F.lit(1)), 3, 2_000_000)
+    return F.regexp_replace(F.get(_pieces(url), F.lit(1)), "(?s)^.{0,2}", "")
 
 
 def url_host(url: Column) -> Column:
@@ -60,7 +60,7 @@ def url_path(url: Column) -> Column:
 
 
 def url_query(url: Column) -> Column:
-    return F.substring(F.get(_pieces(url), F.lit(3)), 2, 2_000_000)
+    return F.regexp_replace(F.get(_pieces(url), F.lit(3)), "(?s)^.", "")
 
 
 def url_origin(url: Column) -> Column:
@@ -191,7 +191,7 @@ def _netloc(scheme: Column, authority: Column) -> Column:
 
 
 def _kept_query(query: Column) -> Column:
-    bare = F.substring(query, 2, 2_000_000)
+    bare = F.regexp_replace(query, "(?s)^.", "")
     pairs = F.array_sort(
         F.filter(query_pairs(bare), lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS))
     )

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from urllib.robotparser import RobotFileParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import LINE_BREAK, let, strip_ws
 from ..functions.urls import (
     canonicalize_url, i_api_url, query_param, url_host, url_origin, url_path, url_query,
     url_scheme, w_coordinates,
@@ -18,13 +17,13 @@ from ..functions.urls import (
 TRANSIENT_STATUSES = (408, 425, 429, 500, 502, 503, 504)
 BLOCKED_STATUSES = (401, 403, 406)
 CHALLENGE_PHRASES = ("captcha", "verify you are human")
-CHALLENGE_HEAD = 2_000
 
 
-def response_outcome(captures: DataFrame) -> DataFrame:
-    """Add ``outcome`` (ok or an error code) and ``retryable`` to captures."""
+def response_outcome(captures: DataFrame, head_chars: int | None = None) -> DataFrame:
+    """Add ``outcome`` (ok or an error code) and ``retryable`` to captures. Challenges are looked
+    for in the whole body, or in its first ``head_chars`` characters."""
     status = F.col("status")
-    head = F.lower(F.substring("body", 1, CHALLENGE_HEAD))
+    head = F.lower("body" if head_chars is None else F.substring("body", 1, head_chars))
     challenged = F.lit(False)
     for phrase in CHALLENGE_PHRASES:
         challenged = challenged | head.contains(phrase)
@@ -44,33 +43,82 @@ def response_outcome(captures: DataFrame) -> DataFrame:
 # --- robots -----------------------------------------------------------------------------
 
 
-def robots_rules(body: Column, user_agent: str) -> Column:
-    """Path rules, in file order, that a robots file holds for an agent."""
+def unquoted(part: Column) -> Column:
+    """Percent-decoded text; a plus stays a plus, a malformed escape leaves the text as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))), part)
 
-    @F.pandas_udf("array<struct<path:string,allow:boolean>>")
-    def parse(bodies: pd.Series) -> pd.Series:
-        name = user_agent.split("/")[0].lower()
 
-        def rules(text: str | None):
-            if text is None:
-                return None
-            parser = RobotFileParser()
-            parser.parse(text.splitlines())
-            groups = [*parser.entries, parser.default_entry]
-            group = next((g for g in groups if g is not None and g.applies_to(name)), None)
-            lines = group.rulelines if group is not None else []
-            return [{"path": r.path, "allow": bool(r.allowance)} for r in lines]
+def robots_rules(body: Column, user_agent: str) -> Column:
+    """Path rules (path decoded, allow), in file order, that a robots file holds for an agent.
+
+    A group is one or more agent lines and the rules after them, up to a blank line or the next agent
+    line after a rule. The first group that names the agent counts, else the first for all agents.
+    """
+    name = user_agent.split("/")[0].lower()
+    none = F.array().cast("array<string>")
+    no_rules = F.array().cast("array<struct<path:string,allow:boolean>>")
+    no_groups = F.array().cast(
+        "array<struct<agents:array<string>,rules:array<struct<path:string,allow:boolean>>>>"
+    )
 
-        return bodies.map(rules)
+    def field_of(line: Column) -> Column:
+        plain = F.regexp_replace(line, "#.*", "")
+        stated = plain.contains(":")
+        value = F.regexp_replace(plain, "^[^:]*:", "")
+        return F.struct(
+            (line == "").alias("blank"),
+            F.when(stated, F.lower(strip_ws(F.substring_index(plain, ":", 1)))).otherwise("").alias("key"),
+            F.regexp_replace(unquoted(strip_ws(value)), r"\?$", "").alias("value"),
+        )
 
-    return parse(body)
+    def step(acc: Column, line: Column) -> Column:
+        agent, rule = line["key"] == "user-agent", line["key"].isin("allow", "disallow")
+        other = line["key"].isin("crawl-delay", "request-rate")
+        ends = (acc["state"] == 2) & (line["blank"] | agent)
+        fresh = ends | line["blank"]
+        state = F.when(fresh, 0).otherwise(acc["state"])
+        agents = F.when(fresh, none).otherwise(acc["agents"])
+        rules = F.when(fresh, no_rules).otherwise(acc["rules"])
+        counts = (state != 0) & (rule | other)
+        allow = (line["key"] == "allow") | (line["value"] == "")
+        added = F.array(F.struct(line["value"].alias("path"), allow.alias("allow")))
+        group = F.array(F.struct(acc["agents"].alias("agents"), acc["rules"].alias("rules")))
+        return F.struct(
+            F.when(agent, 1).when(counts, 2).otherwise(state).alias("state"),
+            F.when(agent, F.concat(agents, F.array(F.lower(line["value"])))).otherwise(agents).alias("agents"),
+            F.when((state != 0) & rule, F.concat(rules, added)).otherwise(rules).alias("rules"),
+            F.when(ends, F.concat(acc["groups"], group)).otherwise(acc["groups"]).alias("groups"),
+        )
+
+    def chosen(acc: Column) -> Column:
+        last = F.array(F.struct(acc["agents"].alias("agents"), acc["rules"].alias("rules")))
+        groups = F.when(acc["state"] == 2, F.concat(acc["groups"], last)).otherwise(acc["groups"])
+
+        def first(found: Column) -> Column:
+            general = F.filter(found, lambda g: F.array_contains(g["agents"], "*"))
+            named = F.filter(
+                found,
+                lambda g: ~F.array_contains(g["agents"], "*")
+                & F.exists(g["agents"], lambda a: F.contains(F.lit(name), a)),
+            )
+            return F.coalesce(
+                F.try_element_at(named, F.lit(1))["rules"], F.try_element_at(general, F.lit(1))["rules"], no_rules
+            )
+
+        return let(groups, first)
+
+    start = F.struct(
+        F.lit(0).alias("state"), none.alias("agents"), no_rules.alias("rules"), no_groups.alias("groups")
+    )
+    lines = F.transform(F.split(body, LINE_BREAK), field_of)
+    return F.aggregate(lines, start, step, chosen)
 
 
 def robots_filter(urls: DataFrame, robots: DataFrame, user_agent: str = "*") -> DataFrame:
     """Add ``allowed`` and ``robots_code`` to URLs. ``robots``: one row per origin (origin,
     body); an origin without a row or body is allowed with a warning code. The first rule whose
-    path starts the URL's path decides; a URL meets its origin's rules as one array, never as
-    rows."""
+    path starts the URL's path and query decides, both percent-decoded; a URL meets its origin's
+    rules as one array, never as rows."""
     per_origin = robots.select(
         F.lower("origin").alias("_origin"), robots_rules(F.col("body"), user_agent).alias("_rules")
     )
@@ -79,9 +127,9 @@ def robots_filter(urls: DataFrame, robots: DataFrame, user_agent: str = "*") ->
         F.when(url_query(F.col("url")) != "", F.concat(F.lit("?"), url_query(F.col("url")))).otherwise(""),
     )
     joined = urls.withColumn("_origin", F.lower(url_origin(F.col("url")))).withColumn(
-        "_target", target
+        "_target", unquoted(target)
     ).join(per_origin, "_origin", "left")
-    hits = F.filter("_rules", lambda r: (r["path"] == "*") | F.startswith(F.col("_target"), r["path"]))
+    hits = F.filter("_rules", lambda r: F.startswith(F.col("_target"), r["path"]))
     allowed = F.coalesce(F.try_element_at(hits, F.lit(1))["allow"], F.lit(True))
     code = F.when(F.col("_rules").isNull(), "robots_unavailable").when(~allowed, "robots_disallowed")
     return joined.select(*urls.columns, allowed.alias("allowed"), code.alias("robots_code"))

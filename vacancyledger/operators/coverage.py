@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -79,39 +79,43 @@ def next_offsets(pages: DataFrame, page_size: int, chunk: Column) -> DataFrame:
 def crawl_coverage(
     starts: DataFrame, links: DataFrame, max_pages: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Pages reachable from each source's listing page, breadth first.
+    """Pages reachable from each source's listing page, in the order a crawl visits them.
 
-    ``starts``: source_id, url. ``links``: source_id, url, next_url. Returns the visited pages
-    with their depth, and per source the visited count, loop links (to a page at the same or a
-    lower depth) and whether the page limit was met. Runs one job per level, at most
-    ``max_pages`` of them: a deeper page lies beyond the limit anyway. Levels are checkpointed to
-    the shared folder.
+    ``starts``: source_id, url. ``links``: source_id, url, position, next_url. Pages are visited level
+    by level, within a level in the order in which they were first found. Returns the pages with
+    depth and place in their level, and per source the reachable and visited counts, loop links (to a
+    page that was visited before, or to itself) and whether the page limit was met. One job per level,
+    until no new page is found; levels are checkpointed to the shared folder.
     """
     ensure_checkpoint_dir(starts.sparkSession)
-    # Every level reads the links again, so they are computed once.
-    edges = links.select("source_id", "url", "next_url").distinct().checkpoint()
-    frontier = starts.select("source_id", "url", F.lit(0).alias("depth")).checkpoint()
-    visited = frontier
-    for depth in range(1, max_pages + 1):
-        reached = frontier.join(edges, ["source_id", "url"]).select(
-            "source_id", F.col("next_url").alias("url")
-        ).distinct()
-        frontier = (
-            reached.join(visited.select("source_id", "url"), ["source_id", "url"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-            .checkpoint()
+    # Every level reads the links again, so they are computed once; a repeated link counts once.
+    edges = links.groupBy("source_id", "url", "next_url").agg(F.min("position").alias("position")).checkpoint()
+    frontier = starts.select(
+        "source_id", "url", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("place")
+    ).checkpoint()
+    visited, depth = frontier, 0
+    while True:
+        depth += 1
+        reached = (
+            frontier.join(edges, ["source_id", "url"])
+            .groupBy("source_id", F.col("next_url").alias("url"))
+            .agg(F.min(F.struct("place", "position")).alias("_from"))
+            .join(visited.select("source_id", "url"), ["source_id", "url"], "left_anti")
         )
+        order = Window.partitionBy("source_id").orderBy("_from.place", "_from.position")
+        frontier = reached.select(
+            "source_id", "url", F.lit(depth).alias("depth"), F.row_number().over(order).cast("long").alias("place")
+        ).checkpoint()
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
     levels = visited
-    target = levels.select(
-        "source_id", F.col("url").alias("next_url"), F.col("depth").alias("next_depth")
-    )
+    own = F.struct("depth", "place")
+    target = levels.select("source_id", F.col("url").alias("next_url"), own.alias("_next"))
     loops = (
-        edges.join(levels, ["source_id", "url"])
+        edges.join(levels.select("source_id", "url", own.alias("_own")), ["source_id", "url"])
         .join(target, ["source_id", "next_url"])
-        .where(F.col("next_depth") <= F.col("depth"))
+        .where(F.col("_next") <= F.col("_own"))
         .groupBy("source_id")
         .agg(F.count(F.lit(1)).alias("loop_links"))
     )
@@ -127,12 +131,14 @@ def crawl_coverage(
 
 
 def warning_counts(warnings: DataFrame, once: tuple[str, ...] = ("robots_unavailable",)) -> DataFrame:
-    """Warnings per scan, code and URL; codes in ``once`` count one time per scan."""
+    """Warnings per scan, code and URL, with the count that each carries (``n``; null: 1); codes in
+    ``once`` count one time per scan."""
     single = F.col("code").isin(*once)
     keyed = warnings.select(
-        "scan_run_id", "code", F.when(single, F.lit(None)).otherwise(F.col("url")).alias("url")
+        "scan_run_id", "code", F.when(single, F.lit(None)).otherwise(F.col("url")).alias("url"),
+        F.coalesce("n", F.lit(1)).alias("n"),
     )
-    counted = keyed.groupBy("scan_run_id", "code", "url").agg(F.count(F.lit(1)).alias("n"))
+    counted = keyed.groupBy("scan_run_id", "code", "url").agg(F.sum("n").alias("n"))
     return counted.withColumn("n", F.when(single, F.lit(1)).otherwise(F.col("n")).cast("long"))
 
 

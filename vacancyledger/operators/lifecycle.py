@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import dedupe_last, latest_by, top_k, with_next, with_previous, with_running_sums
@@ -99,6 +99,12 @@ def reconcile(
     observation's ``seq`` is its unique place in its scan: copies are removed and jobs found on
     keys alone, so the texts are shuffled only to meet their result and then their job.
     """
+    # Two scans of a source would both claim its jobs; fail rather than duplicate them in silence.
+    scans = scans.withColumn("_scans", F.count(F.lit(1)).over(Window.partitionBy("source_id")))
+    several = F.raise_error(F.concat(F.lit("more than one scan of source "), F.col("source_id")))
+    scans = scans.withColumn(
+        "scan_run_id", F.when(F.col("_scans") == 1, F.col("scan_run_id")).otherwise(several.cast("string"))
+    ).drop("_scans")
     place = ["source_id", "scan_run_id", "seq"]
     in_scope = observations.join(scans.select("scan_run_id"), "scan_run_id", "left_semi")
     claims = resolve_identity(
@@ -181,10 +187,13 @@ def reconcile(
         F.sum("found").alias("jobs_found"),
         F.sum(F.col("url_copies") - 1).alias("duplicate_urls"),
     )
+    # Every scan has its row, also one that found nothing at a source without jobs.
+    names = [c for c in per_scan.columns if c not in {"source_id", "_scan"}]
     metrics = (
-        per_scan.withColumnRenamed("_scan", "scan_run_id")
+        scans.select("source_id", "scan_run_id")
+        .join(per_scan.drop("source_id").withColumnRenamed("_scan", "scan_run_id"), "scan_run_id", "left")
         .join(found, "scan_run_id", "left")
-        .na.fill(0, ["jobs_found", "duplicate_urls"])
+        .na.fill(0, [*names, "jobs_found", "duplicate_urls"])
     )
     return snapshot, metrics
 

@@ -21,12 +21,6 @@ from ..functions.text import (
 MATCHER_VERSION = "hybrid-v1"
 STRONG_THRESHOLD = 75
 POSSIBLE_THRESHOLD = 45
-EVIDENCE_LINES = 40
-EVIDENCE_CHARS = 6_000
-RESUME_HEAD_CHARS = 2_500
-JOB_TEXT_CHARS = 16_000
-LISTED_TERMS = 5
-LISTED_RESPONSES = 8
 ON_SITE_WORDS = ("on-site", "onsite", "on site")
 LOCAL_PROVIDER, EXTERNAL_PROVIDER = "local", "anthropic"
 MEMO_KEY = (
@@ -201,8 +195,19 @@ def classify(score: Column, passed: Column) -> Column:
     )
 
 
-def evidence_messages(role: Column, found: Column) -> Column:
-    listed = F.array_join(F.slice(found, 1, LISTED_TERMS), ", ")
+def _first(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
+def _capped(text: Column, most: int | None) -> Column:
+    return text if most is None else cap(text, most)
+
+
+# Fixed values below: the texts of the messages.
+
+
+def evidence_messages(role: Column, found: Column, listed_terms: int | None = None) -> Column:
+    listed = F.array_join(_first(found, listed_terms), ", ")
     return F.array_compact(
         F.array(
             F.when(
@@ -213,9 +218,9 @@ def evidence_messages(role: Column, found: Column) -> Column:
     )
 
 
-def gap_messages(role: Column, missing: Column) -> Column:
+def gap_messages(role: Column, missing: Column, listed_terms: int | None = None) -> Column:
     terms = F.transform(
-        F.slice(missing, 1, LISTED_TERMS),
+        _first(missing, listed_terms),
         lambda t: F.concat(F.lit("Preferred term not found: "), t),
     )
     weak = F.when(role < 45, "Title has weak overlap with the configured target roles")
@@ -227,8 +232,9 @@ def gap_messages(role: Column, missing: Column) -> Column:
 
 def token_overlap(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Sizes of the token sets of job text and résumé and of what they share."""
+    described = F.when(F.length("description_text") > 0, F.col("description_text"))
     base = attach_profile(jobs, profiles).withColumn(
-        "_tokens", tokens(F.coalesce("description_text", "title"))
+        "_tokens", tokens(F.coalesce(described, "title"))
     )
     return base.select(
         "job_id",
@@ -335,9 +341,17 @@ def match_summary(
     )
 
 
-def resume_evidence(jobs: DataFrame, profiles: DataFrame, keep: tuple[str, ...] = ("job_id",)) -> DataFrame:
-    """Résumé lines that speak for a job: the 40 best by shared tokens (earlier lines first),
-    in their original order; the head of the résumé when none shares a token."""
+def resume_evidence(
+    jobs: DataFrame,
+    profiles: DataFrame,
+    keep: tuple[str, ...] = ("job_id",),
+    most_lines: int | None = None,
+    most_chars: int | None = None,
+    head_chars: int | None = None,
+) -> DataFrame:
+    """Résumé lines that speak for a job, by shared tokens (earlier lines first), in their
+    original order; the résumé when none shares a token. ``most_lines`` keeps the best lines,
+    ``most_chars`` and ``head_chars`` the first characters; all are uncut by default."""
     staged = attach_profile(jobs, profiles).select(
         *keep, "p",
         F.array_union(
@@ -361,27 +375,34 @@ def resume_evidence(jobs: DataFrame, profiles: DataFrame, keep: tuple[str, ...]
     ranked = staged.withColumn("_ranked", let(F.array_intersect("p.resume_tokens", "_terms"), rank))
     chosen = F.array_sort(
         F.transform(
-            F.slice("_ranked", 1, EVIDENCE_LINES),
+            _first(F.col("_ranked"), most_lines),
             lambda l: F.struct(l["index"].alias("index"), l["line"].alias("line")),
         )
     )
     joined = F.array_join(F.transform(chosen, lambda l: l["line"]), "\n")
     return ranked.select(
         *keep,
-        F.least(F.size("_ranked"), F.lit(EVIDENCE_LINES)).alias("lines"),
-        F.when(F.size("_ranked") > 0, cap(joined, EVIDENCE_CHARS))
-        .otherwise(cap(F.col("p.resume_text"), RESUME_HEAD_CHARS))
+        F.size(_first(F.col("_ranked"), most_lines)).alias("lines"),
+        F.when(F.size("_ranked") > 0, _capped(joined, most_chars))
+        .otherwise(_capped(F.col("p.resume_text"), head_chars))
         .alias("evidence"),
         "p",
     )
 
 
-def evaluation_requests(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
+def evaluation_requests(
+    jobs: DataFrame,
+    profiles: DataFrame,
+    most_lines: int | None = None,
+    most_chars: int | None = None,
+    head_chars: int | None = None,
+    job_chars: int | None = None,
+) -> DataFrame:
     """One JSON request per job for an external scorer; jobs that a hard constraint rules out
-    are not sent."""
+    are not sent. The limits of a scorer, if it has any, are the caller's."""
     kept = ("job_id", "content_fingerprint", "title", "locations", "employment_type", "description_text")
     text = fold(job_text(F.col("title"), F.col("locations"), F.col("description_text")))
-    evidence = resume_evidence(jobs, profiles, kept)
+    evidence = resume_evidence(jobs, profiles, kept, most_lines, most_chars, head_chars)
     reasons = let(
         text, lambda t: hard_reasons(t, F.col("p.excluded"), F.col("p.remote_preference"))
     )
@@ -397,7 +418,7 @@ def evaluation_requests(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     )
     job_slice = F.struct(
         "title", "locations", "employment_type",
-        cap(F.coalesce("description_text", F.lit("")), JOB_TEXT_CHARS).alias("description"),
+        _capped(F.coalesce("description_text", F.lit("")), job_chars).alias("description"),
     )
     payload = F.to_json(
         F.struct(profile_slice.alias("profile"), job_slice.alias("job")),
@@ -417,17 +438,17 @@ def evaluation_requests(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
 _RESPONSE_KEYS = ("evidence", "gaps", "overall_score", "resume_score", "role_score")
 
 
-def parse_evaluation(body: Column) -> Column:
+def parse_evaluation(body: Column, listed: int | None = None) -> Column:
     """A response as a struct, or null unless it is an object with exactly the expected keys,
-    whole scores from 0 to 100 and text lists."""
+    whole scores from 0 to 100 (``80.0`` is whole) and text lists."""
     v = F.try_parse_json(body)
     keys = F.array_sort(F.json_object_keys(body))
 
     def score(name: str) -> Column:
         field = F.try_variant_get(v, f"$.{name}", "variant")
-        whole = F.schema_of_variant(field) == "BIGINT"
-        value = F.try_variant_get(field, "$", "int")
-        return F.when(whole & value.between(0, 100), value)
+        number = F.schema_of_variant(field).rlike("^(BIGINT|DECIMAL|DOUBLE)")
+        value = F.try_variant_get(field, "$", "double")
+        return F.when(number & (value == F.floor(value)) & value.between(0, 100), value.cast("int"))
 
     def texts(name: str) -> Column:
         field = F.try_variant_get(v, f"$.{name}", "variant")
@@ -449,21 +470,25 @@ def parse_evaluation(body: Column) -> Column:
         valid,
         F.struct(
             overall.alias("score"), role.alias("role_score"), resume.alias("resume_score"),
-            F.slice(evidence, 1, LISTED_RESPONSES).alias("evidence"),
-            F.slice(gaps, 1, LISTED_RESPONSES).alias("gaps"),
+            _first(evidence, listed).alias("evidence"),
+            _first(gaps, listed).alias("gaps"),
         ),
     )
 
 
 def merge_evaluations(local: DataFrame, responses: DataFrame) -> DataFrame:
-    """Replace local scores by a valid external response (``job_id, content_fingerprint,
-    body``); a bad or missing one leaves the local row with an error text. Rows a hard constraint
-    rules out keep the local result."""
-    parsed = responses.select(
-        "job_id", "content_fingerprint", F.lit(True).alias("_answered"),
-        parse_evaluation(F.col("body")).alias("_r"),
-    )
-    joined = local.join(parsed, ["job_id", "content_fingerprint"], "left")
+    """Replace local scores by a valid external response (the memo key, ``answered_at``, ``body``);
+    a bad or missing one leaves the local row with an error text. Of several answers to a request the
+    latest counts (of equally late ones the greater body); answers to another profile version, content
+    or matcher do not. Rows a hard constraint rules out keep the local result."""
+    latest = responses.groupBy(*MEMO_KEY).agg(
+        F.max(F.struct("answered_at", "body")).alias("_last")
+    )
+    parsed = latest.select(
+        *MEMO_KEY, F.lit(True).alias("_answered"),
+        parse_evaluation(F.col("_last.body")).alias("_r"),
+    )
+    joined = local.join(parsed, list(MEMO_KEY), "left")
     use = F.col("hard_constraint_pass") & F.col("_r").isNotNull()
     error = F.when(~F.col("hard_constraint_pass"), F.col("error")).when(
         F.col("_answered").isNull(), "External evaluation unavailable (missing); local fallback used"

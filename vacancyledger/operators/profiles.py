@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_ws
 from .windows import with_previous, with_running_sums
 
-MAX_DOCUMENT_CHARS = 10 * 1024 * 1024
-
 
 def profile_versions(patches: DataFrame, chunk: Column) -> DataFrame:
     """Version of a profile after every patch: 1, plus one for each patch so far that changed
@@ -48,20 +46,22 @@ def user_state_latest(patches: DataFrame) -> DataFrame:
     )
 
 
-def assemble_pages(pages: DataFrame, max_chars: int = MAX_DOCUMENT_CHARS) -> DataFrame:
+def assemble_pages(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """One text per document from its page texts: pages stripped, blank ones dropped, joined by
     a blank line, NUL removed.
 
-    Documents above the upload limit are rejected, as are empty ones. Sizes are summed first, so
-    that only documents within the limit are ever gathered in one row.
+    Empty documents are rejected, and so are those above ``max_chars`` where the caller sets a limit;
+    sizes are summed first, so that only documents within it are gathered in one row. Documents too
+    large for a row stay in ordered page rows (``document_pages``).
     """
+    too_large = F.lit(False) if max_chars is None else F.col("chars") > max_chars
     stripped = pages.select("doc_id", "page", strip_ws(F.col("text")).alias("text"))
     usable = stripped.where(F.length("text") > 0)
     sizes = stripped.groupBy("doc_id").agg(
         F.sum(F.length("text").cast("long")).alias("chars"),
         F.sum((F.length("text") > 0).cast("long")).alias("pages"),
     )
-    small = sizes.where((F.col("chars") <= max_chars) & (F.col("pages") > 0))
+    small = sizes.where(~too_large & (F.col("pages") > 0))
     texts = (
         usable.join(small.select("doc_id"), "doc_id", "left_semi")
         .groupBy("doc_id")
@@ -78,10 +78,17 @@ def assemble_pages(pages: DataFrame, max_chars: int = MAX_DOCUMENT_CHARS) -> Dat
     )
     joined = sizes.join(texts, "doc_id", "left")
     error = (
-        F.when(F.col("chars") > max_chars, "document_too_large")
+        F.when(too_large, "document_too_large")
         .when(F.coalesce(F.length("text"), F.lit(0)) == 0, "no_selectable_text")
     )
     return joined.select(
         "doc_id", "pages",
         F.when(F.length("text") > 0, F.col("text")).alias("text"), error.alias("error_code"),
     )
+
+
+def document_pages(pages: DataFrame) -> DataFrame:
+    """The usable pages of each document as rows (doc_id, page, text), stripped and without NUL: the
+    form for documents of any size, as nothing is gathered."""
+    text = F.replace(strip_ws(F.col("text")), F.lit("\x00"), F.lit(""))
+    return pages.select("doc_id", "page", text.alias("text")).where(F.length("text") > 0)

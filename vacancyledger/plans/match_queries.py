@@ -134,8 +134,8 @@ def observed_scores(spark, sf_dir):
 
 _SCORES = """SELECT job_id, classification, score, role_score, resume_score, CAST(preference_score AS INTEGER) AS preference_score, pass AS hard_constraint_pass,
     array_to_string(list_concat(CASE WHEN role_score >= 60 THEN ['Title is related to a target or adjacent role (' || role_score || '/100)'] ELSE [] END,
-      CASE WHEN len(found) > 0 THEN ['Job includes preferred terms: ' || array_to_string(found[1:5], ', ')] ELSE [] END), '|') AS evidence,
-    array_to_string(list_concat(list_transform(list_filter(required_terms, lambda t: NOT list_contains(found, t))[1:5], lambda t: 'Preferred term not found: ' || t),
+      CASE WHEN len(found) > 0 THEN ['Job includes preferred terms: ' || array_to_string(found, ', ')] ELSE [] END), '|') AS evidence,
+    array_to_string(list_concat(list_transform(list_filter(required_terms, lambda t: NOT list_contains(found, t)), lambda t: 'Preferred term not found: ' || t),
       CASE WHEN role_score < 45 THEN ['Title has weak overlap with the configured target roles'] ELSE [] END), '|') AS gaps,
     CASE WHEN pass THEN 'fallback' ELSE 'hard_constraint' END AS provider_status FROM scored"""
 SCORES_SQL = sql(_SCORES, "scored")
@@ -174,10 +174,32 @@ def responses(spark, sf_dir):
         .when(k == 4, F.regexp_replace(good, '"resume_score":7', '"resume_score":7.5'))
         .otherwise(good)
     )
-    jobs = derived.jobs(spark, sf_dir).select(
-        F.col("seq").alias("doc_id"), "job_id", "content_fingerprint"
+    body = F.when(k == 5, F.regexp_replace(good, '"resume_score":7', '"resume_score":7.0')).otherwise(body)
+    # Some requests were answered before (another score), some for an older profile version.
+    early = F.regexp_replace(good, '"role_score":[0-9]+', '"role_score":1')
+    day = F.to_timestamp(F.lit("2024-05-01 00:00:00"))
+    answers = F.array(
+        F.struct(day.alias("answered_at"), F.lit(0).alias("_back"), body.alias("body")),
+        F.when(
+            F.col("doc_id") % 5 == 0,
+            F.struct((day - F.expr("interval 1 hour")).alias("answered_at"), F.lit(0).alias("_back"), early.alias("body")),
+        ),
+        F.when(
+            F.col("doc_id") % 7 == 0,
+            F.struct((day + F.expr("interval 1 hour")).alias("answered_at"), F.lit(1).alias("_back"), early.alias("body")),
+        ),
+    )
+    jobs = matching.attach_profile(
+        derived.jobs(spark, sf_dir).select(F.col("seq").alias("doc_id"), "job_id", "content_fingerprint"),
+        derived.profiles(spark, sf_dir),
+    )
+    given = table(spark, sf_dir, "labels").select("doc_id", F.inline(F.array_compact(answers)))
+    return given.join(jobs, "doc_id").select(
+        "doc_id", "job_id", F.col("p.profile_id").alias("profile_id"),
+        (F.col("p.profile_version") - F.col("_back")).alias("profile_version"),
+        "content_fingerprint", F.lit(matching.MATCHER_VERSION).alias("matcher_version"),
+        "answered_at", "body",
     )
-    return table(spark, sf_dir, "labels").select("doc_id", body.alias("body")).join(jobs, "doc_id")
 
 
 def _merged(spark, sf_dir):
@@ -201,9 +223,9 @@ MERGE_SQL = sql(
     f"""SELECT job_id, CASE WHEN NOT used THEN classification WHEN s >= 75 THEN 'strong' WHEN s >= 45 THEN 'possible' ELSE 'irrelevant' END AS classification,
     CASE WHEN used THEN s ELSE score END AS score, CASE WHEN used THEN s ELSE role_score END AS role_score,
     CASE WHEN used THEN 7 ELSE resume_score END AS resume_score,
-    CASE WHEN used THEN 'e0|e1|e2|e3|e4|e5|e6|e7' ELSE array_to_string(list_concat(
+    CASE WHEN used THEN 'e0|e1|e2|e3|e4|e5|e6|e7|e8|e9' ELSE array_to_string(list_concat(
       CASE WHEN role_score >= 60 THEN ['Title is related to a target or adjacent role (' || role_score || '/100)'] ELSE [] END,
-      CASE WHEN len(found) > 0 THEN ['Job includes preferred terms: ' || array_to_string(found[1:5], ', ')] ELSE [] END), '|') END AS evidence,
+      CASE WHEN len(found) > 0 THEN ['Job includes preferred terms: ' || array_to_string(found, ', ')] ELSE [] END), '|') END AS evidence,
     CASE WHEN used THEN 'anthropic' ELSE 'local' END AS provider,
     CASE WHEN used THEN 'success' WHEN pass THEN 'fallback' ELSE 'hard_constraint' END AS provider_status,
     CASE WHEN used OR NOT pass THEN NULL WHEN answered THEN '{_RESPONSE_ERROR.format("invalid")}' ELSE '{_RESPONSE_ERROR.format("missing")}' END AS error FROM merged""",
@@ -242,8 +264,8 @@ EVIDENCE_SQL = sql(
     t AS (SELECT job_id, resume_text, {tokens_sql("title || ' ' || coalesce(description_text, '') || ' ' || array_to_string(target_roles, ' ')")} AS terms FROM m1),
     h AS (SELECT job_id, i, line, len(list_intersect(t.terms, l.t)) AS n FROM t, l),
     r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY n DESC, i) AS rn FROM h WHERE n > 0),
-    g AS (SELECT job_id, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS e FROM r WHERE rn <= 40 GROUP BY 1)
-    SELECT t.job_id, CAST(coalesce(lines, 0) AS INTEGER) AS lines, CASE WHEN lines > 0 THEN substr(e, 1, 6000) ELSE substr(resume_text, 1, 2500) END AS evidence
+    g AS (SELECT job_id, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS e FROM r GROUP BY 1)
+    SELECT t.job_id, CAST(coalesce(lines, 0) AS INTEGER) AS lines, CASE WHEN lines > 0 THEN e ELSE resume_text END AS evidence
     FROM t LEFT JOIN g USING (job_id)""",
     "m1", "prof",
 )
@@ -262,7 +284,7 @@ def evaluation_requests(spark, sf_dir):
 
 
 REQUESTS_SQL = sql(
-    """SELECT job_id, profile_id, version AS profile_version, title, md5(substr(coalesce(description_text, ''), 1, 16000)) AS description_md5,
+    """SELECT job_id, profile_id, version AS profile_version, title, md5(coalesce(description_text, '')) AS description_md5,
     ' Remote ' AS last_term, remote_preference FROM scored WHERE pass""",
     "scored",
 )

@@ -393,7 +393,7 @@ def response_outcome(spark, sf_dir):
 
 
 OUTCOME_SQL = """WITH c AS (SELECT page_id, CASE WHEN page_id % 13 <> 5 THEN [200, 200, 404, 429, 503, 403, 406, 200, 500][page_id % 9 + 1] END AS status,
-      page_id % 9 = 7 OR contains(lower(substr(html, 1, 2000)), 'captcha') AS challenged FROM pages),
+      page_id % 9 = 7 OR contains(lower(html), 'captcha') OR contains(lower(html), 'verify you are human') AS challenged FROM pages),
     o AS (SELECT page_id, CAST(status AS INTEGER) AS status, CASE WHEN status IS NULL THEN 'network_failure' WHEN status IN (429, 503, 500) THEN 'transient_http_failure'
       WHEN status IN (403, 406) THEN 'access_blocked' WHEN status >= 400 THEN 'http_failure' WHEN challenged THEN 'access_blocked' ELSE 'ok' END AS outcome FROM c)
     SELECT page_id, status, outcome, outcome IN ('network_failure', 'transient_http_failure') AS retryable FROM o"""
@@ -537,30 +537,37 @@ OFFSETS_SQL = f"""WITH p AS ({_PAGES_SQL}), n AS (SELECT *, lead(page_offset) OV
 
 
 def crawl_reachability(spark, sf_dir):
-    """Twenty pages to a source; next links forward by one, some by three, some back by two."""
-    p = table(spark, sf_dir, "pages").select("page_id")
-    source = F.floor(F.col("page_id") / 20)
-    steps = F.array(
-        F.when(F.col("page_id") % 11 != 10, F.lit(1)), F.when(F.col("page_id") % 5 == 0, F.lit(3)),
-        F.when(F.col("page_id") % 7 == 3, F.lit(-2)),
-    )
-    links = p.select(
-        source.alias("source_id"), F.col("page_id").alias("url"),
-        F.explode(F.array_compact(steps)).alias("step"),
-    ).withColumn("next_url", F.col("url") + F.col("step")).where(F.floor(F.col("next_url") / 20) == F.col("source_id"))
-    starts = p.where(F.col("page_id") % 20 == 0).select(source.alias("source_id"), F.col("page_id").alias("url"))
+    """Pages of a top-level domain as one site, crawled along the links in their html: a link leads to
+    the first page of the site whose own first link has that target."""
+    p = table(spark, sf_dir, "pages")
+    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    pages = p.select(
+        F.regexp_extract("url", r"^https?://[^/]*\.([a-z]+)[/:?#]", 1).alias("source_id"),
+        F.col("page_id").alias("url"), hrefs.alias("hrefs"),
+    )
+    answers = pages.groupBy("source_id", F.try_element_at("hrefs", F.lit(1)).alias("href")).agg(
+        F.min("url").alias("next_url")
+    )
+    links = pages.select("source_id", "url", F.posexplode("hrefs").alias("position", "href")).join(
+        answers, ["source_id", "href"]
+    )
+    starts = pages.groupBy("source_id").agg(F.min("url").alias("url"))
     _, summary = coverage.crawl_coverage(starts, links, 12)
     return summary
 
 
-CRAWL_SQL = """WITH RECURSIVE ids AS (SELECT page_id AS u, page_id // 20 AS s FROM pages),
-    l AS (SELECT i.s, i.u, i.u + d.step AS v FROM ids i, (VALUES (1), (3), (-2)) d(step)
-      WHERE (i.u + d.step) // 20 = i.s AND i.u + d.step >= 0 AND CASE d.step WHEN 1 THEN i.u % 11 <> 10 WHEN 3 THEN i.u % 5 = 0 ELSE i.u % 7 = 3 END),
-    r(s, u, depth) AS (SELECT s, u, 0 FROM ids WHERE u % 20 = 0 UNION SELECT l.s, l.v, r.depth + 1 FROM r JOIN l ON l.s = r.s AND l.u = r.u WHERE r.depth < 12),
-    v AS (SELECT s, u, min(depth) AS depth FROM r GROUP BY ALL),
-    lo AS (SELECT l.s, count(*) AS n FROM l JOIN v a ON a.s = l.s AND a.u = l.u JOIN v b ON b.s = l.s AND b.u = l.v WHERE b.depth <= a.depth GROUP BY 1)
-    SELECT v.s AS source_id, count(*) AS reachable, CAST(least(count(*), 12) AS BIGINT) AS visited, coalesce(any_value(lo.n), 0) AS loop_links, count(*) > 12 AS page_limit_reached
-    FROM v LEFT JOIN lo ON lo.s = v.s GROUP BY v.s"""
+CRAWL_SQL = r"""WITH RECURSIVE pg AS (SELECT page_id AS u, regexp_extract(url, '^https?://[^/]*\.([a-z]+)[/:?#]', 1) AS s, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages),
+    an AS (SELECT s, h[1] AS href, min(u) AS v FROM pg WHERE len(h) > 0 GROUP BY ALL),
+    x AS (SELECT s, u, unnest(h) AS href, generate_subscripts(h, 1) AS pos FROM pg),
+    l AS (SELECT x.s, x.u, an.v, min(pos) AS pos FROM x JOIN an ON an.s = x.s AND an.href = x.href GROUP BY ALL),
+    r(s, u, depth, path) USING KEY (s, u) AS (
+      SELECT s, min(u), 0, []::BIGINT[] FROM pg GROUP BY s
+      UNION SELECT l.s, l.v, min(r.depth) + 1, min(list_append(r.path, l.pos)) FROM r JOIN l ON l.s = r.s AND l.u = r.u
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.s = l.s AND k.u = l.v) GROUP BY l.s, l.v),
+    lo AS (SELECT l.s, count(*) AS n FROM l JOIN r a ON a.s = l.s AND a.u = l.u JOIN r b ON b.s = l.s AND b.u = l.v
+      WHERE b.depth < a.depth OR b.depth = a.depth AND b.path <= a.path GROUP BY 1)
+    SELECT r.s AS source_id, count(*) AS reachable, CAST(least(count(*), 12) AS BIGINT) AS visited, coalesce(any_value(lo.n), 0) AS loop_links, count(*) > 12 AS page_limit_reached
+    FROM r LEFT JOIN lo ON lo.s = r.s GROUP BY r.s"""
 
 
 def _facet_tables(spark, sf_dir):

@@ -221,8 +221,7 @@ def warning_counts(spark, sf_dir):
         "scan_run_id", "url", F.lit(1).cast("long").alias("n"), F.lit("robots_unavailable").alias("code")
     )
     rows = off_host.unionByName(unsafe).unionByName(robots)
-    single = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return coverage.warning_counts(single.drop("_i", "n"))
+    return coverage.warning_counts(rows)
 
 
 WARNING_SQL = r"""WITH base AS (

@@ -6,8 +6,6 @@ executors and shuffle width stay with whoever submits the application.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
@@ -35,15 +33,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for lineage cuts: the one the cluster names, else a local test folder."""
+    """Directory for lineage cuts: the one ``spark.checkpoint.dir`` names; where that is unset (tests),
+    a folder in the session's warehouse, which driver and executors share as well."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
+    if current := sc.getCheckpointDir():
         return current
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="vacancyledger-ckpt-")
-    sc.setCheckpointDir(configured)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()

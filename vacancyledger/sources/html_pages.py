@@ -12,22 +12,28 @@ from ..functions.urls import (
 from ..operators.access import client_link_allowed, same_https_host, safe_api, safe_embed
 
 _HIDDEN = r"(?s)<!--.*?-->|(?i)<(script|style|template)\b[^>]*>.*?</\1\s*>"
-_ANCHOR = r"(?is)<a\s[^>]*>.*?(?=</a\s*>|<a\s|\z)"
-_OPEN = r"(?is)^<a\s([^>]*)>"
-_INNER = r"(?is)^<a\s[^>]*>(.*)$"
+# The inside of a start tag up to its end: a ">" in quotes does not end it, unless a quote is left open.
+_INSIDE = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*)"""
+_ANCHOR = rf"(?is)<a\s{_INSIDE}>.*?(?=</a\s*>|<a\s|\z)"
+_OPEN = rf"(?is)^<a\s({_INSIDE})>"
+_INNER = rf"(?is)^<a\s{_INSIDE}>(.*)$"
+_ATTRIBUTE = r"""(?s)([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Raw value of an attribute in the inside of a start tag; null when it is absent."""
-    pattern = rf"""(?is)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    found = F.regexp_extract_all(tag, F.lit(pattern), 1)
-    return F.regexp_replace(F.get(found, F.lit(0)), r"""(?s)^(["'])(.*)\1$""", "$2")
+    """Raw value of an attribute in the inside of a start tag; null when it is absent or bare.
+    Attributes are read one after the other, so text in another one's value is not taken for one."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 1), F.lower)
+    values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 2)
+    at = F.array_position(names, name).cast("int")
+    found = F.when(at > 0, F.get(values, at - 1))
+    return F.when(found != "", F.regexp_replace(found, r"""(?s)^(["'])(.*)\1$""", "$2"))
 
 
 def start_tag(html: Column, tag: str) -> Column:
     """Insides of the start tags of an element, in page order."""
     visible = F.regexp_replace(html, _HIDDEN, " ")
-    return F.regexp_extract_all(visible, F.lit(rf"(?is)<{tag}\s([^>]*)>"), 1)
+    return F.regexp_extract_all(visible, F.lit(rf"(?is)<{tag}\s({_INSIDE})>"), 1)
 
 
 def anchors(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -14,37 +14,37 @@ from ..operators.matching import MEMO_KEY
 
 
 def write_observations(observations: DataFrame, path: str, batch: str) -> None:
-    """Append the observations of a batch of scans. The batch is part of the path, so writing
-    it again replaces its own rows and nothing else."""
-    rows = observations.withColumn("batch", F.lit(batch)).withColumn(
-        "observed_date", F.to_date("observed_at")
-    )
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "batch", "observed_date"
-    ).parquet(path)
-
-
-def write_matches(
-    spark: SparkSession, matches: DataFrame, path: str, batch: str
-) -> None:
-    """Append match results whose memo key is not stored yet."""
+    """Append the observations of a batch of scans. The batch has a folder of its own, so writing
+    it again, whatever the dates, replaces its own rows and nothing else."""
+    rows = observations.withColumn("observed_date", F.to_date("observed_at"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+        "observed_date"
+    ).parquet(f"{path}/batch={batch}")
+
+
+def write_matches(spark: SparkSession, matches: DataFrame, path: str) -> None:
+    """Append match results whose memo key is not stored yet. Nothing stored is replaced, so a
+    batch that arrives again, under whatever number, adds only what it lacks."""
     stored = read_or_none(spark, path)
-    fresh = matches
-    if stored is not None:
-        others = stored.where(F.col("batch") != batch).select(*MEMO_KEY)
-        fresh = matches.join(others, list(MEMO_KEY), "left_anti")
-    fresh.withColumn("batch", F.lit(batch)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch").parquet(path)
+    keys = list(MEMO_KEY)
+    fresh = matches if stored is None else matches.join(stored.select(*keys), keys, "left_anti")
+    fresh.write.mode("append").parquet(path)
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def _or_none(read):
+    """The table, or None if its path does not exist; any other error is one."""
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    return _or_none(lambda: spark.read.parquet(path))
+
+
 def write_snapshot(df: DataFrame, root: str, version: int, name: str = "jobs") -> None:
     """Write one version of a table below ``root`` and then point to it."""
     spark = df.sparkSession
@@ -55,11 +55,9 @@ def write_snapshot(df: DataFrame, root: str, version: int, name: str = "jobs") -
 
 
 def snapshot_version(spark: SparkSession, root: str, name: str = "jobs") -> int | None:
-    try:
-        pointer = spark.read.schema("version int").json(f"{root}/{name}_pointer")
-    except AnalysisException:
-        return None
-    return pointer.agg(F.max("version")).first()[0]
+    reader = spark.read.schema("version int")
+    pointer = _or_none(lambda: reader.json(f"{root}/{name}_pointer"))
+    return None if pointer is None else pointer.agg(F.max("version")).first()[0]
 
 
 def read_snapshot(

@@ -1,8 +1,9 @@
 """Folds kept as versioned tables, updated per micro-batch.
 
-Each function returns a ``foreachBatch`` handler. A version is written once per batch and a
-batch that was already written is skipped, so a replay after a lost executor or driver changes
-nothing.
+Each function returns a ``foreachBatch`` handler. Versions count on from the one in force, and what a
+batch adds is decided by its rows (scans applied before, later patches, results stored before), never by
+its number, which starts anew with a new checkpoint. So a batch that arrives again after a lost
+executor, driver or checkpoint changes nothing, and none is left out.
 """
 
 from __future__ import annotations
@@ -22,11 +23,6 @@ from ..sources import sinks, tables
 Handler = Callable[[DataFrame, int], None]
 
 
-def _already_written(spark: SparkSession, root: str, name: str, batch_id: int) -> bool:
-    version = sinks.snapshot_version(spark, root, name)
-    return version is not None and version >= batch_id
-
-
 def _previous(
     spark: SparkSession, root: str, name: str, empty: DataFrame, version: int | None
 ) -> DataFrame:
@@ -38,13 +34,13 @@ def apply_scans(root: str, observations: Callable[[SparkSession], DataFrame]) ->
 
     ``observations`` gives the stored observation table; a scan's rows are there before its
     completion record. Scans of one source are applied in order: round n applies the n-th open
-    scan of every source at once, so rounds count the backlog of a source, not the sources.
+    scan of every source at once, so rounds count the backlog of a source, not the sources. A scan
+    that arrives after a later one of its source was applied makes that source's jobs anew, from all
+    its scans in order; other sources are not touched.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if _already_written(spark, root, "jobs", batch_id):
-            return
         ensure_checkpoint_dir(spark)
         # The log that belongs to the job version in force; a log written by a batch that then
         # failed is not looked at.
@@ -57,10 +53,16 @@ def apply_scans(root: str, observations: Callable[[SparkSession], DataFrame]) ->
         fresh = usable.dropDuplicates(["scan_run_id"]).join(
             applied.select("scan_run_id"), "scan_run_id", "left_anti"
         ).select(*columns)
+        fresh = fresh.checkpoint()
         history = applied.unionByName(fresh)
-        flagged = initial_import(history).join(
-            fresh.select("scan_run_id"), "scan_run_id", "left_semi"
-        )
+        newest = applied.groupBy("source_id").agg(F.max("scan_seq").alias("_newest"))
+        late = fresh.join(newest, "source_id").where(F.col("scan_seq") < F.col("_newest"))
+        late = late.select("source_id").distinct().checkpoint()
+        todo = fresh.select("scan_run_id")
+        if not late.isEmpty():
+            again = history.join(late, "source_id", "left_semi").select("scan_run_id")
+            todo = todo.union(again).distinct()
+        flagged = initial_import(history).join(todo, "scan_run_id", "left_semi")
         order = Window.partitionBy("source_id").orderBy("scan_seq", "scan_run_id")
         rounds = flagged.select(
             "source_id", "scan_run_id", "scan_seq", "complete",
@@ -69,14 +71,16 @@ def apply_scans(root: str, observations: Callable[[SparkSession], DataFrame]) ->
             F.row_number().over(order).alias("_round"),
         ).checkpoint()
         jobs = _previous(spark, root, "jobs", tables.empty(spark, "jobs"), version)
+        jobs = jobs.join(late, "source_id", "left_anti")
         last = rounds.agg(F.max("_round")).first()[0] or 0
         for number in range(1, last + 1):
             step = rounds.where(F.col("_round") == number)
             jobs, _ = reconcile(jobs, observations(spark), step)
             # The next round reads this one twice; cut here so that no round is recomputed.
             jobs = jobs.checkpoint()
-        sinks.write_snapshot(history, root, batch_id, "applied_scans")
-        sinks.write_snapshot(jobs, root, batch_id, "jobs")
+        following = (version or 0) + 1
+        sinks.write_snapshot(history, root, following, "applied_scans")
+        sinks.write_snapshot(jobs, root, following, "jobs")
 
     return handle
 
@@ -102,8 +106,6 @@ def fold_user_states(root: str) -> Handler:
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if _already_written(spark, root, "user_states", batch_id):
-            return
         version = sinks.snapshot_version(spark, root, "user_states")
         old = _previous(spark, root, "user_states", spark.createDataFrame([], _STATE), version)
         patches = _as_patches(old).unionByName(
@@ -118,7 +120,9 @@ def fold_user_states(root: str) -> Handler:
                 best["v"].alias(name), best["at"]["ts"].alias(f"{name}_ts"),
                 best["at"]["seq"].alias(f"{name}_seq"),
             ]
-        sinks.write_snapshot(patches.groupBy("job_id").agg(*picks), root, batch_id, "user_states")
+        sinks.write_snapshot(
+            patches.groupBy("job_id").agg(*picks), root, (version or 0) + 1, "user_states"
+        )
 
     return handle
 
@@ -137,13 +141,11 @@ def match_arrivals(root: str, profiles: Callable[[SparkSession], DataFrame]) ->
         spark = batch.sparkSession
         path = f"{root}/matches"
         stored = sinks.read_or_none(spark, path)
-        if stored is None:
-            stored = tables.empty(spark, "matches")
-        else:
-            stored = stored.where(F.col("batch") != str(batch_id))
         jobs = matchable_jobs(batch.dropDuplicates(["job_id", "content_fingerprint"]))
         current = profiles(spark)
-        misses = match_cache_misses(jobs, current, stored)
-        sinks.write_matches(spark, local_scores(misses, current), path, str(batch_id))
+        empty = tables.empty(spark, "matches")
+        misses = match_cache_misses(jobs, current, empty if stored is None else stored)
+        # Misses are not stored yet, so they are appended without another look.
+        local_scores(misses, current).write.mode("append").parquet(path)
 
     return handle

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.health import STALE_AFTER_SECONDS, scan_intervals
@@ -70,17 +70,31 @@ def stream_lifecycle(rows: DataFrame, buckets: int = 64) -> DataFrame:
 
 
 def stream_scan_intervals(scans: DataFrame, late: str = "6 hours") -> DataFrame:
-    """Scans per source and six-hour interval; an interval is final one interval later."""
+    """Scans per source and six-hour interval; an interval is final ``late`` after its end. Rows later
+    than that are counted, see ``dropped_as_late``."""
     return scan_intervals(scans.withWatermark("finished_at", late))
 
 
+def dropped_as_late(query: StreamingQuery) -> int:
+    """Rows that the recent batches of a query dropped because they came after its watermark."""
+    return sum(
+        int(operator["numRowsDroppedByWatermark"])
+        for progress in query.recentProgress
+        for operator in progress["stateOperators"]
+    )
+
+
 _STALE = "scan_run_id string, started_at timestamp, stale_at timestamp"
 
 
-def stream_stale_runs(events: DataFrame, stale_after: int = STALE_AFTER_SECONDS) -> DataFrame:
+def stream_stale_runs(
+    events: DataFrame, stale_after: int = STALE_AFTER_SECONDS, late: str = "6 hours"
+) -> DataFrame:
     """Scans that were started and not finished within the limit, by event time.
 
-    ``events``: scan_run_id, ts, kind (started or finished).
+    ``events``: scan_run_id, ts, kind (started or finished). A scan is reported once events of its
+    limit may be ``late`` no longer, so that a finish that arrives late still counts; rows later than
+    that are counted, see ``dropped_as_late``.
     """
 
     def watch(
@@ -111,7 +125,7 @@ def stream_stale_runs(events: DataFrame, stale_after: int = STALE_AFTER_SECONDS)
             due = started // 1_000 + stale_after * 1_000
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
-    timed = events.withWatermark("ts", "0 seconds")
+    timed = events.withWatermark("ts", late)
     return timed.groupBy("scan_run_id").applyInPandasWithState(
         watch, _STALE, "started bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
