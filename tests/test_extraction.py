@@ -185,6 +185,86 @@ def test_all_platforms_union(spark):
     assert (row.title, row.identity_key, row.description_text, row.locations) == ("A B", "external:7", "d", [])
 
 
+def scan_of(spark, rows, robots=None, config=None, platform="happydance"):
+    """extract_scans over (kind, url, status, body) rows of one scan."""
+    data = [("s", "r", i, *row[:3], row[3]) for i, row in enumerate(rows)]
+    schema = "source_id string, scan_run_id string, seq bigint, kind string, url string, status int, body string"
+    sources = spark.createDataFrame(
+        [("s", "https://careers.box.com/en/jobs", "paginated_html_jsonld", platform, config)],
+        "source_id string, url string, connector_type string, platform string, config map<string,string>",
+    )
+    files = None if robots is None else spark.createDataFrame([("https://careers.box.com", robots)], "origin string, body string")
+    return extractors.extract_scans(spark.createDataFrame(data, schema), sources, files)
+
+
+SITE = "https://careers.box.com/en/jobs"
+
+
+def test_scan_outcomes(spark):
+    links = "".join(f'<a href="/en/jobs/{i}">j</a>' for i in range(1, 7))
+    page = links + '<nav><a href="/en/jobs?page=1">1</a><a href="/en/jobs?page=2">2</a></nav><a href="https://o.example/en/jobs/9">x</a>'
+    good = ld(json.dumps(posting()))
+    got = scan_of(spark, [
+        ("listing", SITE, 200, page), ("listing", SITE + "?page=2", 200, page), ("detail", SITE + "/1", 200, good),
+        ("detail", SITE + "/2", 403, good), ("detail", SITE + "/3", 200, "<p>"), ("detail", SITE + "/4", None, good),
+        ("detail", SITE + "/5", 200, good), ("detail", SITE + "/5", 503, good),
+    ])
+    assert {r.key[-1]: r.error_code for r in got.details.collect()} == {
+        "1": None, "2": "access_blocked", "3": "missing_jsonld", "4": "network_failure", "5": None, "6": "detail_not_captured",
+    }
+    assert sorted(r.canonical_url[-1] for r in got.postings.collect()) == ["1", "5"]
+    (scan,) = got.scans.collect()
+    assert (scan.pages_visited, scan.listed, scan.usable, scan.complete, scan.status, scan.error_code) == (8, 6, 2, False, "partial", None)
+    warned = {(r.code, r.url): r.n for r in got.warnings.collect()}
+    assert warned["off_host_links_ignored", SITE] == 1 and warned["pagination_loop", SITE + "?page=2"] == 1
+    assert ("access_blocked", SITE + "/2") in warned
+
+
+def test_refused_and_empty_listings_fail_the_scan(spark):
+    good = ld(json.dumps(posting()))
+    rows = [("listing", SITE, 429, "x"), ("detail", SITE + "/1", 200, good)]
+    assert scan_of(spark, rows).scans.first().error_code == "transient_http_failure"
+    assert scan_of(spark, [("listing", SITE, 200, "<p>")]).scans.first().error_code == "zero_results"
+    listing = ("listing", SITE, 200, '<a href="/en/jobs/1">j</a>')
+    failed = scan_of(spark, [listing, ("detail", SITE + "/1", 200, "<p>")]).scans.first()
+    assert (failed.status, failed.error_code) == ("failed", "detail_extraction_failure")
+    full = scan_of(spark, [listing, ("detail", SITE + "/1", 200, good)]).scans.first()
+    assert (full.status, full.complete, full.pages_visited) == ("success", True, 2)
+    barred = scan_of(spark, [listing, ("detail", SITE + "/1", 200, good)], robots="User-agent: *\nDisallow: /en/jobs/1\n")
+    assert [r.error_code for r in barred.details.collect()] == ["robots_disallowed"] and barred.postings.count() == 0
+
+
+def test_settings_of_a_source_override_the_site(spark):
+    listing = ("listing", SITE, 200, '<a href="/en/jobs/1">j</a>')
+    detail = ("detail", SITE + "/1", 200, ld(json.dumps(posting())))
+    assert scan_of(spark, [listing, detail], config={"allowed_paths": "/fr, /en"}).scans.first().listed == 1
+    assert scan_of(spark, [listing, detail], config={"allowed_paths": "/fr"}).scans.first().listed == 0
+
+
+def test_sites_follow_their_own_page_links(spark):
+    page = '<a class="x paginationItem" href="?p=2">2</a><nav id="n"><a href="?page=3">3</a></nav><a href="?page=4">4</a>'
+    links = html_pages.anchors(captures(spark, [("listing", SITE, page)], SITE))
+
+    def nexts(also):
+        found, _ = html_pages.extract_next_links(links, F.lit(SITE), F.array(F.lit("/en/jobs")), also)
+        return sorted(r.next_url[-1] for r in found.collect())
+
+    assert nexts(None) == [] and nexts(html_pages.paging_item(links)) == ["2"] and nexts(html_pages.nav_page(links)) == ["3"]
+    assert [r.position for r in links.orderBy("position").collect()] == [0, 1, 2]
+
+
+def test_landed_captures_are_read_by_platform_and_kind(spark, tmp_path):
+    rows = [("s", "r", 0, "listing", SITE, 200, '<a href="/en/jobs/1">j</a>'), ("s", "r", 1, "detail", SITE + "/1", 200, ld(json.dumps(posting())))]
+    df = spark.createDataFrame(rows, "source_id string, scan_run_id string, seq bigint, kind string, url string, status int, body string")
+    sources = spark.createDataFrame([("s", SITE, "paginated_html_jsonld", "happydance")], "source_id string, url string, connector_type string, platform string")
+    extractors.land_captures(df, sources, str(tmp_path / "landed"))
+    landed = spark.read.parquet(str(tmp_path / "landed"))
+    out = extractors.extract_postings(landed, sources)
+    assert out.count() == 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(kind") + plan.count("PartitionFilters: [(kind") + plan.count("kind#") > 0
+
+
 def test_fingerprint_ignores_what_is_not_content(spark):
     schema = "external_id string, url string, title string, locations array<string>, employment_type string, posted_date date, description_html string, metadata map<string,string>"
     base = ("1", "https://e/1", "T", ["b", "a", " a "], "F", DAY, "<p>x</p>", {"source": "s", "junk": "j"})

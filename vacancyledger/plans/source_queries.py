@@ -355,6 +355,72 @@ NEXT_SQL = """SELECT CAST(page_id AS VARCHAR) AS scan_run_id, 'https://h.example
     UNION ALL SELECT CAST(page_id AS VARCHAR), 'https://e.example/careers?start=' || (page_id % 40 * 10 + 10) FROM pages WHERE page_id % 11 = 10 AND page_id % 9 <> 4"""
 
 
+def _scan_result(spark, sf_dir):
+    """A scan per source: listing pages of up to a thousand documents and their job pages. Some job
+    pages were refused, not read or hold no posting; some listing pages lead back to themselves or off the
+    host; the first listing page of one source was refused."""
+    d = _documents(spark, sf_dir).withColumn("block", F.floor(F.col("doc_id") / 1000))
+    root, n = "https://jobs.veralto.com/global/en/", F.col("block").cast("string")
+    posting = F.to_json(
+        F.struct(
+            F.lit("JobPosting").alias("@type"), F.struct(doc_id().alias("value")).alias("identifier"), "title",
+            F.col("text").alias("description"),
+        )
+    )
+    script = F.concat(F.lit('<script type="application/ld+json">'), F.replace(posting, F.lit("</"), F.lit("<\\/")), F.lit("</script>"))
+    details = d.where(F.col("doc_id") % 19 != 4).select(
+        "source_id", "scan_run_id", F.col("doc_id").alias("seq"), F.lit("detail").alias("kind"),
+        F.concat(F.lit(root + "job/"), doc_id()).alias("url"),
+        F.when(F.col("doc_id") % 11 == 3, 403).when(F.col("doc_id") % 13 == 7, 503).otherwise(200).alias("status"),
+        F.when(F.col("doc_id") % 17 == 2, "<p>gone</p>").otherwise(script).alias("body"),
+    )
+    link = F.concat(F.lit('<a href="/global/en/job/'), doc_id(), F.lit('">x</a>'))
+    pages = d.groupBy("source_id", "scan_run_id", "block").agg(F.array_join(F.collect_list(link), "").alias("links"))
+    loop = F.when(F.col("block") % 3 == 1, F.concat(F.lit('<a class="paginationItem" href="list?p='), n, F.lit('">n</a>'))).otherwise("")
+    off = F.when(F.col("block") % 4 == 2, '<a href="https://evil.example/global/en/job/1">x</a>').otherwise("")
+    listing = pages.select(
+        "source_id", "scan_run_id", F.col("block").alias("seq"), F.lit("listing").alias("kind"),
+        F.concat(F.lit(root + "list?p="), n).alias("url"),
+        F.when((F.col("source_id") == "src5") & (F.col("block") == 0), 403).otherwise(200).alias("status"),
+        F.concat("links", loop, off).alias("body"),
+    )
+    sources = d.select("source_id").distinct().select(
+        "source_id", F.lit(root).alias("url"), F.lit("paginated_html_jsonld").alias("connector_type"),
+        F.lit("phenom").alias("platform"),
+    )
+    return extractors.extract_scans(listing.unionByName(details), sources)
+
+
+def extract_outcomes(spark, sf_dir):
+    """What became of every listed posting: the posting's text, or why there is none."""
+    found = _scan_result(spark, sf_dir)
+    posting = found.postings.select(
+        "scan_run_id", F.concat(F.lit("https://jobs.veralto.com/global/en/job/"), "external_id").alias("key"),
+        "title", F.md5("description_html").alias("html_md5"),
+    )
+    return found.details.join(posting, ["scan_run_id", "key"], "left")
+
+
+def scan_result(spark, sf_dir):
+    return _scan_result(spark, sf_dir).scans
+
+
+_SCAN_CTES = """WITH d AS (SELECT doc_id, source, doc_id // 1000 AS block, text, CASE WHEN doc_id % 19 = 4 THEN 'detail_not_captured' WHEN doc_id % 11 = 3 THEN 'access_blocked'
+      WHEN doc_id % 13 = 7 THEN 'transient_http_failure' WHEN contains(lower(text), 'captcha') OR contains(lower(text), 'verify you are human') THEN 'access_blocked'
+      WHEN doc_id % 17 = 2 THEN 'missing_jsonld' END AS error_code FROM documents),
+    l AS (SELECT * FROM d WHERE NOT (source = 'src5' AND block = 0))"""
+OUTCOMES_SQL = f"""{_SCAN_CTES} SELECT 'scan-' || source AS scan_run_id, 'https://jobs.veralto.com/global/en/job/' || doc_id AS key, error_code,
+    CASE WHEN error_code IS NULL THEN 'Rôle ' || doc_id END AS title, CASE WHEN error_code IS NULL THEN md5(text) END AS html_md5 FROM l"""
+SCAN_SQL = f"""{_SCAN_CTES}, p AS (SELECT source, count(DISTINCT block) FILTER (WHERE NOT (source = 'src5' AND block = 0)) AS pages, bool_or(source = 'src5' AND block = 0) AS refused,
+      count(DISTINCT block) FILTER (WHERE block % 3 = 1) AS loops, count(DISTINCT block) FILTER (WHERE block % 4 = 2) AS off FROM d GROUP BY 1),
+    c AS (SELECT p.*, count(l.doc_id) AS listed, count(l.doc_id) FILTER (WHERE l.error_code IS NULL) AS usable FROM p LEFT JOIN l ON l.source = p.source GROUP BY ALL),
+    e AS (SELECT *, CASE WHEN refused THEN 'access_blocked' WHEN listed = 0 THEN 'zero_results' WHEN usable = 0 THEN 'detail_extraction_failure' END AS error_code FROM c),
+    f AS (SELECT *, error_code IS NULL AND listed = usable AND loops = 0 AS complete, listed - usable + loops + off AS w FROM e)
+    SELECT source AS source_id, 'scan-' || source AS scan_run_id, pages + listed AS pages_visited, listed, usable, complete, error_code,
+    w + CASE WHEN error_code IS NULL AND NOT complete THEN 1 ELSE 0 END AS warnings,
+    CASE WHEN error_code IS NOT NULL THEN 'failed' WHEN NOT complete THEN 'partial' WHEN w > 0 THEN 'success_with_warnings' ELSE 'success' END AS status FROM f"""
+
+
 def valid_items(spark, sf_dir):
     """Listing entries without an id or title or off the host, counted per source."""
     d = _documents(spark, sf_dir)
@@ -704,6 +770,8 @@ QUERIES = {
     "ats_o_roundtrip": (ats_o_roundtrip, ATS_O_SQL),
     "ats_html_roundtrip": (ats_html_roundtrip, ATS_HTML_SQL),
     "ats_a_roundtrip": (ats_a_roundtrip, ATS_A_SQL),
+    "extract_outcomes": (extract_outcomes, OUTCOMES_SQL),
+    "scan_result": (scan_result, SCAN_SQL),
     "repeated_listing_pages": (repeated_listing_pages, REPEATED_SQL),
     "generated_next_pages": (generated_next_pages, NEXT_SQL),
     "valid_items": (valid_items, VALID_SQL),

@@ -1,15 +1,18 @@
-"""One extraction plan per platform, all ending in the raw posting columns."""
+"""Extraction of landed captures: postings, and what became of every page of a scan."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import split_list
 from ..functions.urls import canonicalize_url, query_param
+from ..operators import access, coverage, lifecycle
 from ..operators.normalize import merge_listing_detail, normalize, union_listings
 from ..operators.windows import latest_by
 from . import ats_json, html_fields, html_pages, jsonld
@@ -20,9 +23,18 @@ RAW_COLUMNS = (
 )
 
 
+class Extract(NamedTuple):
+    """What a platform's captures hold. ``key`` names a posting within its scan."""
+
+    postings: DataFrame  # RAW_COLUMNS
+    listed: DataFrame  # scan_run_id, key
+    found: DataFrame  # scan_run_id, key, error_code
+    warnings: DataFrame | None = None  # scan_run_id, code, url, n
+
+
 @dataclass(frozen=True)
 class SiteRules:
-    """Site settings of the HTML platforms, as data."""
+    """Site settings of the HTML platforms, as data; a source's own settings override them."""
 
     platform: str
     allowed_paths: tuple[str, ...]
@@ -31,15 +43,16 @@ class SiteRules:
     embedded_marker: str = ""
     embedded_path: tuple[str, ...] = ()
     detail_template: str = ""
+    #: Links that lead to the next page besides the usual marks.
+    next_links: Callable[[DataFrame], Column] | None = None
 
 
-_DDO = {"embedded_marker": "phApp.ddo =", "embedded_path": ("eagerLoadRefineSearch", "data", "jobs")}
-
 # Paths and patterns of the supported HTML sites.
+_DDO = {"embedded_marker": "phApp.ddo =", "embedded_path": ("eagerLoadRefineSearch", "data", "jobs")}
 SITE_RULES = {
     "phenom": SiteRules(
         "phenom", ("/global/en",), r"/global/en/job/[^/]+(?:/|$)",
-        detail_template="/global/en/job/{id}/{slug}", **_DDO,
+        detail_template="/global/en/job/{id}/{slug}", next_links=html_pages.paging_item, **_DDO,
     ),
     "phenom_kwiktrip": SiteRules(
         "phenom_kwiktrip", ("/us/en",), r"/us/en/job/[^/]+(?:/|$)",
@@ -50,7 +63,9 @@ SITE_RULES = {
         detail_template="/us/en/job/{id}/{slug}", **_DDO,
     ),
     "eightfold": SiteRules("eightfold", ("/careers",), r"/careers/job/(\d+)(?:/|$)", id_group=1),
-    "happydance": SiteRules("happydance", ("/en/jobs",), r"/en/jobs/\d+(?:/|$)"),
+    "happydance": SiteRules(
+        "happydance", ("/en/jobs",), r"/en/jobs/\d+(?:/|$)", next_links=html_pages.nav_page
+    ),
 }
 
 
@@ -58,48 +73,107 @@ def _of_kind(captures: DataFrame, kind: str) -> DataFrame:
     return captures.where(F.col("kind") == kind)
 
 
-def html_jsonld(captures: DataFrame, rules: SiteRules) -> DataFrame:
-    """``captures`` carry ``source_url``; kinds are listing and detail."""
-    pages = _of_kind(captures, "listing")
-    prefixes = F.array(*[F.lit(p) for p in rules.allowed_paths])
-    site = ("source_url",)
-    links, _ = html_pages.extract_links(
-        html_pages.anchors(pages, site), rules.detail_regex, F.col("source_url"), prefixes,
-        rules.id_group, site,
-    )
-    embedded = None
-    if rules.embedded_marker:
-        embedded = jsonld.extract_embedded_jobs(
-            pages, rules.embedded_marker, list(rules.embedded_path), rules.detail_template,
-            F.col("source_url"), prefixes, keep=site,
-        )
+def _by_site(value: Callable[[SiteRules], Column]) -> Column:
+    return F.coalesce(*[F.when(F.col("platform") == p, value(r)) for p, r in SITE_RULES.items()])
+
+
+def allowed_paths() -> Column:
+    """Path prefixes of a source: its own setting, comma-separated, else those of its site."""
+    own = split_list(F.try_element_at("config", F.lit("allowed_paths")))
+    usual = _by_site(lambda r: F.array(*[F.lit(p) for p in r.allowed_paths]))
+    return F.when(F.size(own) > 0, own).otherwise(usual)
+
+
+def html_sites(captures: DataFrame) -> Extract:
+    """All sites whose job pages carry JSON-LD, read together: rules come from ``platform`` and the
+    source's ``config``. ``captures`` carry ``source_url``, ``platform`` and ``config``."""
+    site = ("source_url", "platform", "prefixes")
+    staged = captures.withColumn("prefixes", allowed_paths())
+    pages, prefixes = _of_kind(staged, "listing"), F.col("prefixes")
+    anchors = html_pages.anchors(pages, site)
+    links, off_host = html_pages.extract_links(
+        anchors, "", F.col("source_url"), prefixes, keep=site,
+        by_platform={p: (r.detail_regex, r.id_group) for p, r in SITE_RULES.items()},
+    )
+    also = F.lit(False)
+    for platform, rules in SITE_RULES.items():
+        if rules.next_links:
+            also = also | ((F.col("platform") == platform) & rules.next_links(anchors))
+    nexts, unsafe = html_pages.extract_next_links(anchors, F.col("source_url"), prefixes, also)
+    scripted = [p for p, r in SITE_RULES.items() if r.embedded_marker]
+    first = SITE_RULES[scripted[0]]
+    embedded = jsonld.extract_embedded_jobs(
+        pages.where(F.col("platform").isin(*scripted)), first.embedded_marker, list(first.embedded_path),
+        _by_site(lambda r: F.lit(r.detail_template)), F.col("source_url"), prefixes, keep=site,
+    )
     entries = union_listings(links, embedded)
-    details = jsonld.posting_fields(
-        jsonld.extract_jobposting(_of_kind(captures, "detail")), rules.platform
+    extracted = jsonld.extract_jobposting(_of_kind(staged, "detail"))
+    details = jsonld.posting_fields(extracted, F.col("platform"))
+    postings = merge_listing_detail(entries, details, prefixes).select(*RAW_COLUMNS)
+    return Extract(
+        postings, entries.select("scan_run_id", F.col("url").alias("key")),
+        extracted.select("scan_run_id", F.col("url").alias("key"), "error_code"),
+        off_host.unionByName(unsafe).unionByName(_loops(nexts, pages)),
     )
-    return merge_listing_detail(entries, details, prefixes).select(*RAW_COLUMNS)
 
 
-def ats_w(captures: DataFrame) -> DataFrame:
+def _loops(nexts: DataFrame, pages: DataFrame) -> DataFrame:
+    """Links to a listing page that the scan had read before, or to the page itself."""
+    read = pages.select(
+        "scan_run_id", canonicalize_url(F.col("url"), keep_query=True).alias("next_url"), F.col("seq").alias("_seq")
+    )
+    own = pages.select("scan_run_id", F.col("url").alias("page_url"), F.col("seq").alias("_own"))
+    back = nexts.join(own, ["scan_run_id", "page_url"]).join(read, ["scan_run_id", "next_url"])
+    return (
+        back.where(F.col("_seq") <= F.col("_own"))
+        .groupBy("scan_run_id", F.col("next_url").alias("url"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("code", F.lit("pagination_loop"))
+    )
+
+
+def html_jsonld(captures: DataFrame, rules: SiteRules) -> DataFrame:
+    """Raw postings of one site. ``captures`` carry ``source_url``; kinds are listing and detail."""
+    none = F.lit(None).cast("map<string,string>")
+    return html_sites(captures.withColumns({"platform": F.lit(rules.platform), "config": none})).postings
+
+
+def _ats_w(captures: DataFrame) -> Extract:
     listing = ats_json.w_listing(_of_kind(captures, "listing"))
     details = ats_json.w_detail(_of_kind(captures, "detail"), listing)
-    return details.where(F.col("error_code").isNull()).select(*RAW_COLUMNS)
+    # The key is the URL that was read; a posting may state another one.
+    read = _of_kind(captures, "detail").select("scan_run_id", "seq", F.col("url").alias("key"))
+    return Extract(
+        details.where(F.col("error_code").isNull()).select(*RAW_COLUMNS),
+        listing.select("scan_run_id", F.col("url").alias("key")),
+        details.select("scan_run_id", "seq", "error_code").join(read, ["scan_run_id", "seq"]).drop("seq"),
+    )
 
 
-def ats_i(captures: DataFrame) -> DataFrame:
-    return ats_json.i_jobs(_of_kind(captures, "listing")).select(*RAW_COLUMNS)
+def _ats_i(captures: DataFrame) -> Extract:
+    """Listing pages hold whole postings."""
+    jobs = ats_json.i_jobs(_of_kind(captures, "listing")).select(*RAW_COLUMNS)
+    keys = jobs.select("scan_run_id", F.col("url").alias("key"))
+    return Extract(jobs, keys, keys.withColumn("error_code", F.lit(None).cast("string")))
 
 
-def ats_o(captures: DataFrame) -> DataFrame:
+def _ats_o(captures: DataFrame) -> Extract:
     listing = ats_json.o_listing(_of_kind(captures, "listing"))
-    details = _of_kind(captures, "detail").withColumn(
-        "external_id", F.regexp_extract("url", r"ById;Id=([^,&]+)", 1)
-    )
+    details = _of_kind(captures, "detail").withColumn("external_id", _o_key())
     found = ats_json.o_detail(details, listing)
-    return found.where(F.col("error_code").isNull()).select(*RAW_COLUMNS)
+    read = details.select("scan_run_id", "seq", F.col("external_id").alias("key"))
+    return Extract(
+        found.where(F.col("error_code").isNull()).select(*RAW_COLUMNS),
+        listing.select("scan_run_id", F.col("external_id").alias("key")),
+        found.select("scan_run_id", "seq", "error_code").join(read, ["scan_run_id", "seq"]).drop("seq"),
+    )
 
 
-def ats_a(captures: DataFrame) -> DataFrame:
+def _o_key() -> Column:
+    return F.regexp_extract("url", r"ById;Id=([^,&]+)", 1)
+
+
+def _ats_a(captures: DataFrame) -> Extract:
     links = html_pages.anchors(_of_kind(captures, "listing"), ("source_url",))
     listing = (
         html_pages.ats_a_listing(links, F.col("source_url"))
@@ -109,10 +183,18 @@ def ats_a(captures: DataFrame) -> DataFrame:
         .withColumns({"location": F.lit(None).cast("string"), "employment_type": F.lit(None).cast("string")})
     )
     details = html_fields.ats_a_detail(_of_kind(captures, "detail"))
-    return html_fields.with_listing(details, listing).select(*RAW_COLUMNS)
+    return _from_fields(details, listing)
 
 
-def ats_h(captures: DataFrame) -> DataFrame:
+def _from_fields(details: DataFrame, listing: DataFrame) -> Extract:
+    return Extract(
+        html_fields.with_listing(details, listing).select(*RAW_COLUMNS),
+        listing.select("scan_run_id", F.col("url").alias("key")),
+        details.select("scan_run_id", F.col("capture_url").alias("key"), "error_code"),
+    )
+
+
+def _ats_h(captures: DataFrame) -> Extract:
     """The board is embedded: ``source_url`` of its captures is the embed URL with the client."""
     entries = html_fields.html_entries(_of_kind(captures, "listing"), html_fields.ATS_H_FIELDS)
     placed = entries.withColumn(
@@ -129,37 +211,145 @@ def ats_h(captures: DataFrame) -> DataFrame:
         ),
         ["scan_run_id", "url"], ["seq", "position"],
     )
-    details = html_fields.ats_h_detail(_of_kind(captures, "detail"))
-    return html_fields.with_listing(details, listing).select(*RAW_COLUMNS)
+    return _from_fields(html_fields.ats_h_detail(_of_kind(captures, "detail")), listing)
+
+
+def ats_w(captures: DataFrame) -> DataFrame:
+    return _ats_w(captures).postings
 
 
-EXTRACTORS: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {
-    ("workday_cxs", "workday"): ats_w,
-    ("icims_jibe_api", "icims_jibe"): ats_i,
-    ("oracle_ce_rest", "oracle_ce"): ats_o,
-    ("avature_html", "avature"): ats_a,
-    ("hirebridge_html", "hirebridge"): ats_h,
-    **{
-        ("paginated_html_jsonld", name): (lambda c, r=rules: html_jsonld(c, r))
-        for name, rules in SITE_RULES.items()
-    },
+def ats_i(captures: DataFrame) -> DataFrame:
+    return _ats_i(captures).postings
+
+
+def ats_o(captures: DataFrame) -> DataFrame:
+    return _ats_o(captures).postings
+
+
+def ats_a(captures: DataFrame) -> DataFrame:
+    return _ats_a(captures).postings
+
+
+def ats_h(captures: DataFrame) -> DataFrame:
+    return _ats_h(captures).postings
+
+
+#: Reader and platforms; the HTML sites share one, so the plan does not grow with the sites.
+EXTRACTORS: dict[str, tuple[Callable[[DataFrame], Extract], tuple[str, ...]]] = {
+    "workday_cxs": (_ats_w, ("workday",)),
+    "icims_jibe_api": (_ats_i, ("icims_jibe",)),
+    "oracle_ce_rest": (_ats_o, ("oracle_ce",)),
+    "avature_html": (_ats_a, ("avature",)),
+    "hirebridge_html": (_ats_h, ("hirebridge",)),
+    "paginated_html_jsonld": (html_sites, tuple(SITE_RULES)),
 }
 
+_SITE = ("source_url", "connector_type", "platform", "config")
 
-def extract_postings(captures: DataFrame, sources: DataFrame) -> DataFrame:
-    """Normalised postings of all captures, each read by the extractor of its source.
 
-    ``sources``: source_id, url, connector_type, platform. The union holds one branch per
-    platform, so its size does not grow with the number of sources.
-    """
-    sited = captures.join(
-        sources.select(
-            "source_id", F.col("url").alias("source_url"), "connector_type", "platform"
-        ),
-        "source_id",
+def land_captures(captures: DataFrame, sources: DataFrame, path: str) -> None:
+    """Store captures with the site they belong to, by platform and kind, so that every reader
+    scans just the pages it reads."""
+    _sited(captures, sources).write.mode("append").partitionBy("platform", "kind").parquet(path)
+
+
+def _sited(captures: DataFrame, sources: DataFrame) -> DataFrame:
+    """Captures with their source's site; those landed by ``land_captures`` have it already."""
+    if set(_SITE) <= set(captures.columns):
+        return captures
+    config = F.col("config") if "config" in sources.columns else F.lit(None).cast("map<string,string>")
+    own = sources.select(
+        "source_id", F.col("url").alias("source_url"), "connector_type", "platform", config.alias("config")
     )
+    return captures.join(own, "source_id")
+
+
+def gate(captures: DataFrame, robots: DataFrame | None = None) -> DataFrame:
+    """Add ``refused``: why a capture must not be read (its response's error code, or the robots file
+    of its origin); null when it may. A capture without ``status`` column counts as answered."""
+    answered = captures if "status" in captures.columns else captures.withColumn("status", F.lit(200))
+    judged = access.response_outcome(answered)
+    code = F.when(F.col("outcome") != "ok", F.col("outcome"))
+    if robots is not None:
+        judged = access.robots_filter(judged, robots)
+        code = F.when(~F.col("allowed"), "robots_disallowed").otherwise(code)
+    return judged.withColumn("refused", code).drop("outcome", "retryable", "allowed")
+
+
+class ScanResult(NamedTuple):
+    """Postings, the outcome of every listed posting, warnings and one row per scan."""
+
+    postings: DataFrame  # normalised
+    details: DataFrame  # scan_run_id, key, error_code (null: usable)
+    warnings: DataFrame  # scan_run_id, code, url, n
+    scans: DataFrame  # source_id, scan_run_id, pages_visited, listed, usable, complete, status, ...
+
+
+def extract_scans(
+    captures: DataFrame, sources: DataFrame, robots: DataFrame | None = None
+) -> ScanResult:
+    """What the landed captures of scans give.
+
+    ``sources``: source_id, url, connector_type, platform, config (optional; not needed for captures from
+    ``land_captures``). ``robots``: origin, body. Captures that the response or robots forbid are not
+    read; a refused listing page fails its scan, as an empty listing does. A listed posting without a
+    usable detail page is a failed detail with its reason; it makes the scan incomplete, as do a page
+    limit and a pagination loop.
+    """
+    judged = gate(_sited(captures, sources), robots)
+    good, bad = judged.where(F.col("refused").isNull()), judged.where(F.col("refused").isNotNull())
     parts = []
-    for (connector, platform), extract in EXTRACTORS.items():
-        own = sited.where((F.col("connector_type") == connector) & (F.col("platform") == platform))
-        parts.append(extract(own))
-    return normalize(reduce(DataFrame.unionByName, parts))
+    for connector, (extract, platforms) in EXTRACTORS.items():
+        own = (F.col("connector_type") == connector) & F.col("platform").isin(*platforms)
+        parts.append(extract(good.where(own)))
+
+    def union(frames: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, frames)
+
+    key = F.when(F.col("platform") == "oracle_ce", _o_key()).otherwise(F.col("url"))
+    refused = bad.where(F.col("kind") == "detail").select(
+        "scan_run_id", key.alias("key"), F.col("refused").alias("error_code")
+    )
+    found = union([p.found for p in parts]).unionByName(refused)
+    # A page that was read more than once counts as usable if one reading was.
+    best = found.groupBy("scan_run_id", "key").agg(
+        F.min_by(F.struct("error_code"), F.struct(F.col("error_code").isNotNull(), F.col("error_code"))).alias("_best")
+    )
+    listed = union([p.listed for p in parts]).distinct()
+    details = listed.join(best, ["scan_run_id", "key"], "left").select(
+        "scan_run_id", "key",
+        F.when(F.col("_best").isNull(), "detail_not_captured").otherwise(F.col("_best.error_code")).alias("error_code"),
+    )
+    failed = details.where(F.col("error_code").isNotNull()).select(
+        "scan_run_id", F.col("error_code").alias("code"), F.col("key").alias("url"), F.lit(1).cast("long").alias("n")
+    )
+    raised = [p.warnings.select("scan_run_id", "code", "url", "n") for p in parts if p.warnings is not None]
+    if robots is not None:
+        unknown = judged.where(F.col("robots_code") == "robots_unavailable").select(
+            "scan_run_id", F.col("robots_code").alias("code"), "url", F.lit(1).cast("long").alias("n")
+        )
+        raised.append(unknown)
+    warnings = coverage.warning_counts(union([*raised, failed]))
+    per_scan = judged.groupBy("source_id", "scan_run_id").agg(
+        F.sum(((F.col("kind") == "listing") & F.col("refused").isNull()).cast("long")).alias("_pages"),
+        F.min_by("refused", F.when((F.col("kind") == "listing") & F.col("refused").isNotNull(), F.col("seq"))).alias("_refused"),
+    )
+    done = lifecycle.completeness(details, warnings, per_scan)
+    code = (
+        F.when(F.col("_refused").isNotNull(), F.col("_refused"))
+        .when(F.col("listed") == 0, "zero_results")
+        .otherwise(F.col("error_code"))
+    )
+    outcome = per_scan.join(done, "scan_run_id").select(
+        "source_id", "scan_run_id", (F.col("_pages") + F.col("listed")).alias("pages_visited"),
+        "listed", "usable", (F.col("complete") & code.isNull()).alias("complete"), code.alias("error_code"),
+    )
+    scans = outcome.join(lifecycle.scan_status(outcome, warnings).drop("source_id"), "scan_run_id")
+    return ScanResult(normalize(union([p.postings for p in parts])), details, warnings, scans)
+
+
+def extract_postings(
+    captures: DataFrame, sources: DataFrame, robots: DataFrame | None = None
+) -> DataFrame:
+    """Normalised postings of all captures that may be read, each read by its source's extractor."""
+    return extract_scans(captures, sources, robots).postings

@@ -17,6 +17,7 @@ _INSIDE = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*)"""
 _ANCHOR = rf"(?is)<a\s{_INSIDE}>.*?(?=</a\s*>|<a\s|\z)"
 _OPEN = rf"(?is)^<a\s({_INSIDE})>"
 _INNER = rf"(?is)^<a\s{_INSIDE}>(.*)$"
+_NAV = rf"(?is)<nav\b{_INSIDE}>|</nav\s*>"
 _ATTRIBUTE = r"""(?s)([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
@@ -37,12 +38,27 @@ def start_tag(html: Column, tag: str) -> Column:
 
 
 def anchors(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every link of a page: resolved URL (query kept), text, rel, aria-label, class, position.
-    Columns named in ``keep`` go along."""
+    """Every link of a page: resolved URL (query kept), text, rel, aria-label, class, whether it stands
+    in a ``nav`` block, position. Columns named in ``keep`` go along."""
     visible = F.regexp_replace("body", _HIDDEN, " ")
-    listed = captures.select(
-        "source_id", "scan_run_id", "seq", *keep, F.col("url").alias("page_url"),
-        F.posexplode(F.regexp_extract_all(visible, F.lit(_ANCHOR), 0)).alias("position", "_a"),
+    tokens = F.regexp_extract_all(visible, F.lit(f"{_NAV}|{_ANCHOR}"), 0)
+
+    def places(pattern: str) -> Column:
+        at = F.transform("_tokens", lambda t, i: F.when(t.rlike(pattern), i))
+        return F.array_compact(at)
+
+    paged = captures.select(
+        "source_id", "scan_run_id", "seq", *keep, F.col("url").alias("page_url"), tokens.alias("_tokens"),
+    ).withColumns({"_opens": places("(?i)^<nav"), "_closes": places("(?i)^</nav")})
+    listed = paged.select(
+        "source_id", "scan_run_id", "seq", *keep, "page_url", "_opens", "_closes",
+        F.posexplode("_tokens").alias("_place", "_a"),
+    )
+    opened = F.size(F.filter("_opens", lambda p: p < F.col("_place")))
+    closed = F.size(F.filter("_closes", lambda p: p < F.col("_place")))
+    listed = listed.where(F.col("_a").rlike(r"(?i)^<a\s")).select(
+        "source_id", "scan_run_id", "seq", *keep, "page_url",
+        (F.col("_place") - opened - closed).alias("position"), (opened > closed).alias("in_nav"), "_a",
     )
     parsed = with_unescaped(
         listed.withColumn("_in", F.regexp_extract("_a", _OPEN, 1)),
@@ -59,6 +75,7 @@ def anchors(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.lower(attribute(inside, "rel")).alias("rel"),
         F.lower(attribute(inside, "aria-label")).alias("aria_label"),
         attribute(inside, "class").alias("class"),
+        "in_nav",
         canonicalize_url(F.col("href"), F.col("page_url"), keep_query=True).alias("url"),
     )
     return settle(found, F.length("href") > 0)
@@ -75,23 +92,26 @@ def extract_links(
     allowed_paths: Column,
     id_group: int = 0,
     keep: tuple[str, ...] = (),
+    by_platform: dict[str, tuple[str, int]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Job links among a page's anchors, and off-host counts per page.
 
     A job link's path matches ``detail_regex``; ``id_group`` names the group that holds the
-    external id (0: none).
+    external id (0: none). With ``by_platform`` both come from the row's ``platform``.
     """
     plain = _without_query(F.col("url"))
+    path = url_path(F.col("url"))
+    rules = by_platform or {"": (detail_regex, id_group)}
+    hit, external = F.lit(False), F.lit(None).cast("string")
+    for platform, (pattern, group) in rules.items():
+        own = F.col("platform") == platform if by_platform else F.lit(True)
+        hit = hit | (own & path.rlike(pattern))
+        if group:
+            external = F.when(own, blank_to_null(F.regexp_extract(path, pattern, group))).otherwise(external)
     hits = settle(
-        links.select(*[plain.alias(c) if c == "url" else F.col(c) for c in links.columns]),
-        url_path(F.col("url")).rlike(detail_regex),
+        links.select(*[plain.alias(c) if c == "url" else F.col(c) for c in links.columns]), hit
     )
     marked = hits.withColumn("_ok", in_scope(F.col("url"), source_url, allowed_paths))
-    external = (
-        blank_to_null(F.regexp_extract(url_path(F.col("url")), detail_regex, id_group))
-        if id_group
-        else F.lit(None).cast("string")
-    )
     jobs = marked.where("_ok").select(
         "source_id", "scan_run_id", "seq", *keep, "position", external.alias("external_id"), "url",
         F.col("text").alias("title"),
@@ -110,11 +130,23 @@ def is_next(links: DataFrame) -> Column:
     return marked | F.coalesce(links["aria_label"].contains("next"), F.lit(False))
 
 
+def paging_item(links: DataFrame) -> Column:
+    """A link of the class that one platform gives to its page numbers."""
+    return F.coalesce(F.array_contains(F.split("class", r"\s+"), "paginationItem"), F.lit(False))
+
+
+def nav_page(links: DataFrame) -> Column:
+    """A link to a page number inside a navigation block."""
+    return links["in_nav"] & links["href"].contains("page=")
+
+
 def extract_next_links(
-    links: DataFrame, source_url: Column, allowed_paths: Column
+    links: DataFrame, source_url: Column, allowed_paths: Column, also: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Distinct allowed next pages in page order, and counts of rejected ones."""
-    marked = links.where(is_next(links)).withColumn(
+    """Distinct allowed next pages in page order, and counts of rejected ones. ``also`` is what a
+    site's own selector marks as a next page besides the usual marks."""
+    chosen = is_next(links) if also is None else is_next(links) | F.coalesce(also, F.lit(False))
+    marked = links.where(chosen).withColumn(
         "_ok", in_scope(F.col("url"), source_url, allowed_paths)
     )
     allowed = (
@@ -176,6 +208,7 @@ def union_next_pages(linked: DataFrame, generated: DataFrame) -> DataFrame:
 
 # --- ATS-A and ATS-H listings -----------------------------------------------------------
 
+# Fixed value: the path of a job page.
 _A_DETAIL = r"(?i)/JobDetail/(?:[^/]+/)*([0-9]+)(?:/|$)"
 
 

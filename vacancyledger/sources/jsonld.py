@@ -87,8 +87,9 @@ def extract_jobposting(captures: DataFrame) -> DataFrame:
     return settle(named.select(*kept, "posting", code.alias("error_code")))
 
 
-def posting_fields(extracted: DataFrame, platform: str) -> DataFrame:
+def posting_fields(extracted: DataFrame, platform: str | Column) -> DataFrame:
     """Detail rows from JobPosting objects (rows without one are dropped)."""
+    platform = F.lit(platform) if isinstance(platform, str) else platform
     p = F.col("posting")
 
     def text(name: str) -> Column:
@@ -111,7 +112,7 @@ def posting_fields(extracted: DataFrame, platform: str) -> DataFrame:
         parse_iso_date(text("datePosted")).alias("posted_date"),
         "description_html",
         F.create_map(
-            F.lit("source"), F.lit(platform), F.lit("identifier"), identifier,
+            F.lit("source"), platform, F.lit("identifier"), identifier,
             F.lit("date_modified"), text("dateModified"),
         ).alias("metadata"),
     )
@@ -171,7 +172,8 @@ def extract_embedded_jobs(
         text(route_field).alias("_route"), text(id_field).alias("external_id"),
         text(title_field).alias("title"),
     ).where(F.col("_route").isNotNull() & F.col("title").isNotNull())
-    path = template_url(F.lit(detail_template), F.col("_route"), slug(F.col("title")))
+    template = F.lit(detail_template) if isinstance(detail_template, str) else detail_template
+    path = template_url(template, F.col("_route"), slug(F.col("title")))
     placed = entries.withColumn("url", canonicalize_url(path, F.col("page_url")))
     return placed.where(in_scope(F.col("url"), source_url, allowed_paths)).select(
         "source_id", "scan_run_id", "seq", *keep, "position", "external_id", "url", "title"
