@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import dedupe_last, latest_by, top_k, with_next, with_previous, with_running_sums
+from .windows import dedupe_last, latest_by, top_k, with_running_sums
 
 SUCCESS = ("success", "success_with_warnings")
 POSTING_FIELDS = (
@@ -105,6 +105,10 @@ def reconcile(
     scans = scans.withColumn(
         "scan_run_id", F.when(F.col("_scans") == 1, F.col("scan_run_id")).otherwise(several.cast("string"))
     ).drop("_scans")
+    # Jobs of other sources are not touched: they are neither shuffled nor compared.
+    sources = scans.select("source_id")
+    idle = jobs.join(sources, "source_id", "left_anti")
+    jobs = jobs.join(sources, "source_id", "left_semi")
     place = ["source_id", "scan_run_id", "seq"]
     in_scope = observations.join(scans.select("scan_run_id"), "scan_run_id", "left_semi")
     claims = resolve_identity(
@@ -195,7 +199,7 @@ def reconcile(
         .join(found, "scan_run_id", "left")
         .na.fill(0, [*names, "jobs_found", "duplicate_urls"])
     )
-    return snapshot, metrics
+    return snapshot.unionByName(idle.select(snapshot.columns)), metrics
 
 
 def missing_jobs(jobs: DataFrame, observations: DataFrame, scans: DataFrame) -> DataFrame:
@@ -261,6 +265,17 @@ def observed_span(observations: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
+def _with_last_fingerprint(observations: DataFrame) -> DataFrame:
+    """Add ``prev_content_fingerprint`` and ``is_first``. A job has few observations, unlike a source,
+    so a plain window holds its rows: one shuffle."""
+    order = Window.partitionBy("source_id", "identity_key").orderBy("scan_seq")
+    last = F.lag(F.struct("content_fingerprint")).over(order)
+    return observations.withColumn("_last", last).select(
+        *observations.columns, F.col("_last.content_fingerprint").alias("prev_content_fingerprint"),
+        F.col("_last").isNull().alias("is_first"),
+    )
+
+
 def lifecycle_events(observations: DataFrame, scans: DataFrame, chunk: Column) -> DataFrame:
     """Every status change of every job: discovered, possibly_closed, closed, reopened.
 
@@ -277,9 +292,12 @@ def lifecycle_events(observations: DataFrame, scans: DataFrame, chunk: Column) -
         "source_id", F.col("n_complete").alias("number"), F.col("scan_seq").alias("at_seq")
     )
     keyed = ["source_id", "identity_key"]
-    gaps = with_next(
-        observations.select(*keyed, "scan_seq").distinct(), keyed, ["scan_seq"], chunk, ["scan_seq"]
-    ).join(at_scan, ["source_id", "scan_seq"])
+    following = F.lead("scan_seq").over(Window.partitionBy(*keyed).orderBy("scan_seq"))
+    gaps = (
+        observations.select(*keyed, "scan_seq").distinct()
+        .withColumn("next_scan_seq", following)
+        .join(at_scan, ["source_id", "scan_seq"])
+    )
     firsts = observations.groupBy(*keyed).agg(F.min("scan_seq").alias("at_seq")).select(
         *keyed, "at_seq", F.lit("discovered").alias("change")
     )
@@ -305,11 +323,9 @@ def lifecycle_events(observations: DataFrame, scans: DataFrame, chunk: Column) -
     return firsts.unionByName(closing).unionByName(reopened)
 
 
-def change_log(observations: DataFrame, chunk: Column) -> DataFrame:
+def change_log(observations: DataFrame) -> DataFrame:
     """Observations whose content differs from the job's previous observation."""
-    prev = with_previous(
-        observations, ["source_id", "identity_key"], ["scan_seq"], chunk, ["content_fingerprint"]
-    )
+    prev = _with_last_fingerprint(observations)
     differs = ~F.col("content_fingerprint").eqNullSafe(F.col("prev_content_fingerprint"))
     return prev.where(~F.col("is_first") & differs).drop("is_first")
 
@@ -345,7 +361,7 @@ def scan_metrics(observations: DataFrame, scans: DataFrame, chunk: Column) -> Da
         observations.select(*keyed, "scan_run_id", "scan_seq", "seq", "content_fingerprint"),
         [*keyed, "scan_run_id", "scan_seq"], ["seq"],
     )
-    prev = with_previous(unique, keyed, ["scan_seq"], chunk, ["content_fingerprint"])
+    prev = _with_last_fingerprint(unique)
     differs = ~F.col("content_fingerprint").eqNullSafe(F.col("prev_content_fingerprint"))
     kept = prev.groupBy("source_id", "scan_run_id").agg(
         F.count(F.lit(1)).alias("jobs_persisted"),

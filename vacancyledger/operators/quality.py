@@ -87,6 +87,32 @@ def purge(
     return out
 
 
+def in_domain(column: str, domain: str | None = None) -> Column:
+    """Whether a value is one its domain (by default that of the column's name) allows; null is not."""
+    return F.coalesce(F.col(column).isin(*DOMAINS[domain or column]), F.lit(False))
+
+
+def within_limit(column: str, limit: str | None = None) -> Column:
+    """Whether a text or list is no longer than its limit; null is."""
+    return F.coalesce(F.length(column) <= LIMITS[limit or column], F.lit(True))
+
+
+def list_within_limit(column: str, limit: str | None = None) -> Column:
+    return F.col(column).isNull() | (F.size(column) <= LIMITS[limit or column])
+
+
+def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """check_name and number of rows that break it, for all rules of a table in one pass."""
+    counted = df.agg(
+        *[F.sum(F.when(ok, 0).otherwise(1)).cast("long").alias(name) for name, ok in rules.items()]
+    )
+    pairs = [
+        F.struct(F.lit(name).alias("check_name"), F.coalesce(name, F.lit(0).cast("long")).alias("violations"))
+        for name in rules
+    ]
+    return counted.select(F.inline(F.array(*pairs)))
+
+
 def audit(checks: Mapping[str, DataFrame]) -> DataFrame:
     """One row per check with its number of violations; each check reads its table once."""
     parts = [

@@ -87,7 +87,7 @@ EVENTS_SQL = sql(
 
 
 def change_log(spark, sf_dir):
-    out = lifecycle.change_log(observations(spark, sf_dir), week())
+    out = lifecycle.change_log(observations(spark, sf_dir))
     return out.select(
         "source_id", "identity_key", "scan_seq", "prev_content_fingerprint", "content_fingerprint"
     )

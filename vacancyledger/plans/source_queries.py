@@ -47,6 +47,12 @@ def _result_sql(url: str, locations: str, employment: str, html: str, where: str
     md5({html}) AS html_md5 FROM documents {where}"""
 
 
+def _escape_sql(x: str) -> str:
+    for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{raw}', '{ref}')"
+    return x
+
+
 def _captures(df, kind: str, url, body, source_url=None):
     return df.select(
         "source_id", "scan_run_id", F.col("doc_id").alias("seq"), F.lit(kind).alias("kind"),
@@ -123,7 +129,7 @@ def embedded_roundtrip(spark, sf_dir):
     )
     posting = F.struct(
         F.lit("JobPosting").alias("@type"), F.date_format("day", "yyyy-MM-dd").alias("datePosted"),
-        escape_html(F.concat(F.lit("<p>"), "lang", F.lit("</p>"))).alias("description"),
+        escape_html(F.concat(F.lit("<p>"), "text", F.lit("</p>"))).alias("description"),
         F.when(odd, F.lit("https://other.example/x")).otherwise(
             F.concat(F.lit("https://jobs.example.com"), path, F.lit("?src=1#a"))
         ).alias("url"),
@@ -138,7 +144,7 @@ def embedded_roundtrip(spark, sf_dir):
 
 EMBEDDED_SQL = _result_sql(
     "'https://jobs.example.com/us/en/job/' || CASE WHEN doc_id % 2 = 1 THEN 'A' || doc_id ELSE 'SEQ' || doc_id || '/Role-' || doc_id END",
-    "source || ' town'", "'CONTRACT'", "'<p>' || lang || '</p>'",
+    "source || ' town'", "'CONTRACT'", "'<p>' || text || '</p>'",
     title="CASE WHEN doc_id % 2 = 1 THEN 'Link & Rôle ' || doc_id ELSE 'Rôle ' || doc_id END",
     external_id="CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END",
 )
@@ -190,7 +196,7 @@ def ats_i_roundtrip(spark, sf_dir):
     data = F.struct(
         F.when(k == 1, "").when(k == 3, F.lit(None)).otherwise(doc_id()).alias("req_id"),
         F.when(k == 1, F.concat(F.lit("i"), doc_id())).alias("id"),
-        "title", F.when(k == 1, F.concat(F.lit("<p>"), "lang", F.lit("</p>"))).otherwise(F.concat("lang", F.lit(" & more"))).alias("description"),
+        "title", F.when(k == 1, F.concat(F.lit("<p>"), escape_html(F.col("text")), F.lit("</p>"))).otherwise(F.concat("text", F.lit(" & more"))).alias("description"),
         F.col("source").alias("full_location"), F.lit("Full-time").alias("employment_type"),
         F.date_format("day", "yyyy-MM-dd'T'00:00:00'Z'").alias("posted_date"),
         F.lit("Software").alias("category"), F.struct(target.alias("canonical_url")).alias("meta_data"),
@@ -204,7 +210,8 @@ def ats_i_roundtrip(spark, sf_dir):
 
 ATS_I_SQL = _result_sql(
     "'https://careers.example.com/careers-home/jobs/' || doc_id", "source", "'Full-time'",
-    "CASE doc_id % 4 WHEN 1 THEN '<p>' || lang || '</p>' ELSE '<p>' || lang || ' &amp; more</p>' END",
+    f"CASE WHEN doc_id % 4 = 1 THEN '<p>' || {_escape_sql('text')} || '</p>' WHEN regexp_matches(text, '<\\s*[a-zA-Z][^>]*>') THEN text || ' & more'"
+    f" ELSE '<p>' || {_escape_sql('text')} || ' &amp; more</p>' END",
     "WHERE doc_id % 4 IN (0, 1)",
     external_id="CASE doc_id % 4 WHEN 1 THEN 'i' || doc_id ELSE CAST(doc_id AS VARCHAR) END",
 )
@@ -227,7 +234,7 @@ def ats_o_roundtrip(spark, sf_dir):
     item = F.struct(
         doc_id().alias("Id"),
         F.when(k == 0, F.date_format("day", "yyyy-MM-dd'T'00:00:00'Z'")).alias("ExternalPostedStartDate"),
-        F.concat(F.lit("<p>"), "lang", F.lit("</p>")).alias("ExternalDescriptionStr"),
+        F.concat(F.lit("<p>"), escape_html(F.col("text")), F.lit("</p>")).alias("ExternalDescriptionStr"),
         F.lit("Lead <3 teams").alias("ExternalResponsibilitiesStr"),
         F.lit(" ").alias("ExternalQualificationsStr"),
         F.when(k == 1, "Full time").alias("JobSchedule"),
@@ -247,7 +254,7 @@ ATS_O_SQL = _result_sql(
     "'https://careers.example.com/en/sites/CX_1/job/' || doc_id",
     "source || '|' || source || ' list|Phoenix|' || lang || ', Georgia, US'",
     "CASE doc_id % 3 WHEN 1 THEN 'Full time' ELSE 'Part time' END",
-    "'<p>' || lang || '</p><h2>Responsibilities</h2><p>Lead &lt;3 teams</p>'",
+    "'<p>' || " + _escape_sql("text") + " || '</p><h2>Responsibilities</h2><p>Lead &lt;3 teams</p>'",
 )
 
 
@@ -275,12 +282,6 @@ def ats_html_roundtrip(spark, sf_dir):
     return _result(html_fields.with_listing(details, listing))
 
 
-def _escape_sql(x: str) -> str:
-    for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
-        x = f"replace({x}, '{raw}', '{ref}')"
-    return x
-
-
 ATS_HTML_SQL = _result_sql(
     "'https://recruit.hirebridge.com/v3/Jobs/Details.aspx?cid=7&jid=' || doc_id",
     "CASE doc_id % 2 WHEN 0 THEN source ELSE source || ' list' END",
@@ -330,29 +331,31 @@ REPEATED_SQL = """WITH p AS (SELECT 'scan-' || source AS scan_run_id, doc_id AS
 
 
 def generated_next_pages(spark, sf_dir):
-    """Next pages by arithmetic: pages that state their total, and pages that are full."""
+    """Next pages by arithmetic: pages that state their total (here the length of the page, the offset
+    the number in its URL), and pages that are full (here of links)."""
     p = table(spark, sf_dir, "pages")
+    number = F.regexp_extract("url", r"^https?://[^/]+/[a-z]+/([0-9]+)", 1)
     root = F.concat(F.lit("https://h.example/us/en?s=0&x=%20&utm_term=a"))
-    offset = F.col("page_id") % 40 * 10
     counted = p.select(
         F.lit("s").alias("source_id"), F.col("page_id").cast("string").alias("scan_run_id"),
-        F.when(F.col("page_id") % 40 == 0, root).otherwise(F.concat(root, F.lit("&from="), offset.cast("string"))).alias("page_url"),
-        F.lit(10).alias("page_size"), F.lit(300).alias("total"),
+        F.when(number == "0", root).otherwise(F.concat(root, F.lit("&from="), number)).alias("page_url"),
+        F.lit(10).alias("page_size"), (F.length("html") % 1000).cast("int").alias("total"),
     )
     full = p.select(
         F.lit("s").alias("source_id"), F.col("page_id").cast("string").alias("scan_run_id"),
-        F.concat(F.lit("https://e.example/careers?start="), F.when(F.col("page_id") % 9 == 4, "x").otherwise(offset.cast("string"))).alias("page_url"),
-        (F.col("page_id") % 11).alias("items"),
+        F.concat(F.lit("https://e.example/careers?start="), F.when(F.col("page_id") % 9 == 4, "x").otherwise(number)).alias("page_url"),
+        F.regexp_count("html", F.lit('<a href="')).alias("items"),
     )
     nexts = html_pages.counted_next_pages(counted, "from", {"s": "1"}).unionByName(
-        html_pages.full_next_pages(full, 10)
+        html_pages.full_next_pages(full, 6)
     )
     return nexts.select("scan_run_id", "next_url")
 
 
-NEXT_SQL = """SELECT CAST(page_id AS VARCHAR) AS scan_run_id, 'https://h.example/us/en?from=' || (page_id % 40 * 10 + 10) || '&s=1&x=+' AS next_url
-    FROM pages WHERE page_id % 40 * 10 + 10 < 300
-    UNION ALL SELECT CAST(page_id AS VARCHAR), 'https://e.example/careers?start=' || (page_id % 40 * 10 + 10) FROM pages WHERE page_id % 11 = 10 AND page_id % 9 <> 4"""
+NEXT_SQL = """WITH p AS (SELECT CAST(page_id AS VARCHAR) AS scan_run_id, page_id % 9 = 4 AS odd, CAST(regexp_extract(url, '^https?://[^/]+/[a-z]+/([0-9]+)', 1) AS INTEGER) AS n,
+      length(html) % 1000 AS total, len(regexp_extract_all(html, '<a href="')) AS items FROM pages)
+    SELECT scan_run_id, 'https://h.example/us/en?from=' || (n + 10) || '&s=1&x=+' AS next_url FROM p WHERE n + 10 < total
+    UNION ALL SELECT scan_run_id, 'https://e.example/careers?start=' || (n + 6) FROM p WHERE items >= 6 AND NOT odd"""
 
 
 def _scan_result(spark, sf_dir):
@@ -497,7 +500,7 @@ def detect_platform(spark, sf_dir):
     p = _page_rows(spark, sf_dir)
     site = F.element_at(F.array(*[F.lit(s) for s in _SITES]), (F.col("k") % len(_SITES) + 1).cast("int"))
     sources = p.select(
-        "page_id", F.replace(site, F.lit("{}"), F.col("page_id").cast("string")).alias("url"),
+        "page_id", F.replace(site, F.lit("{}"), F.regexp_extract("url", r"^https?://[^/]+/[a-z]+/([0-9]+)", 1)).alias("url"),
         F.when(F.col("k") % 2 == 0, F.create_map(F.lit("max_pages"), F.lit("7"))).alias("config"),
     )
     out = access.detect_platform(sources)
@@ -514,16 +517,16 @@ def detect_platform(spark, sf_dir):
 
 
 _P = "page_id % 14"
-PLATFORM_SQL = f"""WITH d AS (SELECT page_id, CASE {_P} WHEN 0 THEN 'workday' WHEN 1 THEN 'workday' WHEN 3 THEN 'phenom' WHEN 4 THEN 'happydance' WHEN 5 THEN 'phenom_kwiktrip'
+PLATFORM_SQL = f"""WITH d AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/[a-z]+/([0-9]+)', 1) AS n, CASE {_P} WHEN 0 THEN 'workday' WHEN 1 THEN 'workday' WHEN 3 THEN 'phenom' WHEN 4 THEN 'happydance' WHEN 5 THEN 'phenom_kwiktrip'
       WHEN 6 THEN 'phenom_toyota' WHEN 7 THEN 'eightfold' WHEN 8 THEN 'icims_jibe' WHEN 9 THEN 'oracle_ce' WHEN 10 THEN 'hirebridge' WHEN 11 THEN 'avature' END AS platform FROM pages)
     SELECT page_id, platform, CASE WHEN {_P} BETWEEN 3 AND 7 THEN 'paginated_html_jsonld' ELSE
       CASE platform WHEN 'workday' THEN 'workday_cxs' WHEN 'icims_jibe' THEN 'icims_jibe_api' WHEN 'oracle_ce' THEN 'oracle_ce_rest' WHEN 'hirebridge' THEN 'hirebridge_html' WHEN 'avature' THEN 'avature_html' END END AS connector,
     CAST(CASE WHEN {_P} BETWEEN 3 AND 7 THEN 0.98 WHEN platform IS NOT NULL THEN 0.99 END AS DOUBLE) AS confidence,
     CASE WHEN {_P} = 2 THEN 'invalid_workday_url' WHEN platform IS NULL THEN 'unsupported_source' END AS error_code,
     CASE WHEN platform IS NULL THEN NULL WHEN page_id % 2 = 0 THEN '7' WHEN {_P} IN (3, 4, 5, 6) THEN '500' WHEN {_P} IN (7, 10, 11) THEN '100' END AS max_pages,
-    CASE {_P} WHEN 0 THEN 'Ext' WHEN 1 THEN 'site' || page_id END AS site,
+    CASE {_P} WHEN 0 THEN 'Ext' WHEN 1 THEN 'site' || n END AS site,
     CASE {_P} WHEN 8 THEN 'https://careers.rivian.com/api/jobs' END AS api_url,
-    CASE {_P} WHEN 5 THEN '/us/en/search-results' WHEN 7 THEN '/careers' WHEN 11 THEN 'https://bloomberg.avature.net/careers/SearchJobs?b=1&page=' || page_id END AS listing_url,
+    CASE {_P} WHEN 5 THEN '/us/en/search-results' WHEN 7 THEN '/careers' WHEN 11 THEN 'https://bloomberg.avature.net/careers/SearchJobs?b=1&page=' || n END AS listing_url,
     CASE {_P} WHEN 3 THEN '/global/en' WHEN 4 THEN '/en/jobs' WHEN 5 THEN '/us/en' WHEN 6 THEN '/us/en' WHEN 7 THEN '/careers' END AS allowed_paths FROM d"""
 
 
@@ -691,39 +694,96 @@ PREVIEW_SQL = """SELECT source AS source_id, CAST(rn AS INTEGER) AS rank, md5(sp
 # --- integrity --------------------------------------------------------------------------
 
 
+def _one_of(values, index):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+
+
 def constraint_audit(spark, sf_dir):
-    scans = derived.scan_history(spark, sf_dir)
+    """Every domain and limit, uniqueness and references; some columns get values outside. Documents stand
+    for what users may enter: their lines and words fill the lists."""
+    srcs, history = derived.scan_state(spark, sf_dir)
+    number = F.substring("source_id", 4, 9).cast("int")
+    srcs = srcs.withColumn("health_status", _one_of(("unknown", "healthy", "temporarily_failing", "setup_required", "broken"), number))
+    history = history.withColumn("trigger", _one_of(("initial", "scheduled", "manual", "cron"), F.col("scan_seq")))
     listing = derived.scan_listing(spark, sf_dir)
-    matches = derived.matches(spark, sf_dir)
+    matches = (
+        derived.matches(spark, sf_dir)
+        .withColumn("provider", _one_of(("local", "anthropic", "other"), F.col("score")))
+        .withColumn("provider_status", _one_of(("success", "fallback", "hard_constraint", "lost"), F.col("score")))
+    )
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    checks = {
-        "unique_scan": quality.duplicates(scans, ["source_id", "scan_seq"]),
-        "unique_observation_url": quality.duplicates(listing, ["scan_run_id", "canonical_url"]),
-        "unique_text": quality.duplicates(docs.select(F.md5("text").alias("m")), ["m"]),
-        "unique_match": quality.duplicates(matches, list(matching.MEMO_KEY)),
-        "orphan_label": quality.orphans(docs.select("doc_id"), labels, "doc_id", "doc_id"),
-        "orphan_observation": quality.orphans(listing, scans, "scan_run_id", "scan_run_id"),
-        "bad_scan_status": quality.bad_enum(scans, "status", quality.DOMAINS["scan_status"]),
-        "bad_classification": quality.bad_enum(matches, "classification", ("strong", "possible")),
-        "long_text": quality.out_of_range(docs, {"text": F.length("text") <= quality.LIMITS["notes"]}),
-        "score_range": quality.out_of_range(matches, {"score": F.col("score").between(0, 100)}),
+    words = F.split(F.try_element_at(F.split("text", "\n"), F.lit(1)), " ")
+    entered = docs.select(
+        F.array_join(words, " ").alias("company"), F.array_join(F.slice(words, 1, 3), " ").alias("name"),
+        *[F.col("text").alias(c) for c in ("notes", "resume_text", "preference_notes")],
+        words.alias("target_roles"), F.split("text", "\n").alias("adjacent_roles"),
+        F.split("text", ", ").alias("preferred_locations"), F.split("text", "\\. ").alias("employment_types"),
+        F.split("text", " ").alias("required_terms"), F.split("text", " the ").alias("excluded_terms"),
+    )
+    texts = ("company", "name", "notes", "resume_text", "preference_notes")
+    limits = {f"limit_{c}": quality.within_limit(c) if c in texts else quality.list_within_limit(c) for c in quality.LIMITS}
+
+    def domains(*names):
+        return {f"domain_{n}": quality.in_domain("status" if n == "scan_status" else n, n) for n in names}
+
+    scored = domains("classification", "provider", "provider_status")
+    parts = [
+        quality.audit({
+            "unique_scan": quality.duplicates(history, ["source_id", "scan_seq"]),
+            "unique_observation_url": quality.duplicates(listing, ["scan_run_id", "canonical_url"]),
+            "unique_text": quality.duplicates(docs.select(F.md5("text").alias("m")), ["m"]),
+            "unique_match": quality.duplicates(matches, list(matching.MEMO_KEY)),
+            "orphan_label": quality.orphans(labels, docs, "doc_id", "doc_id"),
+            "orphan_observation": quality.orphans(listing, history, "scan_run_id", "scan_run_id"),
+        }),
+        quality.violations(derived.jobs(spark, sf_dir), domains("lifecycle_status")),
+        quality.violations(history, domains("scan_status", "trigger")),
+        quality.violations(srcs, domains("setup_status", "health_status", "monitoring_status")),
+        quality.violations(matches, scored | {"score_range": F.col("score").between(0, 100)}),
+        quality.violations(derived.profiles(spark, sf_dir), domains("remote_preference")),
+        quality.violations(entered, limits),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _limit_sql() -> str:
+    first = "string_split(string_split(text, chr(10))[1], ' ')"
+    sizes = {
+        "company": "length(string_split(text, chr(10))[1])", "name": f"length(array_to_string({first}[1:3], ' '))",
+        **{c: "length(text)" for c in ("notes", "resume_text", "preference_notes")},
+        "target_roles": f"len({first})", "adjacent_roles": "len(string_split(text, chr(10)))",
+        "preferred_locations": "len(string_split(text, ', '))", "employment_types": "len(string_split(text, '. '))",
+        "required_terms": "len(string_split(text, ' '))", "excluded_terms": "len(string_split(text, ' the '))",
     }
-    return quality.audit(checks)
+    return " ".join(
+        f"UNION ALL SELECT 'limit_{c}', count(*) FILTER (WHERE {sizes[c]} > {quality.LIMITS[c]}) FROM documents"
+        for c in quality.LIMITS
+    )
 
 
 AUDIT_SQL = sql(
-    """SELECT 'unique_scan' AS check_name, 0::BIGINT AS violations
+    """, number AS (SELECT DISTINCT source_id, CAST(substr(source_id, 4) AS INTEGER) AS k FROM scans)
+    SELECT 'unique_scan' AS check_name, 0::BIGINT AS violations
     UNION ALL SELECT 'unique_observation_url', count(*) FROM (SELECT 1 FROM listing GROUP BY scan_run_id, canonical_url HAVING count(*) > 1)
     UNION ALL SELECT 'unique_text', count(*) FROM (SELECT 1 FROM documents GROUP BY text HAVING count(*) > 1)
     UNION ALL SELECT 'unique_match', count(*) FROM (SELECT 1 FROM matches GROUP BY job_id, profile_id, profile_version, fp HAVING count(*) > 1)
-    UNION ALL SELECT 'orphan_label', count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+    UNION ALL SELECT 'orphan_label', count(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id)
     UNION ALL SELECT 'orphan_observation', count(*) FROM listing l WHERE NOT EXISTS (SELECT 1 FROM scans s WHERE s.scan_run_id = l.scan_run_id)
-    UNION ALL SELECT 'bad_scan_status', count(*) FROM scans WHERE status NOT IN ('queued', 'running', 'success', 'success_with_warnings', 'partial', 'failed', 'interrupted')
-    UNION ALL SELECT 'bad_classification', count(*) FROM matches WHERE classification NOT IN ('strong', 'possible')
-    UNION ALL SELECT 'long_text', count(*) FROM documents WHERE length(text) > 4000
-    UNION ALL SELECT 'score_range', count(*) FROM matches WHERE score NOT BETWEEN 0 AND 100""",
-    "listing", "scans", "matches",
+    UNION ALL SELECT 'domain_lifecycle_status', count(*) FROM jobs WHERE lifecycle_status NOT IN ('active', 'possibly_closed', 'closed')
+    UNION ALL SELECT 'domain_scan_status', 0
+    UNION ALL SELECT 'domain_trigger', count(*) FROM scans WHERE scan_seq % 4 = 3
+    UNION ALL SELECT 'domain_setup_status', 0 UNION ALL SELECT 'domain_monitoring_status', 0
+    UNION ALL SELECT 'domain_health_status', count(*) FROM number WHERE k % 5 = 4
+    UNION ALL SELECT 'domain_classification', count(*) FROM matches WHERE classification NOT IN ('strong', 'possible', 'irrelevant')
+    UNION ALL SELECT 'domain_provider', count(*) FROM matches WHERE score % 3 = 2
+    UNION ALL SELECT 'domain_provider_status', count(*) FROM matches WHERE score % 4 = 3
+    UNION ALL SELECT 'score_range', count(*) FROM matches WHERE score NOT BETWEEN 0 AND 100
+    UNION ALL SELECT 'domain_remote_preference', 0 """ + _limit_sql(),
+    "listing", "scans", "matches", "jobs",
 )
 
 
