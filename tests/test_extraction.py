@@ -185,6 +185,54 @@ def test_all_platforms_union(spark):
     assert (row.title, row.identity_key, row.description_text, row.locations) == ("A B", "external:7", "d", [])
 
 
+def parsed_fields(body, fields):
+    """The fields by the standard library's parser."""
+    page = html_fields._Fields(body or "", fields)
+
+    def text(element):
+        return " ".join(element["text"]) if element else None
+
+    def first(name):
+        return (page.found.get(name) or [None])[0]
+
+    described, posted = first("description") or first("description_fallback"), first("posted")
+    return (
+        text(first("title")), page.source[described["start"]:described["end"]] if described else None,
+        [text(e) for e in page.found["location"]], text(first("employment_type")),
+        posted["attrs"].get("datetime") if posted else None,
+    )
+
+
+ODD_PAGES = (
+    "<h1>One</h1><div id='JobDescription'>text<p>open</div>", "<div class='job-description'>never <b>closed", "", None, "plain",
+    "<h1/>x<h1>A&nbsp;B</h1>", "<main>a<img src=x>b<!-- <h1>no</h1> --><script>var x='<h1>q</h1>'</script><H1 CLASS=z> T </H1></main>",
+    "<div><h1>t</div></h1><span class='a my-location'>x<span>y</span></span><div data-field='location'>z &lt;b&gt;</div>",
+    "<div data-job-description='1'>a<div>b<div>c</div></div>d</div>e", "<time datetime='2026-08-02'>x</time>",
+)
+
+
+def test_fields_equal_a_parser(spark):
+    rng, bodies = random.Random(1), list(ODD_PAGES)
+    marks = ["", " class='job-description'", " class=job-location", ' data-field="title"', ' class="employment-type z"', " id=job-description"]
+    for _ in range(80):
+        opened, out = [], []
+        for _ in range(rng.randint(3, 25)):
+            r = rng.random()
+            if r < 0.45:
+                opened.append(rng.choice(["div", "p", "b", "section", "h1", "main"]))
+                out.append(f"<{opened[-1]}{rng.choice(marks)}>")
+            elif r < 0.75 and opened:
+                out.append(f"</{opened.pop()}>")
+            else:
+                out.append(rng.choice(["<br/>", "<!-- <p> -->", " a ", "b &amp; c", "x > y", "\n"]))
+        bodies.append("".join(out + [f"</{t}>" for t in reversed(opened)]))
+    df = spark.createDataFrame([("s", "r", i, "u", b) for i, b in enumerate(bodies)], "source_id string, scan_run_id string, seq long, url string, body string")
+    for fields in (html_fields.ATS_A_FIELDS, html_fields.ATS_H_FIELDS):
+        for r in html_fields.html_fields(df, fields).collect():
+            got = (r.title, r.description, r.locations, r.employment_type, r.posted)
+            assert got == parsed_fields(bodies[r.seq], fields), bodies[r.seq]
+
+
 def scan_of(spark, rows, robots=None, config=None, platform="happydance"):
     """extract_scans over (kind, url, status, body) rows of one scan."""
     data = [("s", "r", i, *row[:3], row[3]) for i, row in enumerate(rows)]

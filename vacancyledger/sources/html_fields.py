@@ -1,7 +1,8 @@
-"""Named fields of HTML detail pages, for the two platforms that have no machine-readable form.
+"""Named fields of HTML pages, for the two platforms that have no machine-readable form.
 
-Element matching needs a tag-level reading of the page, so pages go through Arrow batches to a
-small standard-library parser; Spark spreads the pages. Selectors are data.
+Selectors are data. Detail pages are read by column expressions over their tags and texts. The entries
+of one platform's listing pages, whose fields belong to the block around a link, go through Arrow
+batches to a small standard-library parser.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_iso_date
+from ..functions.text import let, settle, strip_ws, with_unescaped
+from .html_pages import attribute
 
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -32,6 +35,23 @@ class Selector:
     equals: str = ""
     contains: str = ""
 
+    def column(self, name: Column, inside: Column) -> Column:
+        """The same for a tag's name and the inside of its start tag."""
+        ok = name == self.tag if self.tag else F.lit(True)
+        if self.css_id:
+            ok = ok & (attribute(inside, "id") == self.css_id)
+        if self.css_class:
+            ok = ok & F.array_contains(F.split(attribute(inside, "class"), r"\s+"), self.css_class)
+        if self.attr:
+            value = F.coalesce(attribute(inside, self.attr), F.lit(""))
+            present = inside.rlike(rf"(?i)(^|\s){self.attr}(\s|=|$)")
+            ok = ok & present
+            if self.equals:
+                ok = ok & (value == self.equals)
+            if self.contains:
+                ok = ok & value.contains(self.contains)
+        return F.coalesce(ok, F.lit(False))
+
     def hit(self, tag: str, attrs: dict[str, str]) -> bool:
         if self.tag and tag != self.tag:
             return False
@@ -212,44 +232,159 @@ def html_entries(captures: DataFrame, fields: dict[str, tuple[Selector, ...]]) -
     return wanted.mapInPandas(read, _ENTRY_SCHEMA)
 
 
-_SCHEMA = """source_id string, scan_run_id string, seq bigint, url string, title string,
-    description string, locations array<string>, employment_type string, posted string"""
+# A start tag, an end tag, or what holds no elements: comments, declarations, scripts and styles.
+_TOKEN = (
+    r"""(?s)<!--.*?-->|(?i:<(script|style|template)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?</\1\s*>)"""
+    r"""|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+)
+_GAP = "\x1f"
 
 
-def html_fields(captures: DataFrame, fields: dict[str, tuple[Selector, ...]]) -> DataFrame:
-    """Field values of detail pages: first title, description, type and date, all locations."""
+def _name(token: Column) -> Column:
+    """Name of a tag, null for other tokens; end tags start with a slash."""
+    found = F.lower(F.regexp_extract(token, r"^<(/?[a-zA-Z][^\s/>]*)", 1))
+    whole = token.rlike(r"(?is)^<(script|style|template)\b")
+    return F.when((found != "") & ~whole, found)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def values(body: str | None) -> tuple:
-            page = _Fields(body or "", fields)
-
-            def first(name: str) -> dict | None:
-                hits = page.found.get(name) or []
-                return hits[0] if hits else None
-
-            def text(element: dict | None) -> str | None:
-                return " ".join(element["text"]) if element else None
-
-            description = first("description") or first("description_fallback")
-            posted = first("posted")
-            return (
-                text(first("title")),
-                page.source[description["start"]:description["end"]] if description else None,
-                [text(e) for e in page.found["location"]],
-                text(first("employment_type")),
-                posted["attrs"].get("datetime") if posted else None,
+
+def _opens(token: Column, name: Column) -> Column:
+    """Whether elements follow inside: not for end tags, void elements and self-closed ones."""
+    return name.isNotNull() & ~name.startswith("/") & ~name.isin(*VOID) & ~token.rlike(r"/\s*>$")
+
+
+def _stepped(open_names: Column, token: Column) -> Column:
+    """The open elements after a token. An end tag closes up to its start, if that is open."""
+
+    def moved(name: Column) -> Column:
+        back = F.array_position(F.reverse(open_names), F.substr(name, F.lit(2))).cast("int")
+        closed = F.slice(open_names, F.lit(1), F.size(open_names) - back)
+        return (
+            F.when(_opens(token, name), F.concat(open_names, F.array(name)))
+            .when(name.startswith("/") & (back > 0), closed)
+            .otherwise(open_names)
+        )
+
+    return let(_name(token), moved)
+
+
+def _end(tokens: Column, start: Column) -> Column:
+    """Index of the token that ends the element whose start tag is at index ``start``; the number of
+    tokens if it stays open."""
+    none = F.array().cast("array<string>")
+    outer = F.aggregate(F.slice(tokens, F.lit(1), start + 1), none, _stepped)
+    rest = F.slice(tokens, start + 2, F.greatest(F.size(tokens) - start - 1, F.lit(0)))
+
+    def closing(before: Column) -> Column:
+        depth = F.size(before)
+
+        def step(acc: Column, token: Column) -> Column:
+            return let(
+                _stepped(acc["open"], token),
+                lambda now: F.when(acc["done"], acc).otherwise(
+                    F.struct(
+                        now.alias("open"), (acc["at"] + 1).alias("at"), (F.size(now) < depth).alias("done")
+                    )
+                ),
             )
 
-        for batch in batches:
-            rows = [values(b) for b in batch["body"]]
-            out = batch[["source_id", "scan_run_id", "seq", "url"]].copy()
-            names = ("title", "description", "locations", "employment_type", "posted")
-            for i, name in enumerate(names):
-                out[name] = pd.Series([r[i] for r in rows], index=out.index, dtype=object)
-            yield out
-
-    wanted = captures.select("source_id", "scan_run_id", "seq", "url", "body")
-    return wanted.mapInPandas(read, _SCHEMA)
+        first = F.struct(before.alias("open"), start.alias("at"), F.lit(False).alias("done"))
+        return F.aggregate(rest, first, step, lambda acc: F.when(acc["done"], acc["at"]).otherwise(F.size(tokens)))
+
+    first = F.get(tokens, start)
+    return F.when(_opens(first, _name(first)), let(outer, closing)).otherwise(start)
+
+
+def _first_places(tokens: Column, selectors: tuple[Selector, ...]) -> Column:
+    """Indexes of the start tags that a selector matches, in page order."""
+
+    def place(token: Column, index: Column) -> Column:
+        name = _name(token)
+        inside = F.regexp_replace(token, r"(?s)^<[a-zA-Z][^\s/>]*|/?>$", "")
+        hit = F.lit(False)
+        for selector in selectors:
+            hit = hit | selector.column(name, inside)
+        return F.when(name.isNotNull() & ~name.startswith("/") & hit, index)
+
+    return F.array_compact(F.transform(tokens, place))
+
+
+def _pieces(tokens: Column, gaps: Column, start: Column) -> Column:
+    """The texts directly and indirectly inside the element at ``start``, joined by a mark."""
+    return let(
+        _end(tokens, start),
+        lambda end: F.array_join(F.slice(gaps, start + 2, F.greatest(end - start, F.lit(0))), _GAP),
+    )
+
+
+def _source(tokens: Column, gaps: Column, start: Column) -> Column:
+    """The page's own text from the start tag at ``start`` to the end of its element."""
+
+    def cut(end: Column) -> Column:
+        last = F.least(end, F.size(tokens) - 1)
+        inner = F.transform(
+            F.slice(tokens, start + 2, F.greatest(last - start, F.lit(0))),
+            lambda token, i: F.concat(F.get(gaps, start + i + 1), token),
+        )
+        tail = F.when(end > last, F.get(gaps, F.size(tokens))).otherwise("")
+        return F.concat(F.get(tokens, start), F.array_join(inner, ""), tail)
+
+    return let(_end(tokens, start), cut)
+
+
+def _shown(pieces: Column) -> Column:
+    """Pieces stripped, blank ones dropped, joined by a space."""
+    stripped = F.transform(F.split(pieces, _GAP), strip_ws)
+    return F.array_join(F.filter(stripped, lambda t: F.length(t) > 0), " ")
+
+
+def html_fields(captures: DataFrame, fields: dict[str, tuple[Selector, ...]]) -> DataFrame:
+    """Field values of detail pages: first title, description, type and date, all locations.
+
+    A page is cut into tags and the texts between them; elements are matched and followed to their
+    end in these arrays.
+    """
+    body = F.coalesce("body", F.lit(""))
+    cut = captures.select(
+        "source_id", "scan_run_id", "seq", "url",
+        F.regexp_extract_all(body, F.lit(_TOKEN), 0).alias("_tokens"), F.split(body, _TOKEN, -1).alias("_gaps"),
+    )
+    tokens, gaps = F.col("_tokens"), F.col("_gaps")
+    names = ("title", "description", "description_fallback", "location", "employment_type", "posted")
+    placed = settle(
+        cut.withColumns({f"_{n}": _first_places(tokens, fields.get(n, ())) for n in names})
+    )
+
+    def first(name: str) -> Column:
+        return F.get(f"_{name}", F.lit(0))
+
+    def pieces(name: str) -> Column:
+        return F.when(first(name).isNotNull(), _pieces(tokens, gaps, first(name)))
+
+    described = F.coalesce(first("description"), first("description_fallback"))
+    posted = attribute(F.regexp_replace(F.get(tokens, first("posted")), r"(?s)^<[a-zA-Z][^\s/>]*|/?>$", ""), "datetime")
+    mark = "\x1e"
+    texts = with_unescaped(
+        placed.withColumn("description", F.when(described.isNotNull(), _source(tokens, gaps, described))),
+        {
+            "_title_text": pieces("title"),
+            "_type_text": pieces("employment_type"),
+            "_places": F.array_join(F.transform("_location", lambda i: _pieces(tokens, gaps, i)), mark),
+            "posted": posted,
+        },
+    )
+    # Computed here, so that the Python step does not end up inside the expressions below.
+    texts = settle(
+        texts.select(
+            "source_id", "scan_run_id", "seq", "url", "description", "posted", "_title_text", "_type_text",
+            "_places", "_location",
+        )
+    )
+    places = F.when(F.size("_location") > 0, F.transform(F.split("_places", mark), _shown))
+    return texts.select(
+        "source_id", "scan_run_id", "seq", "url", _shown(F.col("_title_text")).alias("title"), "description",
+        F.coalesce(places, F.array().cast("array<string>")).alias("locations"),
+        _shown(F.col("_type_text")).alias("employment_type"), "posted",
+    )
 
 
 def _details(fields: DataFrame, locations, platform: str) -> DataFrame:
