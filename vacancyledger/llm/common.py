@@ -33,6 +33,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, key: str) -> DataFrame:
+    """Like :func:`written`, in buckets of ``key``: a later join on that column alone moves just the
+    other side. ``df`` should come out of a join on ``key``, so that a task holds whole buckets."""
+    spark = df.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{temporary_folder(spark)}/buckets"
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def temporary_folder(spark: SparkSession) -> str:
     """A shared folder that the file system deletes when the application ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, written
+from .common import columns_of, written, written_by
 
 WINDOW = 50
 #: Reference words per automaton and streamed words per task and automaton.
@@ -67,12 +67,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def window_anchors(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Per window, the smallest hash of its runs of ``window // 2 + 1`` words.
+    """Per window, the smallest hash of its runs of a third as many words.
 
     It depends on the window's words alone, so equal windows have equal anchors wherever they stand,
     and neighbouring windows mostly share theirs.
     """
-    k = window // 2 + 1
+    k = max(1, window // 3)
     low, reach, need = rolling(hashes, k), 1, window - k + 1
     while reach * 2 <= need:
         low = np.minimum(low[:-reach], low[reach:]) if len(low) > reach else low[:0]
@@ -174,10 +174,16 @@ class Automaton:
         return found
 
 
+def _digest() -> F.Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(F.col("text")).alias("digest")
+
+
 def _scan(documents: DataFrame, window: int) -> DataFrame:
-    """doc_id, digest, n_words, sha256 of all words, and the document's anchors. One pass, no shuffle."""
+    """doc_id, digest, text_sha256, n_words, sha256 of all words, and the document's anchors. One pass, no
+    shuffle."""
     docs = columns_of(documents, doc_id="long", text="string").select(
-        "doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("digest"),
+        "doc_id", _digest(), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256"),
         F.col("text").cast("binary").alias("text"),
     )
 
@@ -186,64 +192,127 @@ def _scan(documents: DataFrame, window: int) -> DataFrame:
 
         for b in batches:
             counts, shas, anchors = [], [], []
-            for text in b.column(2):
+            for text in b.column(3):
                 words = (text.as_py() or b"").split()
                 counts.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 anchors.append(np.unique(window_anchors(word_hashes(words), window)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(shas, pa.string()),
+                [b.column(0), b.column(1), b.column(2), pa.array(counts, pa.int64()), pa.array(shas, pa.string()),
                  pa.array(anchors, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "n_words", "sha256", "anchors"],
+                ["doc_id", "digest", "text_sha256", "n_words", "sha256", "anchors"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, digest string, n_words long, sha256 string, anchors array<long>")
+    return docs.mapInArrow(
+        run, "doc_id long, digest long, text_sha256 string, n_words long, sha256 string, anchors array<long>"
+    )
 
 
-def _candidates(suspects: DataFrame, window: int) -> DataFrame:
-    """Spans (doc_id, digest, start, words, h1, h2) of windows whose anchor several documents have."""
+_SPAN = "doc_id long, digest long, span long"
 
-    def run(batches):
-        import pyarrow as pa
 
-        names = ["doc_id", "digest", "start", "words", "n_words", "h1", "h2"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+def _spans(suspects: DataFrame, window: int) -> DataFrame:
+    """Spans of windows whose anchor several documents have, each with its runs.
+
+    ``span`` is the first word; a run is the windows next to one another that share their anchor, as
+    (anchor, run: a hash of its windows' hashes, hashes: those of the windows).
+    """
+    import pyarrow as pa
 
-        def batch(rows):
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
+    run_type = pa.struct([("anchor", pa.int64()), ("run", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    names = ["doc_id", "digest", "span", "words", "n_words", "runs"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(run_type)]
 
+    def runs(anchors: np.ndarray, hashes: np.ndarray) -> list[dict]:
+        cuts = [0, *(np.flatnonzero(np.diff(anchors)) + 1).tolist(), len(anchors)]
+        weights = _power(_BASES[1], max(b - a for a, b in zip(cuts, cuts[1:], strict=False)))
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            total = np.uint64((hashes[a:b] * weights[: b - a]).sum(dtype=np.uint64)) ^ np.uint64(b - a)
+            out.append({"anchor": int(anchors[a].view(np.int64)), "run": int(total.view(np.int64)), "hashes": hashes[a:b].view(np.int64)})
+        return out
+
+    def batch(rows):
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    def run(batches):
         for b in batches:
             out = []
             for doc_id, digest, text, known in zip(*(b.column(i) for i in range(4)), strict=True):
                 words = text.as_py().split()
-                hashes = word_hashes(words)
+                hashed = word_hashes(words)
                 shared = np.asarray(known.values, dtype=np.int64).view(np.uint64)
-                hit = np.flatnonzero(np.isin(window_anchors(hashes, window), shared))
+                anchors = window_anchors(hashed, window)
+                hit = np.flatnonzero(np.isin(anchors, shared))
                 if not len(hit):
                     continue
-                one, two = rolling(hashes, window, 0).view(np.int64), rolling(hashes, window, 1).view(np.int64)
-                breaks = np.flatnonzero(np.diff(hit) > 1) + 1
-                for run_ in np.split(hit, breaks):
-                    # A very long run is cut, so that rows stay small; each window is in one part.
-                    for at in range(int(run_[0]), int(run_[-1]) + 1, BLOCK):
-                        to = min(at + BLOCK, int(run_[-1]) + 1)
-                        part = words[at : to + window - 1]
+                hashes = rolling(hashed, window)
+                for part in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
+                    # A very long span is cut, so that rows stay small; each window is in one part.
+                    for at in range(int(part[0]), int(part[-1]) + 1, BLOCK):
+                        to = min(at + BLOCK, int(part[-1]) + 1)
+                        own = words[at : to + window - 1]
                         out.append(
-                            (doc_id.as_py(), digest.as_py(), at, b" ".join(part), len(part), one[at:to], two[at:to])
+                            (doc_id.as_py(), digest.as_py(), at, b" ".join(own), len(own), runs(anchors[at:to], hashes[at:to]))
                         )
                         if len(out) >= 1000:
                             yield batch(out)
                             out = []
             yield batch(out)
 
-    schema = "doc_id long, digest string, start long, words binary, n_words long, h1 array<long>, h2 array<long>"
+    schema = f"{_SPAN}, words binary, n_words long, runs array<struct<anchor: long, run: long, hashes: array<long>>>"
     return suspects.select("doc_id", "digest", "text", "shared").mapInArrow(run, schema)
 
 
+def _routes(spans: DataFrame) -> DataFrame:
+    """(doc_id, digest, span, owner): the spans (of smaller doc_ids, or of the document itself where it is
+    the first) that hold the repeated windows of a span, such that each of them stands in one.
+
+    Runs with the same windows are one: its first document has all of them, and other documents need no
+    other reference for it. Windows are compared one by one only where an anchor has several distinct
+    runs, as equal windows have equal anchors; of each, the first document counts.
+    """
+    place = F.struct("doc_id", "digest", "span")
+    runs = spans.select("doc_id", "digest", "span", F.inline("runs"))
+    distinct = runs.groupBy("anchor", "run").agg(
+        F.min(place).alias("first"), F.max("doc_id").alias("last"), F.min_by("hashes", place).alias("hashes")
+    )
+    distinct = written(distinct, "runs")
+    mixed = distinct.groupBy(F.col("anchor").alias("_mixed")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    mixed = written(mixed.select("_mixed"), "mixed")
+    several = distinct.join(mixed, F.col("anchor") == F.col("_mixed"))
+    windows = several.select("anchor", "run", "first", "last", F.explode("hashes").alias("hash"))
+    windows = written(windows, "one_by_one")
+    # Anchor and hash together tell windows apart, by 128 bits.
+    firsts = windows.groupBy(F.col("anchor").alias("_anchor"), F.col("hash").alias("_hash")).agg(
+        F.min("first").alias("owner"), F.max("last").alias("_last")
+    )
+    firsts = written(firsts.filter("_last > owner.doc_id").select("_anchor", "_hash", "owner"), "firsts")
+    held = windows.select("anchor", "run", "hash").join(
+        firsts, (F.col("anchor") == F.col("_anchor")) & (F.col("hash") == F.col("_hash"))
+    )
+    held = held.groupBy(F.col("anchor").alias("_anchor"), F.col("run").alias("_run")).agg(F.collect_set("owner").alias("owners"))
+    known = distinct.select("anchor", "run", "first", "last").join(
+        held, (F.col("anchor") == F.col("_anchor")) & (F.col("run") == F.col("_run")), "left"
+    )
+    # A run that no other document shares, nor any of its windows, needs no reference.
+    known = known.filter("owners is not null or last > first.doc_id").select(
+        F.col("anchor").alias("_anchor"), F.col("run").alias("_run"), "first",
+        F.coalesce("owners", F.array("first")).alias("owners"),
+    )
+    known = written(known, "known")
+    own = runs.select("doc_id", "digest", "span", "anchor", "run").join(
+        known, (F.col("anchor") == F.col("_anchor")) & (F.col("run") == F.col("_run"))
+    )
+    copied = F.col("first.doc_id") < F.col("doc_id")
+    chosen = F.when(copied, F.array("first")).otherwise(F.col("owners"))
+    return own.select("doc_id", "digest", "span", F.explode(chosen).alias("owner")).distinct()
+
+
 def repeated_spans(scan: DataFrame, documents: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, removed) with the sorted, disjoint spans [start, end) of words to remove, and the
-    texts (doc_id, digest, text) of the documents in question.
+    """(doc_id, digest, found) with the spans [start, end) of words to remove, and the texts (doc_id,
+    digest, text) of the documents in question.
 
     ``scan`` has one row per document of distinct text. Reference are the first documents of repeated
     windows: rolling hashes over all documents say which windows repeat and where each stands first.
@@ -253,48 +322,36 @@ def repeated_spans(scan: DataFrame, documents: DataFrame, window: int = WINDOW)
     anchors = scan.select("doc_id", F.explode("anchors").alias("anchor"))
     several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b")
     several = written(several.select(F.col("anchor").alias("_anchor")), "anchors")
-    of_doc = scan.select("doc_id", "digest", F.explode("anchors").alias("anchor"))
-    hits = of_doc.join(several, F.col("anchor") == F.col("_anchor"))
-    marked = written(
-        hits.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_set("anchor").alias("shared")),
-        "marked",
-    )
-    docs = columns_of(documents, doc_id="long", text="string")
-    docs = docs.withColumn("digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    suspects = docs.join(marked, (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    hits = anchors.join(several, F.col("anchor") == F.col("_anchor"))
+    marked = hits.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("anchor").alias("shared"))
+    docs = columns_of(documents, doc_id="long", text="string").select("doc_id", _digest(), F.col("text").cast("binary").alias("text"))
+    suspects = docs.join(written(marked, "marked"), F.col("doc_id") == F.col("_id")).drop("_id")
     # Repeated rows of a document are one text.
-    suspects = suspects.select("doc_id", "digest", F.col("text").cast("binary").alias("text"), "shared")
-    suspects = written(suspects, "suspects")
-    spans = written(_candidates(suspects, window).dropDuplicates(["doc_id", "digest", "start"]), "spans")
-
-    places = spans.select(
-        "doc_id", "digest", "start", F.explode(F.arrays_zip("h1", "h2", F.sequence(F.lit(0), F.size("h1") - 1).alias("at"))).alias("w")
-    ).select("doc_id", "digest", "start", "w.h1", "w.h2", (F.col("start") + F.col("w.at")).alias("at"))
-    first = places.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(
-        F.min(F.struct("doc_id", "digest", "start")).alias("first"), F.max("doc_id").alias("_last")
-    )
-    first = first.filter(F.col("_last") > F.col("first.doc_id")).select("_h1", "_h2", "first")
-    first = written(first, "first")
-    key = ["doc_id", "digest", "start"]
-    needs = places.join(first, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
-    needs = written(needs.select(*key, "first").distinct(), "needs")  # a span and the spans it may match
-
-    owners = needs.select(F.col("first.*")).distinct()
-    reference = written(spans.join(owners, key, "left_semi").select(*key, "words", "n_words"), "reference")
-    total = reference.agg(F.sum("n_words")).first()[0] or 0
+    suspects = written_by(suspects.dropDuplicates(["doc_id", "digest"]), "doc_id")
+    spans = written(_spans(suspects, window), "spans")
+
+    key = ["doc_id", "digest", "span"]
+    routes = written(_routes(spans), "routes")
+    lengths = spans.select(*key, "n_words").join(routes.select(F.col("owner.*")).distinct(), key, "left_semi")
+    total = lengths.agg(F.sum("n_words")).first()[0] or 0
     shards = int(max(1, -(-total // SHARD_WORDS)))
 
     def shard(prefix: str = ""):
-        return F.pmod(F.xxhash64(*[F.col(prefix + k) for k in key]), F.lit(shards)).cast("int")
-
-    routes = needs.filter(F.col("first.doc_id") < F.col("doc_id")).select(*key, shard("first.").alias("shard")).distinct()
-    stream = written(spans.select(*key, "words", "n_words").join(written(routes, "routes"), key), "stream")
+        return F.pmod(F.xxhash64(*[F.col(prefix + k) for k in key]), F.lit(shards)).cast("int").alias("shard")
+
+    # Where a span is streamed, and the shard it is a reference of: one way each, so words move once.
+    streamed = routes.filter(F.col("owner.doc_id") < F.col("doc_id")).select(*key, shard("owner."), F.lit(False).alias("reference"))
+    referred = routes.select(F.col("owner.*")).select(*key, shard(), F.lit(True).alias("reference"))
+    ways = written(streamed.unionByName(referred).distinct(), "ways")
+    placed = written(spans.select(*key, "words", "n_words").join(ways, key), "placed")
+    stream, reference = placed.filter("not reference"), placed.filter("reference")
     load = stream.groupBy("shard").agg(F.ceil(F.sum("n_words") / STREAM_WORDS).cast("int").alias("salts"))
     load = written(load, "load")
     split = stream.join(load, "shard").select(
         "shard", F.pmod(F.xxhash64(*key, F.lit(1)), F.col("salts")).cast("int").alias("salt"), *key, "words"
     )
-    copies = reference.withColumn("shard", shard()).join(load, "shard")
+    copies = reference.select(F.col("shard").alias("shard"), F.col("doc_id").alias("doc_id"), F.col("words").alias("words"))
+    copies = copies.join(load, "shard")
     copies = copies.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "doc_id", "words")
 
     def match(reference_, streamed):
@@ -305,14 +362,14 @@ def repeated_spans(scan: DataFrame, documents: DataFrame, window: int = WINDOW)
             automaton.add(words.split(), int(doc_id))
         automaton.finish()
         rows = [
-            (doc_id, digest, start + a, start + b)
-            for doc_id, digest, start, words in zip(*(streamed[k] for k in [*key, "words"]), strict=True)
+            (doc_id, digest, span + a, span + b)
+            for doc_id, digest, span, words in zip(*(streamed[k] for k in [*key, "words"]), strict=True)
             for a, b in automaton.spans(words.split(), int(doc_id))
         ]
         return pd.DataFrame(rows, columns=["doc_id", "digest", "start", "end"])
 
     matched = copies.groupBy("shard", "salt").cogroup(split.groupBy("shard", "salt"))
-    found = matched.applyInPandas(match, "doc_id long, digest string, start long, end long")
+    found = matched.applyInPandas(match, "doc_id long, digest long, start long, end long")
     removed = found.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
     return removed, suspects.select("doc_id", "digest", "text")
 
@@ -328,16 +385,19 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     scan = written(_scan(documents, window), "scan")
     known = scan.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
-    copies = known.groupBy(F.col("digest").alias("_digest")).agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
-    copies = written(copies.filter("_n > 1").select("_digest", "_first"), "copies")
-    listed = scan.join(copies, F.col("digest") == F.col("_digest"), "left").withColumn(
-        "is_copy", F.coalesce((F.col("doc_id") > F.col("_first")) & (F.col("n_words") >= window), F.lit(False))
-    )
-    listed = written(listed.drop("_digest", "_first"), "listed")
-    distinct = listed.filter(F.col("doc_id").isNotNull() & ~F.col("is_copy"))
+    copies = known.groupBy(F.col("text_sha256").alias("_sha")).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
+    copies = written(copies.filter("_last > _first").select("_sha", "_first"), "copies")
+    is_copy = F.coalesce((F.col("doc_id") > F.col("_first")) & (F.col("n_words") >= window), F.lit(False))
+    flagged = scan.drop("anchors").join(copies, F.col("text_sha256") == F.col("_sha"), "left")
+    flagged = written(flagged.withColumn("is_copy", is_copy).drop("_sha", "_first", "text_sha256"), "flagged")
+    repeated = flagged.filter("is_copy").select("doc_id", "digest").distinct()
+    distinct = known.select("doc_id", "digest", "anchors").join(repeated, ["doc_id", "digest"], "left_anti")
     removed, texts = repeated_spans(distinct, documents, window)
     removed = written(removed, "removed")
-    rows = texts.join(removed, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    # Joined by doc_id alone, the texts stay in their buckets; the digest tells a doc_id's texts apart.
+    mine = (F.col("doc_id") == F.col("_of")) & (F.col("digest").bitwiseXOR(F.col("_text")) == 0)
+    removed = removed.select(F.col("doc_id").alias("_of"), F.col("digest").alias("_text"), "found")
+    rows = texts.join(removed, mine)
 
     def cut(batches):
         import pyarrow as pa
@@ -360,16 +420,16 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept += words[at:]
                 out.append((doc_id.as_py(), digest.as_py(), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pair)]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pair)]
             names = ["_id", "_digest", "n_removed", "kept", "spans"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
 
     spans_type = "array<struct<start: long, end: long>>"
     done = rows.select("doc_id", "digest", "text", "found").mapInArrow(
-        cut, f"_id long, _digest string, n_removed long, kept string, spans {spans_type}"
+        cut, f"_id long, _digest long, n_removed long, kept string, spans {spans_type}"
     )
     done = written(done, "done")
-    out = listed.drop("anchors").join(done, (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    out = flagged.join(done, (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     all_words = F.expr(f"cast(array(named_struct('start', 0L, 'end', n_words)) as {spans_type})")
     return out.select(
