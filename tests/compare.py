@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .catalog import oracle_sql, queries
+from vacancyledger.plans.catalog import oracle_sql, queries
 
 
 def _cell(value):

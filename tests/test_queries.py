@@ -2,8 +2,8 @@
 
 import pytest
 
+from tests.compare import compare
 from vacancyledger.plans import catalog
-from vacancyledger.plans.compare import compare
 
 SF_DIR = "/root/testdata/sf0.001"
 
