@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from .common import columns_of, written
 from .graph import connected_components
 
-#: Buckets above this size are linked by stars first, see :func:`links`.
-PAIRWISE_BUCKET = 256
+#: Buckets above this size, and above four times what chance puts into one, are linked by stars first,
+#: see :func:`links`.
+PAIRWISE_BUCKET = 32
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 BLOCK = 1 << 15
 #: Odd multiplier that spreads one hash to further lanes (2^64 / golden ratio).
@@ -133,15 +134,17 @@ def links(nodes: DataFrame, lanes: int, segments: int, most: int, chain: int = 3
     For ``most`` < ``segments`` every such pair shares the key of some chain, so none is missed. For
     more it must share one whole segment: a filter that misses some of the farthest pairs.
 
-    A bucket of up to ``pairwise`` nodes is joined with itself. In a larger one all nodes are compared
+    A bucket of up to ``pairwise`` nodes (or four times the mean of a bucket by chance) is joined with itself. In a larger one all nodes are compared
     with the smallest; components of what was found so far then show which nodes of the bucket are
     still apart, and those outside its largest component are compared with all the rest. Within a
     component no further link can change a result, so none is lost, and no bucket lists all pairs.
     """
+    cut = _offsets(64 * lanes, segments)
     key_segments = max([1, *(n for n in range(1, segments + 1) if n * most // segments == 0)])
     index = _ring_index(nodes, lanes, segments, key_segments)
     close = _close(lanes, segments, most, chain)
-    hot = index.groupBy("i", "key").agg(F.count("*").alias("n")).filter(F.col("n") > pairwise)
+    by_chance = nodes.count() / 2 ** (key_segments * min(b - a for a, b in zip(cut, cut[1:], strict=False)))
+    hot = index.groupBy("i", "key").agg(F.count("*").alias("n")).filter(F.col("n") > max(pairwise, 4 * by_chance))
     hot = written(hot.select("i", "key"), "hot")
     some_hot = not hot.isEmpty()
     small = index.join(hot, ["i", "key"], "left_anti") if some_hot else index
