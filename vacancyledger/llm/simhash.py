@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from .common import columns_of, written
 from .graph import connected_components
 
-#: Buckets above this size, and above four times what chance puts into one, are linked by stars first,
-#: see :func:`links`.
-PAIRWISE_BUCKET = 32
+#: Buckets above this size, and above four times what chance puts into one, are linked by stars first, see
+#: :func:`links`. Where a pair may meet in many tables, :func:`deduplicated` takes the smaller size.
+PAIRWISE_BUCKET, PAIRWISE_BUCKET_WIDE = 256, 32
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 BLOCK = 1 << 15
 #: Odd multiplier that spreads one hash to further lanes (2^64 / golden ratio).
@@ -173,8 +173,8 @@ def links(nodes: DataFrame, lanes: int, segments: int, most: int, chain: int = 3
 
 
 def near_duplicates(
-    documents: DataFrame, words: int = 3, lanes: int = 1, segments: int = 5, most: int = 2
-) -> DataFrame:
+    documents: DataFrame, words: int = 3, lanes: int = 1, segments: int = 5, most: int = 2, pairwise: int = PAIRWISE_BUCKET
+) -> DataFrame:
     """doc_id, digest, f0 .. and ``component_id``: the smallest doc_id reachable by links.
 
     Rows link at ``most`` or fewer differing bits, rows without words (fingerprint zero) like any
@@ -186,7 +186,7 @@ def near_duplicates(
     found = written(fingerprints(documents, words, lanes), "fingerprints")
     nodes = found.filter("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node"))
     nodes = written(nodes, "nodes")
-    roots = connected_components(links(nodes, lanes, segments, most))
+    roots = connected_components(links(nodes, lanes, segments, most, pairwise=pairwise))
     parts = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     parts = written(parts.select(*[F.col(n).alias("_" + n) for n in names], F.coalesce("root", "node").alias("_part")), "parts")
     same = F.lit(True)
@@ -206,7 +206,7 @@ def deduplicated(documents: DataFrame, words: int = 5, lanes: int = 6, segments:
     none in 192. Rows without doc_id stay. Rows that repeat a doc_id and its text stay once; rows that
     share a doc_id but not the text are one document's versions, and those of the kept id stay.
     """
-    found = near_duplicates(documents, words, lanes, segments, most)
+    found = near_duplicates(documents, words, lanes, segments, most, PAIRWISE_BUCKET_WIDE)
     keep = found.filter("doc_id is not null and doc_id = component_id").groupBy("doc_id", "digest").agg(
         F.count("*").alias("_n")
     )
