@@ -138,6 +138,57 @@ def test_stage_finds_near_copies_and_keeps_others(documents):
     assert kept == {min(g) for g in groups.values()}
 
 
+def shingle_set(text):
+    split = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(split[i : i + 5]) for i in range(max(1, len(split) - 4))} if split else set()
+
+
+def kept_by_jaccard(rows):
+    """Smallest ids of the components of pairs that share 4/5 of their shingles, by comparing all."""
+    ids, sets = Sets({i for i, _ in rows}), [(i, shingle_set(t)) for i, t in rows]
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                ids.join(i, j)
+    return {ids.root(i) for i, _ in rows}
+
+
+def test_stage_links_at_the_threshold(documents):
+    """Isolated pairs just above 0.8, exactly at it and well under it; lengths equal and different."""
+    rng = random.Random(8)
+    rows, shared = [], []
+    while len(shared) < 240:
+        text = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([60, 139, 229, 400]))]
+        copy = list(text) + [f"z{rng.randint(0, 10**6)}" for _ in range(rng.choice([0, 0, len(text) // 9]))]
+        for at in rng.sample(range(len(text)), rng.randint(1, len(text) // 25)):
+            copy[at] = f"y{rng.randint(0, 10**6)}"
+        a, b = shingle_set(" ".join(text)), shingle_set(" ".join(copy))
+        similarity = len(a & b) / len(a | b)
+        if (0.8 <= similarity <= 0.85, 0.7 <= similarity <= 0.78)[len(shared) % 2]:
+            rows += [(2 * len(shared), " ".join(text)), (2 * len(shared) + 1, " ".join(copy))]
+            shared.append(similarity)
+    kept = {r.doc_id for r in simhash.deduplicated(documents(rows)).collect()}
+    want = {i for n, s in enumerate(shared) for i in ([2 * n] if s >= 0.8 else [2 * n, 2 * n + 1])}
+    assert kept == want
+
+
+def test_stage_equals_brute_force(sample, documents, monkeypatch):
+    """Real rows, a large group with links only between neighbours, and texts that share a frequent passage."""
+    monkeypatch.setattr(simhash, "PAIRWISE_BUCKET_WIDE", 4)
+    rows = [(r.doc_id, r.text) for r in sample("documents").collect()]
+    rng = random.Random(5)
+    words = [f"c{rng.randint(0, 10**6)}" for _ in range(100)]
+    for n in range(60):
+        rows.append((10_000 + n, " ".join(words)))
+        words = words[3:] + [f"c{rng.randint(0, 10**6)}" for _ in range(3)]
+    passage = [f"p{n}" for n in range(80)]
+    rows += [(20_000 + n, " ".join(passage + [f"q{rng.randint(0, 10**6)}" for _ in range(n % 40)])) for n in range(80)]
+    # The same majority of shingles, but few different ones in common.
+    rows += [(30_000, "a b c d e " * 50), (30_001, "a b c d e " * 50 + " ".join(f"r{n}" for n in range(20)))]
+    kept = {r.doc_id for r in simhash.deduplicated(documents(rows)).collect()}
+    assert kept == kept_by_jaccard(rows)
+
+
 def repeated(rows, window):
     """n_words, n_removed and digest of the kept words per row, by all windows of all smaller ids."""
     seen, out = {}, []

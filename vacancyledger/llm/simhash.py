@@ -14,42 +14,56 @@ from .graph import connected_components
 PAIRWISE_BUCKET, PAIRWISE_BUCKET_WIDE = 256, 32
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 BLOCK = 1 << 15
+#: Two texts are near copies if they share at least this part of their distinct shingles (Jaccard).
+ALIKE = (4, 5)
+#: Documents whose shingles are counted, and how many frequent shingles are put last in the order of
+#: :func:`sketches`. They change what is compared, not what is found.
+COUNTED_DOCUMENTS, FREQUENT = 4096, 1 << 16
+#: Rounds in which each node is compared with one partner only, see :func:`_confirmed`.
+THIN_ROUNDS = 3
 #: Odd multiplier that spreads one hash to further lanes (2^64 / golden ratio).
 GOLDEN = 0x9E3779B97F4A7C15
 
 
-def fingerprint(text: bytes | None, words: int, lanes: int = 1) -> list[int]:
-    """``lanes`` 64-bit words; a bit is 1 if set in over half the hashes of all shingles.
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included.
 
     A-Z are lower-cased, words are split at space and \\x09-\\x0D, shingles are ``words`` words joined
-    by a space, repeats included; fewer words make one shingle, none make zero. Lane 0 is the XXH64
-    (seed 42) of the shingle, further lanes are mixed from it.
+    by a space; fewer words make one shingle, none make no shingle.
     """
     from xxhash import xxh64_intdigest
 
     split = (text or b"").lower().split()
     if not split:
-        return [0] * lanes
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(split)
     ends = np.cumsum([len(w) + 1 for w in split]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(split) - words + 1)
-    starts, ends = starts[:n].tolist(), ends[-n:].tolist()
+    spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
+    return np.fromiter((xxh64_intdigest(joined[s:e], 42) for s, e in spans), dtype=np.uint64, count=n)
+
+
+def fingerprint(text: bytes | None, words: int, lanes: int = 1) -> list[int]:
+    """``lanes`` 64-bit words; a bit is 1 if set in over half the hashes of all shingles, none give zero.
+
+    Lane 0 is made of the hashes of :func:`shingle_hashes`, further lanes are mixed from them.
+    """
+    return _majority(shingle_hashes(text, words), lanes)
+
+
+def _majority(hashes: np.ndarray, lanes: int) -> list[int]:
     counts = np.zeros((lanes, 64), dtype=np.int64)
-    for at in range(0, n, BLOCK):
-        hashes = np.array(
-            [xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)],
-            dtype=np.uint64,
-        )
+    for at in range(0, len(hashes), BLOCK):
         for lane in range(lanes):
-            h = hashes
+            h = hashes[at : at + BLOCK]
             if lane:
                 h = (h + np.uint64(lane * GOLDEN % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
                 h = h ^ (h >> np.uint64(29))
             bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             counts[lane] += bits.sum(axis=0, dtype=np.uint32)
-    return np.packbits(counts * 2 > n, axis=1).view(">u8").astype(np.uint64).astype(np.int64)[:, 0].tolist()
+    return np.packbits(counts * 2 > len(hashes), axis=1).view(">u8").astype(np.uint64).astype(np.int64)[:, 0].tolist()
 
 
 def fingerprints(documents: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
@@ -132,7 +146,8 @@ def links(nodes: DataFrame, lanes: int, segments: int, most: int, chain: int = 3
     nodes which chains of pairs of at most ``most`` differing bits join, each pair found by the ring.
 
     For ``most`` < ``segments`` every such pair shares the key of some chain, so none is missed. For
-    more it must share one whole segment: a filter that misses some of the farthest pairs.
+    more it must share one whole segment: a filter that misses some of the farthest pairs, which
+    :func:`alike` finds by their shingles.
 
     A bucket of up to ``pairwise`` nodes (or four times the mean of a bucket by chance) is joined with itself. In a larger one all nodes are compared
     with the smallest; components of what was found so far then show which nodes of the bucket are
@@ -198,15 +213,163 @@ def near_duplicates(
     )
 
 
+def _frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that occur in several of a bounded sample of documents, the least frequent first."""
+    every = max(1, -(-docs.count() // COUNTED_DOCUMENTS))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], ["key"])
+
+    counts = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
+    top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    return np.array([r["key"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
+
+
+def sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """doc_id, digest, f0 .., ``same`` (128 bits of the set of shingles), ``n`` (its size) and ``prefix``.
+
+    All sets are ordered alike: by hash, frequent shingles last. Two sets that share at least ``ALIKE``
+    of their union share a shingle of their prefixes, the first n - ceil(ALIKE * n) + 1 shingles: without
+    one, the larger set has more shingles outside the other than it may.
+    """
+    frequent = _frequent(docs, words)
+    by_hash = np.argsort(frequent)
+    ordered, (over, under) = frequent[by_hash], ALIKE
+
+    def row(text: bytes | None) -> tuple:
+        import hashlib
+
+        hashes = shingle_hashes(text, words)
+        distinct = np.unique(hashes)
+        same = hashlib.blake2b(distinct.tobytes(), digest_size=16).digest()
+        n = len(distinct)
+        rank = np.zeros(n, dtype=np.int64)
+        if len(ordered):
+            at = np.minimum(np.searchsorted(ordered, distinct), len(ordered) - 1)
+            rank = np.where(ordered[at] == distinct, by_hash[at] + 1, 0)
+        first = distinct[np.argsort(rank, kind="stable")[: n + (-over * n // under) + 1 if n else 0]]
+        return same, n, first.view(np.int64), _majority(hashes, lanes)
+
+    names = [f"f{j}" for j in range(lanes)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [row(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()),
+                    pa.array([r[2] for r in rows], pa.list_(pa.int64())), *[pa.array([r[3][j] for r in rows], pa.int64()) for j in range(lanes)],
+                ],
+                ["doc_id", "digest", "same", "n", "prefix", *names],
+            )
+
+    kinds = "doc_id long, digest long, same binary, n int, prefix array<long>, "
+    return docs.mapInArrow(run, kinds + ", ".join(f"{n} long" for n in names))
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are alike, counted exactly."""
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    needed = written(nodes.join(needed, F.col("node") == F.col("id"), "left_semi").select("node", F.col("digest").alias("_d")), "needed")
+    texts = docs.join(needed, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("_d")))
+    texts = texts.groupBy("node", "_d").agg(F.first("text").alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "set"])
+
+    sets = written(texts.select("node", "text").mapInArrow(run, "id long, set array<long>"), "sets")
+    one, two = (sets.select(F.col("id").alias("_" + s), F.col("set").alias("set_" + s)) for s in "ab")
+    both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    over, under = ALIKE
+    return both.filter((over + under) * shared >= over * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct()
+
+
+def _confirmed(near: DataFrame | None, pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``near`` and those of ``pairs`` that are alike, without pairs which components join already.
+
+    At first each node is compared with its smallest partner only, so that large groups come together
+    at a price that grows with their size; then all pairs that are still apart are compared.
+    """
+    rest = written(pairs.distinct(), "pairs")
+    for turn in range(THIN_ROUNDS + 1):
+        if near is not None and not near.isEmpty():
+            labels = written(connected_components(near), "labels")
+            one, two = (labels.select(F.col("node").alias("_" + s), F.col("root").alias("root_" + s)) for s in "ab")
+            rest = rest.join(one, F.col("a") == F.col("_a"), "left").join(two, F.col("b") == F.col("_b"), "left")
+            apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+            rest = written(rest.filter(apart).select("a", "b"), "pairs")
+        if rest.isEmpty():
+            break
+        some = rest
+        if turn < THIN_ROUNDS:
+            some = written(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "thin")
+            rest = written(rest.join(some, ["a", "b"], "left_anti"), "pairs")
+        found = _alike(some, docs, nodes, words)
+        near = written(found if near is None else near.unionByName(found), "alike")
+    return near if near is not None else rest
+
+
+def _by_prefix(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of nodes of different labels that share a shingle of their prefixes and may be alike."""
+    known = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    keys = known.select("node", "n", F.coalesce("root", "node").alias("label"), F.posexplode("prefix").alias("at", "key"))
+    several = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    keys = written(keys.join(written(several.select("key"), "several"), "key"), "keys")
+    over, under = ALIKE
+    # Of the first shingle that both hold, at most what follows it can be shared as well.
+    most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    may = ((over + under) * most >= over * (F.col("a.n") + F.col("b.n"))) & (F.col("a.label") != F.col("b.label"))
+    pairs = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & may)
+    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+
+def alike(documents: DataFrame, words: int, lanes: int, segments: int, most: int) -> DataFrame:
+    """doc_id, digest and ``component_id``: the smallest doc_id reached by pairs that are ``ALIKE``.
+
+    The ring of fingerprints names most pairs, and all are confirmed by their sets of shingles. Near
+    copies that the ring misses (it is not complete here) share a shingle of their prefixes, so every
+    pair of different components that does is compared as well: none is lost.
+    """
+    docs = columns_of(documents, doc_id="long", text="string").select(
+        "doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest")
+    )
+    names = [f"f{j}" for j in range(lanes)]
+    found = written(sketches(docs, words, lanes), "sketches")
+    values = F.struct("digest", "n", "prefix", *names)
+    nodes = found.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by(values, "doc_id").alias("_v"))
+    nodes = written(nodes.select("same", "node", "_v.*"), "nodes")
+    ring = links(nodes.select("node", *names), lanes, segments, most, pairwise=PAIRWISE_BUCKET_WIDE)
+    near = written(_confirmed(None, ring.filter("a != b"), docs, nodes, words), "alike")
+    labels = written(connected_components(near), "labels")
+    near = _confirmed(near, _by_prefix(nodes, labels), docs, nodes, words)
+    roots = connected_components(near).withColumnRenamed("node", "_node")
+    parts = nodes.join(roots, F.col("node") == F.col("_node"), "left")
+    parts = written(parts.select(F.col("same").alias("_same"), F.coalesce("root", "node").alias("_part")), "parts")
+    joined = found.select("doc_id", "digest", "same").join(parts, F.col("same") == F.col("_same"), "left")
+    return joined.select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("_part")).alias("component_id"))
+
+
 def deduplicated(documents: DataFrame, words: int = 5, lanes: int = 6, segments: int = 24, most: int = 62) -> DataFrame:
     """``documents`` without near copies: of each component the row of the smallest doc_id stays.
 
-    The defaults take five-word shingles and 384 bits. Two texts of the same length that share 0.8 of
-    their shingles (Jaccard) differ in about 58 of these, with a deviation of 7, and texts that share
-    none in 192. Rows without doc_id stay. Rows that repeat a doc_id and its text stay once; rows that
+    Near copies share at least 0.8 of their distinct five-word shingles (Jaccard), counted exactly, see
+    :func:`alike`. Of 384 bits such texts of the same length differ in about 58, with a deviation of 7,
+    and texts that share none in 192. Rows without doc_id stay. Rows that repeat a doc_id and its text stay once; rows that
     share a doc_id but not the text are one document's versions, and those of the kept id stay.
     """
-    found = near_duplicates(documents, words, lanes, segments, most, PAIRWISE_BUCKET_WIDE)
+    found = alike(documents, words, lanes, segments, most)
     keep = found.filter("doc_id is not null and doc_id = component_id").groupBy("doc_id", "digest").agg(
         F.count("*").alias("_n")
     )
