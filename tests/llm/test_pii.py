@@ -98,6 +98,57 @@ def test_ibans_stay_valid(spark):
         assert [c.isdigit() for c in before[4:]] == [c.isdigit() for c in after[4:]] and after[:2] == before[:2]
 
 
+@pytest.mark.parametrize(
+    "iban",
+    ["BE68539007547034", "BE68 5390 0754 7034", "ES9121000418450200051332", "AT611904300234573201", "SE4550000000058398257466",
+     "PL61109010140000071219812874", "CZ6508000000192000145399", "SK3112000000198742637541", "NO9386011117947", "DE89370400440532013000"],
+)
+def test_ibans_end_at_their_countrys_length(spark, iban):
+    tails = ["", " EUR", " BIC GEBABEBB", " A1", ", 5", " 4111111111111111"]
+    got, found = run(spark, [iban + t for t in tails])
+    assert found == [["iban"]] * 5 + [["iban", "card"]]
+    assert got[0] != iban and [g.removesuffix(t) for g, t in zip(got[:5], tails[:5], strict=True)] == [got[0]] * 5
+    plain = got[0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_dates_of_timestamps(spark):
+    texts = ["2024-01-05", "2024-01-05T10:00", "at 2024-01-05T10:00:00Z.", "2024-01-05t10:00", "2024-01-05Tx", "2024-01-05T", "2024-01-05a"]
+    got, found = run(spark, texts)
+    assert found == [["date"]] * 4 + [[]] * 3 and got[4:] == texts[4:] and got[0] != texts[0]
+    assert got[1:4] == [f"{got[0]}T10:00", f"at {got[0]}T10:00:00Z.", f"{got[0]}t10:00"]
+
+
+def test_names_of_other_scripts(spark):
+    texts = [n + "@mail.example.com" for n in ("иван.петров", "αλέξανδρος", "李小龙", "Łukasz", "ª", "𐐨𐐩x", "Ά", "иван.петроб")]
+    got, found = run(spark, texts)
+    assert found == [["email"]] * len(texts) and len(set(got)) == len(got)
+    for before, after in zip(texts, got, strict=True):
+        old, new = before.split("@")[0], after.split("@")[0]
+        assert len(old) == len(new) and [c == "." for c in old] == [c == "." for c in new]
+        assert not any(a == b for a, b in zip(old, new, strict=True) if ord(a) > 127) and all(c == "." or c.isalnum() for c in new)
+    again, found = run(spark, got)
+    assert found == [["email"]] * len(texts)
+
+
+def test_wide_letters_are_permuted(spark):
+    from pyspark.sql import functions as F
+
+    letters = [chr(c) for c in range(0x370, 0x530) if chr(c).isalnum()]
+    df = spark.createDataFrame([(c,) for c in letters], "v string")
+    got = [r[0] for r in df.select(pii.permute_text(F.col("v"), "t", KEY, wide=True)).collect()]
+    assert len(set(got)) == len(letters) and all(c.isalnum() for c in got) and not any(a == b for a, b in zip(letters, got, strict=True))
+
+
+def test_telephone_forms(spark):
+    texts = ["555-123-4567", "555.123.4567", "call 555 123 4567.", "1.555.123.4567", "1.555.123.4567.8", "5555.123.4567", "555 123 45678"]
+    got, found = run(spark, texts)
+    assert found == [["phone"]] * 4 + [[]] * 3 and got[4:] == texts[4:]
+    digits = got[0].split("-")
+    assert got[1] == ".".join(digits) and got[2] == f"call {' '.join(digits)}."
+    assert re.fullmatch(r"\d\.\d{3}\.\d{3}\.\d{4}", got[3])
+
+
 def test_dates_are_a_permutation_of_their_century(spark):
     """All days of two centuries: valid, distinct, in the same century, written alike."""
     for first, last in ((1900, 1999), (2000, 2099)):

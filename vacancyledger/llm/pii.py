@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -13,15 +14,37 @@ from .common import apart
 ROUNDS = 10
 KEY = "vacancyledger"
 
+#: Characters of an IBAN by country: the registry, and countries that use the format without being in it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD TG",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """An IBAN ends at its country's length, whatever follows; only other countries' end is open."""
+
+    def of(length: int, countries: str) -> str:
+        groups, rest = divmod(length - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}"
+
+    known = [of(n, c) + r"(?!\w)" for n, c in IBAN_LENGTHS.items()]
+    return r"(?<!\w)(?:" + "|".join([*known, r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"]) + r")(?!\w)"
+
+
 # What a candidate of each kind looks like. Kinds are tried in this order.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "iban": _iban_pattern(),
     "card": r"(?<![\w.+])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,15}|\d{3}-\d{3}-\d{4})(?![\w-])",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,15}|\d{3}-\d{3}-\d{4}|(?<!\d\.)(?:1\.)?\d{3}\.\d{3}\.\d{4}(?!\.\d)|\d{3} \d{3} \d{4})(?![\w-])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
+    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![A-SU-Za-su-z0-9_/-]|[Tt]\D|[Tt]$|\.\d)",
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -52,17 +75,56 @@ def permute_number(x: Column, y: Column, a: int, b: int, tweak: str, key: str, u
     return bind(F.aggregate(F.lit(list(range(ROUNDS))), start, turn), use)
 
 
-def _shifted(char: Column, by: Column) -> Column:
-    """The character moved on within its class: digits, a-z, A-Z, U+00C0 to U+00FF; others stay."""
+def _runs(ours: Callable[[str], bool]) -> list[tuple[int, int, int]]:
+    """(first, size, how many before) of each run of code points of a class."""
+    found: list[list[int]] = []
+    total = 0
+    for code in range(128, 0x110000):
+        if not 192 <= code < 256 and ours(chr(code)):
+            if found and found[-1][0] + found[-1][1] == code:
+                found[-1][1] += 1
+            else:
+                found.append([code, 1, total])
+            total += 1
+    return [tuple(r) for r in found]
+
+
+def _old(char: str) -> bool:
+    return unicodedata.ucd_3_2_0.category(char)[0] in "LN"
+
+
+#: Letters and numbers outside the small classes: those of Unicode 3.2, which every JVM knows, and later ones.
+WIDE = (_runs(_old), _runs(lambda c: unicodedata.category(c)[0] in "LN" and not _old(c)))
+
+
+def _shifted(char: Column, by: Column, wide: bool) -> Column:
+    """The character moved on within its class: digits, a-z, A-Z, U+00C0 to U+00FF, and ``WIDE`` if asked; others stay."""
     code = F.ascii(char)
     out = char
+    for runs in WIDE if wide else ():
+        out = F.when(code > 127, _shifted_in(runs, code, by, out)).otherwise(char)
     for first, size in ((48, 10), (97, 26), (65, 26), (192, 64)):
         inside = (code >= first) & (code < first + size)
         out = F.when(inside, F.chr((code - first + by) % size + first)).otherwise(out)
     return out
 
 
-def permute_text(value: Column, tweak: str, key: str) -> Column:
+def _shifted_in(runs: list[tuple[int, int, int]], code: Column, by: Column, other: Column) -> Column:
+    """The character moved on within a class of many runs; ``other`` if the code is not in it."""
+    table = F.expr("array(" + ", ".join(f"named_struct('f', {f}, 's', {s}, 'n', {n})" for f, s, n in runs) + ")")
+    total = runs[-1][1] + runs[-1][2]
+
+    def text(place: Column) -> Column:
+        to = F.filter(table, lambda r: (place >= r["n"]) & (place < r["n"] + r["s"]))
+        return bind(to[0], lambda r: F.decode(F.unhex(F.lpad(F.hex(r["f"] + place - r["n"]), 8, "0")), "UTF-32"))
+
+    def moved(run: Column) -> Column:
+        return F.when(run.isNull(), other).otherwise(bind((run["n"] + code - run["f"] + by) % total, text))
+
+    return bind(F.get(F.filter(table, lambda r: (code >= r["f"]) & (code < r["f"] + r["s"])), F.lit(0)), moved)
+
+
+def permute_text(value: Column, tweak: str, key: str, wide: bool = False) -> Column:
     """A permutation of the strings of the same length whose characters have the same classes."""
 
     def turn(pair: Column, n: Column) -> Column:
@@ -71,7 +133,7 @@ def permute_text(value: Column, tweak: str, key: str) -> Column:
 
             def char(i: Column) -> Column:
                 by = F.conv(F.call_function("substring", hexes, (i % 31) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-                return _shifted(F.call_function("substring", pair["l"], i, F.lit(1)), by)
+                return _shifted(F.call_function("substring", pair["l"], i, F.lit(1)), by, wide)
 
             return F.when(F.length(pair["l"]) == 0, F.lit("")).otherwise(F.array_join(F.transform(at, char), ""))
 
@@ -129,7 +191,7 @@ def iban_rest(iban: Column) -> Column:
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
     name = F.regexp_replace(local, "[._%+-]", "")
-    return F.concat(_refilled(local, "[._%+-]", permute_text(name, "email", key)), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(_refilled(local, "[._%+-]", permute_text(name, "email", key, wide=True)), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _card(m: Column, key: str) -> Column:
