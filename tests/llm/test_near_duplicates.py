@@ -314,6 +314,22 @@ def test_embedding_links_equal_brute_force(spark, spread, monkeypatch):
         assert got == want
 
 
+@pytest.mark.parametrize("spread", [0.001, 0.01])
+def test_embedding_links_between_dense_groups(spark, spread, monkeypatch):
+    """A chain of groups that fill every list by themselves, all or some of whose vectors link across."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(7)
+    rows = []
+    for n, size in enumerate([60, 70, 50]):
+        turn = np.zeros(16)
+        turn[:2] = np.cos(np.radians(16 * n)), np.sin(np.radians(16 * n))
+        rows += [turn + spread * rng.normal(size=16) for _ in range(size)]
+    rows += list(rng.normal(size=(60, 16)))
+    rows = [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(rows)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    assert got == cosine_links(rows, 0.95)
+
+
 AWKWARD_VECTORS = [
     (1, [1.0, 0.0, 0.0]),
     (2, [1.0, 0.0, 0.0]),

@@ -176,7 +176,8 @@ def neighbour_graph(nodes: DataFrame, kind: str, dim: int, total: int, least: fl
 def audit(graph: DataFrame, full: DataFrame, nodes: DataFrame, kind: str, dim: int, least: float, seed: int) -> float:
     """Share of the true links of a bounded sample of vectors that the graph holds, either way round.
 
-    Vectors whose lists are full are left out: their links are counted in blocks, not from the graph.
+    Vectors whose lists are full are left out: their links are counted in blocks, inside their component
+    by :func:`dense_counts` and to all others by :func:`cross_links`, not from the graph.
     """
     some = nodes.join(full, "id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(AUDIT_VECTORS)
     sample = some.collect()
@@ -254,6 +255,94 @@ def dense_counts(members: DataFrame, kind: str, dim: int, least: float) -> DataF
     return known.filter(sure).select("id", (F.col("all") - F.col("copies")).alias("n")).unionByName(counted)
 
 
+def _met(kind: str, dim: int, least: float):
+    """Links between two blocks: for each vector that has any, their number ``n`` and ``other``, a
+    vector that links in the blocks join it with. Of a block with itself each link counts once a side."""
+
+    def run(left, right):
+        import pandas as pd
+
+        nothing = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "n", "other")})
+        if not len(left) or not len(right):
+            return nothing
+        one, two = left["id"].to_numpy(), right["id"].to_numpy()
+        near = directions(matrix(left["vec"], kind, dim)) @ directions(matrix(right["vec"], kind, dim)).T >= least
+        near &= one[:, None] != two[None, :]
+        rows, cols = near.any(axis=1), near.any(axis=0)
+        seed_l, seed_r = np.zeros(len(one), np.int64), np.zeros(len(two), np.int64)
+        open_ = rows.copy()
+        while open_.any():
+            start = int(np.argmax(open_))
+            in_l, in_r = np.zeros(len(one), bool), np.zeros(len(two), bool)
+            edge = np.array([start])
+            while len(edge):
+                in_l[edge] = True
+                more = near[edge].any(axis=0) & ~in_r
+                in_r |= more
+                edge = np.flatnonzero(near[:, more].any(axis=1) & ~in_l)
+            seed_l[in_l], seed_r[in_r] = one[start], one[start]
+            open_ &= ~in_l
+        out = [(one[rows], (near @ right["copies"].to_numpy())[rows], seed_l[rows])]
+        if left["block"].iloc[0] != right["block"].iloc[0]:
+            out.append((two[cols], (left["copies"].to_numpy() @ near)[cols], seed_r[cols]))
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("id", "n", "other"), zip(*out, strict=True), strict=True)})
+
+    return run
+
+
+def cross_links(members: DataFrame, everyone: DataFrame, total: int, kind: str, dim: int, least: float) -> DataFrame:
+    """(id, n, other): exact links between components with saturated lists and all vectors outside them.
+
+    ``members`` is that of :func:`dense_counts`; ``everyone`` has id, vec, copies, label (its component)
+    and dense (whether that has saturated lists). A vector can link to a member only if its angle to
+    the component's centre is at most the threshold's angle and the component's widest angle together.
+    Those vectors are compared with all members in blocks; of two such components the one of the
+    smaller root visits the other, so that no link counts twice.
+    """
+    centre = members.groupBy("root").agg(F.min(F.struct("id", "vec")).alias("_c"))
+    centre = written(centre.select(F.col("root").alias("_root"), F.col("_c.vec").alias("centre")), "centres")
+    turned = members.join(centre, F.col("root") == F.col("_root")).select("root", "id", "vec", "centre", "copies")
+    turned = turned.mapInArrow(_angles(kind, dim), "root long, id long, vec binary, angle double, copies long")
+    whole = turned.groupBy("root").agg(F.max("angle").alias("widest"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    whole = written(whole.join(centre, F.col("root") == F.col("_root")).drop("_root"), "whole")
+
+    groups, parts = (max(1, -(-n // BLOCK_ROWS)) for n in (whole.count(), total))
+    centres = whole.select("root", "centre", "widest", F.pmod(F.xxhash64("root"), F.lit(groups)).cast("int").alias("i"))
+    centres = centres.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    seen = everyone.select("id", "vec", "label", "dense", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("j"))
+    seen = seen.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    widest = math.acos(least) + 1e-6
+
+    def reach(left, right):
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("root", "id")})
+        cosine = directions(matrix(left["vec"], kind, dim)) @ directions(matrix(right["centre"], kind, dim)).T
+        label, root = left["label"].to_numpy()[:, None], right["root"].to_numpy()[None, :]
+        may = (label != root) & (~left["dense"].to_numpy()[:, None] | (label < root))
+        may &= np.arccos(np.clip(cosine, -1, 1)) <= widest + right["widest"].to_numpy()[None, :]
+        at, to = np.nonzero(may)
+        return pd.DataFrame({"root": right["root"].to_numpy()[to], "id": left["id"].to_numpy()[at]})
+
+    visits = seen.groupBy("i", "j").cogroup(centres.groupBy("i", "j")).applyInPandas(reach, "root long, id long")
+    visits = written(visits, "visits")
+    sizes = visits.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    sizes = written(whole.select("root", "blocks").join(sizes, "root").withColumnRenamed("root", "_root"), "sizes")
+
+    def dealt(rows: DataFrame, own: str, other: str, i: str, j: str, block: int) -> DataFrame:
+        rows = rows.join(sizes, F.col("root") == F.col("_root"))
+        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(i)
+        theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j)
+        return rows.select("root", "id", "vec", "copies", F.lit(block).alias("block"), mine, theirs)
+
+    visitors = visits.withColumnRenamed("id", "_id").join(everyone, F.col("_id") == F.col("id"))
+    visitors = dealt(visitors, "parts", "blocks", "i", "j", 0)
+    at_home = dealt(members, "blocks", "parts", "j", "i", 1)
+    key = ["root", "i", "j"]
+    return visitors.groupBy(*key).cogroup(at_home.groupBy(*key)).applyInPandas(_met(kind, dim, least), "id long, n long, other long")
+
+
 def near_duplicates(
     embeddings: DataFrame, least: float = 0.95, seed: int = 0, id_column: str = "vec_id", vector_column: str = "embedding"
 ) -> DataFrame:
@@ -284,8 +373,17 @@ def near_duplicates(
     if not dense.isEmpty():
         inside = written(parts.join(dense, "root", "left_semi"), "inside")
         members = nodes.join(inside, F.col("id") == F.col("node")).select("root", "id", "vec", "copies")
-        exact = dense_counts(written(members, "members"), kind, dim, least)
+        members = written(members, "members")
+        exact = dense_counts(members, kind, dim, least)
         counts = counts.join(inside, F.col("id") == F.col("node"), "left_anti").unionByName(exact)
+        everyone = nodes.join(parts, F.col("id") == F.col("node"), "left").withColumnRenamed("root", "_label")
+        everyone = everyone.join(dense, F.col("_label") == F.col("root"), "left").select(
+            "id", "vec", "copies", F.coalesce("_label", "id").alias("label"), F.col("root").isNotNull().alias("dense")
+        )
+        across = written(cross_links(members, written(everyone, "everyone"), total, kind, dim, least), "across")
+        counts = counts.unionByName(across.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
+        joined = across.select(F.col("id").alias("a"), F.col("other").alias("b"))
+        parts = written(connected_components(links.unionByName(joined)), "parts")
     counts = counts.withColumnRenamed("id", "_n")
     result = (
         nodes.join(counts, F.col("id") == F.col("_n"), "left")
