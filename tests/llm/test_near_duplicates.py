@@ -330,6 +330,25 @@ def test_embedding_links_between_dense_groups(spark, spread, monkeypatch):
     assert got == cosine_links(rows, 0.95)
 
 
+def test_embedding_links_of_a_search_that_fails(spark, monkeypatch):
+    """Without a first graph nothing is found: all links come from the blocks."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(embedding_dedup, "first_graph", lambda nodes, *a: nodes.limit(0).selectExpr("id", "id AS other", "0D AS cosine"))
+    rows = cloud(np.random.default_rng(5), [2, 3, 9, 60], 100)
+    rows.append((999, rows[0][1]))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    assert got == cosine_links(rows, 0.95)
+
+
+def test_an_audit_without_enough_links_does_not_pass(spark, monkeypatch):
+    """One pair among vectors that the largest sample cannot hold."""
+    monkeypatch.setattr(embedding_dedup, "AUDIT_VECTORS", 8)
+    monkeypatch.setattr(embedding_dedup, "MOST_AUDIT_VECTORS", 16)
+    rows = cloud(np.random.default_rng(6), [2], 200)
+    nodes, kind, dim = embedding_dedup.packed(vectors(spark, rows))
+    assert embedding_dedup.neighbour_graph(nodes, kind, dim, len(rows), 0.95)[2] < embedding_dedup.AUDIT_RECALL
+
+
 AWKWARD_VECTORS = [
     (1, [1.0, 0.0, 0.0]),
     (2, [1.0, 0.0, 0.0]),

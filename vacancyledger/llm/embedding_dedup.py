@@ -16,8 +16,9 @@ from .vectors import directions, matrix, packed
 NEIGHBOURS, MOST_NEIGHBOURS, ROUNDS = 8, 32, 3
 #: Random trees that give the first graph, the rows of a leaf and the most of them.
 TREES, LEAF_ROWS, MOST_LEAF_ROWS = 6, 128, 512
-#: Vectors compared with all others to audit recall, the share of links to find, and attempts.
-AUDIT_VECTORS, AUDIT_RECALL, ATTEMPTS = 256, 0.99, 3
+#: Vectors compared with all others to audit recall, at first and at most, and the true links that an
+#: audit needs to count; the share of links to find, and attempts.
+AUDIT_VECTORS, MOST_AUDIT_VECTORS, AUDIT_LINKS, AUDIT_RECALL, ATTEMPTS = 256, 4096, 100, 0.99, 3
 #: Nodes joined in one task, and rows of a comparison block.
 NODES_PER_TASK, BLOCK_ROWS = 512, 1024
 
@@ -139,6 +140,8 @@ def neighbour_graph(nodes: DataFrame, kind: str, dim: int, total: int, least: fl
     Rounds run until none finds a new link or ``ROUNDS`` are done. The list of a vector whose
     neighbours are all links doubles, up to ``MOST_NEIGHBOURS``. Then the links of a bounded sample
     are counted against all vectors; while too few were found, more trees are added and rounds run.
+    A recall below ``AUDIT_RECALL`` says that the graph is not to be used: too few links were found after
+    all attempts, or the largest sample holds too few true links to tell (recall 0).
     """
     graph, recall = None, 0.0
     sizes = written(nodes.limit(0).select("id", F.lit(NEIGHBOURS).alias("k")), "sizes")
@@ -167,22 +170,32 @@ def neighbour_graph(nodes: DataFrame, kind: str, dim: int, total: int, least: fl
             rounds += 1
             if graph.filter(F.col("cosine") >= least).count() == before and not grown:
                 break
-        recall = audit(graph, full, nodes, kind, dim, least, seed)
+        size = AUDIT_VECTORS
+        found, true = audit(graph, full, nodes, kind, dim, least, seed, size)
+        while true < AUDIT_LINKS and size < min(total, MOST_AUDIT_VECTORS):
+            size = min(4 * size, MOST_AUDIT_VECTORS)
+            found, true = audit(graph, full, nodes, kind, dim, least, seed, size)
+        if true < AUDIT_LINKS and size < total:
+            recall = 0.0
+            break
+        recall = found / true if true else 1.0
         if recall >= AUDIT_RECALL:
             break
     return graph.drop("is_new"), full, recall
 
 
-def audit(graph: DataFrame, full: DataFrame, nodes: DataFrame, kind: str, dim: int, least: float, seed: int) -> float:
-    """Share of the true links of a bounded sample of vectors that the graph holds, either way round.
+def audit(
+    graph: DataFrame, full: DataFrame, nodes: DataFrame, kind: str, dim: int, least: float, seed: int, vectors: int = AUDIT_VECTORS
+) -> tuple[int, int]:
+    """Of a bounded sample of vectors, the links that the graph holds, either way round, and the true links.
 
     Vectors whose lists are full are left out: their links are counted in blocks, inside their component
     by :func:`dense_counts` and to all others by :func:`cross_links`, not from the graph.
     """
-    some = nodes.join(full, "id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(AUDIT_VECTORS)
+    some = nodes.join(full, "id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(vectors)
     sample = some.collect()
     if not sample:
-        return 1.0
+        return 0, 0
     ids = np.array([r["id"] for r in sample])
     unit = directions(matrix([r["vec"] for r in sample], kind, dim))
 
@@ -200,7 +213,7 @@ def audit(graph: DataFrame, full: DataFrame, nodes: DataFrame, kind: str, dim: i
     close = graph.filter(F.col("cosine") >= least)
     have = close.select(F.col("id").alias("a"), F.col("other").alias("b")).union(close.select("other", "id"))
     row = true.join(have.distinct().withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return row[1] / row[0] if row[0] else 1.0
+    return row[1], row[0]
 
 
 def _angles(kind: str, dim: int):
@@ -283,8 +296,9 @@ def _met(kind: str, dim: int, least: float):
             seed_l[in_l], seed_r[in_r] = one[start], one[start]
             open_ &= ~in_l
         out = [(one[rows], (near @ right["copies"].to_numpy())[rows], seed_l[rows])]
-        if left["block"].iloc[0] != right["block"].iloc[0]:
-            out.append((two[cols], (left["copies"].to_numpy() @ near)[cols], seed_r[cols]))
+        # A block with itself has counted each link on the left; its right side only joins.
+        counted = left["block"].iloc[0] != right["block"].iloc[0]
+        out.append((two[cols], (left["copies"].to_numpy() @ near)[cols] * counted, seed_r[cols]))
         return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("id", "n", "other"), zip(*out, strict=True), strict=True)})
 
     return run
@@ -343,24 +357,20 @@ def cross_links(members: DataFrame, everyone: DataFrame, total: int, kind: str,
     return visitors.groupBy(*key).cogroup(at_home.groupBy(*key)).applyInPandas(_met(kind, dim, least), "id long, n long, other long")
 
 
-def near_duplicates(
-    embeddings: DataFrame, least: float = 0.95, seed: int = 0, id_column: str = "vec_id", vector_column: str = "embedding"
-) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row of ``embeddings``.
+def all_links(nodes: DataFrame, total: int, kind: str, dim: int, least: float) -> DataFrame:
+    """(id, n, other) as in :func:`_met`, of all vectors with all in blocks: what is left if the search fails."""
+    parts = max(1, -(-total // BLOCK_ROWS))
+    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    rows = written(nodes.select("id", "vec", "copies", own.alias("block")), "blocks")
+    one = rows.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.lit(parts - 1))))
+    two = rows.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    return one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(_met(kind, dim, least), "id long, n long, other long")
 
-    Two vectors link at a cosine of at least ``least``, in doubles. Vectors with the same components
-    are one node of the graph and link with one another. Vectors that cannot be measured (see
-    :func:`vectors.packed`) link with nothing and are their own component; a null id has a null
-    component. Rows that repeat an id are one vector (of two different ones, the larger in bytes) and
-    get the same result. An empty table gives no rows.
-    """
-    vectors, kind, dim = packed(embeddings, id_column, vector_column)
-    vectors = written(vectors.groupBy("id").agg(F.max("vec").alias("vec")), "vectors")
-    nodes = vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    nodes = written(nodes.select("id", "vec", "copies"), "nodes")
-    total = nodes.count()
-    graph, full, _ = neighbour_graph(nodes.select("id", "vec"), kind, dim, total, least, seed)
-    close = graph.filter(F.col("cosine") >= least)
+
+def _counted(
+    close: DataFrame, full: DataFrame, nodes: DataFrame, total: int, kind: str, dim: int, least: float
+) -> tuple[DataFrame, DataFrame]:
+    """((id, n) links of each vector, (node, root) components) of the close links of a good graph."""
     links = close.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     links = written(links, "links")
     parts = written(connected_components(links), "parts")
@@ -384,6 +394,33 @@ def near_duplicates(
         counts = counts.unionByName(across.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
         joined = across.select(F.col("id").alias("a"), F.col("other").alias("b"))
         parts = written(connected_components(links.unionByName(joined)), "parts")
+    return counts, parts
+
+
+def near_duplicates(
+    embeddings: DataFrame, least: float = 0.95, seed: int = 0, id_column: str = "vec_id", vector_column: str = "embedding"
+) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row of ``embeddings``.
+
+    Two vectors link at a cosine of at least ``least``, in doubles. Vectors with the same components
+    are one node of the graph and link with one another. Vectors that cannot be measured (see
+    :func:`vectors.packed`) link with nothing and are their own component; a null id has a null
+    component. Rows that repeat an id are one vector (of two different ones, the larger in bytes) and
+    get the same result. An empty table gives no rows.
+    """
+    vectors, kind, dim = packed(embeddings, id_column, vector_column)
+    vectors = written(vectors.groupBy("id").agg(F.max("vec").alias("vec")), "vectors")
+    nodes = vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    nodes = written(nodes.select("id", "vec", "copies"), "nodes")
+    total = nodes.count()
+    graph, full, recall = neighbour_graph(nodes.select("id", "vec"), kind, dim, total, least, seed)
+    close = graph.filter(F.col("cosine") >= least)
+    if recall < AUDIT_RECALL:
+        exact = written(all_links(nodes, total, kind, dim, least), "exact")
+        counts = exact.groupBy("id").agg(F.sum("n").alias("n"))
+        parts = written(connected_components(exact.select(F.col("id").alias("a"), F.col("other").alias("b"))), "parts")
+    else:
+        counts, parts = _counted(close, full, nodes, total, kind, dim, least)
     counts = counts.withColumnRenamed("id", "_n")
     result = (
         nodes.join(counts, F.col("id") == F.col("_n"), "left")
