@@ -51,6 +51,64 @@ def temporary_folder(spark: SparkSession) -> str:
     return str(path.toString())
 
 
+class Scratch:
+    """Written tables of one computation, deleted as soon as they are no longer needed.
+
+    A table written under a name takes the place of the earlier one, whose files are deleted then;
+    all others go when the block ends. Inside the block Spark deletes a query's shuffle files as the
+    query ends: what later queries need lies in tables, so nothing is computed again.
+    """
+
+    _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths, self.buckets = spark, temporary_folder(spark), {}, {}
+        self.count, self.before = 0, spark.conf.get(self._CLEAN, "false")
+
+    def __enter__(self) -> Scratch:
+        self.spark.conf.set(self._CLEAN, "true")
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.set(self._CLEAN, self.before)
+        self.drop(*self.buckets, *self.paths)
+        self._delete(self.folder)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _place(self, name: str) -> str:
+        self.count += 1
+        return f"{self.folder}/{name}-{self.count}"
+
+    def written(self, df: DataFrame, name: str = "table") -> DataFrame:
+        """Like :func:`written`; deletes the table that had the name before."""
+        path = self._place(name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` in buckets of ``key``: a later join on that column moves just the other side. It should
+        come out of a join or grouping by ``key``, so that a task holds whole buckets."""
+        table, path = f"llm_{uuid.uuid4().hex}", self._place(name)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.write.bucketBy(buckets, key).format("parquet").option("compression", "zstd")
+        dealt.option("path", path).saveAsTable(table)
+        self.drop(name)
+        self.paths[name], self.buckets[name] = path, table
+        return self.spark.table(table)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if table := self.buckets.pop(name, None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            if path := self.paths.pop(name, None):
+                self._delete(path)
+
+
 def apart(df: DataFrame, *added: str) -> DataFrame:
     """``df`` with ``_input`` after the names of columns that an operator is about to add."""
     taken = {c.lower() for c in df.columns}

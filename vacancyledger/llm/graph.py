@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,21 +47,22 @@ def _local_forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def _star(both: DataFrame) -> DataFrame:
+def _star(both: DataFrame, write: Callable) -> DataFrame:
     """(node, smallest neighbour), written so that the join to it can split a hub."""
-    return written(both.groupBy(F.col("a").alias("_node")).agg(F.min("b").alias("_low")), "low")
+    return write(both.groupBy(F.col("a").alias("_node")).agg(F.min("b").alias("_low")), "component_low")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, write: Callable = written) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the component's smallest node.
 
     Links to itself give a component of one. Rounds of large-star and small-star steps run until
-    nothing changes; each round is written to the shared folder. An empty table gives no rows.
+    nothing changes; each round is written to the shared folder by ``write`` (df, name), which may
+    delete a table once another has its name. An empty table gives no rows.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    now = written(_local_forest(edges).distinct(), "links")
-    nodes = written(nodes, "nodes")
+    now = write(_local_forest(edges).distinct(), "component_links")
+    nodes = write(nodes, "component_nodes")
 
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 24))).first())
@@ -67,17 +70,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.union(now.select("b", "a"))
-        large = both.join(_star(both), F.col("a") == F.col("_node")).select(
+        large = both.join(_star(both, write), F.col("a") == F.col("_node")).select(
             F.col("b").alias("a"), F.least("_low", F.col("a")).alias("b"), F.col("a").alias("was")
         )
         large = large.filter("a > was and a != b").select("a", "b").distinct()
-        large = written(large, "large")
+        large = write(large, "component_large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = down.join(_star(down), F.col("a") == F.col("_node"))
+        small = down.join(_star(down, write), F.col("a") == F.col("_node"))
         small = small.select(F.col("b").alias("a"), F.col("_low").alias("b")).union(
             small.select("a", F.col("_low").alias("b"))
         )
-        now = written(small.filter("a != b").distinct(), "links")
+        now = write(small.filter("a != b").distinct(), "component_links")
         if (after := mark(now)) == seen:
             break
         seen = after

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, written
+from .common import Scratch, columns_of, written
 from .graph import connected_components
 
 #: Buckets above this size, and above four times what chance puts into one, are linked by stars first, see
@@ -141,7 +143,9 @@ def _close(lanes: int, segments: int, most: int, chain: int) -> F.Column:
     return within & (whole <= most)
 
 
-def links(nodes: DataFrame, lanes: int, segments: int, most: int, chain: int = 3, pairwise: int = PAIRWISE_BUCKET) -> DataFrame:
+def links(
+    nodes: DataFrame, lanes: int, segments: int, most: int, chain: int = 3, pairwise: int = PAIRWISE_BUCKET, write: Callable = written
+) -> DataFrame:
     """Links (a, b) between nodes (``node``, ``f0`` ..; distinct fingerprints) that join exactly the
     nodes which chains of pairs of at most ``most`` differing bits join, each pair found by the ring.
 
@@ -160,29 +164,29 @@ def links(nodes: DataFrame, lanes: int, segments: int, most: int, chain: int = 3
     close = _close(lanes, segments, most, chain)
     by_chance = nodes.count() / 2 ** (key_segments * min(b - a for a, b in zip(cut, cut[1:], strict=False)))
     hot = index.groupBy("i", "key").agg(F.count("*").alias("n")).filter(F.col("n") > max(pairwise, 4 * by_chance))
-    hot = written(hot.select("i", "key"), "hot")
+    hot = write(hot.select("i", "key"), "hot")
     some_hot = not hot.isEmpty()
     small = index.join(hot, ["i", "key"], "left_anti") if some_hot else index
     same = (F.col("a.i") == F.col("b.i")) & (F.col("a.key") == F.col("b.key"))
     near = small.alias("a").join(small.alias("b"), same & (F.col("a.node") < F.col("b.node")) & close)
-    near = written(near.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "near")
+    near = write(near.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "ring")
     if not some_hot:
         return near
-    large = written(index.join(hot, ["i", "key"]), "large")
+    large = write(index.join(hot, ["i", "key"]), "large")
     row = F.struct("node", *[f"r{j}" for j in range(lanes)])
     leaders = large.groupBy("i", "key").agg(F.min(row).alias("_row")).select("i", "key", "_row.*")
-    leaders = written(leaders, "leaders")
+    leaders = write(leaders, "leaders")
     star = large.alias("a").join(leaders.alias("b"), same & (F.col("a.node") > F.col("b.node")) & close)
     star = star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    near = written(near.unionByName(star).distinct(), "near")
-    labels = written(connected_components(near), "labels")
+    near = write(near.unionByName(star).distinct(), "ring_and_stars")
+    labels = write(connected_components(near, write), "labels")
     known = large.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    known = written(known.withColumn("label", F.coalesce("root", "node")).drop("_node", "root"), "known")
+    known = write(known.withColumn("label", F.coalesce("root", "node")).drop("_node", "root"), "known")
     most_of = (
         known.groupBy("i", "key", "label").agg(F.count("*").alias("n"))
         .groupBy("i", "key").agg(F.max_by("label", "n").alias("_main"))
     )
-    apart = written(known.join(written(most_of, "main"), ["i", "key"]).filter("label != _main").drop("_main"), "apart")
+    apart = write(known.join(write(most_of, "main"), ["i", "key"]).filter("label != _main").drop("_main"), "apart")
     rest = apart.alias("a").join(known.alias("b"), same & (F.col("a.label") != F.col("b.label")) & close)
     return near.unionByName(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
 
@@ -274,59 +278,69 @@ def sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
     return docs.mapInArrow(run, kinds + ", ".join(f"{n} long" for n in names))
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are alike, counted exactly."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    needed = written(nodes.join(needed, F.col("node") == F.col("id"), "left_semi").select("node", F.col("digest").alias("_d")), "needed")
-    texts = docs.join(needed, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("_d")))
-    texts = texts.groupBy("node", "_d").agg(F.first("text").alias("text"))
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, tmp: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are alike, counted exactly from both texts.
+
+    Texts are shorter than their sets. They lie in buckets of their node, so only those of pairs move:
+    ``b``'s to its pairs, and these to ``a``'s text, which is read once for all pairs that follow.
+    """
+    first = texts.join(pairs.select(F.col("a").alias("_a")).distinct(), F.col("node") == F.col("_a"), "left_semi")
+    first = tmp.written(first.select(F.col("node").alias("_a"), F.col("text").alias("one")), "first_texts")
+    both = pairs.join(texts, F.col("b") == F.col("node")).select("a", "b", F.col("text").alias("two"))
+    both = both.join(first, F.col("a") == F.col("_a")).select("a", "b", "one", "two")
+    over, under = ALIKE
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "set"])
+        known, one = None, None
+        for batch in batches:
+            found = []
+            for row, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if known != a:
+                    known, one = a, np.unique(shingle_hashes(batch.column(2)[row].as_py(), words))
+                two = np.unique(shingle_hashes(batch.column(3)[row].as_py(), words))
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                if (over + under) * shared >= over * (len(one) + len(two)):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_pydict(
+                {n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate("ab")}
+            )
 
-    sets = written(texts.select("node", "text").mapInArrow(run, "id long, set array<long>"), "sets")
-    one, two = (sets.select(F.col("id").alias("_" + s), F.col("set").alias("set_" + s)) for s in "ab")
-    both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    over, under = ALIKE
-    return both.filter((over + under) * shared >= over * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(near: DataFrame | None, pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+def _confirmed(near: DataFrame | None, pairs: DataFrame, texts: DataFrame, words: int, tmp: Scratch) -> DataFrame:
     """``near`` and those of ``pairs`` that are alike, without pairs which components join already.
 
     At first each node is compared with its smallest partner only, so that large groups come together
     at a price that grows with their size; then all pairs that are still apart are compared.
     """
-    rest = written(pairs.distinct(), "pairs")
+    rest = tmp.written(pairs.distinct(), "pairs")
     for turn in range(THIN_ROUNDS + 1):
         if near is not None and not near.isEmpty():
-            labels = written(connected_components(near), "labels")
+            labels = tmp.written(connected_components(near, tmp.written), "labels")
             one, two = (labels.select(F.col("node").alias("_" + s), F.col("root").alias("root_" + s)) for s in "ab")
             rest = rest.join(one, F.col("a") == F.col("_a"), "left").join(two, F.col("b") == F.col("_b"), "left")
             apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-            rest = written(rest.filter(apart).select("a", "b"), "pairs")
+            rest = tmp.written(rest.filter(apart).select("a", "b"), "pairs")
         if rest.isEmpty():
             break
         some = rest
         if turn < THIN_ROUNDS:
-            some = written(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "thin")
-            rest = written(rest.join(some, ["a", "b"], "left_anti"), "pairs")
-        found = _alike(some, docs, nodes, words)
-        near = written(found if near is None else near.unionByName(found), "alike")
+            some = tmp.written(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "thin")
+            rest = tmp.written(rest.join(some, ["a", "b"], "left_anti"), "pairs")
+        found = _alike(some, texts, words, tmp)
+        near = tmp.written(found if near is None else near.unionByName(found), "alike")
     return near if near is not None else rest
 
 
-def _by_prefix(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _by_prefix(nodes: DataFrame, labels: DataFrame, tmp: Scratch) -> DataFrame:
     """Pairs of nodes of different labels that share a shingle of their prefixes and may be alike."""
     known = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     keys = known.select("node", "n", F.coalesce("root", "node").alias("label"), F.posexplode("prefix").alias("at", "key"))
     several = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    keys = written(keys.join(written(several.select("key"), "several"), "key"), "keys")
+    keys = tmp.written(keys.join(tmp.written(several.select("key"), "several"), "key"), "keys")
     over, under = ALIKE
     # Of the first shingle that both hold, at most what follows it can be shared as well.
     most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
@@ -346,19 +360,32 @@ def alike(documents: DataFrame, words: int, lanes: int, segments: int, most: int
         "doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest")
     )
     names = [f"f{j}" for j in range(lanes)]
-    found = written(sketches(docs, words, lanes), "sketches")
-    values = F.struct("digest", "n", "prefix", *names)
-    nodes = found.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by(values, "doc_id").alias("_v"))
-    nodes = written(nodes.select("same", "node", "_v.*"), "nodes")
-    ring = links(nodes.select("node", *names), lanes, segments, most, pairwise=PAIRWISE_BUCKET_WIDE)
-    near = written(_confirmed(None, ring.filter("a != b"), docs, nodes, words), "alike")
-    labels = written(connected_components(near), "labels")
-    near = _confirmed(near, _by_prefix(nodes, labels), docs, nodes, words)
-    roots = connected_components(near).withColumnRenamed("node", "_node")
-    parts = nodes.join(roots, F.col("node") == F.col("_node"), "left")
-    parts = written(parts.select(F.col("same").alias("_same"), F.coalesce("root", "node").alias("_part")), "parts")
-    joined = found.select("doc_id", "digest", "same").join(parts, F.col("same") == F.col("_same"), "left")
-    return joined.select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("_part")).alias("component_id"))
+    with Scratch(documents.sparkSession) as tmp:
+        found = tmp.written(sketches(docs, words, lanes), "sketches")
+        values = F.struct("digest", "n", "prefix", *names)
+        nodes = found.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by(values, "doc_id").alias("_v"))
+        nodes = tmp.written(nodes.select("same", "node", "_v.*"), "nodes")
+        found = tmp.written(found.select("doc_id", "digest", "same"), "found")
+        tmp.drop("sketches")
+        # Joined by the node alone, so that the buckets of nodes come out of the join; a row may stand several times.
+        own = (F.col("doc_id") == F.col("node")) & (F.col("_d").bitwiseXOR(F.col("digest")) == 0)
+        texts = docs.join(nodes.select("node", F.col("digest").alias("_d")), own).select("node", "text")
+        texts = tmp.bucketed(texts.dropDuplicates(["node"]), "node", "texts")
+        ring = links(nodes.select("node", *names), lanes, segments, most, pairwise=PAIRWISE_BUCKET_WIDE, write=tmp.written)
+        ring = tmp.written(ring.filter("a != b").distinct(), "named")
+        tmp.drop("ring", "ring_and_stars", "hot", "large", "leaders", "known", "main", "apart", "labels")
+        near = _confirmed(None, ring, texts, words, tmp)
+        near = tmp.written(near, "by_ring")
+        labels = tmp.written(connected_components(near, tmp.written), "ring_labels")
+        near = _confirmed(near, _by_prefix(nodes, labels, tmp), texts, words, tmp)
+        tmp.drop("texts", "keys", "several")
+        roots = connected_components(near, tmp.written).withColumnRenamed("node", "_node")
+        parts = nodes.join(roots, F.col("node") == F.col("_node"), "left")
+        parts = tmp.written(parts.select(F.col("same").alias("_same"), F.coalesce("root", "node").alias("_part")), "parts")
+        joined = found.join(parts, F.col("same") == F.col("_same"), "left")
+        return written(
+            joined.select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("_part")).alias("component_id")), "alike"
+        )
 
 
 def deduplicated(documents: DataFrame, words: int = 5, lanes: int = 6, segments: int = 24, most: int = 62) -> DataFrame:
