@@ -282,6 +282,26 @@ def test_refused_and_empty_listings_fail_the_scan(spark):
     assert [r.error_code for r in barred.details.collect()] == ["robots_disallowed"] and barred.postings.count() == 0
 
 
+def test_next_pages_decide_completeness(spark):
+    good = ("detail", SITE + "/1", 200, ld(json.dumps(posting())))
+    link = '<a href="/en/jobs/1">j</a>'
+    nav = '<nav><a href="/en/jobs?page=2">2</a></nav>'
+    first, last = ("listing", SITE, 200, link + nav), ("listing", SITE + "?page=2", 200, link)
+    whole = scan_of(spark, [first, last, good])
+    assert [(r.complete, r.status) for r in whole.scans.collect()] == [(True, "success")] and whole.warnings.count() == 0
+    short = scan_of(spark, [first, good])
+    assert [(r.complete, r.status, r.error_code) for r in short.scans.collect()] == [(False, "partial", None)]
+    assert [(r.code, r.url) for r in short.warnings.collect()] == [("page_not_captured", SITE + "?page=2")]
+    limited = scan_of(spark, [first, good], config={"max_pages": "1"}).scans.first()
+    assert (limited.complete, limited.status, limited.error_code) == (False, "failed", "page_limit")
+
+
+def test_own_pattern_of_a_source(spark):
+    rows = [("listing", SITE, 200, '<a href="/en/jobs/1">j</a><a href="/en/role/x7">k</a>')]
+    own = scan_of(spark, rows, config={"detail_path_regex": r"/en/role/(?P<id>\w+)", "allowed_paths": "/en"})
+    assert [r.key for r in own.details.collect()] == ["https://careers.box.com/en/role/x7"]
+
+
 def test_settings_of_a_source_override_the_site(spark):
     listing = ("listing", SITE, 200, '<a href="/en/jobs/1">j</a>')
     detail = ("detail", SITE + "/1", 200, ld(json.dumps(posting())))
@@ -310,7 +330,10 @@ def test_landed_captures_are_read_by_platform_and_kind(spark, tmp_path):
     out = extractors.extract_postings(landed, sources)
     assert out.count() == 1
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("PartitionFilters: [isnotnull(kind") + plan.count("PartitionFilters: [(kind") + plan.count("kind#") > 0
+    assert "body" not in plan and plan.count("FileScan") == plan.count("PartitionFilters: [isnotnull(tag") == 2
+    parsed = extractors.parse_captures(extractors.gate(landed))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in parsed.splitlines() if "FileScan" in line and "body" in line]
+    assert all("kind#" in line.split("PartitionFilters")[1] for line in scans) and 0 < len(scans) <= 3
 
 
 def test_fingerprint_ignores_what_is_not_content(spark):

@@ -387,14 +387,14 @@ def scan_metrics(observations: DataFrame, scans: DataFrame, chunk: Column) -> Da
 
 
 def completeness(details: DataFrame, warnings: DataFrame, scans: DataFrame) -> DataFrame:
-    """Per scan: complete unless a detail failed or a page limit or loop was met; an error code
-    when a non-empty listing gave nothing usable."""
+    """Per scan: complete unless a detail failed, a page limit or loop was met or a page was not captured; an error
+    code when a non-empty listing gave nothing usable."""
     d = details.groupBy("scan_run_id").agg(
         F.count(F.lit(1)).alias("listed"),
         F.sum(F.when(F.col("error_code").isNull(), 1).otherwise(0)).alias("usable"),
     )
     w = warnings.groupBy("scan_run_id").agg(
-        F.max(F.col("code").isin("page_limit_reached", "pagination_loop")).alias("cut")
+        F.max(F.col("code").isin("page_limit_reached", "pagination_loop", "page_not_captured")).alias("cut")
     )
     joined = scans.select("scan_run_id").join(d, "scan_run_id", "left").join(w, "scan_run_id", "left")
     listed, usable = F.coalesce("listed", F.lit(0)), F.coalesce("usable", F.lit(0))

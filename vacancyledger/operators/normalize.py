@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.locations import identity_key
 from ..functions.text import collapse_ws, strip_markup, with_unescaped
-from ..functions.urls import canonicalize_url, in_scope, url_host
-from .windows import latest_by
+from ..functions.urls import canonicalize_url, url_host
 
 # Metadata that survives normalisation.
 METADATA_KEYS = ("source", "identifier", "department", "workplace_type", "date_modified")
@@ -82,43 +81,6 @@ def normalize(raw: DataFrame) -> DataFrame:
     )
 
 
-def union_listings(anchors: DataFrame, embedded: DataFrame | None = None) -> DataFrame:
-    """Anchor links and embedded entries of the pages of a scan. Per URL the later page wins, on
-    a page the later entry, and embedded entries come after anchors."""
-    both = anchors.withColumn("part", F.lit(0))
-    if embedded is not None:
-        both = both.unionByName(embedded.withColumn("part", F.lit(1)))
-    return latest_by(both, ["scan_run_id", "url"], ["seq", "part", "position"]).drop("part")
-
-
-def merge_listing_detail(
-    listing: DataFrame, detail: DataFrame, allowed_paths: Column
-) -> DataFrame:
-    """Detail rows completed from their listing entry (same scan and URL). A detail URL outside
-    the traversal scope falls back to the listing URL."""
-    d = detail.select(
-        "scan_run_id", F.col("capture_url").alias("url"),
-        *[F.col(c).alias(f"d_{c}") for c in (
-            "external_id", "url", "title", "locations", "employment_type", "posted_date",
-            "description_html", "metadata",
-        )],
-    )
-    joined = listing.join(d, ["scan_run_id", "url"], "inner")
-    candidate = canonicalize_url(F.coalesce("d_url", "url"), F.col("url"))
-    allowed = in_scope(candidate, F.col("source_url"), allowed_paths)
-    return joined.select(
-        "source_id", "scan_run_id", "seq",
-        F.coalesce("d_external_id", "external_id").alias("external_id"),
-        F.when(allowed, candidate).otherwise(canonicalize_url(F.col("url"))).alias("url"),
-        F.coalesce("d_title", "title", F.lit("Untitled role")).alias("title"),
-        F.col("d_locations").alias("locations"),
-        F.col("d_employment_type").alias("employment_type"),
-        F.col("d_posted_date").alias("posted_date"),
-        F.col("d_description_html").alias("description_html"),
-        F.col("d_metadata").alias("metadata"),
-    )
-
-
 def valid_items(items: DataFrame, scan_keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Listing entries with id, title and URL on the source host, and the reject counts."""
     reason = (

@@ -424,6 +424,110 @@ SCAN_SQL = f"""{_SCAN_CTES}, p AS (SELECT source, count(DISTINCT block) FILTER (
     CASE WHEN error_code IS NOT NULL THEN 'failed' WHEN NOT complete THEN 'partial' WHEN w > 0 THEN 'success_with_warnings' ELSE 'success' END AS status FROM f"""
 
 
+def scan_paging(spark, sf_dir):
+    """Scans whose listings are cut short or go in circles, on the platforms that page by number or link.
+
+    Sources take turns: an API that lost every third result page (or none); one that gives its first page
+    again, or whose saved facet got another id; linked pages that go on beyond the last captured one,
+    with and without a page limit; a board whose pages all link to the next captured page, or beyond."""
+    d = _documents(spark, sf_dir).withColumns({
+        "turn": F.substring("source", 4, 9).cast("int") % 8, "block": F.floor(F.col("doc_id") / 100).cast("long"),
+    })
+    turn, block = F.col("turn"), F.col("block")
+    api, avature = F.lit("https://careers.example.com/careers-home/jobs"), "https://acme.avature.net/careers/"
+    work, board = F.lit("https://acme.wd1.myworkdayjobs.com/Careers"), "https://recruit.hirebridge.com/v3/Jobs/"
+    data = F.struct(
+        doc_id().alias("req_id"), "title", F.col("text").alias("description"),
+        F.struct(F.concat(F.lit("/careers-home/jobs/"), doc_id()).alias("canonical_url")).alias("meta_data"),
+    )
+    entry = F.struct(F.concat(F.lit("/job/R"), doc_id()).alias("externalPath"), "title")
+    a_link = F.concat(F.lit('<article><a href="/careers/JobDetail/x/'), doc_id(), F.lit('">j</a></article>'))
+    h_link = F.concat(F.lit('<li><a href="D.aspx?cid=7&amp;jid='), doc_id(), F.lit('">j</a><b class="location">'), "lang", F.lit("</b></li>"))
+    per = ["source_id", "scan_run_id", "turn", "block"]
+    pages = d.groupBy(*per).agg(
+        F.collect_list(F.struct("doc_id", data.alias("data"))).alias("jobs"),
+        F.sort_array(F.collect_list(entry)).alias("entries"),
+        F.array_join(F.collect_list(F.when(turn % 4 == 2, a_link).otherwise(h_link)), "").alias("links"),
+    )
+    sizes = d.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("total"), F.min("block").alias("low"), F.max("block").alias("high"),
+        F.countDistinct("block").alias("blocks"),
+    )
+    pages = pages.join(sizes, "source_id").where((turn != 4) | (block % 3 != 1))
+    # The first result page once more, after the last.
+    again = pages.where((turn == 1) & (block == F.col("low"))).withColumn("block", F.col("high") + 1)
+    pages = pages.unionByName(again)
+    facets = F.array(F.struct(
+        F.lit("loc").alias("facetParameter"),
+        F.array(F.struct(F.lit("Rome").alias("descriptor"), F.when(turn == 5, "new").otherwise("r").alias("id"))).alias("values"),
+    ))
+    number = F.col("block").cast("string")
+    following = (block + 1).cast("string")
+    goes_on = (turn == 7) | (block < F.col("high"))
+    body = (
+        F.when(turn % 4 == 0, F.to_json(F.struct(F.col("total").alias("totalCount"), "jobs")))
+        .when(turn % 4 == 1, F.to_json(F.struct("total", F.col("entries").alias("jobPostings"), facets.alias("facets"))))
+        .when(turn % 4 == 2, F.concat(
+            "links", F.lit('<a href="http://acme.avature.net/careers/JobDetail/x/1">plain</a><a rel="next" href="SearchJobs?page='),
+            following, F.lit('">n</a>'),
+        ))
+        .otherwise(F.concat(
+            "links", F.lit('<a href="D.aspx?cid=9&amp;jid=1">other client</a>'),
+            F.when(goes_on, F.concat(F.lit('<a rel="next" href="list.aspx?cid=7&amp;page='), following, F.lit('">n</a>'))).otherwise(""),
+        ))
+    )
+    url = (
+        F.when(turn % 4 == 0, api).when(turn % 4 == 1, work)
+        .when(turn % 4 == 2, F.concat(F.lit(avature + "SearchJobs?page="), number))
+        .otherwise(F.concat(F.lit(board + "list.aspx?cid=7&page="), number))
+    )
+    listing = pages.select(
+        "source_id", "scan_run_id", F.col("block").alias("seq"), F.lit("listing").alias("kind"), url.alias("url"), body.alias("body"),
+    )
+    job = F.concat(F.lit("<h1>"), "title", F.lit('</h1><div id="job-description">'), escape_html(F.substring("text", 1, 200)), F.lit("</div>"))
+    details = d.where((turn % 4 == 2) & (F.col("doc_id") % 5 != 0) | (turn % 4 == 3)).select(
+        "source_id", "scan_run_id", F.col("doc_id").alias("seq"), F.lit("detail").alias("kind"),
+        F.when(turn % 4 == 2, F.concat(F.lit(avature + "JobDetail/x/"), doc_id()))
+        .otherwise(F.concat(F.lit(board + "D.aspx?cid=7&jid="), doc_id())).alias("url"),
+        job.alias("body"),
+    )
+    kinds = ("icims_jibe", "workday", "avature", "hirebridge")
+    connectors = ("icims_jibe_api", "workday_cxs", "avature_html", "hirebridge_html")
+    homes = (api, work, F.lit(avature + "SearchJobs"), F.lit(board + "list.aspx?cid=7"))
+
+    def by_turn(values):
+        return F.element_at(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in values]), turn % 4 + 1)
+
+    saved = F.lit('[{"facet_parameter":"loc","label":"Rome","id":"r"}]')
+    config = F.when(turn % 4 == 1, F.create_map(F.lit("selected_facets"), saved)).when(
+        turn == 2, F.create_map(F.lit("max_pages"), F.col("blocks").cast("string"))
+    )
+    sources = d.select("source_id", "turn").distinct().join(sizes, "source_id").select(
+        "source_id", by_turn(homes).alias("url"), by_turn(connectors).alias("connector_type"),
+        by_turn(kinds).alias("platform"), config.alias("config"),
+    )
+    return extractors.extract_scans(listing.unionByName(details), sources).scans
+
+
+PAGING_SQL = """WITH d AS (SELECT *, CAST(substr(source, 4) AS INTEGER) % 8 AS turn, doc_id // 100 AS block FROM documents),
+    z AS (SELECT source, turn, count(*) AS total, max(block) AS high, count(DISTINCT block) AS blocks FROM d GROUP BY ALL),
+    k AS (SELECT * FROM d WHERE turn <> 4 OR block % 3 <> 1),
+    c AS (SELECT z.source, z.turn, z.total, z.blocks, count(*) AS listed, count(DISTINCT k.block) AS pages,
+        count(DISTINCT k.block) FILTER (WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.source = k.source AND o.block = k.block + 1)
+          AND (z.turn <> 3 OR k.block < z.high)) AS unread,
+        CASE WHEN z.turn % 4 = 1 THEN 0 WHEN z.turn % 4 = 2 THEN count(*) FILTER (WHERE k.doc_id % 5 <> 0) ELSE count(*) END AS usable
+      FROM k JOIN z ON z.source = k.source GROUP BY z.source, z.turn, z.total, z.blocks, z.high),
+    e AS (SELECT *, pages + CASE WHEN turn = 1 THEN 1 ELSE 0 END AS read,
+        CASE WHEN turn = 1 THEN 'pagination_loop' WHEN turn = 5 THEN 'facet_drift' WHEN usable = 0 THEN 'detail_extraction_failure' END AS error_code,
+        CASE WHEN turn % 4 = 0 THEN CASE WHEN listed < total THEN 1 ELSE 0 END WHEN turn % 4 = 1 THEN 0
+          WHEN turn = 2 THEN CASE WHEN unread > 0 THEN 1 ELSE 0 END ELSE unread END AS cut FROM c),
+    f AS (SELECT *, error_code IS NULL AND listed = usable AND cut = 0 AS complete,
+        cut + listed - usable + CASE WHEN turn % 4 IN (2, 3) THEN pages ELSE 0 END AS w FROM e)
+    SELECT source AS source_id, 'scan-' || source AS scan_run_id, read + listed AS pages_visited, listed, usable, complete, error_code,
+      w + CASE WHEN error_code IS NULL AND NOT complete THEN 1 ELSE 0 END AS warnings,
+      CASE WHEN error_code IS NOT NULL THEN 'failed' WHEN NOT complete THEN 'partial' WHEN w > 0 THEN 'success_with_warnings' ELSE 'success' END AS status FROM f"""
+
+
 def valid_items(spark, sf_dir):
     """Listing entries without an id or title or off the host, counted per source."""
     d = _documents(spark, sf_dir)
@@ -832,6 +936,7 @@ QUERIES = {
     "ats_a_roundtrip": (ats_a_roundtrip, ATS_A_SQL),
     "extract_outcomes": (extract_outcomes, OUTCOMES_SQL),
     "scan_result": (scan_result, SCAN_SQL),
+    "scan_paging": (scan_paging, PAGING_SQL),
     "repeated_listing_pages": (repeated_listing_pages, REPEATED_SQL),
     "generated_next_pages": (generated_next_pages, NEXT_SQL),
     "valid_items": (valid_items, VALID_SQL),

@@ -6,7 +6,9 @@ executors and shuffle width stay with whoever submits the application.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     # Timestamps are compared with engines that have no zone.
@@ -41,3 +43,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()
+
+
+def shared_table(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written once, in folders of the columns ``by``, and read back. It lies in the folder that
+    driver and executors share and is deleted when the application ends."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.partitionBy(*by).parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())

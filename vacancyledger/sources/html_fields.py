@@ -337,15 +337,18 @@ def _shown(pieces: Column) -> Column:
     return F.array_join(F.filter(stripped, lambda t: F.length(t) > 0), " ")
 
 
-def html_fields(captures: DataFrame, fields: dict[str, tuple[Selector, ...]]) -> DataFrame:
-    """Field values of detail pages: first title, description, type and date, all locations.
+def html_fields(
+    captures: DataFrame, fields: dict[str, tuple[Selector, ...]], keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Field values of detail pages: first title, description, type and date, all locations. Columns
+    named in ``keep`` go along.
 
     A page is cut into tags and the texts between them; elements are matched and followed to their
     end in these arrays.
     """
     body = F.coalesce("body", F.lit(""))
     cut = captures.select(
-        "source_id", "scan_run_id", "seq", "url",
+        "source_id", "scan_run_id", "seq", *keep, "url",
         F.regexp_extract_all(body, F.lit(_TOKEN), 0).alias("_tokens"), F.split(body, _TOKEN, -1).alias("_gaps"),
     )
     tokens, gaps = F.col("_tokens"), F.col("_gaps")
@@ -375,37 +378,38 @@ def html_fields(captures: DataFrame, fields: dict[str, tuple[Selector, ...]]) ->
     # Computed here, so that the Python step does not end up inside the expressions below.
     texts = settle(
         texts.select(
-            "source_id", "scan_run_id", "seq", "url", "description", "posted", "_title_text", "_type_text",
+            "source_id", "scan_run_id", "seq", *keep, "url", "description", "posted", "_title_text", "_type_text",
             "_places", "_location",
         )
     )
     places = F.when(F.size("_location") > 0, F.transform(F.split("_places", mark), _shown))
     return texts.select(
-        "source_id", "scan_run_id", "seq", "url", _shown(F.col("_title_text")).alias("title"), "description",
+        "source_id", "scan_run_id", "seq", *keep, "url", _shown(F.col("_title_text")).alias("title"), "description",
         F.coalesce(places, F.array().cast("array<string>")).alias("locations"),
         _shown(F.col("_type_text")).alias("employment_type"), "posted",
     )
 
 
-def _details(fields: DataFrame, locations, platform: str) -> DataFrame:
+def _details(fields: DataFrame, locations, platform: str, keep: tuple[str, ...]) -> DataFrame:
     usable = F.col("title").isNotNull() & F.col("description").isNotNull()
+    own = [] if "platform" in keep else [F.lit(platform).alias("platform")]
     return fields.select(
-        "source_id", "scan_run_id", "seq", F.col("url").alias("capture_url"),
-        "title", locations.alias("locations"), "employment_type",
+        "source_id", "scan_run_id", "seq", *keep, F.col("url").alias("capture_url"),
+        "title", locations.alias("locations"), "employment_type", "posted",
         parse_iso_date(F.col("posted")).alias("posted_date"),
         F.col("description").alias("description_html"),
-        F.lit(platform).alias("platform"),
+        *own,
         F.when(~usable, "malformed_detail").alias("error_code"),
     )
 
 
-def ats_a_detail(captures: DataFrame) -> DataFrame:
-    return _details(html_fields(captures, ATS_A_FIELDS), F.col("locations"), "avature")
+def ats_a_detail(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return _details(html_fields(captures, ATS_A_FIELDS, keep), F.col("locations"), "avature", keep)
 
 
-def ats_h_detail(captures: DataFrame) -> DataFrame:
+def ats_h_detail(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     first = F.slice("locations", 1, 1)
-    return _details(html_fields(captures, ATS_H_FIELDS), first, "hirebridge")
+    return _details(html_fields(captures, ATS_H_FIELDS, keep), first, "hirebridge", keep)
 
 
 def with_listing(details: DataFrame, listing: DataFrame) -> DataFrame:

@@ -212,7 +212,7 @@ def union_next_pages(linked: DataFrame, generated: DataFrame) -> DataFrame:
 _A_DETAIL = r"(?i)/JobDetail/(?:[^/]+/)*([0-9]+)(?:/|$)"
 
 
-def ats_a_listing(links: DataFrame, source_url: Column) -> DataFrame:
+def ats_a_listing(links: DataFrame, source_url: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Classified links of an ATS-A page: ``job``, ``next`` or ``rejected``."""
     path = url_path(F.col("url"))
     is_job = path.rlike(_A_DETAIL)
@@ -223,14 +223,14 @@ def ats_a_listing(links: DataFrame, source_url: Column) -> DataFrame:
         .when(paging, F.when(same & path.contains("/careers/SearchJobs"), "next").otherwise("rejected"))
     )
     return links.select(
-        "source_id", "scan_run_id", "seq", "page_url", "position", kind.alias("kind"),
+        "source_id", "scan_run_id", "seq", *keep, "page_url", "position", kind.alias("kind"),
         F.when(is_job, F.regexp_extract(path, _A_DETAIL, 1)).alias("external_id"),
         F.when(is_job, _without_query(F.col("url"))).otherwise(F.col("url")).alias("url"),
         F.col("text").alias("title"),
     ).where(F.col("kind").isNotNull())
 
 
-def ats_h_listing(links: DataFrame, client_id: Column) -> DataFrame:
+def ats_h_listing(links: DataFrame, client_id: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Classified links of an ATS-H page: ``job``, ``next`` or ``rejected``."""
     job_id = query_param(F.col("url"), "jid")
     allowed = client_link_allowed(F.col("url"), client_id)
@@ -238,7 +238,7 @@ def ats_h_listing(links: DataFrame, client_id: Column) -> DataFrame:
         job_id.isNotNull(), F.when(allowed, "job").otherwise("rejected")
     ).when(is_next(links), F.when(allowed, "next").otherwise("rejected"))
     return links.select(
-        "source_id", "scan_run_id", "seq", "page_url", "position", kind.alias("kind"),
+        "source_id", "scan_run_id", "seq", *keep, "page_url", "position", kind.alias("kind"),
         job_id.alias("external_id"), "url", F.col("text").alias("title"),
     ).where(F.col("kind").isNotNull())
 

@@ -87,8 +87,9 @@ def extract_jobposting(captures: DataFrame) -> DataFrame:
     return settle(named.select(*kept, "posting", code.alias("error_code")))
 
 
-def posting_fields(extracted: DataFrame, platform: str | Column) -> DataFrame:
-    """Detail rows from JobPosting objects (rows without one are dropped)."""
+def posting_fields(extracted: DataFrame, platform: str | Column, whole: bool = False) -> DataFrame:
+    """Detail rows from JobPosting objects. Rows without one are dropped, unless ``whole``, which also
+    keeps the other columns and the date as written (``posted``)."""
     platform = F.lit(platform) if isinstance(platform, str) else platform
     p = F.col("posting")
 
@@ -99,11 +100,13 @@ def posting_fields(extracted: DataFrame, platform: str | Column) -> DataFrame:
     description = variant_field(p, "description")
     is_text = variant_kind(description) == "STRING"
     found = with_description_html(
-        extracted.where(p.isNotNull()), "description_html",
+        extracted if whole else extracted.where(p.isNotNull()), "description_html",
         F.when(is_text, F.try_variant_get(p, "$.description", "string")),
     )
+    kept = [c for c in extracted.columns if c not in ("url", "posting")] if whole else ["source_id", "scan_run_id", "seq"]
+    kept += [text("datePosted").alias("posted")] if whole else []
     return found.select(
-        "source_id", "scan_run_id", "seq", F.col("url").alias("capture_url"),
+        *kept, F.col("url").alias("capture_url"),
         identifier.alias("external_id"),
         text("url").alias("url"),
         text("title").alias("title"),
