@@ -8,6 +8,7 @@ from urllib.robotparser import RobotFileParser
 import pytest
 from pyspark.sql import functions as F
 
+from tests import html_parser
 from vacancyledger.operators import access, coverage, normalize
 from vacancyledger.sources import ats_json, extractors, html_fields, html_pages, jsonld
 
@@ -187,7 +188,7 @@ def test_all_platforms_union(spark):
 
 def parsed_fields(body, fields):
     """The fields by the standard library's parser."""
-    page = html_fields._Fields(body or "", fields)
+    page = html_parser.Fields(body or "", fields)
 
     def text(element):
         return " ".join(element["text"]) if element else None
@@ -233,6 +234,50 @@ def test_fields_equal_a_parser(spark):
             assert got == parsed_fields(bodies[r.seq], fields), bodies[r.seq]
 
 
+def test_entries_equal_a_parser(spark):
+    """Links with the fields of the nearest block, before or after them, on random pages."""
+    rng = random.Random(2)
+    bodies = [
+        "", None, '<li><a href="/1">a</a><b class=location>x</b></li><a href=2>b</a>',
+        '<div><span class="location">out</span><li><a href="/1">a &amp; b</a></li><a href="/2" REL="Next">c</a></div>',
+        '<div class="location">own<a href="?x=1&amp;y=2">in</a></div><tr><a href>bare</a><b class="job-type">T</b>',
+    ]
+    marks = ["", " class='location'", ' class="x job-type"', ' data-field="location"', " class=employment-type"]
+    for _ in range(60):
+        opened, out = [], []
+        for _ in range(rng.randint(3, 30)):
+            r = rng.random()
+            if r < 0.4:
+                opened.append(rng.choice(["div", "li", "span", "article", "b"]))
+                out.append(f"<{opened[-1]}{rng.choice(marks)}>")
+            elif r < 0.65 and opened:
+                out.append(f"</{opened.pop()}>")
+            elif r < 0.85:
+                out.append(f'<a href="/j{rng.randint(0, 99)}?a=1&amp;b=2" aria-label="Go">l <i>{rng.randint(0, 9)}</i></a>')
+            else:
+                out.append(rng.choice(["<br/>", "<!-- <li> -->", " a ", "b &amp; c"]))
+        bodies.append("".join(out + [f"</{t}>" for t in reversed(opened)]))
+    schema = "source_id string, scan_run_id string, seq long, url string, source_url string, body string"
+    df = spark.createDataFrame([("s", "r", i, "u", "h", b) for i, b in enumerate(bodies)], schema)
+    got = {}
+    for r in html_fields.html_entries(df, html_fields.ATS_H_FIELDS).collect():
+        got.setdefault(r.seq, []).append((r.position, r.href, r.text, r.rel, r.aria_label, r.location, r.employment_type))
+
+    def text(element):
+        return " ".join(element["text"]) if element else None
+
+    wanted = ("location", "employment_type")
+    fields = {n: html_fields.ATS_H_FIELDS[n] for n in wanted}
+    for i, body in enumerate(bodies):
+        links = html_parser.Entries(body or "", fields).links
+        expected = [
+            (n, a["attrs"]["href"], text(a) or None, a["attrs"].get("rel", "").lower() or None, a["attrs"].get("aria-label", "").lower() or None,
+             *[text((block or {}).get(w)) for w in wanted])
+            for n, (a, block) in enumerate(links)
+        ]
+        assert sorted(got.get(i, [])) == expected, body
+
+
 def scan_of(spark, rows, robots=None, config=None, platform="happydance"):
     """extract_scans over (kind, url, status, body) rows of one scan."""
     data = [("s", "r", i, *row[:3], row[3]) for i, row in enumerate(rows)]

@@ -1,23 +1,22 @@
 """Named fields of HTML pages, for the two platforms that have no machine-readable form.
 
-Selectors are data. Detail pages are read by column expressions over their tags and texts. The entries
-of one platform's listing pages, whose fields belong to the block around a link, go through Arrow
-batches to a small standard-library parser.
+Selectors are data. A page is cut into tags and the texts between them; each tag's attributes are read
+once, and one walk over the tags with the open elements as its state tells where every element that
+matters ends. Fields are the texts inside, and a listing link's fields those of the nearest block around.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
-from html.parser import HTMLParser
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_iso_date
-from ..functions.text import let, settle, strip_ws, with_unescaped
-from .html_pages import attribute
+from ..functions.text import blank_to_null, let, settle, strip_ws, with_unescaped
+from .html_pages import ATTRIBUTE
 
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -35,38 +34,27 @@ class Selector:
     equals: str = ""
     contains: str = ""
 
-    def column(self, name: Column, inside: Column) -> Column:
-        """The same for a tag's name and the inside of its start tag."""
-        ok = name == self.tag if self.tag else F.lit(True)
+    def matches(self, tag: Column) -> Column:
+        """Whether a start tag (see ``_tags``) matches."""
+        ok = tag["name"] == self.tag if self.tag else F.lit(True)
         if self.css_id:
-            ok = ok & (attribute(inside, "id") == self.css_id)
+            ok = ok & (_value(tag, "id") == self.css_id)
         if self.css_class:
-            ok = ok & F.array_contains(F.split(attribute(inside, "class"), r"\s+"), self.css_class)
+            ok = ok & F.array_contains(F.split(_value(tag, "class"), r"\s+"), self.css_class)
         if self.attr:
-            value = F.coalesce(attribute(inside, self.attr), F.lit(""))
-            present = inside.rlike(rf"(?i)(^|\s){self.attr}(\s|=|$)")
-            ok = ok & present
+            ok = ok & F.array_contains(tag["names"], self.attr)
+            value = F.coalesce(_value(tag, self.attr), F.lit(""))
             if self.equals:
                 ok = ok & (value == self.equals)
             if self.contains:
                 ok = ok & value.contains(self.contains)
         return F.coalesce(ok, F.lit(False))
 
-    def hit(self, tag: str, attrs: dict[str, str]) -> bool:
-        if self.tag and tag != self.tag:
-            return False
-        if self.css_id and attrs.get("id") != self.css_id:
-            return False
-        if self.css_class and self.css_class not in attrs.get("class", "").split():
-            return False
-        if self.attr:
-            if self.attr not in attrs:
-                return False
-            if self.equals and attrs[self.attr] != self.equals:
-                return False
-            if self.contains and self.contains not in attrs[self.attr]:
-                return False
-        return True
+
+def _value(tag: Column, name: str) -> Column:
+    """Raw value of a tag's attribute; null when it is absent or bare."""
+    found = F.get(tag["values"], F.array_position(tag["names"], name).cast("int") - 1)
+    return F.when(found != "", F.regexp_replace(found, r"""(?s)^(["'])(.*)\1$""", "$2"))
 
 
 # Where the two platforms keep their fields.
@@ -104,134 +92,6 @@ ATS_H_FIELDS = {
 }
 
 
-class _Fields(HTMLParser):
-    """Collects text and source of the elements that match a selector."""
-
-    def __init__(self, source: str, fields: dict[str, tuple[Selector, ...]]) -> None:
-        super().__init__(convert_charrefs=True)
-        self.source, self.fields = source, fields
-        self.found: dict[str, list[dict]] = {name: [] for name in fields}
-        self.stack: list[tuple[str, list[dict]]] = []
-        self.line_starts = [0]
-        for i, char in enumerate(source):
-            if char == "\n":
-                self.line_starts.append(i + 1)
-        self.feed(source)
-        self.close()
-        while self.stack:
-            self._pop(len(source))
-
-    def _offset(self) -> int:
-        line, column = self.getpos()
-        return self.line_starts[line - 1] + column
-
-    def handle_starttag(self, tag, attrs):
-        given = {k: v or "" for k, v in attrs}
-        opened = []
-        for name, selectors in self.fields.items():
-            if any(s.hit(tag, given) for s in selectors):
-                element = {"text": [], "attrs": given, "start": self._offset()}
-                element["end"] = element["start"] + len(self.get_starttag_text() or "")
-                self.found[name].append(element)
-                opened.append(element)
-        if tag not in VOID:
-            self.stack.append((tag, opened))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self._pop(self._offset())
-
-    def handle_endtag(self, tag):
-        if not any(open_tag == tag for open_tag, _ in self.stack):
-            return
-        close_at = self.source.find(">", self._offset()) + 1
-        while True:
-            if self._pop(close_at) == tag:
-                return
-
-    def _pop(self, end: int) -> str:
-        tag, opened = self.stack.pop()
-        for element in opened:
-            element["end"] = max(element["end"], end)
-        return tag
-
-    def handle_data(self, data):
-        if self.stack and self.stack[-1][0] in ("script", "style", "template"):
-            return
-        piece = data.strip()
-        if piece:
-            for _, opened in self.stack:
-                for element in opened:
-                    element["text"].append(piece)
-
-
-CONTAINERS = ("article", "li", "tr", "div")
-
-
-class _Entries(_Fields):
-    """Links with the fields of the nearest list item, row, article or block around them."""
-
-    def __init__(self, source: str, fields: dict[str, tuple[Selector, ...]]) -> None:
-        self.containers: list[tuple[str, dict]] = []
-        self.links: list[tuple[dict, dict | None]] = []
-        super().__init__(source, {**fields, "link": (Selector("a", attr="href"),)})
-
-    def handle_starttag(self, tag, attrs):
-        counts = {name: len(hits) for name, hits in self.found.items()}
-        super().handle_starttag(tag, attrs)
-        for name, hits in self.found.items():
-            if len(hits) == counts[name]:
-                continue
-            if name == "link":
-                self.links.append((hits[-1], self.containers[-1][1] if self.containers else None))
-            for _, held in self.containers:
-                held.setdefault(name, hits[-1])
-        if tag in CONTAINERS:
-            self.containers.append((tag, {}))
-
-    def _pop(self, end: int) -> str:
-        tag = super()._pop(end)
-        if tag in CONTAINERS and self.containers:
-            self.containers.pop()
-        return tag
-
-
-_ENTRY_SCHEMA = """source_id string, scan_run_id string, seq bigint, page_url string,
-    source_url string, position int, href string, text string, rel string, aria_label string, location string,
-    employment_type string"""
-
-
-def html_entries(captures: DataFrame, fields: dict[str, tuple[Selector, ...]]) -> DataFrame:
-    """Links of listing pages with location and type from the block around each link."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _ENTRY_SCHEMA.split(",")]
-
-        def text(element: dict | None) -> str | None:
-            return " ".join(element["text"]) if element else None
-
-        for batch in batches:
-            rows = []
-            for page in batch.itertuples(index=False):
-                parsed = _Entries(page.body or "", fields)
-                for position, (link, block) in enumerate(parsed.links):
-                    attrs, around = link["attrs"], block or {}
-                    rows.append(
-                        (
-                            page.source_id, page.scan_run_id, page.seq, page.url, page.source_url,
-                            position,
-                            attrs["href"], text(link) or None, attrs.get("rel", "").lower() or None,
-                            attrs.get("aria-label", "").lower() or None,
-                            text(around.get("location")), text(around.get("employment_type")),
-                        )
-                    )
-            yield pd.DataFrame(rows, columns=columns)
-
-    wanted = captures.select("source_id", "scan_run_id", "seq", "url", "source_url", "body")
-    return wanted.mapInPandas(read, _ENTRY_SCHEMA)
-
-
 # A start tag, an end tag, or what holds no elements: comments, declarations, scripts and styles.
 _TOKEN = (
     r"""(?s)<!--.*?-->|(?i:<(script|style|template)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?</\1\s*>)"""
@@ -247,77 +107,101 @@ def _name(token: Column) -> Column:
     return F.when((found != "") & ~whole, found)
 
 
-def _opens(token: Column, name: Column) -> Column:
-    """Whether elements follow inside: not for end tags, void elements and self-closed ones."""
-    return name.isNotNull() & ~name.startswith("/") & ~name.isin(*VOID) & ~token.rlike(r"/\s*>$")
+def _tags(tokens: Column) -> Column:
+    """The start and end tags among the tokens: index ``i``, ``name`` (end tags start with a slash),
+    attribute ``names`` and raw ``values``, and whether elements follow inside (``opens``: not for end
+    tags, void elements and self-closed ones)."""
 
+    def parsed(token: Column, i: Column) -> Column:
+        inside = F.when(token.rlike(r"^<[a-zA-Z][^\s>]*\s"), F.regexp_replace(token, r"(?s)^<[a-zA-Z][^\s/>]*|/?>$", ""))
+        none = F.array().cast("array<string>")
 
-def _stepped(open_names: Column, token: Column) -> Column:
-    """The open elements after a token. An end tag closes up to its start, if that is open."""
+        def described(name: Column) -> Column:
+            opens = ~name.startswith("/") & ~name.isin(*VOID) & ~token.rlike(r"/\s*>$")
+            names = F.transform(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), 1), F.lower)
+            return F.struct(
+                i.alias("i"), name.alias("name"), opens.alias("opens"), F.coalesce(names, none).alias("names"),
+                F.coalesce(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), 2), none).alias("values"),
+            )
 
-    def moved(name: Column) -> Column:
-        back = F.array_position(F.reverse(open_names), F.substr(name, F.lit(2))).cast("int")
-        closed = F.slice(open_names, F.lit(1), F.size(open_names) - back)
-        return (
-            F.when(_opens(token, name), F.concat(open_names, F.array(name)))
-            .when(name.startswith("/") & (back > 0), closed)
-            .otherwise(open_names)
-        )
+        return let(_name(token), described)
 
-    return let(_name(token), moved)
+    return F.filter(F.transform(tokens, parsed), lambda t: t["name"].isNotNull())
 
 
-def _end(tokens: Column, start: Column) -> Column:
-    """Index of the token that ends the element whose start tag is at index ``start``; the number of
-    tokens if it stays open."""
-    none = F.array().cast("array<string>")
-    outer = F.aggregate(F.slice(tokens, F.lit(1), start + 1), none, _stepped)
-    rest = F.slice(tokens, start + 2, F.greatest(F.size(tokens) - start - 1, F.lit(0)))
+def _ends(tags: Column, wanted: Column) -> Column:
+    """(at, end): the index of the token that ends each element whose start tag is at a ``wanted`` index.
 
-    def closing(before: Column) -> Column:
-        depth = F.size(before)
+    One walk with the open elements as its state: an end tag closes up to its start, if that is open.
+    Elements that stay open, or hold none, are not listed.
+    """
+    state = "struct<open:array<struct<name:string,at:int>>,done:array<struct<at:int,end:int>>>"
 
-        def step(acc: Column, token: Column) -> Column:
-            return let(
-                _stepped(acc["open"], token),
-                lambda now: F.when(acc["done"], acc).otherwise(
-                    F.struct(
-                        now.alias("open"), (acc["at"] + 1).alias("at"), (F.size(now) < depth).alias("done")
-                    )
-                ),
-            )
+    def step(acc: Column, tag: Column) -> Column:
+        open_, done = acc["open"], acc["done"]
+        names = F.transform(open_, lambda o: o["name"])
+        back = F.array_position(F.reverse(names), F.substr(tag["name"], F.lit(2))).cast("int")
 
-        first = F.struct(before.alias("open"), start.alias("at"), F.lit(False).alias("done"))
-        return F.aggregate(rest, first, step, lambda acc: F.when(acc["done"], acc["at"]).otherwise(F.size(tokens)))
+        def closed(n: Column) -> Column:
+            ended = F.filter(F.slice(open_, F.size(open_) - n + 1, n), lambda o: F.array_contains(wanted, o["at"]))
+            listed = F.transform(ended, lambda o: F.struct(o["at"].alias("at"), tag["i"].alias("end")))
+            left = F.slice(open_, F.lit(1), F.size(open_) - n)
+            return F.struct(left.alias("open"), F.concat(done, listed).alias("done"))
 
-    first = F.get(tokens, start)
-    return F.when(_opens(first, _name(first)), let(outer, closing)).otherwise(start)
+        opened = F.concat(open_, F.array(F.struct(tag["name"].alias("name"), tag["i"].alias("at"))))
+        return (
+            F.when(tag["opens"], F.struct(opened.alias("open"), done.alias("done")))
+            .when(tag["name"].startswith("/"), let(back, lambda n: F.when(n > 0, closed(n)).otherwise(acc)))
+            .otherwise(acc)
+        ).cast(state)
+
+    first = F.struct(
+        F.array().cast("array<struct<name:string,at:int>>").alias("open"),
+        F.array().cast("array<struct<at:int,end:int>>").alias("done"),
+    ).cast(state)
+    return F.aggregate(tags, first, step, lambda acc: acc["done"])
 
 
-def _first_places(tokens: Column, selectors: tuple[Selector, ...]) -> Column:
+def _places(tags: Column, selectors: tuple[Selector, ...]) -> Column:
     """Indexes of the start tags that a selector matches, in page order."""
 
-    def place(token: Column, index: Column) -> Column:
-        name = _name(token)
-        inside = F.regexp_replace(token, r"(?s)^<[a-zA-Z][^\s/>]*|/?>$", "")
-        hit = F.lit(False)
-        for selector in selectors:
-            hit = hit | selector.column(name, inside)
-        return F.when(name.isNotNull() & ~name.startswith("/") & hit, index)
+    def fits(tag: Column) -> Column:
+        hits = [s.matches(tag) for s in selectors]
+        return ~tag["name"].startswith("/") & reduce(lambda one, two: one | two, hits, F.lit(False))
 
-    return F.array_compact(F.transform(tokens, place))
+    return F.transform(F.filter(tags, fits), lambda t: t["i"])
 
 
-def _pieces(tokens: Column, gaps: Column, start: Column) -> Column:
-    """The texts directly and indirectly inside the element at ``start``, joined by a mark."""
-    return let(
-        _end(tokens, start),
-        lambda end: F.array_join(F.slice(gaps, start + 2, F.greatest(end - start, F.lit(0))), _GAP),
+def _walked(captures: DataFrame, keep: tuple[str, ...], places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Tokens and the texts between them (``_gaps``), tags, the indexes of each of ``places``, and where
+    the elements there end (``_ends``)."""
+    body = F.coalesce("body", F.lit(""))
+    cut = captures.select(
+        "source_id", "scan_run_id", "seq", "url", *keep,
+        F.regexp_extract_all(body, F.lit(_TOKEN), 0).alias("_tokens"), F.split(body, _TOKEN, -1).alias("_gaps"),
     )
+    tagged = settle(cut.withColumn("_tags", _tags(F.col("_tokens"))))
+    placed = settle(tagged.withColumns({f"_{n}": of(F.col("_tags")) for n, of in places.items()}))
+    wanted = F.array_distinct(F.concat(*[F.col(f"_{n}") for n in places]))
+    return settle(placed.withColumn("_wanted", wanted).withColumn("_ends", _ends(F.col("_tags"), F.col("_wanted"))))
+
+
+def _end(start: Column) -> Column:
+    """Index of the token that ends the element at ``start``: the start tag itself if nothing can follow
+    inside, the number of tokens if it stays open."""
+    known = F.get(F.filter("_ends", lambda e: e["at"] == start), F.lit(0))["end"]
+    opens = F.get(F.filter("_tags", lambda t: t["i"] == start), F.lit(0))["opens"]
+    return F.when(opens, F.coalesce(known, F.size("_tokens"))).otherwise(start)
+
+
+def _pieces(start: Column) -> Column:
+    """The texts directly and indirectly inside the element at ``start``, joined by a mark."""
+    return let(_end(start), lambda end: F.array_join(F.slice("_gaps", start + 2, F.greatest(end - start, F.lit(0))), _GAP))
 
 
-def _source(tokens: Column, gaps: Column, start: Column) -> Column:
+def _source(start: Column) -> Column:
     """The page's own text from the start tag at ``start`` to the end of its element."""
+    tokens, gaps = F.col("_tokens"), F.col("_gaps")
 
     def cut(end: Column) -> Column:
         last = F.least(end, F.size(tokens) - 1)
@@ -328,7 +212,7 @@ def _source(tokens: Column, gaps: Column, start: Column) -> Column:
         tail = F.when(end > last, F.get(gaps, F.size(tokens))).otherwise("")
         return F.concat(F.get(tokens, start), F.array_join(inner, ""), tail)
 
-    return let(_end(tokens, start), cut)
+    return let(_end(start), cut)
 
 
 def _shown(pieces: Column) -> Column:
@@ -342,36 +226,26 @@ def html_fields(
 ) -> DataFrame:
     """Field values of detail pages: first title, description, type and date, all locations. Columns
     named in ``keep`` go along.
-
-    A page is cut into tags and the texts between them; elements are matched and followed to their
-    end in these arrays.
     """
-    body = F.coalesce("body", F.lit(""))
-    cut = captures.select(
-        "source_id", "scan_run_id", "seq", *keep, "url",
-        F.regexp_extract_all(body, F.lit(_TOKEN), 0).alias("_tokens"), F.split(body, _TOKEN, -1).alias("_gaps"),
-    )
-    tokens, gaps = F.col("_tokens"), F.col("_gaps")
     names = ("title", "description", "description_fallback", "location", "employment_type", "posted")
-    placed = settle(
-        cut.withColumns({f"_{n}": _first_places(tokens, fields.get(n, ())) for n in names})
-    )
+    placed = _walked(captures, keep, {n: (lambda tags, n=n: _places(tags, fields.get(n, ()))) for n in names})
 
     def first(name: str) -> Column:
         return F.get(f"_{name}", F.lit(0))
 
     def pieces(name: str) -> Column:
-        return F.when(first(name).isNotNull(), _pieces(tokens, gaps, first(name)))
+        return F.when(first(name).isNotNull(), _pieces(first(name)))
 
     described = F.coalesce(first("description"), first("description_fallback"))
-    posted = attribute(F.regexp_replace(F.get(tokens, first("posted")), r"(?s)^<[a-zA-Z][^\s/>]*|/?>$", ""), "datetime")
+    dated = F.get(F.filter("_tags", lambda t: t["i"] == first("posted")), F.lit(0))
+    posted = let(dated, lambda tag: _value(tag, "datetime"))
     mark = "\x1e"
     texts = with_unescaped(
-        placed.withColumn("description", F.when(described.isNotNull(), _source(tokens, gaps, described))),
+        placed.withColumn("description", F.when(described.isNotNull(), _source(described))),
         {
             "_title_text": pieces("title"),
             "_type_text": pieces("employment_type"),
-            "_places": F.array_join(F.transform("_location", lambda i: _pieces(tokens, gaps, i)), mark),
+            "_places": F.array_join(F.transform("_location", _pieces), mark),
             "posted": posted,
         },
     )
@@ -390,6 +264,49 @@ def html_fields(
     )
 
 
+CONTAINERS = ("article", "li", "tr", "div")
+
+
+def html_entries(captures: DataFrame, fields: dict[str, tuple[Selector, ...]]) -> DataFrame:
+    """Links of listing pages with location and type from the nearest list item, row, article or block
+    around each link: the first element that matches within it, before or after the link."""
+    names = ("location", "employment_type")
+    link = (Selector("a", attr="href"),)
+    places = {n: (lambda tags, n=n: _places(tags, fields[n])) for n in names}
+    blocks = (lambda tags: _places(tags, tuple(Selector(c) for c in CONTAINERS)))
+    walked = _walked(captures, ("source_url",), {"link": lambda tags: _places(tags, link), "block": blocks, **places})
+    spans = settle(walked.withColumn("_spans", F.transform("_block", lambda at: F.struct(at.alias("at"), _end(at).alias("end")))))
+
+    def found(start: Column) -> Column:
+        around = F.filter("_spans", lambda s: (s["at"] < start) & (s["end"] > start))
+        # Blocks come in page order, so the last one around a link is the nearest.
+        nearest = F.try_element_at(around, F.lit(-1))
+
+        def described(block: Column) -> Column:
+            def field(name: str) -> Column:
+                inside = F.filter(f"_{name}", lambda i: (i > block["at"]) & (i < block["end"]))
+                return let(F.get(inside, F.lit(0)), lambda i: F.when(i.isNotNull(), _pieces(i)))
+
+            tag = F.get(F.filter("_tags", lambda t: t["i"] == start), F.lit(0))
+            return let(tag, lambda t: F.struct(
+                _value(t, "href").alias("_href"), _pieces(start).alias("_text"), F.lower(_value(t, "rel")).alias("rel"),
+                F.lower(_value(t, "aria-label")).alias("aria_label"), *[field(n).alias(f"_{n}_text") for n in names],
+            ))
+
+        return let(nearest, described)
+
+    listed = settle(spans.withColumn("_found", F.transform("_link", found)).select(
+        "source_id", "scan_run_id", "seq", F.col("url").alias("page_url"), "source_url", F.posexplode("_found").alias("position", "_l"),
+    ).select("source_id", "scan_run_id", "seq", "page_url", "source_url", "position", "_l.*"))
+    texts = settle(with_unescaped(listed, {c: F.col(c) for c in ("_href", "_text", "_location_text", "_employment_type_text")}))
+    return texts.select(
+        "source_id", "scan_run_id", "seq", "page_url", "source_url", "position",
+        F.coalesce("_href", F.lit("")).alias("href"), blank_to_null(_shown(F.col("_text"))).alias("text"),
+        blank_to_null(F.col("rel")).alias("rel"), blank_to_null(F.col("aria_label")).alias("aria_label"),
+        _shown(F.col("_location_text")).alias("location"), _shown(F.col("_employment_type_text")).alias("employment_type"),
+    )
+
+
 def _details(fields: DataFrame, locations, platform: str, keep: tuple[str, ...]) -> DataFrame:
     usable = F.col("title").isNotNull() & F.col("description").isNotNull()
     own = [] if "platform" in keep else [F.lit(platform).alias("platform")]

@@ -18,14 +18,14 @@ _ANCHOR = rf"(?is)<a\s{_INSIDE}>.*?(?=</a\s*>|<a\s|\z)"
 _OPEN = rf"(?is)^<a\s({_INSIDE})>"
 _INNER = rf"(?is)^<a\s{_INSIDE}>(.*)$"
 _NAV = rf"(?is)<nav\b{_INSIDE}>|</nav\s*>"
-_ATTRIBUTE = r"""(?s)([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+ATTRIBUTE = r"""(?s)([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Raw value of an attribute in the inside of a start tag; null when it is absent or bare.
     Attributes are read one after the other, so text in another one's value is not taken for one."""
-    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 1), F.lower)
-    values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 2)
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 1), F.lower)
+    values = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 2)
     at = F.array_position(names, name).cast("int")
     found = F.when(at > 0, F.get(values, at - 1))
     return F.when(found != "", F.regexp_replace(found, r"""(?s)^(["'])(.*)\1$""", "$2"))
