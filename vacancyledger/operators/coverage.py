@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .windows import top_k, with_next
+from .windows import numbered, top_k, with_next
 
 PREVIEW_JOBS = 5
+#: Pages whose links one task puts in order.
+CHUNK_PAGES = 1024
 
 
 def page_signatures(items: DataFrame) -> DataFrame:
@@ -102,9 +104,11 @@ def crawl_coverage(
             .agg(F.min(F.struct("place", "position")).alias("_from"))
             .join(visited.select("source_id", "url"), ["source_id", "url"], "left_anti")
         )
-        order = Window.partitionBy("source_id").orderBy("_from.place", "_from.position")
-        frontier = reached.select(
-            "source_id", "url", F.lit(depth).alias("depth"), F.row_number().over(order).cast("long").alias("place")
+        # Chunks of the level before, so that a source with most of the pages is numbered by many tasks.
+        chunk = F.floor(F.col("_from.place") / CHUNK_PAGES)
+        order = [F.col("_from.place"), F.col("_from.position")]
+        frontier = numbered(reached, ["source_id"], order, chunk, "place").select(
+            "source_id", "url", F.lit(depth).alias("depth"), "place"
         ).checkpoint()
         if frontier.isEmpty():
             break

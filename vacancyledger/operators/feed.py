@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matching import MATCHER_VERSION, current_profile
-from .windows import page
+from .windows import page, page_from, page_starts, Sort
 
 
 def feed_items(
@@ -105,6 +105,29 @@ def jobs_page(
     return rows.withColumn("total", total)
 
 
+#: Newest first; the id names a row.
+JOB_ORDER = (Sort("first_discovered_at", descending=True), Sort("job_id"))
+
+
+def jobs_page_index(jobs: DataFrame, size: int) -> DataFrame:
+    """Where each page of the job list starts: page, first_discovered_at, job_id."""
+    day = F.datediff(F.lit("9999-12-31").cast("date"), F.col("first_discovered_at").cast("date"))
+    return page_starts(jobs, JOB_ORDER, size, day)
+
+
+def jobs_page_from(jobs: DataFrame, index: DataFrame, number: int, size: int) -> DataFrame:
+    """The page of the job list that the index names, without passing over the pages before it."""
+    at = index.where(F.col("page") == number).select(*[s.column for s in JOB_ORDER]).first()
+    if at is None:
+        return jobs.limit(0)
+    return page_from(jobs, JOB_ORDER, list(at), size)
+
+
+def jobs_page_after(jobs: DataFrame, last: tuple, size: int) -> DataFrame:
+    """The rows that follow the row with this (first_discovered_at, job_id)."""
+    return page_from(jobs, JOB_ORDER, last, size, after=True)
+
+
 def scan_jobs_page(observations: DataFrame, scan_run_id: str, number: int, size: int) -> DataFrame:
     """One page of the observations of a scan, by title."""
     chosen = observations.where(F.col("scan_run_id") == scan_run_id)

@@ -8,6 +8,7 @@ across chunks, and the two are joined on (key, chunk).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,10 +151,66 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, name: str
+) -> DataFrame:
+    """Add the place of each row within its key, from 1. ``chunk`` never falls along ``order``; a task
+    orders one chunk and carries the sizes of the chunks before it."""
+    placed = df.withColumn("_chunk", chunk)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = _carry_join(placed.withColumn("_here", F.row_number().over(inside)), before, keys, "_chunk")
+    return joined.withColumn(name, (F.col("_here") + F.col("_before")).cast("bigint")).select(*df.columns, name)
+
+
+class Sort(NamedTuple):
+    """A sort column and its direction; the last of an order names every row."""
+
+    column: str
+    descending: bool = False
+
+    def order(self) -> Column:
+        return F.col(self.column).desc() if self.descending else F.col(self.column).asc()
+
+    def beyond(self, value: Column) -> Column:
+        return F.col(self.column) < value if self.descending else F.col(self.column) > value
+
+
+def page_starts(df: DataFrame, order: Sequence[Sort], size: int, chunk: Column) -> DataFrame:
+    """Page index of a sorted listing: page number from 1, and the sort columns of its first row.
+
+    ``chunk`` never falls along the order (say, the day of a time), so no task orders the listing.
+    """
+    rows = numbered(df.select(*[s.column for s in order], chunk.alias("_part")).withColumn("_all", F.lit(0)), ["_all"],
+                    [s.order() for s in order], F.col("_part"), "_place")
+    first = rows.where((F.col("_place") - 1) % size == 0)
+    return first.select(((F.col("_place") - 1) / size + 1).cast("bigint").alias("page"), *[s.column for s in order])
+
+
+def page_from(df: DataFrame, order: Sequence[Sort], start: Sequence, size: int, after: bool = False) -> DataFrame:
+    """``size`` rows of a sorted listing from the row with these sort values on (or after it).
+
+    A seek: rows before the start are filtered by the scan, and each task keeps at most ``size`` rows,
+    so a deep page costs what the first one does. Sort columns hold no nulls.
+    """
+    if not 1 <= size <= 100:
+        raise ValueError("page size must be between 1 and 100")
+    wanted, equal = F.lit(False), F.lit(True)
+    for sort, value in zip(order, start, strict=True):
+        value = value if isinstance(value, Column) else F.lit(value)
+        wanted = wanted | (equal & sort.beyond(value))
+        equal = equal & (F.col(sort.column) == value)
+    chosen = df.where(wanted if after else wanted | equal)
+    return chosen.orderBy(*[s.order() for s in order]).limit(size)
+
+
 def page(
     df: DataFrame, order: Sequence[Column], number: int, size: int
 ) -> DataFrame:
-    """One page of a sorted listing; pages count from 1 and hold 1 to 100 rows."""
+    """One page of a sorted listing; pages count from 1 and hold 1 to 100 rows. All rows before a deep
+    page pass one task; ``page_from`` seeks instead."""
     if number < 1 or not 1 <= size <= 100:
         raise ValueError("page must be >= 1 and page size between 1 and 100")
     return df.orderBy(*order).offset((number - 1) * size).limit(size)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import feed, matching, profiles
+from ..operators import feed, matching, profiles, terms
 from . import derived
 from .derived import fold_sql, sql, table, tokens_sql
 
@@ -362,6 +362,71 @@ JOBS_PAGE_SQL = sql(
 )
 
 
+def jobs_page_after(spark, sf_dir):
+    """The fourth page of the active jobs through the page index, and the rows that follow its last one."""
+    jobs = derived.jobs(spark, sf_dir).where(F.col("lifecycle_status") == "active")
+    found = feed.jobs_page_from(jobs, feed.jobs_page_index(jobs, 25), 4, 25).select("job_id", "first_discovered_at")
+    last = found.orderBy("first_discovered_at", F.desc("job_id")).first()
+    more = feed.jobs_page_after(jobs, (last["first_discovered_at"], last["job_id"]), 10).select("job_id", "first_discovered_at")
+    return found.withColumn("part", F.lit("page")).unionByName(more.withColumn("part", F.lit("after")))
+
+
+AFTER_SQL = sql(
+    """SELECT job_id, first_discovered_at, CASE WHEN n <= 100 THEN 'page' ELSE 'after' END AS part
+    FROM (SELECT *, row_number() OVER (ORDER BY first_discovered_at DESC, job_id) AS n FROM jobs WHERE lifecycle_status = 'active')
+    WHERE n BETWEEN 76 AND 110""",
+    "jobs",
+)
+
+
+def page_index(spark, sf_dir):
+    """Where every page of all jobs starts."""
+    return feed.jobs_page_index(derived.jobs(spark, sf_dir), 25)
+
+
+INDEX_SQL = sql(
+    """SELECT (n - 1) // 25 + 1 AS page, first_discovered_at, job_id
+    FROM (SELECT *, row_number() OVER (ORDER BY first_discovered_at DESC, job_id) AS n FROM jobs) WHERE (n - 1) % 25 = 0""",
+    "jobs",
+)
+
+
+def _terms(spark, sf_dir):
+    """Terms of all benchmark items: pairs of words, single words and letters."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
+    made = F.array(
+        F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))), F.concat(F.lit(" "), F.upper(F.get(words, F.lit(2)))),
+        F.substring(F.get(words, F.lit(3)), 1, 2), F.lit(""),
+    )
+    each = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(made).alias("at", "term"))
+    return each.select((F.col("item_id") * 4 + F.col("at")).alias("term_id"), "term")
+
+
+def contained_terms(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return terms.contained_terms(_terms(spark, sf_dir), texts)
+
+
+TERMS_SQL = f"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark),
+    t AS (SELECT item_id * 4 AS term_id, w[1] || ' ' || w[2] AS term FROM w UNION ALL SELECT item_id * 4 + 1, upper(w[3]) FROM w
+      UNION ALL SELECT item_id * 4 + 2, substr(w[4], 1, 2) FROM w),
+    d AS (SELECT doc_id, {derived.fold_sql("text")} AS folded FROM documents)
+    SELECT term_id, doc_id AS text_id FROM t JOIN d ON contains(folded, {derived.fold_sql("term")})"""
+
+
+def overlapping_tokens(spark, sf_dir):
+    """Benchmark items against all documents that hold at least nine tenths of an item's tokens."""
+    left = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("left_id"), "text")
+    right = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("right_id"), "text")
+    return terms.overlapping_tokens(left, right, 0.9)
+
+
+OVERLAPPING_SQL = f"""WITH l AS (SELECT item_id AS left_id, {derived.tokens_sql("text")} AS t FROM benchmark),
+    r AS (SELECT doc_id AS right_id, {derived.tokens_sql("text")} AS t FROM documents),
+    p AS (SELECT left_id, right_id, len(l.t) AS left_tokens, len(list_intersect(l.t, r.t)) AS shared FROM l, r WHERE len(l.t) > 0)
+    SELECT * FROM p WHERE shared >= 0.9 * left_tokens - 1e-9"""
+
+
 def scan_jobs_page(spark, sf_dir):
     obs = derived.jobs(spark, sf_dir).withColumn("observation_id", F.col("seq"))
     out = feed.scan_jobs_page(obs, "scan-src1", 1, 100)
@@ -465,6 +530,10 @@ QUERIES = {
     "feed_counters": (feed_counters, COUNTERS_SQL),
     "class_histogram": (class_histogram, HISTOGRAM_SQL),
     "jobs_page": (jobs_page, JOBS_PAGE_SQL),
+    "jobs_page_after": (jobs_page_after, AFTER_SQL),
+    "page_index": (page_index, INDEX_SQL),
+    "contained_terms": (contained_terms, TERMS_SQL),
+    "overlapping_tokens": (overlapping_tokens, OVERLAPPING_SQL),
     "scan_jobs_page": (scan_jobs_page, SCAN_PAGE_SQL),
     "sources_with_contacts": (sources_with_contacts, CONTACTS_SQL),
     "token_overlap": (token_overlap, TOKEN_SQL),
