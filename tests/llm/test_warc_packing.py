@@ -116,6 +116,31 @@ def test_plan_uses_every_piece_once():
         check_plan(counts, 64)
 
 
+def plain_best_fit(counts, capacity):
+    """Best-fit decreasing, piece by piece; the number of sequences."""
+    gaps = []
+    for length in sorted(Counter(counts).elements(), reverse=True):
+        fits = [g for g in gaps if g >= length]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - length)
+        else:
+            gaps.append(capacity - length)
+    return len(gaps)
+
+
+def test_plan_never_needs_more_than_best_fit(spark):
+    rng = random.Random(6)
+    for _ in range(20):
+        counts = {rng.randint(1, 64): rng.randint(1, 40) for _ in range(rng.randint(1, 30))}
+        assert check_plan(counts, 64) <= plain_best_fit(counts, 64)
+    pieces = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    assert check_plan(counts, 1024) <= plain_best_fit(counts, 1024)
+    exact = sum(times for group, times in packing.packing_plan(counts) if sum(group) == 1024 and len(group) > 1)
+    assert exact > 300
+
+
 def test_plan_is_near_the_bound():
     rng = random.Random(5)
     counts = Counter(min(1024, max(2, int(rng.lognormvariate(6, 0.8)))) for _ in range(20_000))

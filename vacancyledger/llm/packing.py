@@ -104,41 +104,56 @@ def pieces(documents: DataFrame, files: dict[str, str] | None = None, capacity:
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Which lengths share a sequence, and how often: [(lengths, times)], from a count per length.
 
-    Lengths are tried from the largest. The gap that one leaves is looked up among the single lengths,
-    then the sums of two, then of three that are still available, and the first combination that
-    fills it exactly is consumed as often as the counts allow. What finds no exact complement goes,
-    largest first, into the smallest gap that holds it. There are at most ``capacity`` lengths, so
-    neither the input nor the work depends on the number of pieces.
+    Exact complements are consumed as often as the counts allow, what is left goes by best fit. Short
+    pieces fill gaps that nothing else fits, and complements that use them up early cost sequences; so
+    plans are made that leave pieces below a growing length out of the complements, at last all, and
+    the one with the fewest sequences is taken (of equals, that with the most complements). There are
+    at most ``capacity`` lengths, so neither the input nor the work depends on the number of pieces.
+    """
+    best, fewest = None, None
+    for shortest in (1, *(max(1, capacity // part) for part in (64, 32, 16, 8, 4, 3, 2)), capacity + 1):
+        full, rest = _complements(counts, capacity, shortest)
+        plan = full + _best_fit(rest, capacity)
+        size = sum(times for _, times in plan)
+        if fewest is None or size < fewest:
+            best, fewest = plan, size
+    return best
+
+
+def _complements(counts: dict[int, int], capacity: int, shortest: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Sequences filled exactly by pieces of at least ``shortest``, and the counts of what is left.
+
+    For all lengths, from the largest, the gap that one leaves is looked up among the single lengths;
+    then, for all that are left, among the sums of two; then of three.
     """
     have = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         have[length] = n
+    short = have[:shortest].copy()
+    have[:shortest] = 0
     full: list[tuple[tuple[int, ...], int]] = []
-    rest: dict[int, int] = {}
-    for top in range(capacity, 0, -1):
-        while have[top]:
-            found = _complement(have, top, capacity - top)
-            if found is None:
-                rest[top], have[top] = int(have[top]), 0
-                break
-            group = (top, *found)
-            times = min(int(have[x]) // group.count(x) for x in set(group))
-            for x in group:
-                have[x] -= times
-            full.append((group, times))
-    return full + _best_fit(rest, capacity)
-
-
-def _complement(have: np.ndarray, top: int, gap: int) -> tuple[int, ...] | None:
-    """One to three available lengths that add up to the gap, the largest first; () for no gap."""
+    for parts in (1, 2, 3):
+        for top in range(capacity, 0, -1):
+            while have[top] and (found := _complement(have, top, capacity - top, parts)) is not None:
+                group = (top, *found)
+                times = min(int(have[x]) // group.count(x) for x in set(group))
+                for x in group:
+                    have[x] -= times
+                full.append((group, times))
+    have[: len(short)] += short
+    return full, {int(x): int(have[x]) for x in np.flatnonzero(have)}
+
+
+def _complement(have: np.ndarray, top: int, gap: int, parts: int) -> tuple[int, ...] | None:
+    """``parts`` available lengths that add up to the gap, the largest first; () for no gap."""
     if gap == 0:
         return ()
     left = have.copy()
     left[top] -= 1
-    if gap < len(left) and left[gap] > 0:
-        return (gap,)
-    if pair := _pair(left, gap):
-        return pair
+    if parts == 1:
+        return (gap,) if left[gap] > 0 else None
+    if parts == 2:
+        return _pair(left, gap)
     for a in range(gap - 2, 0, -1):
         if left[a] > 0:
             left[a] -= 1
