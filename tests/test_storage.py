@@ -150,6 +150,51 @@ def test_late_scans_are_applied_in_their_place(spark, tmp_path):
     assert states(spark, root) == want
 
 
+def test_a_batch_rewrites_the_buckets_of_its_sources_only(spark, tmp_path):
+    root = str(tmp_path / "out")
+    names = [f"s{i}" for i in range(12)]
+    scan = lambda s, n: {
+        "source_id": s, "scan_run_id": f"{s}-{n}", "scan_seq": n, "complete": True, "status": "success", "finished_at": T0 + datetime.timedelta(days=n),
+    }
+    listing = [
+        {"source_id": s, "scan_run_id": f"{s}-{n}", "scan_seq": n, "seq": 0, "identity_key": "external:1", "content_fingerprint": f"f{n}",
+         "external_id": "1", "canonical_url": f"https://e/{s}", "title": "t"}
+        for s in names for n in (1, 2, 3)
+    ]
+    observed = observations(spark, listing).cache()
+    handler = snapshots.apply_scans(root, lambda _: observed)
+    table = lambda rows: spark.createDataFrame(rows, tables.SCHEMAS["scans"])
+    handler(table([scan(s, 1) for s in names]), 0)
+    first = sinks._manifest(spark, root, "jobs", 1)
+    assert set(first.values()) == {1} and len(first) > 3
+    handler(table([scan("s3", 2)]), 1)
+    (own,) = spark.createDataFrame([("s3",)], "source_id string").select(sinks.bucket_of()).first()
+    for name in ("jobs", "applied_scans"):
+        assert sinks._manifest(spark, root, name, 2) == {**first, own: 2}
+        assert [p.name for p in (tmp_path / "out" / name / "v=00000002").glob("bucket=*")] == [f"bucket={own}"]
+    got = {r.source_id: r.content_fingerprint for r in sinks.read_snapshot(spark, root).collect()}
+    assert got == {s: "f2" if s == "s3" else "f1" for s in names}
+    # Just the files of the asked buckets are listed.
+    some = sinks.read_snapshot(spark, root, buckets=[own])
+    assert {f"bucket={own}"} == {path.split("/")[-2] for path in some.inputFiles()}
+    # A batch that died after its log is replaced by another one of the same number.
+    sinks.write_buckets(table([scan("s5", 2)]), root, 2, [0, 1], "applied_scans")
+    handler(table([scan("s4", 2)]), 2)
+    assert {r.scan_run_id for r in sinks.read_snapshot(spark, root, "applied_scans").collect()} == {f"{s}-1" for s in names} | {"s3-2", "s4-2"}
+    gone = sinks.expire(spark, root, keep=1)
+    assert gone and sinks.read_snapshot(spark, root).count() == len(names)
+
+
+def test_a_whole_snapshot_is_brought_into_buckets(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.createDataFrame([(f"s{i}", i) for i in range(20)], "source_id string, n long")
+    sinks.write_snapshot(rows, root, 1, "t")
+    touched = [r[0] for r in rows.where("n < 3").select(sinks.bucket_of()).distinct().collect()]
+    sinks.write_buckets(rows.where(sinks.bucket_of().isin(touched)).withColumn("n", F.col("n") + 100), root, 1, touched, "t")
+    changed = {r[0] for r in rows.where(sinks.bucket_of().isin(touched)).select("n").collect()}
+    assert {r.n for r in sinks.read_snapshot(spark, root, "t").collect()} == {n + 100 if n in changed else n for n in range(20)}
+
+
 def test_matches_survive_a_new_checkpoint(spark, tmp_path):
     root, jobs = str(tmp_path / "out"), make_jobs(spark)
     for half in ("job_id < '3'", "job_id >= '3'"):

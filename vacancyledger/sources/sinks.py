@@ -1,13 +1,17 @@
 """Writes. Observations and matches are append-only; the job snapshot is versioned.
 
-A snapshot version is a complete folder named by a pointer file that is written last, so a
-reader never sees half a version and a failed write leaves the old one in force.
+A snapshot version is named by a pointer file that is written last, so a reader never sees half a
+version and a failed write leaves the old one in force. It is a complete folder, or, for tables that
+batches change in part, a manifest that names the folder of each bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.matching import MEMO_KEY
@@ -45,15 +49,61 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     return _or_none(lambda: spark.read.parquet(path))
 
 
+#: Buckets of a table that batches change in part.
+BUCKETS = 64
+
+
+def bucket_of(key: str = "source_id") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 def write_snapshot(df: DataFrame, root: str, version: int, name: str = "jobs") -> None:
     """Write one version of a table below ``root`` and then point to it."""
-    spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{root}/{name}/v={version:08d}")
+    _point(df.sparkSession, root, version, name)
+
+
+def _point(spark: SparkSession, root: str, version: int, name: str) -> None:
     spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode(
         "append"
     ).json(f"{root}/{name}_pointer")
 
 
+def write_buckets(
+    df: DataFrame, root: str, base: int | None, touched: list[int], name: str = "jobs", key: str = "source_id"
+) -> None:
+    """The version after ``base`` (None: the first) in which only the ``touched`` buckets of ``key`` are new.
+
+    ``df`` holds all rows of those buckets. They are written, then a manifest that names the version
+    of every bucket (the others keep theirs), then the pointer; so a reader sees a whole version, and
+    a batch that fails and comes again replaces its own files. A base that is one whole folder is
+    brought into buckets.
+    """
+    spark, version = df.sparkSession, (base or 0) + 1
+    held = {} if base is None else _manifest(spark, root, name, base)
+    if held is None:
+        whole = read_snapshot(spark, root, name, base)
+        df, held = df.unionByName(whole.where(~bucket_of(key).isin(touched))), {}
+    path = f"{root}/{name}/v={version:08d}"
+    # Rebalanced, not hashed, so that the bucket of a hot key is written by many tasks.
+    rows = df.withColumn("bucket", bucket_of(key)).hint("rebalance", "bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
+    written = spark.read.schema("bucket int").parquet(path).distinct().collect()  # at most BUCKETS rows
+    held = {b: v for b, v in held.items() if b not in touched} | {r["bucket"]: version for r in written}
+    manifest = spark.createDataFrame(sorted(held.items()), "bucket int, version int")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{root}/{name}_manifest/v={version:08d}")
+    schema = spark.createDataFrame([(df.schema.json(),)], "schema string")
+    schema.coalesce(1).write.mode("overwrite").json(f"{root}/{name}_schema/v={version:08d}")
+    _point(spark, root, version, name)
+
+
+def _manifest(spark: SparkSession, root: str, name: str, version: int) -> dict[int, int] | None:
+    """Version of each bucket that has rows; None for a version that is one whole folder."""
+    reader = spark.read.schema("bucket int, version int")
+    rows = _or_none(lambda: reader.json(f"{root}/{name}_manifest/v={version:08d}"))
+    return None if rows is None else dict(rows.collect())
+
+
 def snapshot_version(spark: SparkSession, root: str, name: str = "jobs") -> int | None:
     reader = spark.read.schema("version int")
     pointer = _or_none(lambda: reader.json(f"{root}/{name}_pointer"))
@@ -61,9 +111,38 @@ def snapshot_version(spark: SparkSession, root: str, name: str = "jobs") -> int
 
 
 def read_snapshot(
-    spark: SparkSession, root: str, name: str = "jobs", version: int | None = None
+    spark: SparkSession, root: str, name: str = "jobs", version: int | None = None, buckets: list[int] | None = None
 ) -> DataFrame | None:
+    """A version of a table, the one in force by default. Of a table in buckets just the files of the
+    given ``buckets`` are listed and read (all, if none are given)."""
     chosen = snapshot_version(spark, root, name) if version is None else version
     if chosen is None:
         return None
-    return spark.read.parquet(f"{root}/{name}/v={chosen:08d}")
+    held = _manifest(spark, root, name, chosen)
+    if held is None:
+        whole = spark.read.parquet(f"{root}/{name}/v={chosen:08d}")
+        return whole if buckets is None else whole.where(bucket_of().isin(buckets))
+    text = spark.read.schema("schema string").json(f"{root}/{name}_schema/v={chosen:08d}").first()[0]
+    schema = StructType.fromJson(json.loads(text))
+    paths = [f"{root}/{name}/v={v:08d}/bucket={b}" for b, v in sorted(held.items()) if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def expire(spark: SparkSession, root: str, name: str = "jobs", keep: int = 2) -> list[str]:
+    """Delete the bucket folders that none of the last ``keep`` versions names; their paths."""
+    newest = snapshot_version(spark, root, name)
+    if newest is None:
+        return []
+    kept = set()
+    for version in range(max(0, newest - keep + 1), newest + 1):
+        kept |= {(v, b) for b, v in (_manifest(spark, root, name, version) or {}).items()}
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for folder in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(top, "v=*/bucket=*")) or []:
+        path = folder.getPath()
+        version, bucket = int(path.getParent().getName()[2:]), int(path.getName()[7:])
+        # A version above the newest is being written.
+        if version <= newest and (version, bucket) not in kept and fs.delete(path, True):
+            gone.append(path.toString())
+    return gone

@@ -24,9 +24,9 @@ Handler = Callable[[DataFrame, int], None]
 
 
 def _previous(
-    spark: SparkSession, root: str, name: str, empty: DataFrame, version: int | None
+    spark: SparkSession, root: str, name: str, empty: DataFrame, version: int | None, buckets: list[int] | None = None
 ) -> DataFrame:
-    return empty if version is None else sinks.read_snapshot(spark, root, name, version)
+    return empty if version is None else sinks.read_snapshot(spark, root, name, version, buckets)
 
 
 def apply_scans(root: str, observations: Callable[[SparkSession], DataFrame]) -> Handler:
@@ -36,7 +36,8 @@ def apply_scans(root: str, observations: Callable[[SparkSession], DataFrame]) ->
     completion record. Scans of one source are applied in order: round n applies the n-th open
     scan of every source at once, so rounds count the backlog of a source, not the sources. A scan
     that arrives after a later one of its source was applied makes that source's jobs anew, from all
-    its scans in order; other sources are not touched.
+    its scans in order; other sources are not touched. Jobs and the log of applied scans lie in buckets
+    of sources: a batch reads and writes the buckets of its sources only.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -46,10 +47,14 @@ def apply_scans(root: str, observations: Callable[[SparkSession], DataFrame]) ->
         # failed is not looked at.
         version = sinks.snapshot_version(spark, root, "jobs")
         columns = tables.empty(spark, "scans").columns
-        applied = _previous(spark, root, "applied_scans", tables.empty(spark, "scans"), version)
         usable = batch.select(*columns).where(
             F.col("status").isin("success", "success_with_warnings", "partial")
         )
+        # At most as many rows as there are buckets.
+        touched = [r[0] for r in usable.select(sinks.bucket_of()).distinct().collect()]
+        if not touched and version is not None:
+            return
+        applied = _previous(spark, root, "applied_scans", tables.empty(spark, "scans"), version, touched)
         fresh = usable.dropDuplicates(["scan_run_id"]).join(
             applied.select("scan_run_id"), "scan_run_id", "left_anti"
         ).select(*columns)
@@ -70,7 +75,7 @@ def apply_scans(root: str, observations: Callable[[SparkSession], DataFrame]) ->
             (~F.col("initial_import")).alias("prior_success"),
             F.row_number().over(order).alias("_round"),
         ).checkpoint()
-        jobs = _previous(spark, root, "jobs", tables.empty(spark, "jobs"), version)
+        jobs = _previous(spark, root, "jobs", tables.empty(spark, "jobs"), version, touched)
         jobs = jobs.join(late, "source_id", "left_anti")
         last = rounds.agg(F.max("_round")).first()[0] or 0
         for number in range(1, last + 1):
@@ -78,9 +83,8 @@ def apply_scans(root: str, observations: Callable[[SparkSession], DataFrame]) ->
             jobs, _ = reconcile(jobs, observations(spark), step)
             # The next round reads this one twice; cut here so that no round is recomputed.
             jobs = jobs.checkpoint()
-        following = (version or 0) + 1
-        sinks.write_snapshot(history, root, following, "applied_scans")
-        sinks.write_snapshot(jobs, root, following, "jobs")
+        sinks.write_buckets(history, root, version, touched, "applied_scans")
+        sinks.write_buckets(jobs, root, version, touched, "jobs")
 
     return handle
 
