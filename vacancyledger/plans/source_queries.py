@@ -424,8 +424,8 @@ SCAN_SQL = f"""{_SCAN_CTES}, p AS (SELECT source, count(DISTINCT block) FILTER (
     CASE WHEN error_code IS NOT NULL THEN 'failed' WHEN NOT complete THEN 'partial' WHEN w > 0 THEN 'success_with_warnings' ELSE 'success' END AS status FROM f"""
 
 
-def scan_paging(spark, sf_dir):
-    """Scans whose listings are cut short or go in circles, on the platforms that page by number or link.
+def _paging_captures(spark, sf_dir):
+    """Captures and sources of scans whose listings are cut short or go in circles, on the platforms that page by number or link.
 
     Sources take turns: an API that lost every third result page (or none); one that gives its first page
     again, or whose saved facet got another id; linked pages that go on beyond the last captured one,
@@ -445,9 +445,9 @@ def scan_paging(spark, sf_dir):
     h_link = F.concat(F.lit('<li><a href="D.aspx?cid=7&amp;jid='), doc_id(), F.lit('">j</a><b class="location">'), "lang", F.lit("</b></li>"))
     per = ["source_id", "scan_run_id", "turn", "block"]
     pages = d.groupBy(*per).agg(
-        F.collect_list(F.struct("doc_id", data.alias("data"))).alias("jobs"),
+        F.sort_array(F.collect_list(F.struct("doc_id", data.alias("data")))).alias("jobs"),
         F.sort_array(F.collect_list(entry)).alias("entries"),
-        F.array_join(F.collect_list(F.when(turn % 4 == 2, a_link).otherwise(h_link)), "").alias("links"),
+        F.sort_array(F.collect_list(F.struct("doc_id", F.when(turn % 4 == 2, a_link).otherwise(h_link).alias("link")))).alias("links"),
     )
     sizes = d.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("total"), F.min("block").alias("low"), F.max("block").alias("high"),
@@ -461,6 +461,7 @@ def scan_paging(spark, sf_dir):
         F.lit("loc").alias("facetParameter"),
         F.array(F.struct(F.lit("Rome").alias("descriptor"), F.when(turn == 5, "new").otherwise("r").alias("id"))).alias("values"),
     ))
+    links = F.array_join(F.transform("links", lambda x: x["link"]), "")
     number = F.col("block").cast("string")
     following = (block + 1).cast("string")
     goes_on = (turn == 7) | (block < F.col("high"))
@@ -468,11 +469,11 @@ def scan_paging(spark, sf_dir):
         F.when(turn % 4 == 0, F.to_json(F.struct(F.col("total").alias("totalCount"), "jobs")))
         .when(turn % 4 == 1, F.to_json(F.struct("total", F.col("entries").alias("jobPostings"), facets.alias("facets"))))
         .when(turn % 4 == 2, F.concat(
-            "links", F.lit('<a href="http://acme.avature.net/careers/JobDetail/x/1">plain</a><a rel="next" href="SearchJobs?page='),
+            links, F.lit('<a href="http://acme.avature.net/careers/JobDetail/x/1">plain</a><a rel="next" href="SearchJobs?page='),
             following, F.lit('">n</a>'),
         ))
         .otherwise(F.concat(
-            "links", F.lit('<a href="D.aspx?cid=9&amp;jid=1">other client</a>'),
+            links, F.lit('<a href="D.aspx?cid=9&amp;jid=1">other client</a>'),
             F.when(goes_on, F.concat(F.lit('<a rel="next" href="list.aspx?cid=7&amp;page='), following, F.lit('">n</a>'))).otherwise(""),
         ))
     )
@@ -506,7 +507,22 @@ def scan_paging(spark, sf_dir):
         "source_id", by_turn(homes).alias("url"), by_turn(connectors).alias("connector_type"),
         by_turn(kinds).alias("platform"), config.alias("config"),
     )
-    return extractors.extract_scans(listing.unionByName(details), sources).scans
+    return listing.unionByName(details), sources
+
+
+def scan_paging(spark, sf_dir):
+    """What scans with cut or circular listings come to."""
+    return extractors.extract_scans(*_paging_captures(spark, sf_dir)).scans
+
+
+def source_validation(spark, sf_dir):
+    """The same scans as trials of their sources."""
+    rows = extractors.validate_sources(*_paging_captures(spark, sf_dir))
+    return rows.select(
+        "source_id", "valid", "setup_status", "code", "job_count", "listed", "warnings",
+        F.array_join(F.transform("samples", lambda s: s["url"]), "|").alias("samples"),
+        F.array_join(F.transform("facets", lambda f: F.concat_ws(":", f["parameter"], f["label"], f["id"])), "|").alias("facets"),
+    )
 
 
 PAGING_SQL = """WITH d AS (SELECT *, CAST(substr(source, 4) AS INTEGER) % 8 AS turn, doc_id // 100 AS block FROM documents),
@@ -528,6 +544,22 @@ PAGING_SQL = """WITH d AS (SELECT *, CAST(substr(source, 4) AS INTEGER) % 8 AS t
       CASE WHEN error_code IS NOT NULL THEN 'failed' WHEN NOT complete THEN 'partial' WHEN w > 0 THEN 'success_with_warnings' ELSE 'success' END AS status FROM f"""
 
 
+VALIDATION_SQL = """WITH d AS (SELECT *, CAST(substr(source, 4) AS INTEGER) % 8 AS turn, doc_id // 100 AS block FROM documents),
+    k AS (SELECT * FROM d WHERE turn <> 4 OR block % 3 <> 1),
+    u AS (SELECT *, CASE turn % 4 WHEN 0 THEN 'https://careers.example.com/careers-home/jobs/' || doc_id
+        WHEN 1 THEN 'https://acme.wd1.myworkdayjobs.com/job/R' || doc_id WHEN 2 THEN 'https://acme.avature.net/careers/JobDetail/x/' || doc_id
+        ELSE 'https://recruit.hirebridge.com/v3/Jobs/D.aspx?cid=7&jid=' || doc_id END AS url,
+        CASE WHEN turn % 4 = 1 THEN '/job/R' || doc_id ELSE lpad(CAST(doc_id AS VARCHAR), 12, '0') END AS place FROM k),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY block, place) AS n FROM u),
+    t AS (SELECT source, count(*) AS total FROM d GROUP BY 1)
+    SELECT r.source AS source_id, turn <> 5 AS valid, CASE turn WHEN 5 THEN 'setup_required' ELSE 'ready' END AS setup_status,
+      CASE turn WHEN 5 THEN 'facet_drift' END AS code, CASE WHEN turn % 4 < 2 THEN total END AS job_count, count(*) AS listed,
+      CASE WHEN turn % 4 > 1 THEN count(DISTINCT block) ELSE 0 END AS warnings,
+      string_agg(url, '|' ORDER BY n) FILTER (WHERE n <= 5) AS samples,
+      CASE turn WHEN 1 THEN 'loc:Rome:r' WHEN 5 THEN 'loc:Rome:new' END AS facets
+    FROM r JOIN t ON t.source = r.source GROUP BY r.source, turn, total"""
+
+
 def valid_items(spark, sf_dir):
     """Listing entries without an id or title or off the host, counted per source."""
     d = _documents(spark, sf_dir)
@@ -937,6 +969,7 @@ QUERIES = {
     "extract_outcomes": (extract_outcomes, OUTCOMES_SQL),
     "scan_result": (scan_result, SCAN_SQL),
     "scan_paging": (scan_paging, PAGING_SQL),
+    "source_validation": (source_validation, VALIDATION_SQL),
     "repeated_listing_pages": (repeated_listing_pages, REPEATED_SQL),
     "generated_next_pages": (generated_next_pages, NEXT_SQL),
     "valid_items": (valid_items, VALID_SQL),

@@ -35,12 +35,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for lineage cuts: the one ``spark.checkpoint.dir`` names; where that is unset (tests),
-    a folder in the session's warehouse, which driver and executors share as well."""
+    """Directory for lineage cuts: the one ``spark.checkpoint.dir`` names; where that is unset on a local
+    master (tests), a folder in the session's warehouse. A cluster must name one that all its machines share."""
     sc = spark.sparkContext
     if current := sc.getCheckpointDir():
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc.master.split("[")[0] not in ("local", "local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()
 

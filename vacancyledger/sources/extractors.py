@@ -348,6 +348,19 @@ def _capture_rows(judged: DataFrame) -> DataFrame:
     return scan_rows.unfolded(judged, entries).withColumn("reader", F.lit(None).cast("string"))
 
 
+def _parsed(captures: DataFrame, sources: DataFrame, robots: DataFrame | None) -> DataFrame:
+    if set(_SITE) <= set(captures.columns):
+        judged = gate(captures, robots)
+    else:
+        judged = shared_table(gate(_sited(captures, sources), robots), "captures", "platform", "kind")
+    return shared_table(parse_captures(judged), "parsed", "tag")
+
+
+def validate_sources(captures: DataFrame, sources: DataFrame, robots: DataFrame | None = None) -> DataFrame:
+    """What trial scans show of their sources before they are monitored (see ``scan_rows.validation``)."""
+    return scan_rows.validation(_parsed(captures, sources, robots))
+
+
 def extract_scans(
     captures: DataFrame, sources: DataFrame, robots: DataFrame | None = None
 ) -> ScanResult:
@@ -363,11 +376,7 @@ def extract_scans(
     Captures are judged and parsed once: what they hold is written to the shared folder by kind of
     row, and all results are read from there.
     """
-    if set(_SITE) <= set(captures.columns):
-        judged = gate(captures, robots)
-    else:
-        judged = shared_table(gate(_sited(captures, sources), robots), "captures", "platform", "kind")
-    rows = shared_table(parse_captures(judged), "parsed", "tag")
+    rows = _parsed(captures, sources, robots)
     details = shared_table(scan_rows.outcomes(rows), "outcomes")
     failed = details.where(F.col("error_code").isNotNull()).select(
         "scan_run_id", F.col("error_code").alias("code"), F.col("key").alias("url"), F.lit(1).cast("long").alias("n")

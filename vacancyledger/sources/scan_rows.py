@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_iso_date
 from ..functions.urls import canonicalize_url, in_scope
 from ..operators import coverage
-from ..operators.windows import latest_by
+from ..operators.windows import latest_by, top_k
 
 #: Columns that a tag fills; the others are null.
 ENTRY = {
@@ -165,3 +165,47 @@ def facet_drift(rows: DataFrame) -> DataFrame:
     )
     drift = coverage.facet_drift(selected.select("source_id", "seq", "_f.*"), offered)
     return drift.select(F.col("source_id").alias("scan_run_id")).distinct()
+
+
+def validation(rows: DataFrame, k: int = 5) -> DataFrame:
+    """What a trial scan of a source shows, one row per scan: valid, setup_status, code (why it needs
+    setup), job_count (as advertised; null where a platform states none), listed, samples (the first
+    ``k`` listed postings: title, url), facets (parameter, label, id in page order) and warnings.
+
+    A refused or malformed page, a saved facet that is gone and an empty listing need setup. Samples are
+    limited per scan before they are gathered, and a facet that many pages repeat counts once.
+    """
+    scans = rows.where(F.col("tag").isin("capture", "seen")).groupBy("source_id", "scan_run_id").agg(
+        F.min_by("code", F.when(F.col("code").isNotNull(), F.col("seq"))).alias("_refused")
+    )
+    pages = rows.where(F.col("tag") == "page").groupBy("scan_run_id").agg(
+        F.max_by("total", "seq").cast("bigint").alias("job_count"), F.min("code").alias("_malformed")
+    )
+    place = F.struct(F.coalesce("seq", F.lit(0)), F.coalesce("part", F.lit(0)), F.coalesce("position", F.lit(0)))
+    listed = rows.where(F.col("tag") == "listed").groupBy("scan_run_id", "key").agg(
+        F.min(F.struct(place.alias("at"), "title", F.coalesce("url", "key").alias("url"))).alias("_f")
+    )
+    counts = listed.groupBy("scan_run_id").agg(F.count(F.lit(1)).alias("listed"))
+    first = top_k(listed.select("scan_run_id", "_f"), ["scan_run_id"], [F.col("_f")], k)
+    samples = first.groupBy("scan_run_id").agg(
+        F.transform(F.array_sort(F.collect_list("_f")), lambda f: F.struct(f["title"].alias("title"), f["url"].alias("url"))).alias("samples")
+    )
+    offered = rows.where(F.col("tag") == "facet").groupBy("scan_run_id", "key", "title", "external_id").agg(
+        F.min(F.struct("position", "part")).alias("_at")
+    )
+    entry_ = F.struct("_at", F.col("key").alias("parameter"), F.col("title").alias("label"), F.col("external_id").alias("id"))
+    facets = offered.groupBy("scan_run_id").agg(
+        F.transform(F.array_sort(F.collect_list(entry_)), lambda f: F.struct(f["parameter"].alias("parameter"), f["label"].alias("label"), f["id"].alias("id"))).alias("facets")
+    )
+    warned = rows.where(F.col("tag") == "warning").groupBy("scan_run_id").agg(F.sum("n").alias("warnings"))
+    drift = facet_drift(rows).withColumn("_drift", F.lit("facet_drift"))
+    joined = scans
+    for part in (pages, counts, samples, facets, warned, drift):
+        joined = joined.join(part, "scan_run_id", "left")
+    empty = (F.coalesce("listed", F.lit(0)) == 0) | (F.coalesce("job_count", F.lit(1)) == 0)
+    code = F.coalesce("_refused", "_malformed", "_drift", F.when(empty, F.lit("zero_results")))
+    return joined.select(
+        "source_id", "scan_run_id", code.isNull().alias("valid"),
+        F.when(code.isNull(), "ready").otherwise("setup_required").alias("setup_status"), code.alias("code"), "job_count",
+        F.coalesce("listed", F.lit(0)).alias("listed"), "samples", "facets", F.coalesce("warnings", F.lit(0)).alias("warnings"),
+    )
