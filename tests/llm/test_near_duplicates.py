@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from vacancyledger.llm import ann, embedding_dedup, simhash, substring
+from vacancyledger.llm import ann, embedding_dedup, graph, simhash, substring
 from vacancyledger.llm.graph import connected_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -30,8 +30,10 @@ class Sets:
         self.up[max(a, b)] = min(a, b)
 
 
+@pytest.mark.parametrize("held", [500_000, 60])
 @pytest.mark.parametrize("shape", ["path", "star", "random", "empty", "self"])
-def test_components(spark, shape):
+def test_components(spark, shape, held, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_LINKS", held)  # with few links a task, star rounds must do the rest
     rng = random.Random(2)
     edges = {
         "path": [(i, i + 1) for i in range(200)],

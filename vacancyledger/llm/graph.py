@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _local_forest(edges: DataFrame) -> DataFrame:
+#: Nodes that a task holds at most, and links that it is given at most after the first pass.
+TASK_NODES, TASK_LINKS = 1_000_000, 500_000
+
+
+def _local_forest(edges: DataFrame, roots: bool = False) -> DataFrame:
     """Per task, replace its links by links to the smallest node of their local component.
 
-    At most one link per node and task is left, so a dense group leaves as a star.
+    At most one link per node and task is left, so a dense group leaves as a star. With ``roots`` the
+    smallest nodes are linked to themselves, so that every node of ``edges`` is an ``a``.
     """
     import pyarrow as pa
 
@@ -29,7 +34,7 @@ def _local_forest(edges: DataFrame) -> DataFrame:
             return top
 
         def out():
-            got = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            got = [(x, r) for x in list(parent) if (r := root(x)) != x or roots]
             yield pa.RecordBatch.from_pydict(
                 {"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([r for _, r in got], pa.int64())}
             )
@@ -39,7 +44,7 @@ def _local_forest(edges: DataFrame) -> DataFrame:
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-            if len(parent) > 1_000_000:  # bound a task's memory; the rounds join the parts
+            if len(parent) > TASK_NODES:  # bound a task's memory; the rounds join the parts
                 yield from out()
                 parent.clear()
         yield from out()
@@ -47,6 +52,15 @@ def _local_forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every node with a link to a smaller one has just that link, to a node without any."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(
+        links.select("b", F.lit(0), F.lit(1))
+    )
+    ends = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ends.filter("down > 1 or (down = 1 and up = 1)").isEmpty()
+
+
 def _star(both: DataFrame, write: Callable) -> DataFrame:
     """(node, smallest neighbour), written so that the join to it can split a hub."""
     return write(both.groupBy(F.col("a").alias("_node")).agg(F.min("b").alias("_low")), "component_low")
@@ -55,20 +69,20 @@ def _star(both: DataFrame, write: Callable) -> DataFrame:
 def connected_components(edges: DataFrame, write: Callable = written) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the component's smallest node.
 
-    Links to itself give a component of one. Rounds of large-star and small-star steps run until
-    nothing changes; each round is written to the shared folder by ``write`` (df, name), which may
-    delete a table once another has its name. An empty table gives no rows.
+    Links to itself give a component of one. Rounds of large-star and small-star steps run until only
+    stars are left. After each step, tasks of up to ``TASK_LINKS`` links contract what they hold: a node's
+    smallest neighbour never grows by that, and links that fit in one task are done with it. Each round is
+    written to the shared folder by ``write`` (df, name), which may delete a table once another has its
+    name. ``edges`` is computed once. An empty table gives no rows.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    now = write(_local_forest(edges).distinct(), "component_links")
-    nodes = write(nodes, "component_nodes")
-
-    def mark(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 24))).first())
-
-    seen = mark(now)
-    while seen[0]:
+    nodes = write(_local_forest(edges, roots=True).distinct(), "component_nodes")
+    now = nodes.filter("a != b")
+    while links := now.count():
+        contracted = _local_forest(now.coalesce(-(-links // TASK_LINKS)))
+        now = write(contracted.distinct(), "component_links")
+        if _all_stars(now):
+            break
         both = now.union(now.select("b", "a"))
         large = both.join(_star(both, write), F.col("a") == F.col("_node")).select(
             F.col("b").alias("a"), F.least("_low", F.col("a")).alias("b"), F.col("a").alias("was")
@@ -81,10 +95,7 @@ def connected_components(edges: DataFrame, write: Callable = written) -> DataFra
             small.select("a", F.col("_low").alias("b"))
         )
         now = write(small.filter("a != b").distinct(), "component_links")
-        if (after := mark(now)) == seen:
-            break
-        seen = after
-    roots = now.groupBy("a").agg(F.min("b").alias("_root"))
-    return nodes.join(roots, F.col("node") == F.col("a"), "left").select(
-        "node", F.coalesce("_root", "node").alias("root")
+    roots = now.select(F.col("a").alias("_a"), F.col("b").alias("_root"))
+    return nodes.select("a").distinct().join(roots, F.col("a") == F.col("_a"), "left").select(
+        F.col("a").alias("node"), F.coalesce("_root", "a").alias("root")
     )
