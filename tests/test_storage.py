@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_lifecycle import loop, observations, posting, random_history
 from tests.test_matching import JOBS, PROFILE, make_jobs, make_profiles
 from vacancyledger.operators import health, lifecycle, matching, profiles
+from vacancyledger.plans import derived, scan_queries
 from vacancyledger.sources import sinks, tables
 from vacancyledger.streaming import snapshots, stateful
 
@@ -242,21 +243,107 @@ def test_matching_stream(spark, tmp_path):
     assert spark.read.parquet(f"{root}/matches").count() == 2 * len(JOBS)
 
 
-def test_stateful_lifecycle_equals_loop(spark, tmp_path):
-    scan_rows, obs = random_history(6, sources=2, scans=6, jobs=5)
+def test_match_lookup_reads_its_folders(spark, tmp_path):
+    path, jobs = str(tmp_path / "matches"), make_jobs(spark)
+    old, new = (make_profiles(spark, [{**PROFILE, "version": v}]) for v in (1, 2))
+    for current in (old, new):
+        sinks.write_matches(spark, matching.local_scores(jobs, current), path)
+    got = sinks.read_matches(spark, path).drop("bucket")
+    assert got.schema.simpleString() == tables.empty(spark, "matches").schema.simpleString()
+    assert got.exceptAll(matching.local_scores(jobs, old).unionByName(matching.local_scores(jobs, new))).isEmpty()
+    one = jobs.where("job_id = '1'")
+    bucket = one.select(sinks.bucket_of("job_id")).first()[0]
+    others = [f for f in (tmp_path / "matches").rglob("*.parquet") if f"profile_version=2/bucket={bucket}/" not in str(f)]
+    for file in others:
+        file.write_text("not parquet")  # so a lookup that read it would fail
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    stored = sinks.stored_matches(spark, path, matching.match_keys(one, new))
+    assert others and matching.match_cache_misses(one, new, stored).isEmpty()
+    changed = one.withColumn("content_fingerprint", F.lit("new"))
+    assert matching.match_cache_misses(changed, new, stored).count() == 1
+
+
+MARKED = "source_id string, identity_key string, scan_seq bigint, marker boolean"
+
+
+def lifecycle_stream(spark, folder, parts, **options):
+    """Changes of a stream whose batches are ``parts``, as sorted tuples."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(MARKED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = stateful.stream_lifecycle(stream, **options).writeStream.format("parquet")
+    out = out.option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).outputMode("append")
+    drain(out.start(f"{folder}/out"))
+    got = spark.read.parquet(f"{folder}/out").collect()
+    return sorted((r.source_id, r.identity_key, r.scan_seq, r.change) for r in got)
+
+
+@pytest.mark.parametrize("jobs, chunk", [(5, 10_000), (60, 4)])
+def test_stateful_lifecycle_equals_loop(spark, tmp_path, jobs, chunk):
+    # With four changes a chunk, a bucket's jobs are closed in several passes.
+    scan_rows, obs = random_history(6, sources=2, scans=6, jobs=jobs)
     marks = [(s, None, n, True) for s, _, n, complete, _ in scan_rows if complete]
     rows = [(s, key, n, False) for s, _, n, _, key, _ in obs] + marks
-    schema = "source_id string, identity_key string, scan_seq bigint, marker boolean"
-    df = spark.createDataFrame(rows, schema)
-    for part in range(2):
-        df.where(F.floor(F.col("scan_seq") / 3) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    changes = stateful.stream_lifecycle(stream, buckets=3)
-    out = changes.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
-    drain(out.trigger(availableNow=True).outputMode("append").start(str(tmp_path / "out")))
+    # The last scan of each source lists nothing, so that whole buckets are missing.
+    rows += [(s, None, n, True) for s in ("s0", "s1") for n in (6, 7)]
+    scan_rows += [(s, f"{s}:{n}", n, True, "complete") for s in ("s0", "s1") for n in (6, 7)]
+    df = spark.createDataFrame(rows, MARKED)
+    parts = [df.where(F.floor(F.col("scan_seq") / 3) == part) for part in range(3)]
     _, events, _ = loop(scan_rows, obs)
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted((r.source_id, r.identity_key, r.scan_seq, r.change) for r in got) == sorted(events)
+    assert lifecycle_stream(spark, str(tmp_path), parts, buckets=3, chunk=chunk) == sorted(events)
+
+
+def test_repeated_markers_and_late_sightings(spark, tmp_path):
+    """A marker that comes again adds no absence; a sighting after its scan's marker meets what follows it."""
+    batches = [
+        [("s", "a", 1, False), ("s", None, 1, True)],
+        [("s", None, 2, True)],
+        [("s", None, 2, True), ("s", "b", 1, False)],
+        [("s", None, 3, True), ("s", "a", 3, False)],
+        [("s", None, 4, True), ("s", None, 5, True)],
+        [("s", "b", 6, False)],
+    ]
+    got = lifecycle_stream(spark, str(tmp_path), [spark.createDataFrame(b, MARKED) for b in batches], buckets=1)
+    assert got == sorted([
+        ("s", "a", 1, "discovered"), ("s", "a", 2, "possibly_closed"), ("s", "a", 3, "reopened"),
+        ("s", "a", 4, "possibly_closed"), ("s", "a", 5, "closed"), ("s", "b", 1, "discovered"),
+        ("s", "b", 2, "possibly_closed"), ("s", "b", 3, "closed"), ("s", "b", 6, "reopened"),
+    ])
+
+
+def test_lifecycle_stream_equals_batch_on_events(spark, tmp_path):
+    sf_dir = "/root/testdata/sf0.001"
+    listing, scans = derived.scan_listing(spark, sf_dir), derived.scan_history(spark, sf_dir)
+    seen = listing.select("source_id", "identity_key", "scan_seq", F.lit(False).alias("marker"))
+    done = scans.where("complete").select("source_id", F.lit(None).cast("string"), "scan_seq", F.lit(True))
+    df = seen.union(done).persist()
+    cut = df.approxQuantile("scan_seq", [0.5], 0.0)[0]
+    got = lifecycle_stream(spark, str(tmp_path), [df.where(F.col("scan_seq") <= cut), df.where(F.col("scan_seq") > cut)], buckets=2)
+    want = scan_queries.lifecycle_events(spark, sf_dir).collect()
+    assert got == sorted((r.source_id, r.identity_key, r.at_seq, r.change) for r in want)
+    assert {change for *_, change in got} >= {"discovered", "possibly_closed", "closed"}
+
+
+def test_late_scans_are_merged_into_their_interval(spark, tmp_path):
+    """Scans in random order, some again: the fold equals the batch, and says what came late."""
+    root, rng = str(tmp_path), random.Random(5)
+    rows = [(f"r{i}", rng.choice("abc"), rng.choice(["success", "failed", "partial"]), T0 + datetime.timedelta(hours=rng.uniform(0, 60))) for i in range(80)]
+    schema = "scan_run_id string, source_id string, status string, finished_at timestamp"
+    handler = snapshots.fold_scan_intervals(root)
+    for number, part in enumerate([rows[:40], rows[20:60], [], rows[60:], rows[:5]]):
+        handler(spark.createDataFrame(part, schema), number % 2)
+    handler(spark.createDataFrame([(None, "a", "success", T0), ("x", None, "success", T0), ("y", "a", "success", None)], schema), 7)
+    got = sinks.read_snapshot(spark, root, "intervals")
+    want = health.scan_intervals(spark.createDataFrame(rows, schema))
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+    newest, late = {}, 0
+    for part in (rows[:40], rows[40:60], rows[60:]):
+        for _, source, _, at in part:
+            end = T0 + datetime.timedelta(hours=6 * (int((at - T0).total_seconds() // 21_600) + 1))
+            late += source in newest and end + datetime.timedelta(hours=6) < newest[source]
+        for _, source, _, at in part:
+            newest[source] = max(at, newest.get(source, at))
+    assert late and got.agg(F.sum("late_scans")).first()[0] == late
 
 
 def test_interval_and_stale_streams(spark, tmp_path):

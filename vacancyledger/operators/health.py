@@ -142,12 +142,14 @@ def source_health(events: DataFrame) -> DataFrame:
     )
 
 
-def scan_intervals(scans: DataFrame, width: str = "6 hours") -> DataFrame:
-    """Scans per source and due interval."""
-    return scans.groupBy("source_id", F.window("finished_at", width).alias("w")).agg(
+def scan_intervals(scans: DataFrame, width: str = "6 hours", *also: Column) -> DataFrame:
+    """Scans per source and due interval; ``also`` are further aggregates."""
+    counted = scans.groupBy("source_id", F.window("finished_at", width).alias("w")).agg(
         F.count(F.lit(1)).alias("scans"),
         F.sum(F.col("status").isin(*SUCCESS).cast("long")).alias("successes"),
-    ).select(
+        *also,
+    )
+    return counted.select(
         "source_id", F.col("w.start").alias("interval_start"), F.col("w.end").alias("interval_end"),
-        "scans", "successes",
+        *[c for c in counted.columns if c not in ("source_id", "w")],
     )

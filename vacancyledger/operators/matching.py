@@ -308,14 +308,19 @@ def local_scores(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def match_cache_misses(jobs: DataFrame, profiles: DataFrame, matches: DataFrame) -> DataFrame:
-    """Jobs not yet scored for this profile version, content and matcher."""
-    keyed = attach_profile(jobs, profiles).select(
+def match_keys(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``jobs`` with the rest of the key of their results: the profile, its version and the matcher's."""
+    return attach_profile(jobs, profiles).select(
         *jobs.columns,
         F.col("p.profile_id").alias("profile_id"),
         F.col("p.profile_version").alias("profile_version"),
         F.lit(MATCHER_VERSION).alias("matcher_version"),
     )
+
+
+def match_cache_misses(jobs: DataFrame, profiles: DataFrame, matches: DataFrame) -> DataFrame:
+    """Jobs not yet scored for this profile version, content and matcher."""
+    keyed = match_keys(jobs, profiles)
     return keyed.join(matches.select(*MEMO_KEY), list(MEMO_KEY), "left_anti").select(*jobs.columns)
 
 

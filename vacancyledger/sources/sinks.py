@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.matching import MEMO_KEY
+from .tables import SCHEMAS
 
 
 def write_observations(observations: DataFrame, path: str, batch: str) -> None:
@@ -26,13 +27,41 @@ def write_observations(observations: DataFrame, path: str, batch: str) -> None:
     ).parquet(f"{path}/batch={batch}")
 
 
+#: Folders of match results: what a lookup is about, then a bucket of jobs.
+MATCH_FOLDERS = ("matcher_version", "profile_version", "bucket")
+
+
 def write_matches(spark: SparkSession, matches: DataFrame, path: str) -> None:
     """Append match results whose memo key is not stored yet. Nothing stored is replaced, so a
     batch that arrives again, under whatever number, adds only what it lacks."""
-    stored = read_or_none(spark, path)
-    keys = list(MEMO_KEY)
-    fresh = matches if stored is None else matches.join(stored.select(*keys), keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
+    stored = stored_matches(spark, path, matches).select(*MEMO_KEY)
+    append_matches(matches.join(stored, list(MEMO_KEY), "left_anti"), path)
+
+
+def append_matches(fresh: DataFrame, path: str) -> None:
+    """Append match results in folders of versions and buckets."""
+    rows = fresh.withColumn("bucket", bucket_of("job_id")).hint("rebalance", *MATCH_FOLDERS)
+    rows.write.mode("append").partitionBy(*MATCH_FOLDERS).parquet(path)
+
+
+def read_matches(spark: SparkSession, path: str) -> DataFrame:
+    """Stored match results (none, if nothing was stored) and their ``bucket``."""
+    # Declared: a version is text, whatever it looks like in the name of a folder.
+    schema = spark.createDataFrame([], f"{SCHEMAS['matches']}, bucket int").schema
+    found = _or_none(lambda: spark.read.schema(schema).parquet(path))
+    return spark.createDataFrame([], schema) if found is None else found.select(*schema.names)
+
+
+def stored_matches(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The stored results that may hold a key of ``wanted`` (job_id, profile_version, matcher_version): other
+    versions of profile or matcher and other buckets are not read, so a small batch reads little of a long
+    history."""
+    # At most BUCKETS rows per version that occurs.
+    folders = wanted.select("matcher_version", "profile_version", bucket_of("job_id").alias("bucket")).distinct().collect()
+    stored = read_matches(spark, path)
+    for name in MATCH_FOLDERS:
+        stored = stored.where(F.col(name).isin([*{r[name] for r in folders}]))
+    return stored
 
 
 def _or_none(read):

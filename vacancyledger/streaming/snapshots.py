@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..operators.health import scan_intervals
 from ..operators.lifecycle import initial_import, reconcile
-from ..operators.matching import local_scores, match_cache_misses, matchable_jobs
+from ..operators.matching import local_scores, match_cache_misses, match_keys, matchable_jobs
 from ..operators.profiles import user_state_latest
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks, tables
@@ -139,17 +140,59 @@ def read_user_states(spark: SparkSession, root: str) -> DataFrame:
 
 def match_arrivals(root: str, profiles: Callable[[SparkSession], DataFrame]) -> Handler:
     """Score jobs as they are observed: only content, profile versions and matcher versions not
-    scored before. The batch holds rows of the job table."""
+    scored before. The batch holds rows of the job table. Results lie in folders of versions and
+    buckets of jobs, and those that the batch can meet are read."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         path = f"{root}/matches"
-        stored = sinks.read_or_none(spark, path)
         jobs = matchable_jobs(batch.dropDuplicates(["job_id", "content_fingerprint"]))
         current = profiles(spark)
-        empty = tables.empty(spark, "matches")
-        misses = match_cache_misses(jobs, current, empty if stored is None else stored)
+        stored = sinks.stored_matches(spark, path, match_keys(jobs, current))
+        misses = match_cache_misses(jobs, current, stored)
         # Misses are not stored yet, so they are appended without another look.
-        local_scores(misses, current).write.mode("append").parquet(path)
+        sinks.append_matches(local_scores(misses, current), path)
+
+    return handle
+
+
+_INTERVALS = """source_id string, interval_start timestamp, interval_end timestamp, scans bigint,
+    successes bigint, late_scans bigint, newest timestamp"""
+_COUNTED = "scan_run_id string, source_id string"
+
+
+def fold_scan_intervals(root: str, late: str = "6 hours") -> Handler:
+    """Keep ``scan_intervals`` of all scans that ever arrived in ``root/intervals``, however late.
+
+    The batch holds finished scans: scan_run_id, source_id, status, finished_at. No row is dropped behind a
+    watermark: one whose interval was final when it came (its end more than ``late`` before the newest
+    scan of its source) is added all the same, and ``late_scans`` counts it. A scan counts once, under
+    whatever batch it comes again. Rows without a scan_run_id or a time are in no interval. Buckets of
+    sources that the batch does not hold are neither read nor written.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ensure_checkpoint_dir(spark)
+        version = sinks.snapshot_version(spark, root, "intervals")
+        usable = batch.where("scan_run_id is not null and source_id is not null and finished_at is not null")
+        touched = [r[0] for r in usable.select(sinks.bucket_of()).distinct().collect()]
+        if not touched and version is not None:
+            return
+        # The log that belongs to the version in force, as in apply_scans.
+        counted = _previous(spark, root, "counted_scans", spark.createDataFrame([], _COUNTED), version, touched)
+        known = _previous(spark, root, "intervals", spark.createDataFrame([], _INTERVALS), version, touched)
+        fresh = usable.dropDuplicates(["scan_run_id"]).join(counted.select("scan_run_id"), "scan_run_id", "left_anti")
+        fresh = fresh.select("scan_run_id", "source_id", "status", "finished_at").checkpoint()
+        clock = known.groupBy("source_id").agg(F.max("newest").alias("_clock"))
+        final = F.col("interval_end") + F.expr(f"INTERVAL {late}") < F.col("_clock")
+        arrived = scan_intervals(fresh, "6 hours", F.max("finished_at").alias("newest"))
+        arrived = arrived.join(clock, "source_id", "left").withColumn("late_scans", F.when(final, F.col("scans")).otherwise(0))
+        merged = known.unionByName(arrived.select(*known.columns)).groupBy(
+            "source_id", "interval_start", "interval_end"
+        ).agg(*[F.sum(n).alias(n) for n in ("scans", "successes", "late_scans")], F.max("newest").alias("newest"))
+        log = counted.unionByName(fresh.select("scan_run_id", "source_id"))
+        sinks.write_buckets(log, root, version, touched, "counted_scans")
+        sinks.write_buckets(merged, root, version, touched, "intervals")
 
     return handle
