@@ -407,7 +407,7 @@ def contained_terms(spark, sf_dir):
     return terms.contained_terms(_terms(spark, sf_dir), texts)
 
 
-TERMS_SQL = f"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark),
+CONTAINED_SQL = f"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark),
     t AS (SELECT item_id * 4 AS term_id, w[1] || ' ' || w[2] AS term FROM w UNION ALL SELECT item_id * 4 + 1, upper(w[3]) FROM w
       UNION ALL SELECT item_id * 4 + 2, substr(w[4], 1, 2) FROM w),
     d AS (SELECT doc_id, {derived.fold_sql("text")} AS folded FROM documents)
@@ -532,7 +532,7 @@ QUERIES = {
     "jobs_page": (jobs_page, JOBS_PAGE_SQL),
     "jobs_page_after": (jobs_page_after, AFTER_SQL),
     "page_index": (page_index, INDEX_SQL),
-    "contained_terms": (contained_terms, TERMS_SQL),
+    "contained_terms": (contained_terms, CONTAINED_SQL),
     "overlapping_tokens": (overlapping_tokens, OVERLAPPING_SQL),
     "scan_jobs_page": (scan_jobs_page, SCAN_PAGE_SQL),
     "sources_with_contacts": (sources_with_contacts, CONTACTS_SQL),
