@@ -160,16 +160,25 @@ def fold(col: Column) -> Column:
     """Case folding: ``lower`` plus the characters whose folded form differs from it. Texts
     within Latin letters skip the second part after one cheap test."""
     single_from, single_to, multi = _fold_tables()
-    lowered = _fold_common(col)
+    lowered, common = F.lower(col), _fold_common(col)
     special = [*single_from, *multi]
-    first = f"[\\x{{{min(map(ord, special)):x}}}-\\x{{10ffff}}]"
-    rare = lowered.rlike(first) & lowered.rlike(_char_class(special))
+    rare = lowered.rlike(_char_class(special))
     pairs = ",".join(f"{char}={folded}" for char, folded in multi.items())
     mapping = F.str_to_map(F.lit(pairs), F.lit(","), F.lit("="))
     expanded = F.array_join(
-        F.transform(F.split(lowered, ""), lambda c: F.coalesce(F.try_element_at(mapping, c), c)), ""
+        F.transform(F.split(common, ""), lambda c: F.coalesce(F.try_element_at(mapping, c), c)), ""
+    )
+    ascii_only = F.octet_length(col) == F.length(col)
+    latin = [c for c in _COMMON_FOLDS if ord(c) < 256]
+    after = min(ord(c) for c in [*special, *_COMMON_FOLDS] if ord(c) >= 256)
+    # Searching and replacing cost far more than lower-casing, so most texts should need neither.
+    other = lowered.rlike(f"[{''.join(latin)}\\x{{{after:x}}}-\\x{{10ffff}}]")
+    first = lowered.rlike(f"[\\x{{{min(map(ord, special)):x}}}-\\x{{10ffff}}]")
+    return (
+        F.when(ascii_only | ~other, lowered)
+        .when(first & rare, F.translate(expanded, single_from, single_to))
+        .otherwise(common)
     )
-    return F.when(rare, F.translate(expanded, single_from, single_to)).otherwise(lowered)
 
 
 @lru_cache(maxsize=1)
