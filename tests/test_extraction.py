@@ -500,3 +500,11 @@ def test_crawl(spark):
         seen, loops = crawled(graphs[r.source_id], 0)
         assert order[r.source_id] == seen
         assert (r.reachable, r.visited, r.loop_links, r.page_limit_reached) == (len(seen), min(10, len(seen)), loops, len(seen) > 10)
+
+
+def test_roundtrip_parses_each_capture_once(spark):
+    """Entries come from listing pages and postings from detail pages; neither side plans the other's reader."""
+    from vacancyledger.plans import catalog
+
+    plan = catalog.queries()["embedded_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("ArrowEvalPython [_first_posting" in line for line in plan.splitlines()) == 1

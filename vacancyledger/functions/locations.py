@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import TAG_IN_TEXT, blank_to_null, let, settle, strip_ws, with_unescaped
+from .text import TAG_IN_TEXT, blank_to_null, let, not_blank, settle, strip_ws, with_unescaped
 
 # Address parts in display order.
 LD_ADDRESS_FIELDS = (
@@ -104,7 +104,7 @@ def with_description_html(df: DataFrame, name: str, value: Column) -> DataFrame:
     staged = with_unescaped(raw, {"_decoded": F.col("_raw")})
     shown = F.when(F.col("_decoded").rlike(TAG_IN_TEXT), F.col("_decoded")).otherwise(F.col("_raw"))
     return staged.withColumn(
-        name, F.when(F.length(strip_ws(F.col("_raw"))) > 0, shown)
+        name, F.when(not_blank(F.col("_raw")), shown)
     ).drop("_raw", "_decoded")
 
 

@@ -55,6 +55,18 @@ def strip_ws(col: Column) -> Column:
     return F.regexp_replace(col, rf"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
+def strip_long(col: Column) -> Column:
+    """``strip_ws`` of a long text, which is searched only if its first or last character is white space.
+    The value is read more than once, so hand in a plain column."""
+    ends = F.concat(F.substring(col, 1, 1), F.substring(col, -1, 1))
+    return F.when(ends.rlike(WHITESPACE), strip_ws(col)).otherwise(col)
+
+
+def not_blank(col: Column) -> Column:
+    """Whether ``strip_ws`` leaves something; reads no further than the first character that stays."""
+    return col.rlike(rf"[^{WHITESPACE[1:]}")
+
+
 def blank_to_null(col: Column) -> Column:
     return let(col, lambda v: F.when(F.length(v) > 0, v))
 

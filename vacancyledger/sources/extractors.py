@@ -226,8 +226,12 @@ def _postings(reader: Callable[[DataFrame], DataFrame], captures: DataFrame) ->
     for column, kind in (("platform", "string"), ("config", "map<string,string>"), ("source_url", "string")):
         if column not in captures.columns:
             captures = captures.withColumn(column, F.lit(None).cast(kind))
-    rows = reader(captures).withColumn("reader", F.lit(READER_NAMES[reader]))
-    return scan_rows.postings(rows).select(*RAW_COLUMNS)
+    # Entries and postings are joined, so each side reads just the captures that hold it: none is parsed twice.
+    listed, details = (
+        reader(_of_kind(captures, kind)).withColumn("reader", F.lit(READER_NAMES[reader]))
+        for kind in ("listing", POSTING_KINDS.get(reader, "detail"))
+    )
+    return scan_rows.postings(listed, details).select(*RAW_COLUMNS)
 
 
 def ats_w(captures: DataFrame) -> DataFrame:
@@ -262,6 +266,9 @@ EXTRACTORS: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]]
 
 READER_NAMES = {reader: name for name, (reader, _) in EXTRACTORS.items()}
 
+#: Where postings lie, if not on detail pages.
+POSTING_KINDS = {_ats_i: "listing"}
+
 _SITE = ("source_url", "connector_type", "platform", "config")
 
 

@@ -14,7 +14,7 @@ from ..functions.locations import (
     coerce_employment, coerce_identifier, render_ld_locations, variant_field, variant_kind,
     with_description_html,
 )
-from ..functions.text import blank_to_null, settle, slug, strip_ws
+from ..functions.text import blank_to_null, settle, slug, strip_long
 from ..functions.urls import canonicalize_url, in_scope, template_url
 
 _LD_SCRIPT = (
@@ -64,7 +64,7 @@ def extract_jobposting(captures: DataFrame) -> DataFrame:
     """
     blocks = captures.withColumn(
         "_blocks", F.regexp_extract_all("body", F.lit(_LD_SCRIPT), 1)
-    ).withColumn("_head", strip_ws(F.try_element_at("_blocks", F.lit(1))))
+    ).withColumn("_first", F.try_element_at("_blocks", F.lit(1))).withColumn("_head", strip_long(F.col("_first")))
     parsed = blocks.withColumn(
         "_direct", F.when(F.col("_head").rlike(r"(?s)^\{.*\}$"), F.try_parse_json("_head"))
     )

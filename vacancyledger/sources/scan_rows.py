@@ -49,8 +49,9 @@ def unfolded(df: DataFrame, entries: Column) -> DataFrame:
     return df.withColumns(more).select(*BASE, F.inline(entries)) if more else df.select(*BASE, F.inline(entries))
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """Raw postings: usable details completed from their listing entry.
+def postings(rows: DataFrame, from_details: DataFrame | None = None) -> DataFrame:
+    """Raw postings: usable details completed from their listing entry. Where rows are not written, they may be
+    given in two: ``rows`` with all entries, ``from_details`` with all details.
 
     Per scan and key the entry of the later page wins, on a page the later one, and entries from
     scripts come after links. Sites need the entry and keep to their scope: a detail URL outside it
@@ -60,7 +61,7 @@ def postings(rows: DataFrame) -> DataFrame:
     order = [F.coalesce("seq", F.lit(0)).alias("_seq"), F.coalesce("part", F.lit(0)).alias("_part"), F.coalesce("position", F.lit(0)).alias("_position")]
     listed = rows.where(F.col("tag") == "listed").select("scan_run_id", "key", *order, *[F.col(c).alias(f"l_{c}") for c in known])
     listed = latest_by(listed, ["scan_run_id", "key"], ["_seq", "_part", "_position"]).drop("_seq", "_part", "_position")
-    details = rows.where((F.col("tag") == "detail") & F.col("code").isNull())
+    details = (rows if from_details is None else from_details).where((F.col("tag") == "detail") & F.col("code").isNull())
     joined = details.join(listed.withColumn("_known", F.lit(True)), ["scan_run_id", "key"], "left")
     site, ats_o, fields = F.col("reader") == SITES, F.col("reader") == ATS_O, F.col("reader").isin(*FIELD_READERS)
     joined = joined.where(~site | F.coalesce("_known", F.lit(False)))
