@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from vacancyledger.llm import ann, embedding_dedup, graph, simhash, substring
+from vacancyledger.llm import ann, common, embedding_dedup, graph, simhash, substring
 from vacancyledger.llm.graph import connected_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -460,3 +460,20 @@ def test_fallback_compares_with_everything(spark, monkeypatch):
     got = ann.nearest(vectors(spark, rows), lambda c: c < 3).collect()
     want = exact_neighbours(rows, 5, lambda i: i < 3)
     assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(q, n + 1, i) for q, best in want.items() for n, (_, i) in enumerate(best)}
+
+
+def test_prefix_pairs_leave_out_chance_meetings_and_lose_none(spark):
+    """Sets that share one frequent shingle of their prefixes are not compared; all that are alike are."""
+    rng = random.Random(5)
+    sets = [sorted({0, *rng.sample(range(1, 4000), 60)}) for _ in range(40)]
+    for base in list(sets[:20]):
+        copy = set(base) - set(rng.sample(base, rng.randint(1, 6)))
+        sets.append(sorted(copy | set(rng.sample(range(1, 4000), rng.randint(0, 4)))))
+    rows = [(i, len(s), s[: len(s) - -(-4 * len(s) // 5) + 1]) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, n int, prefix array<long>")
+    labels = spark.createDataFrame([], "node long, root long")
+    with common.Scratch(spark) as tmp:
+        named = {(r.a, r.b) for r in simhash._by_prefix(nodes, labels, tmp).collect()}
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j)]
+    near = {(i, j) for i, j in pairs if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
+    assert near and near <= named and len(named) < 2 * len(near)

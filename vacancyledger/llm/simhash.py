@@ -336,17 +336,34 @@ def _confirmed(near: DataFrame | None, pairs: DataFrame, texts: DataFrame, words
 
 
 def _by_prefix(nodes: DataFrame, labels: DataFrame, tmp: Scratch) -> DataFrame:
-    """Pairs of nodes of different labels that share a shingle of their prefixes and may be alike."""
+    """Pairs of nodes of different labels that share a shingle of their prefixes and may be alike.
+
+    Whichever prefix ends first in the order of all shingles, what its set holds beyond is all that the other can
+    share besides shingles of both prefixes. So a pair that shares too few of these is left out unread: else
+    chance meetings, which grow faster than the input, would each move a text.
+    """
     known = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    keys = known.select("node", "n", F.coalesce("root", "node").alias("label"), F.posexplode("prefix").alias("at", "key"))
+    keys = known.select(
+        "node", "n", (F.col("n") - F.size("prefix")).alias("beyond"), F.coalesce("root", "node").alias("label"),
+        F.posexplode("prefix").alias("at", "key"),
+    )
     several = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     keys = tmp.written(keys.join(tmp.written(several.select("key"), "several"), "key"), "keys")
     over, under = ALIKE
     # Of the first shingle that both hold, at most what follows it can be shared as well.
     most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    may = ((over + under) * most >= over * (F.col("a.n") + F.col("b.n"))) & (F.col("a.label") != F.col("b.label"))
-    pairs = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & may)
-    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    may = (over + under) * most >= over * (F.col("a.n") + F.col("b.n"))
+    apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
+    # A shorter set than over / under of the other cannot be alike, wherever they meet.
+    sized = (under * F.col("a.n") >= over * F.col("b.n")) & (under * F.col("b.n") >= over * F.col("a.n"))
+    met = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & sized)
+    # Versions of one doc_id are one node: bounds that hold for each of them.
+    pairs = met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.max(may).alias("may"), F.min(F.col("a.n") + F.col("b.n")).alias("both"),
+        F.max(F.greatest("a.beyond", "b.beyond")).alias("beyond"),
+    )
+    enough = (over + under) * (F.col("shared") + F.col("beyond")) >= over * F.col("both")
+    return pairs.filter(F.col("may") & enough).select("a", "b")
 
 
 def alike(documents: DataFrame, words: int, lanes: int, segments: int, most: int) -> DataFrame:
