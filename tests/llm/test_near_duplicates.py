@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vacancyledger.llm import ann, common, embedding_dedup, graph, simhash, substring
 from vacancyledger.llm.graph import connected_components
@@ -477,3 +478,31 @@ def test_prefix_pairs_leave_out_chance_meetings_and_lose_none(spark):
     pairs = [(i, j) for j in range(len(sets)) for i in range(j)]
     near = {(i, j) for i, j in pairs if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
     assert near and near <= named and len(named) < 2 * len(near)
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_prefix_keys_leave_out_members_of_loose_groups_and_lose_none(spark, mixed):
+    """A large group around one passage, most of whose members are not alike: they do not all meet."""
+    rng = random.Random(6)
+    core = rng.sample(range(2000), 100) if mixed else range(5000, 5100)
+    own, sets = iter(rng.sample(range(2000, 4000) if not mixed else [x for x in range(4000) if x not in set(core)], 1900)), []
+    for i in range(100):
+        changed = rng.randint(1, 8) if i < 12 else rng.randint(13, 18)
+        sets.append(sorted(set(rng.sample(core, 100 - changed)) | {next(own) for _ in range(changed)}))
+    rows = [(i, len(s), s[: len(s) - -(-4 * len(s) // 5) + 1]) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, n int, prefix array<long>")
+    labels = spark.createDataFrame([], "node long, root long")
+    tables = {}
+
+    class Kept(common.Scratch):
+        def written(self, df, name="table"):
+            tables[name] = super().written(df, name)
+            return tables[name]
+
+    with Kept(spark) as tmp:
+        named = {(r.a, r.b) for r in simhash._by_prefix(nodes, labels, tmp).collect()}
+        held = [r.m for r in tables["keys"].groupBy("key").agg(F.count("*").alias("m")).collect()]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j)]
+    near = {(i, j) for i, j in pairs if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
+    assert near and near <= named
+    assert mixed or sum(m * (m - 1) // 2 for m in held) < 10 * len(sets)

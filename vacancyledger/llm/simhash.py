@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, columns_of, written
@@ -20,7 +20,9 @@ BLOCK = 1 << 15
 ALIKE = (4, 5)
 #: Documents whose shingles are counted, and how many frequent shingles are put last in the order of
 #: :func:`sketches`. They change what is compared, not what is found.
-COUNTED_DOCUMENTS, FREQUENT = 4096, 1 << 16
+COUNTED_DOCUMENTS, FREQUENT = 1 << 16, 1 << 17
+#: Of these, how many a task counts, and how many of their shingles it holds at a time.
+COUNTED_TOGETHER, COUNTED_SHINGLES = 1 << 13, 1 << 23
 #: Rounds in which each node is compared with one partner only, see :func:`_confirmed`.
 THIN_ROUNDS = 3
 #: Odd multiplier that spreads one hash to further lanes (2^64 / golden ratio).
@@ -218,24 +220,42 @@ def near_duplicates(
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that occur in several of a bounded sample of documents, the least frequent first."""
-    every = max(1, -(-docs.count() // COUNTED_DOCUMENTS))
+    """Shingles that occur in several of a bounded sample of documents, the least frequent first.
+
+    A task counts blocks of documents and leaves out what only one of a block holds, so few shingles move.
+    """
+    total = docs.count()
+    every = max(1, -(-total // COUNTED_DOCUMENTS))
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    some = some.repartition(max(1, total // every // COUNTED_TOGETHER))
 
     def run(batches):
         import pyarrow as pa
 
+        held, size = [], 0
+
+        def counted():
+            key, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, dtype=np.uint64),) * 2
+            key, n = key[n > 1].view(np.int64), n[n > 1].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
         for b in batches:
             for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], ["key"])
-
-    counts = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
+                held.append(np.unique(shingle_hashes(t.as_py(), words)))
+                size += len(held[-1])
+                if size > COUNTED_SHINGLES:
+                    yield counted()
+                    held, size = [], 0
+        yield counted()
+
+    counts = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 2")
     top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
     return np.array([r["key"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
 
 
 def sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
-    """doc_id, digest, f0 .., ``same`` (128 bits of the set of shingles), ``n`` (its size) and ``prefix``.
+    """doc_id, digest, f0 .., ``same`` (128 bits of the set of shingles), ``n`` (its size), ``prefix`` and
+    ``last_rank`` (the place of its last shingle among the frequent ones, 0 for others).
 
     All sets are ordered alike: by hash, frequent shingles last. Two sets that share at least ``ALIKE``
     of their union share a shingle of their prefixes, the first n - ceil(ALIKE * n) + 1 shingles: without
@@ -256,8 +276,9 @@ def sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
         if len(ordered):
             at = np.minimum(np.searchsorted(ordered, distinct), len(ordered) - 1)
             rank = np.where(ordered[at] == distinct, by_hash[at] + 1, 0)
-        first = distinct[np.argsort(rank, kind="stable")[: n + (-over * n // under) + 1 if n else 0]]
-        return same, n, first.view(np.int64), _majority(hashes, lanes)
+        first = np.argsort(rank, kind="stable")[: n + (-over * n // under) + 1 if n else 0]
+        last = int(rank[first[-1]]) if n else 0
+        return same, n, distinct[first].view(np.int64), last, _majority(hashes, lanes)
 
     names = [f"f{j}" for j in range(lanes)]
 
@@ -269,12 +290,13 @@ def sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()),
-                    pa.array([r[2] for r in rows], pa.list_(pa.int64())), *[pa.array([r[3][j] for r in rows], pa.int64()) for j in range(lanes)],
+                    pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.int32()),
+                    *[pa.array([r[4][j] for r in rows], pa.int64()) for j in range(lanes)],
                 ],
-                ["doc_id", "digest", "same", "n", "prefix", *names],
+                ["doc_id", "digest", "same", "n", "prefix", "last_rank", *names],
             )
 
-    kinds = "doc_id long, digest long, same binary, n int, prefix array<long>, "
+    kinds = "doc_id long, digest long, same binary, n int, prefix array<long>, last_rank int, "
     return docs.mapInArrow(run, kinds + ", ".join(f"{n} long" for n in names))
 
 
@@ -335,35 +357,73 @@ def _confirmed(near: DataFrame | None, pairs: DataFrame, texts: DataFrame, words
     return near if near is not None else rest
 
 
-def _by_prefix(nodes: DataFrame, labels: DataFrame, tmp: Scratch) -> DataFrame:
-    """Pairs of nodes of different labels that share a shingle of their prefixes and may be alike.
+def _may_be_alike(a_shared, a_n, b_shared, b_n) -> F.Column:
+    """Whether sets of ``a_n`` and ``b_n`` shingles that share at most ``a_shared`` and ``b_shared`` may be ``ALIKE``."""
+    over, under = ALIKE
+    return (over + under) * F.least(a_shared, b_shared) >= over * (a_n + b_n)
+
 
-    Whichever prefix ends first in the order of all shingles, what its set holds beyond is all that the other can
-    share besides shingles of both prefixes. So a pair that shares too few of these is left out unread: else
-    chance meetings, which grow faster than the input, would each move a text.
+def _prefix_keys(nodes: DataFrame, labels: DataFrame, tmp: Scratch) -> DataFrame:
+    """The shingles of all prefixes by which a set may be found alike to one of another label.
+
+    ``at`` is the shingle's place in the prefix, ``private`` says how many of the prefix's later shingles stand in
+    no prefix of another label. If two sets share a shingle first at ``at``, none of those before it is shared, so
+    a set that is no longer alike to the shortest holder of the shingle (``least``) is left out there.
     """
+    over, under = ALIKE
     known = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    keys = known.select(
-        "node", "n", (F.col("n") - F.size("prefix")).alias("beyond"), F.coalesce("root", "node").alias("label"),
-        F.posexplode("prefix").alias("at", "key"),
-    )
+    label = F.coalesce("root", "node").alias("label")
+    keys = known.select("id", "n", label, F.posexplode("prefix").alias("at", "key"))
+    several = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
+    several = tmp.written(several.filter("low < high").select("key", "least"), "several")
+    held = keys.select("id", "at", "key").join(several, "key")
+    # Written first, so that the join to it moves few rows.
+    held = tmp.written(held.withColumnRenamed("id", "_id"), "held")
+    last = F.element_at("prefix", -1).bitwiseXOR(F.lit(-(2**63)))
+    ends = known.select("id", "node", "n", label, F.size("prefix").alias("size"), F.struct("last_rank", last.alias("last")).alias("end"))
+    later = Window.partitionBy("id").orderBy(F.desc("at"))
+    private = F.col("size") - F.col("at") - F.row_number().over(later)
+    keys = held.join(ends, F.col("id") == F.col("_id")).withColumn("private", private)
+    shortest = F.greatest(under * F.col("least"), over * F.col("n"))
+    keys = keys.filter((over + under) * under * (F.col("n") - F.col("at")) >= over * (under * F.col("n") + shortest))
+    keys = tmp.written(keys.select("key", "id", "node", "label", "n", "at", "private", "end"), "keys")
     several = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    keys = tmp.written(keys.join(tmp.written(several.select("key"), "several"), "key"), "keys")
+    return tmp.written(keys.join(tmp.written(several.select("key"), "several"), "key"), "keys")
+
+
+def _by_prefix(nodes: DataFrame, labels: DataFrame, tmp: Scratch) -> DataFrame:
+    """Pairs of nodes of different labels that share a shingle of their prefixes and may be alike.
+
+    Of the first shingle that two sets share, only what follows it can be shared as well; and the prefix that ends
+    first in the order of all shingles shares none of its private ones, see :func:`_prefix_keys`. Pairs that
+    cannot be alike by this are not listed: else all members of a group of loosely similar texts would meet.
+
+    Whichever prefix ends first, what its set holds beyond is all that the other can share besides shingles of both
+    prefixes. So a pair that shares too few of these is left out before its texts move.
+
+    ``nodes`` without ``id`` has one row a node, without ``last_rank`` no frequent shingles.
+    """
     over, under = ALIKE
-    # Of the first shingle that both hold, at most what follows it can be shared as well.
-    most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    may = (over + under) * most >= over * (F.col("a.n") + F.col("b.n"))
+    if "id" not in nodes.columns:
+        nodes = nodes.withColumn("id", F.col("node"))
+    if "last_rank" not in nodes.columns:
+        nodes = nodes.withColumn("last_rank", F.lit(0))
+    nodes = nodes.withColumn("n", F.col("n").cast("long"))
+    keys = _prefix_keys(nodes, labels, tmp)
+    rest = {s: F.col(f"{s}.n") - F.col(f"{s}.at") for s in "ab"}
+    first = {s: F.when(F.col(f"{s}.end") <= F.col(f"{o}.end"), F.col(f"{s}.private")).otherwise(0) for s, o in ("ab", "ba")}
+    may = _may_be_alike(rest["a"] - first["a"], F.col("a.n"), rest["b"] - first["b"], F.col("b.n"))
     apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
     # A shorter set than over / under of the other cannot be alike, wherever they meet.
     sized = (under * F.col("a.n") >= over * F.col("b.n")) & (under * F.col("b.n") >= over * F.col("a.n"))
-    met = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & sized)
-    # Versions of one doc_id are one node: bounds that hold for each of them.
-    pairs = met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.max(may).alias("may"), F.min(F.col("a.n") + F.col("b.n")).alias("both"),
-        F.max(F.greatest("a.beyond", "b.beyond")).alias("beyond"),
-    )
-    enough = (over + under) * (F.col("shared") + F.col("beyond")) >= over * F.col("both")
-    return pairs.filter(F.col("may") & enough).select("a", "b")
+    met = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & sized & may)
+    pairs = tmp.written(met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct(), "met")
+    one, two = (nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "node", "n", "prefix")]) for s in "ab")
+    pairs = pairs.join(one, "id_a").join(two, "id_b")
+    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    beyond = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
+    enough = (over + under) * (shared + beyond) >= over * (F.col("n_a") + F.col("n_b"))
+    return pairs.filter(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def alike(documents: DataFrame, words: int, lanes: int, segments: int, most: int) -> DataFrame:
@@ -379,9 +439,9 @@ def alike(documents: DataFrame, words: int, lanes: int, segments: int, most: int
     names = [f"f{j}" for j in range(lanes)]
     with Scratch(documents.sparkSession) as tmp:
         found = tmp.written(sketches(docs, words, lanes), "sketches")
-        values = F.struct("digest", "n", "prefix", *names)
+        values = F.struct("digest", "n", "prefix", "last_rank", *names)
         nodes = found.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by(values, "doc_id").alias("_v"))
-        nodes = tmp.written(nodes.select("same", "node", "_v.*"), "nodes")
+        nodes = tmp.written(nodes.select(F.monotonically_increasing_id().alias("id"), "same", "node", "_v.*"), "nodes")
         found = tmp.written(found.select("doc_id", "digest", "same"), "found")
         tmp.drop("sketches")
         # Joined by the node alone, so that the buckets of nodes come out of the join; a row may stand several times.
@@ -395,7 +455,7 @@ def alike(documents: DataFrame, words: int, lanes: int, segments: int, most: int
         near = tmp.written(near, "by_ring")
         labels = tmp.written(connected_components(near, tmp.written), "ring_labels")
         near = _confirmed(near, _by_prefix(nodes, labels, tmp), texts, words, tmp)
-        tmp.drop("texts", "keys", "several")
+        tmp.drop("texts", "held", "keys", "several", "met")
         roots = connected_components(near, tmp.written).withColumnRenamed("node", "_node")
         parts = nodes.join(roots, F.col("node") == F.col("_node"), "left")
         parts = tmp.written(parts.select(F.col("same").alias("_same"), F.coalesce("root", "node").alias("_part")), "parts")
